@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from fernlake.llm import byte_bpe, simhash, token_pack
+from fernlake.llm import ann_search, byte_bpe, chat_format, decontaminate, secret_scan, simhash, token_pack, toxicity, url_rules
 
 QUERIES = {
     "op1_token_pack": token_pack.query,
     "op2_byte_bpe": byte_bpe.query,
     "op4_simhash": simhash.query,
+    "op5_url_rules": url_rules.query,
+    "op6_decontaminate": decontaminate.query,
+    "op7_toxicity": toxicity.query,
+    "op8_secret_scan": secret_scan.query,
+    "op9_chat_format": chat_format.query,
+    "op10_ann_search": ann_search.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_url_rules": url_rules.SQL, "op9_chat_format": chat_format.SQL}
