@@ -3,24 +3,28 @@
 For a piece of text and each of its byte prefixes there is exactly one token that a
 merge-by-rank encoder leaves last. Token ``t`` ending at byte ``j`` is that token if it
 may follow the last token of the prefix before it, that is, if merging the two tokens' bytes
-from scratch gives back the two. So the table of last tokens is filled left to right,
-appending extends it without changing earlier entries, and an edit re-encodes only from
+from scratch gives back the two. So the table from prefixes to last tokens is filled left to
+right, appending extends it without changing earlier entries, and an edit re-encodes only from
 the edit on.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct pieces a worker remembers; beyond it the memory starts anew.
-CACHE_PIECES = 400_000
+from fernlake.llm.memory import Memory
+
+#: Prefixes and pairs of tokens a worker remembers; beyond them the memory starts anew.
+TABLE_PREFIXES, CACHE_PAIRS = 1_000_000, 1_000_000
 
 
 class PrefixBPE:
@@ -33,8 +37,12 @@ class PrefixBPE:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         self.cut = regex.compile(pattern).findall
-        self._follows: dict[tuple[bytes, bytes], bool] = {}
-        self._texts: dict[str, str] = {}
+        self.length = {rank: len(token) for token, rank in ranks.items()}
+        self._decimal = {rank: str(rank) for rank in ranks.values()}
+        self._pairs: dict[int, bool] = {}
+        #: Prefix of a piece -> its last token.
+        self.table: dict[bytes, int] = {}
+        self._pieces, self._chunks, self._decoded = Memory(500_000), Memory(800_000), Memory(250_000)
 
     def _merged(self, piece: bytes) -> list[bytes]:
         """Merging by rank from single bytes; used on pairs of tokens only."""
@@ -49,62 +57,108 @@ class PrefixBPE:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def follows(self, left: bytes, right: bytes) -> bool:
-        """Whether an encoder ever leaves ``right`` next to ``left``."""
-        key = (left, right)
-        found = self._follows.get(key)
+    def follows(self, left: int, right: int) -> bool:
+        """Whether an encoder ever leaves token ``right`` next to token ``left``."""
+        key = left << 32 | right
+        found = self._pairs.get(key)
         if found is None:
-            if len(self._follows) > 4 * CACHE_PIECES:
-                self._follows.clear()
-            found = self._follows[key] = self._merged(left + right) == [left, right]
+            if len(self._pairs) > CACHE_PAIRS:
+                self._pairs.clear()
+            a, b = self.bytes_of[left], self.bytes_of[right]
+            found = self._pairs[key] = self._merged(a + b) == [a, b]
         return found
 
-    def extend(self, data: bytes, last: list[bytes]) -> list[bytes]:
-        """Append to ``last`` (entry j: the last token of ``data[:j + 1]``) up to ``data``'s end."""
-        ranks, follows = self.ranks, self.follows
-        for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = data[start:end]
-                if token in ranks and (not start or follows(last[start - 1], token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("the ranks lack a single byte")
-        return last
-
-    @staticmethod
-    def path(last: list[bytes]) -> list[bytes]:
-        """The tokens of the whole, read off the table from its end."""
-        out, at = [], len(last)
-        while at:
-            out.append(last[at - 1])
-            at -= len(last[at - 1])
-        return out[::-1]
+    def extend(self, data: bytes) -> None:
+        """Enter ``data`` and its prefixes in the table, going on from the longest that is there.
+
+        Pieces that begin alike share their prefixes' entries.
+        """
+        table, rank_of, pairs, longest = self.table, self.ranks.get, self._pairs, self.longest
+        end = len(data)
+        while end and data[:end] not in table:
+            end -= 1
+        while end < len(data):
+            end += 1
+            prefix = data[:end]
+            last = rank_of(prefix)
+            if last is None:
+                for start in range(max(1, end - longest), end):
+                    last = rank_of(prefix[start:])
+                    if last is not None:
+                        left = table[prefix[:start]]
+                        fits = pairs.get(left << 32 | last)
+                        if self.follows(left, last) if fits is None else fits:
+                            break
+                else:
+                    raise ValueError("the ranks lack a single byte")
+            table[prefix] = last
+
+    def path(self, data: bytes) -> list[int]:
+        """The tokens of ``data``, read off the table from its end."""
+        out, table, length = [], self.table, self.length
+        while data:
+            token = table[data]
+            out.append(token)
+            data = data[: -length[token]]
+        out.reverse()
+        return out
 
     def encode_piece(self, data: bytes) -> list[int]:
+        """Also after an edit: only prefixes that were not there before are worked out."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        return [self.ranks[t] for t in self.path(self.extend(data, []))]
-
-    def reencode(self, data: bytes, old: bytes, last: list[bytes]) -> list[bytes]:
-        """The table of ``data``, reusing the entries before its first difference from ``old``."""
-        same = next((i for i, (a, b) in enumerate(zip(old, data)) if a != b), min(len(old), len(data)))
-        return self.extend(data, last[:same])
+        if len(self.table) > TABLE_PREFIXES:
+            self.table.clear()
+        self.extend(data)
+        return self.path(data)
+
+    def _ids(self, text: str) -> str:
+        """Decimal ids of a text, piece by piece."""
+        pieces, out = self._pieces, []
+        for piece in self.cut(text):
+            ids = pieces.get(piece)
+            if ids is None:
+                ids = pieces.keep(piece, " ".join(map(self._decimal.__getitem__, self.encode_piece(piece.encode("utf-8", "surrogatepass")))))
+            out.append(ids)
+        return " ".join(out)
+
+    def encode_parts(self, text: str) -> list[str]:
+        """Decimal ids, joined by spaces, of consecutive stretches of the text.
+
+        The pattern cuts before a lone space between two characters that are not white space,
+        so the stretches between such spaces are encoded apart and remembered.
+        """
+        first, *rest = text.split(" ")
+        chunks = self._chunks
+        parts = list(map(chunks.get, rest))
+        if None in parts:
+            for i, (chunk, ids) in enumerate(zip(rest, parts)):
+                if ids is None:
+                    if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                        return [self._ids(text)]
+                    parts[i] = chunks.keep(chunk, self._ids(" " + chunk))
+        if rest and (not first or first[-1].isspace()):
+            return [self._ids(text)]
+        return [self._ids(first), *parts] if first else []
 
     def encode_text(self, text: str) -> str:
         """Decimal ids joined by one space."""
-        known = self._texts
-        pieces = self.cut(text)
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        try:
-            return " ".join(map(known.__getitem__, pieces))
-        except KeyError:
-            for piece in set(pieces):
-                if piece not in known:
-                    known[piece] = " ".join(map(str, self.encode_piece(piece.encode("utf-8", "surrogatepass"))))
-            return " ".join(map(known.__getitem__, pieces))
+        return " ".join(self.encode_parts(text))
+
+    def decode_parts(self, parts: list[str]) -> bytes:
+        """Bytes of decimal ids; what a part decodes to is remembered."""
+        known = self._decoded
+        found = list(map(known.get, parts))
+        if None in found:
+            for i, (part, data) in enumerate(zip(parts, found)):
+                if data is None:
+                    found[i] = known.keep(part, self.decode(map(int, part.split())))
+        return b"".join(found)
+
+    def encode_array(self, text: str) -> np.ndarray:
+        joined = self.encode_text(text)
+        return np.fromstring(joined, np.int32, sep=" ") if joined else np.zeros(0, np.int32)
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.encode_text(text).split()]
@@ -120,12 +174,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> PrefixBPE:
-    return PrefixBPE(load_ranks(path), pattern)
-
-
-@lru_cache(maxsize=2)
-def _decimal_table(path: str) -> dict[str, bytes]:
-    return {str(rank): token for token, rank in load_ranks(path).items()}
+    made = PrefixBPE(load_ranks(path), pattern)
+    gc.freeze()  # the large tables hold no cycles: spare the collector walking them
+    return made
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,9 +185,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = codec(ranks_path, pattern)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["k"], "ids": [bpe.encode(t or "") for t in batch["t"]]})
+            yield pd.DataFrame({"doc_id": batch["k"], "ids": [bpe.encode_array(t or "") for t in batch["t"]]})
 
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -157,15 +208,15 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, back, sha = codec(ranks_path, pattern), _decimal_table(ranks_path), hashlib.sha256
+        bpe, sha = codec(ranks_path, pattern), hashlib.sha256
         for batch in batches:
             counts, ids, decoded = [], [], []
             for text in batch["t"]:
-                joined = bpe.encode_text(text or "")
-                tokens = joined.split(" ") if joined else []
-                counts.append(len(tokens))
-                ids.append(sha(joined.encode()).hexdigest())
-                decoded.append(sha(b"".join(map(back.__getitem__, tokens))).hexdigest())
+                parts = bpe.encode_parts(text or "")
+                joined = " ".join(parts).encode()
+                counts.append(joined.count(b" ") + 1 if joined else 0)
+                ids.append(sha(joined).hexdigest())
+                decoded.append(sha(bpe.decode_parts(parts)).hexdigest())
             yield pd.DataFrame({"doc_id": batch["k"], "n_tokens": counts, "ids_sha256": ids, "decoded_sha256": decoded})
 
     return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
