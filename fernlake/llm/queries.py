@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fernlake.llm import ann_search, byte_bpe, chat_format, decontaminate, secret_scan, simhash, token_pack, toxicity, url_rules
+from fernlake.llm import ann_search, byte_bpe, chat_format, decontaminate, language_id, secret_scan, simhash, token_pack, toxicity, url_rules
 
 QUERIES = {
     "op1_token_pack": token_pack.query,
     "op2_byte_bpe": byte_bpe.query,
+    "op3_language_id": language_id.query,
     "op4_simhash": simhash.query,
     "op5_url_rules": url_rules.query,
     "op6_decontaminate": decontaminate.query,

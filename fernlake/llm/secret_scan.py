@@ -17,7 +17,7 @@ from math import log10
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -152,6 +152,17 @@ def redact(text: str, mark: str = "[secret]") -> str:
     return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass") if at else text
 
 
+def redacted(text: Column) -> Column:
+    """``redact`` of each text; null stays null."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([None if t is None else redact(t) for t in texts], dtype=object)
+
+    return run(text)
+
+
 SPANS = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base string, spans string"
 
 

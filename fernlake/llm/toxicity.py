@@ -109,20 +109,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     return train([(np.frombuffer(r["f"], "<u4"), r["y"]) for r in got])
 
 
-def apply(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` as ``doc_id, score``; null and empty texts score by the bias alone."""
+def scorer(spark: SparkSession, model: tuple[np.ndarray, float]):
+    """A column function from texts to scores; null and empty texts score by the bias alone."""
     weights, bias = model
     at = np.flatnonzero(weights)
-    sent = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weights[at], bias))
+    sent = spark.sparkContext.broadcast((at.astype(np.int32), weights[at], bias))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         places, values, b = sent.value
         dense = np.zeros(2**BITS, np.float32)
         dense[places] = values
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["k"], "score": [score(features(t), dense, b) for t in batch["t"]]})
+        for texts in batches:
+            yield pd.Series([score(features(t), dense, b) for t in texts], dtype=float)
 
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id long, score double")
+    return scores
+
+
+def apply(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, score`` of every row; null ids and repeated rows stay, other columns are ignored."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), scorer(docs.sparkSession, model)(F.col(text_col)).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
