@@ -1,0 +1 @@
+"""Whole runs composed of operators, and their command line."""
