@@ -199,8 +199,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     """
     own = docs.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).alias("y"), F.col(text_col).alias("t"))
     known = own.filter("k is not null and y is not null").filter(~held_out(F.col("k")))
-    first = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
-    chosen = known.select("k", "y").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= PER_LANGUAGE).select("k", "y").distinct()
+    # a language's share of hashes that holds twice the rows wanted, so that the window sees no more than those of any language
+    place = F.pmod(F.xxhash64("k"), F.lit(1 << 32))
+    share = known.groupBy("y").agg(F.count("*").alias("n")).select("y", (F.lit(2.0 * PER_LANGUAGE * (1 << 32)) / F.col("n")).alias("below"))
+    drawn = known.select("k", "y").join(share, "y").filter(place < F.col("below"))
+    first = Window.partitionBy("y").orderBy(place, "k")
+    chosen = drawn.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= PER_LANGUAGE).select("k", "y").distinct()
     start = F.pmod(F.xxhash64("k"), F.greatest(F.length("t") - EXCERPT, F.lit(1))).cast("int") + 1
     taken = known.filter("t is not null").join(F.broadcast(chosen), ["k", "y"]).select("k", "y", F.substring("t", start, F.lit(EXCERPT)).alias("t"))
     rows = taken.groupBy("k", "y").agg(F.min("t").alias("t")).collect()
