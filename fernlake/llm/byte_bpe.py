@@ -18,13 +18,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernlake.llm.chunks import Chunked, gather, slices
 from fernlake.llm.memory import Memory
 
 #: Prefixes and pairs of tokens a worker remembers; beyond them the memory starts anew.
-TABLE_PREFIXES, CACHE_PAIRS = 1_000_000, 1_000_000
+TABLE_PREFIXES, CACHE_PAIRS = 400_000, 400_000
+#: Rows of ids that leave in one Arrow batch.
+OUT_ROWS = 1000
+
+
+def _numbers(decimal: str) -> np.ndarray:
+    return np.fromstring(decimal, np.int32, sep=" ") if decimal else np.zeros(0, np.int32)
 
 
 class PrefixBPE:
@@ -42,7 +50,7 @@ class PrefixBPE:
         self._pairs: dict[int, bool] = {}
         #: Prefix of a piece -> its last token.
         self.table: dict[bytes, int] = {}
-        self._pieces, self._chunks, self._decoded = Memory(500_000), Memory(800_000), Memory(250_000)
+        self._pieces, self._chunks = Memory(150_000), Memory(250_000)
 
     def _merged(self, piece: bytes) -> list[bytes]:
         """Merging by rank from single bytes; used on pairs of tokens only."""
@@ -123,45 +131,54 @@ class PrefixBPE:
             out.append(ids)
         return " ".join(out)
 
-    def encode_parts(self, text: str) -> list[str]:
-        """Decimal ids, joined by spaces, of consecutive stretches of the text.
-
-        The pattern cuts before a lone space between two characters that are not white space,
-        so the stretches between such spaces are encoded apart and remembered.
-        """
-        first, *rest = text.split(" ")
-        chunks = self._chunks
-        parts = list(map(chunks.get, rest))
-        if None in parts:
-            for i, (chunk, ids) in enumerate(zip(rest, parts)):
-                if ids is None:
-                    if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                        return [self._ids(text)]
-                    parts[i] = chunks.keep(chunk, self._ids(" " + chunk))
-        if rest and (not first or first[-1].isspace()):
-            return [self._ids(text)]
-        return [self._ids(first), *parts] if first else []
-
     def encode_text(self, text: str) -> str:
         """Decimal ids joined by one space."""
-        return " ".join(self.encode_parts(text))
-
-    def decode_parts(self, parts: list[str]) -> bytes:
-        """Bytes of decimal ids; what a part decodes to is remembered."""
-        known = self._decoded
-        found = list(map(known.get, parts))
-        if None in found:
-            for i, (part, data) in enumerate(zip(parts, found)):
-                if data is None:
-                    found[i] = known.keep(part, self.decode(map(int, part.split())))
-        return b"".join(found)
-
-    def encode_array(self, text: str) -> np.ndarray:
-        joined = self.encode_text(text)
-        return np.fromstring(joined, np.int32, sep=" ") if joined else np.zeros(0, np.int32)
+        return self._ids(text)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.encode_text(text).split()]
+        return [int(i) for i in self._ids(text).split()]
+
+    def chunk_ids(self, cut: Chunked) -> list[str]:
+        """Decimal ids of a batch's distinct chunks, by code; of those that only begin texts also with a space: none."""
+        known = self._chunks
+        found = [ids or "" for ids in map(known.get, cut.spaced)]
+        for i in np.flatnonzero(cut.used).tolist():
+            if not found[i]:
+                found[i] = known.keep(cut.spaced[i], self._ids(" " + cut.spaced[i]))
+        return found + [self._ids(c) for c in cut.first]
+
+    def column_digests(self, texts: pa.Array) -> Iterator[tuple[int, str, str]]:
+        """Of each text the number of ids, and digests of the ids and of what they decode to."""
+        for part in slices(texts):
+            yield from self._slice_digests(Chunked(part))
+
+    def _slice_digests(self, cut: Chunked) -> Iterator[tuple[int, str, str]]:
+        sha = hashlib.sha256
+        found = self.chunk_ids(cut)
+        decoded = [self.decode(map(int, ids.split())) for ids in found]
+        for i, (codes, apart) in enumerate(zip(cut.rows(), cut.apart)):
+            if apart:
+                joined = self._ids(cut.whole(i))
+                back = self.decode(map(int, joined.split()))
+            else:
+                own = codes.tolist()
+                parts = list(map(found.__getitem__, own))
+                joined = " ".join(parts if parts[0] else parts[1:])
+                back = b"".join(map(decoded.__getitem__, own))
+            raw = joined.encode()
+            yield (raw.count(b" ") + 1 if raw else 0), sha(raw).hexdigest(), sha(back).hexdigest()
+
+    def column_ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Each text's ids."""
+        for part in slices(texts):
+            yield from self._slice_ids(Chunked(part))
+
+    def _slice_ids(self, cut: Chunked) -> Iterator[np.ndarray]:
+        found = self.chunk_ids(cut)
+        length = np.array([ids.count(" ") + 1 if ids else 0 for ids in found])
+        pool = _numbers(" ".join(filter(None, found)))
+        for i, (ids, apart) in enumerate(zip(gather(cut, pool, length), cut.apart)):
+            yield _numbers(self._ids(cut.whole(i))) if apart else ids
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -182,12 +199,20 @@ def codec(path: str, pattern: str) -> PrefixBPE:
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids array<int>`` of every whole text; null texts count as empty, rows repeat as given."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path, pattern)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["k"], "ids": [bpe.encode_array(t or "") for t in batch["t"]]})
+            ids: list[np.ndarray] = []
+            low = 0
+            for i, got in enumerate(bpe.column_ids(batch.column(1)), 1):
+                ids.append(got)
+                if i % OUT_ROWS == 0 or i == batch.num_rows:
+                    edge = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                    held = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(ids), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(ids)), held], ["doc_id", "ids"])
+                    low, ids = i, []
 
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -207,19 +232,13 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     Null texts count as empty; null ids, repeated rows and further columns do no harm.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, sha = codec(ranks_path, pattern), hashlib.sha256
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(ranks_path, pattern)
         for batch in batches:
-            counts, ids, decoded = [], [], []
-            for text in batch["t"]:
-                parts = bpe.encode_parts(text or "")
-                joined = " ".join(parts).encode()
-                counts.append(joined.count(b" ") + 1 if joined else 0)
-                ids.append(sha(joined).hexdigest())
-                decoded.append(sha(bpe.decode_parts(parts)).hexdigest())
-            yield pd.DataFrame({"doc_id": batch["k"], "n_tokens": counts, "ids_sha256": ids, "decoded_sha256": decoded})
-
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            made = list(zip(*bpe.column_digests(batch.column(1)))) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made[0], pa.int64()), pa.array(made[1], pa.string()), pa.array(made[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

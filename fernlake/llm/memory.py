@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 class Memory(dict):
-    """Keeps the first ``most`` entries, which frequent keys are among; starts anew once as many again were refused."""
+    """Keeps the first ``most`` entries, which frequent keys are among; starts anew once many times as many were refused."""
 
     def __init__(self, most: int):
         super().__init__()
@@ -15,7 +15,7 @@ class Memory(dict):
             self[key] = value
         else:
             self.refused += 1
-            if self.refused > self.most:
+            if self.refused > 8 * self.most:
                 self.clear()
                 self.refused = 0
         return value
