@@ -17,9 +17,12 @@ from math import log10
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernlake.llm.chunks import slices
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN_LEAST = 12
 MIN_COST = 10.0
@@ -155,10 +158,11 @@ def redact(text: str, mark: str = "[secret]") -> str:
 def redacted(text: Column) -> Column:
     """``redact`` of each text; null stays null."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([None if t is None else redact(t) for t in texts], dtype=object)
+            parts = [pa.array([None if t is None else redact(t) for t in part.to_pylist()], pa.string()) for part in slices(texts, 500)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return run(text)
 

@@ -12,14 +12,17 @@ with the smallest hash of their id. Scoring is one narrow pass over whole texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp
+from math import exp, log
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernlake.llm.chunks import slices
+
 BITS = 20
 #: Most labelled documents of each label that training reads.
 SAMPLE = 4000
@@ -70,7 +73,10 @@ class FTRL:
 
 
 def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, seed: int = 0, **options) -> tuple[np.ndarray, float]:
-    """Dense weights and bias; each label weighs the same in total. Without both labels: zeros."""
+    """Dense weights and bias; each label weighs the same in total.
+
+    Without rows of both labels there are no weights, and the bias is the smoothed log odds of the label, below zero without any rows.
+    """
     learner = FTRL(**{"l1": max(L1_LEAST, L1_SHARE * len(rows))} | options)
     share = np.bincount([y for _, y in rows], minlength=2) if rows else np.zeros(2)
     if share.min() > 0:
@@ -78,7 +84,8 @@ def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, seed: int =
         for _ in range(epochs):
             for i in order.permutation(len(rows)):
                 learner.learn(rows[i][0], rows[i][1], len(rows) / (2 * share[rows[i][1]]))
-    return learner.model()
+        return learner.model()
+    return np.zeros(learner.bias, np.float32), log((share[1] + 0.5) / (share[0] + 1.5))
 
 
 def score(at: np.ndarray, weights: np.ndarray, bias: float) -> float:
@@ -115,13 +122,14 @@ def scorer(spark: SparkSession, model: tuple[np.ndarray, float]):
     at = np.flatnonzero(weights)
     sent = spark.sparkContext.broadcast((at.astype(np.int32), weights[at], bias))
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         places, values, b = sent.value
         dense = np.zeros(2**BITS, np.float32)
         dense[places] = values
         for texts in batches:
-            yield pd.Series([score(features(t), dense, b) for t in texts], dtype=float)
+            got = [score(features(t), dense, b) for part in slices(texts, 500) for t in part.to_pylist()]
+            yield pa.array(got, pa.float64())
 
     return scores
 
