@@ -1,9 +1,9 @@
 """SimHash near-duplicates through deletion-variant signatures.
 
 Fingerprints of 64 bits within ``radius`` of each other are found as follows. Cut the bits
-into ``m`` segments with ``2 m - 1 >= radius``: in one of them the two differ by at most one
-bit. Index every segment once for each of its bits with that bit taken out (a one-wildcard
-variant): the two then share a variant. Equal variants are joined and pairs verified.
+into two halves: in one of them the two differ by at most one bit. Index each half once for each
+of its bits with that bit taken out (a one-wildcard variant): the two then share a variant. Equal
+variants are joined and pairs verified.
 
 Texts that are alike share their fingerprint, so all of this runs on distinct fingerprints.
 A variant that more than ``PAIR_ROWS`` fingerprints share is not paired up: for radius 2
@@ -17,10 +17,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernlake.llm.chunks import slices
 from fernlake.operators.components import connected_components
 from fernlake.runtime import materialize
 
@@ -63,31 +64,33 @@ def fingerprint(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id long, fp long`` of every whole text (the fingerprint's bits as a signed long)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([fingerprint(shingle_hashes(t, shingle_words)) for t in batch["t"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["k"], "fp": got.view(np.int64)})
+            got: list[int] = []
+            for texts in slices(batch.column(1), 500):  # few texts at a time are Python objects
+                got.extend(fingerprint(shingle_hashes(t, shingle_words)) for t in texts.to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
-def variants(fp: Column, segments: int) -> Column:
-    """One key for each bit: segment, wildcard place and the segment's other bits in one long."""
-    edges = [64 * i // segments for i in range(segments + 1)]
+def variants(fp: Column, tag: int = 0) -> list[Column]:
+    """One key for each bit: its place, and the other bits of its half, in one long; ``tag`` keeps fingerprints apart."""
     keys = []
-    for low, high in zip(edges, edges[1:]):
-        for bit in range(low, high):
-            mask = ((1 << (high - low)) - 1) & ~(1 << (bit - low))
-            keys.append(F.shiftrightunsigned(fp, low).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(bit << (high - low if segments > 1 else 57))))
-    return F.array(*keys)
+    for bit in range(64):
+        mask = 0xFFFFFFFF & ~(1 << bit % 32)
+        keys.append(F.shiftrightunsigned(fp, 32 * (bit // 32)).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(tag << 40 | bit << 32)))
+    return keys
 
 
 def close_pairs(distinct_fp: DataFrame, radius: int = 2, fp: str = "fp") -> DataFrame:
     """Links ``(u, v)``, u > v, whose components are those of all pairs within ``radius`` (0 to 2) bits."""
     if not 0 <= radius <= 2:
         raise ValueError("radius is 0, 1 or 2: beyond that a full bucket has no exact way out")
-    own = distinct_fp.select(F.col(fp).alias("fp"))
-    keyed = own.select(F.explode(variants(F.col("fp"), 2)).alias("key"), "fp")
+    # fingerprints are small, and a file of them few tasks: their variants need more
+    tasks = int(distinct_fp.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = distinct_fp.select(F.col(fp).alias("fp")).repartition(tasks, "fp")
+    keyed = own.select(F.explode(F.array(*variants(F.col("fp")))).alias("key"), "fp")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     kept, _ = materialize(keyed.join(shared, "key"), "variants")
 
@@ -124,6 +127,111 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, id
     return made.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# near-duplicates by the similarity of their shingle sets
+
+#: Five-word shingle sets at least this similar are near-duplicates; fingerprints are made of pairs of words.
+SIMILARITY, SET_WORDS, FINGERPRINT_WORDS = 0.8, 5, 2
+#: Independent fingerprints of a text. More find more of the pairs that are barely similar.
+FINGERPRINTS = 3
+#: Share of differing bits above which a candidate cannot be similar enough (at 0.8 an expected tenth differs).
+MOST_DIFFERING = 0.25
+MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+
+
+def set_signature(text: str | None) -> tuple[int, list[int]]:
+    """A hash of all words, which texts that are alike share, and fingerprints of the distinct word pairs."""
+    import xxhash
+
+    words = words_of(text or "")
+    digest = xxhash.xxh64_intdigest
+    pairs = np.fromiter({digest(s, SEED) for s in shingles(words, FINGERPRINT_WORDS)}, np.uint64)
+    made = []
+    for mixer in MIXERS[:FINGERPRINTS]:
+        h = pairs * np.uint64(mixer)
+        made.append(fingerprint((h ^ (h >> np.uint64(32))) * np.uint64(MIXERS[-1])))
+    return digest(b" ".join(words), SEED), made
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes(text, SET_WORDS))
+
+
+def _signed(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def set_signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, sig, fp0, fp1, ...`` of every whole text."""
+    names = [f"fp{i}" for i in range(FINGERPRINTS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [set_signature(t) for texts in slices(batch.column(1), 500) for t in texts.to_pylist()]
+            columns = [_signed([g[0] for g in got]), *(_signed([g[1][i] for g in got]) for i in range(FINGERPRINTS))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "sig", *names])
+
+    schema = ", ".join(["doc_id long", "sig long", *(f"{n} long" for n in names)])
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+
+
+def candidate_pairs(classes: DataFrame) -> DataFrame:
+    """``u, v`` (``sig``, u > v) that share a one-wildcard variant of half a fingerprint and whose fingerprints are near.
+
+    Of a variant that more than ``PAIR_ROWS`` share, each is compared with the smallest and the largest only.
+    """
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"fp{i}" for i in range(FINGERPRINTS)]
+    own = classes.select("sig", *names).repartition(tasks, "sig")
+    every = F.array(*[key for i, n in enumerate(names) for key in variants(F.col(n), i)])
+    keyed = own.select(F.explode(every).alias("key"), "sig")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("sig").alias("low"), F.max("sig").alias("high")).filter("n > 1")
+    twos = shared.filter("n = 2").select(F.col("high").alias("u"), F.col("low").alias("v"))
+    more, _ = materialize(keyed.join(shared.filter("n > 2"), "key"), "variants")
+    bucket = more.filter(F.col("n") <= PAIR_ROWS).groupBy("key").agg(F.collect_list("sig").alias("all"))
+    paired = bucket.select("all", F.explode("all").alias("u")).select("u", F.explode(F.expr("filter(all, y -> y < u)")).alias("v"))
+    starred = more.filter(F.col("n") > PAIR_ROWS).select(F.col("sig").alias("x"), F.explode(F.array("low", "high")).alias("y")).filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+    pairs = twos.union(paired).union(starred).distinct()
+    sides = [classes.select(F.col("sig").alias(s), *[F.col(n).alias(f"{s}_{n}") for n in names]) for s in "uv"]
+    apart = " + ".join(f"bit_count(u_{n} ^ v_{n})" for n in names)
+    return pairs.join(sides[0], "u").join(sides[1], "v").filter(F.expr(apart) <= int(64 * FINGERPRINTS * MOST_DIFFERING)).select("u", "v")
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` (smallest doc_id reachable) over links between texts whose five-word shingle sets are similar.
+
+    Texts that differ in white space and A-Z case only are alike, null and empty ones too. Candidates come
+    from fingerprints, so a pair may be missed, the rarer the more similar it is; every link is
+    verified. Null ids take part but never name a component unless all its ids are null; repeated rows stay.
+    """
+    made, _ = materialize(set_signatures(docs, id_col, text_col), "signatures")
+    classes, _ = materialize(made.groupBy("sig").agg(F.min("doc_id").alias("first"), *[F.first(f"fp{i}").alias(f"fp{i}") for i in range(FINGERPRINTS)]), "classes")
+    pairs, _ = materialize(candidate_pairs(classes), "candidates")
+    # the texts of the candidates, one of each class, as sets
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+    wanted, _ = materialize(classes.join(asked, "sig").select("sig", F.col("first").alias("k")).filter("k is not null"), "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = 0
+            for texts in slices(batch.column(1), 500):
+                sets = [shingle_set(t).view(np.int64) for t in texts.to_pylist()]
+                edge = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                held = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(sets), pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(sets)), held], ["sig", "shingles"])
+                low += len(sets)
+
+    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).join(wanted, "k").select("sig", "t")
+    sets, _ = materialize(texts.mapInArrow(run, "sig long, shingles array<long>").dropDuplicates(["sig"]), "sets")
+    sides = [sets.select(F.col("sig").alias(s), F.col("shingles").alias(f"{s}_set")) for s in "uv"]
+    both = F.size(F.array_intersect("u_set", "v_set"))
+    alike = both >= F.lit(similarity) * (F.size("u_set") + F.size("v_set") - both)
+    links = pairs.join(sides[0], "u").join(sides[1], "v").filter(alike).select("u", "v")
+    parts = connected_components(links).select(F.col("node").alias("sig"), "component")
+    linked, _ = materialize(classes.join(parts, "sig", "left").select("sig", "first", F.coalesce("component", "sig").alias("root")), "roots")
+    named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("sig", "component_id")
+    return made.join(named, "sig").select("doc_id", "component_id")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fernlake.runtime import table
 
