@@ -16,24 +16,31 @@ ascend with doc_id, and ``first_token`` counts within the shard.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
+import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fernlake.llm.chunks import Chunked, gather, slices
+from fernlake.llm.memory import Memory
 from fernlake.runtime import materialize
 
 MAGIC, HEAD = b"FTP1", struct.Struct("<4sIQQ")
 #: Tokens after which a block is closed; a longer document has a block of its own.
 BLOCK_TOKENS = 1 << 18
-#: Distinct pieces a worker remembers; beyond it the memory starts anew.
-CACHE_PIECES = 400_000
+#: Distinct chunks a worker remembers.
+CACHE_CHUNKS = 500_000
+#: Chunks that go to the library in one call.
+LEARN_TOGETHER = 4096
 
 
 def width_of(vocab_size: int) -> int:
@@ -45,6 +52,10 @@ def pack_bits(ids: np.ndarray, width: int) -> np.ndarray:
     if len(ids) and int(ids.max()) >> width:
         raise ValueError(f"an id needs more than {width} bits")
     groups = -(-len(ids) // 64)
+    if width in (8, 16, 32):  # the lanes below would only copy
+        out = np.zeros(groups * 64, f"<u{width // 8}")
+        out[: len(ids)] = ids
+        return out.view("<u8")
     full = np.zeros(groups * 64, np.uint64)
     full[: len(ids)] = ids
     lanes = np.ascontiguousarray(full.reshape(groups, 64).T)
@@ -61,6 +72,8 @@ def unpack_bits(words: np.ndarray, width: int, start: int, count: int) -> np.nda
     """Ids ``start .. start + count`` as uint32; reads only the groups they lie in."""
     if count <= 0:
         return np.zeros(0, np.uint32)
+    if width in (8, 16, 32):
+        return words.view(f"<u{width // 8}")[start : start + count].astype(np.uint32)
     first, last = start // 64, (start + count - 1) // 64 + 1
     part = np.ascontiguousarray(words[first * width : last * width].reshape(last - first, width).T)
     out, mask = np.empty((64, last - first), np.uint32), np.uint64((1 << width) - 1)
@@ -74,11 +87,11 @@ def unpack_bits(words: np.ndarray, width: int, start: int, count: int) -> np.nda
     return flat[start - first * 64 : start - first * 64 + count]
 
 
-def write_block(documents: list[np.ndarray], width: int) -> bytes:
-    offsets = np.zeros(len(documents) + 1, "<u8")
-    offsets[1:] = np.cumsum([len(d) for d in documents])
-    ids = np.concatenate(documents) if documents else np.zeros(0, np.uint32)
-    return HEAD.pack(MAGIC, width, len(documents), len(ids)) + offsets.tobytes() + pack_bits(ids, width).astype("<u8").tobytes()
+def write_block(ids: np.ndarray, sizes: list[int], width: int) -> bytes:
+    """A payload of documents' ids end to end, ``sizes`` of them each."""
+    offsets = np.zeros(len(sizes) + 1, "<u8")
+    offsets[1:] = np.cumsum(sizes)
+    return HEAD.pack(MAGIC, width, len(sizes), len(ids)) + offsets.tobytes() + pack_bits(ids, width).astype("<u8").tobytes()
 
 
 class BlockReader:
@@ -103,46 +116,74 @@ class BlockReader:
         return self.tokens(0, self.n_tokens)
 
 
-_ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
+class ChunkEncoder:
+    """Columns of texts to ids by the tokenizers library, asked only for what it has not been asked yet.
 
-
-def piecewise_encoder(path: str, pattern: str) -> Callable[[str], np.ndarray]:
-    """``text -> uint32 ids`` by the tokenizers library, one library call per new piece.
-
-    A byte-level tokenizer cuts text by ``pattern`` and merges inside each piece, so a text's
-    ids are its pieces' ids end to end; pieces repeat, and remembering their ids spares
-    most of the merging. Strings of special tokens in a text are ordinary text.
+    Distinct chunks of a batch that are not remembered go to the library many at once, as one text: a
+    chunk's first token is the next one that begins with a space. Strings of special tokens are
+    ordinary text.
     """
-    if path in _ENCODERS:
-        return _ENCODERS[path]
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    import regex
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    cut, known = regex.compile(pattern).findall, {}
-
-    def encode(text: str) -> np.ndarray:
-        pieces = cut(text)
-        found = list(map(known.get, pieces))
-        if None in found:
-            if len(known) > CACHE_PIECES:
-                known.clear()
-            new = list({p for p, ids in zip(pieces, found) if ids is None} if known else set(pieces))
-            for piece, got in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[piece] = array("I", got.ids).tobytes()
-            found = map(known.__getitem__, pieces)
-        return np.frombuffer(b"".join(found), np.uint32)
-
-    _ENCODERS[path] = encode
-    return encode
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.spaced[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
+        self.known, self.known_first = Memory(CACHE_CHUNKS), Memory(CACHE_CHUNKS // 10)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Ids of chunks, each with a space before it."""
+        ids = np.frombuffer(self.whole(" " + " ".join(new)), np.uint32)
+        raw, at = ids.tobytes(), (np.flatnonzero(self.spaced[ids]) * 4).tolist()
+        if len(at) != len(new):
+            raise RuntimeError("the tokenizer does not cut at lone spaces")
+        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
+
+    def _spaced_chunks(self, chunks: list[str], used: np.ndarray) -> list[bytes]:
+        found = [ids or b"" for ids in map(self.known.get, chunks)]
+        plain = [i for i in np.flatnonzero(used).tolist() if not found[i]]
+        for part in range(0, len(plain), LEARN_TOGETHER):
+            own = plain[part : part + LEARN_TOGETHER]
+            for i, ids in zip(own, self._learn([chunks[i] for i in own])):
+                found[i] = self.known.keep(chunks[i], ids)
+        return found
+
+    def _first_chunks(self, chunks: list[str]) -> list[bytes]:
+        found = list(map(self.known_first.get, chunks))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for i, got in zip(new, self.tokenizer.encode_batch_fast([chunks[i] for i in new], add_special_tokens=False)):
+            found[i] = self.known_first.keep(chunks[i], array("I", got.ids).tobytes())
+        return found
+
+    def column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Each text's ids in turn; null is empty."""
+        for part in slices(texts):
+            cut = Chunked(part)
+            found = self._spaced_chunks(cut.spaced, cut.used) + self._first_chunks(cut.first)
+            pool, length = np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+            for i, (ids, apart) in enumerate(zip(gather(cut, pool, length), cut.apart)):
+                yield np.frombuffer(self.whole(cut.whole(i)), np.uint32) if apart else ids
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> ChunkEncoder:
+    made = ChunkEncoder(path)
+    gc.freeze()  # the large memory holds no cycles: spare the collector walking it
+    return made
 
 
 FILE_SCHEMA = "shard int, block int, first_token long, n_docs int, n_tokens long, doc_ids array<long>, payload binary"
+FILE_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_token", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, vocab_size: int, end_id: int, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+def write_tokens(docs: DataFrame, tokenizer_path: str, vocab_size: int, end_id: int, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """Encode whole texts and write them as packed blocks in ascending id order.
 
     Null texts count as empty; ``end_id`` follows every document. Null ids come first, rows
@@ -153,36 +194,39 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, vocab_size:
     """
     width = width_of(vocab_size)
 
-    def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = piecewise_encoder(tokenizer_path, pattern), np.array([end_id], np.uint32)
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(tokenizer_path).column, np.array([end_id], np.uint32)
         at, block, first = TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
         held: list[np.ndarray] = []
+        sizes: list[int] = []
         size = 0
 
-        def row() -> pd.DataFrame:
-            return pd.DataFrame({"shard": [at], "block": [block], "first_token": [first], "n_docs": [len(ids)], "n_tokens": [size], "doc_ids": [ids], "payload": [write_block(held, width)]})
+        def row() -> pa.RecordBatch:
+            payload = write_block(np.concatenate(held), sizes, width)
+            made = {"shard": at, "block": block, "first_token": first, "n_docs": len(ids), "n_tokens": size, "doc_ids": ids, "payload": payload}
+            return pa.RecordBatch.from_pylist([made], FILE_ARROW)
 
         for batch in batches:
-            for key, text in zip(batch["k"], batch["t"]):
-                got = np.concatenate([encode(text), end]) if text else end
-                ids.append(None if pd.isna(key) else int(key))
-                held.append(got)
-                size += len(got)
+            for key, got in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                ids.append(key)
+                held += [got, end]
+                sizes.append(len(got) + 1)
+                size += len(got) + 1
                 if size >= BLOCK_TOKENS:
                     yield row()
                     block, first = block + 1, first + size
-                    ids, held, size = [], [], 0
+                    ids, held, sizes, size = [], [], [], 0
         if ids:
             yield row()
 
     own = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
     ranged = own.repartitionByRange(partitions, "k") if partitions else own.repartitionByRange("k")
-    return materialize(ranged.sortWithinPartitions("k", "t").mapInPandas(shard, FILE_SCHEMA), "tokens")
+    return materialize(ranged.sortWithinPartitions("k", "t").mapInArrow(shard, FILE_SCHEMA), "tokens")
 
 
-def read_tokens(files: DataFrame, per_document: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
-    """``doc_id, start, n_tokens`` and what ``per_document(ids)`` gives, from the files alone.
+def read_tokens(files: DataFrame, of_block: Callable[[np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
+    """``doc_id, start, n_tokens`` and the columns of ``of_block(ids, offsets)``, from the files alone.
 
     ``start`` counts all tokens before the document; shard bases come from the manifest, which
     has one row a shard and so stays small whatever the corpus holds.
@@ -190,22 +234,24 @@ def read_tokens(files: DataFrame, per_document: Callable[[np.ndarray], dict], sc
     sizes = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     bases = sizes.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, first, ids, payload in zip(batch["base"], batch["first_token"], batch["doc_ids"], batch["payload"]):
-                reader = BlockReader(payload)
+            for i in range(batch.num_rows):
+                base, first = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                reader = BlockReader(batch.column(3)[i].as_buffer())
                 tokens, off = reader.all(), reader.offsets
-                rows = [per_document(tokens[a:b]) for a, b in zip(off[:-1], off[1:])]
-                frame = pd.DataFrame({"doc_id": pd.array([None if i is None or i != i else int(i) for i in ids], "Int64"), "start": base + first + off[:-1], "n_tokens": np.diff(off)})
-                yield pd.concat([frame, pd.DataFrame(rows)], axis=1)
-
-    return files.join(F.broadcast(bases), "shard").select("base", "first_token", "doc_ids", "payload").mapInPandas(unpack, f"doc_id long, start long, n_tokens long, {schema}")
+                made = {"doc_id": batch.column(2)[i].values, "start": pa.array(base + first + off[:-1]), "n_tokens": pa.array(np.diff(off))}
+                made |= {name: pa.array(values) for name, values in of_block(tokens, off).items()}
+                yield pa.RecordBatch.from_pydict(made)
 
+    return files.join(F.broadcast(bases), "shard").select("base", "first_token", "doc_ids", "payload").mapInArrow(unpack, f"doc_id long, start long, n_tokens long, {schema}")
 
-def crc_of(ids: np.ndarray) -> dict:
-    import zlib
 
-    return {"ids_crc32": zlib.crc32(ids.astype("<u4").tobytes())}
+def crc_of(ids: np.ndarray, offsets: np.ndarray) -> dict:
+    """Unsigned crc32 of each document's ids as little-endian 32-bit integers."""
+    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    edge = (offsets * 4).tolist()
+    return {"ids_crc32": [zlib.crc32(raw[a:b]) for a, b in zip(edge, edge[1:])]}
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,5 +260,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from fernlake.runtime import table
 
-    files, _ = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 50_257, 0)
+    files, _ = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50_257, 0)
     return read_tokens(files, crc_of, "ids_crc32 long")
