@@ -152,6 +152,7 @@ def build_index(rows: DataFrame, dim: int, k: int) -> tuple[DataFrame, np.ndarra
 def search_index(index: DataFrame, books: np.ndarray, queries: DataFrame, dim: int, k: int) -> DataFrame:
     """``query_id, vec_id, score``: each task's best for each query, equal vectors' ids spelled out."""
     spark = index.sparkSession
+    queries, _ = materialize(queries, "queries")
     total = queries.count()
     waves = max(1, -(-total // (WAVE * 3 // 4)))
     out = None

@@ -26,7 +26,7 @@ from fernlake.llm.chunks import Chunked, gather, slices
 from fernlake.llm.memory import Memory
 
 #: Prefixes and pairs of tokens a worker remembers; beyond them the memory starts anew.
-TABLE_PREFIXES, CACHE_PAIRS = 400_000, 400_000
+TABLE_PREFIXES, CACHE_PAIRS = 300_000, 300_000
 #: Rows of ids that leave in one Arrow batch.
 OUT_ROWS = 1000
 
@@ -50,7 +50,7 @@ class PrefixBPE:
         self._pairs: dict[int, bool] = {}
         #: Prefix of a piece -> its last token.
         self.table: dict[bytes, int] = {}
-        self._pieces, self._chunks = Memory(150_000), Memory(250_000)
+        self._pieces, self._chunks = Memory(120_000), Memory(200_000)
 
     def _merged(self, piece: bytes) -> list[bytes]:
         """Merging by rank from single bytes; used on pairs of tokens only."""
