@@ -19,6 +19,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,9 @@ CONTEXT = 160
 BITMAP_SEEDS, BITMAP_BITS = 4_000_000, 27
 BREAK = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Documents that a worker hashes together.
+TOGETHER = 500
+REGION = pa.schema([("region", pa.int64()), ("doc_id", pa.int64()), ("offset", pa.int64()), ("tokens", pa.list_(pa.int32())), ("hits", pa.list_(pa.struct([("h", pa.int64()), ("place", pa.int32())])))])
 
 
 def words(text: str | None) -> np.ndarray:
@@ -107,6 +111,35 @@ def _bitmap(hashes: np.ndarray) -> np.ndarray:
     return full
 
 
+def _regions(keys: list, texts: list[str | None], use: list, sieve: tuple[np.ndarray, np.ndarray] | None) -> Iterator[dict]:
+    """Stretches of some documents around their hits; hits less than ``CONTEXT`` words apart share one."""
+    each = [words(t) for t in texts]
+    joined, ends = np.concatenate(each), np.cumsum([len(t) for t in each])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for kept, tag in use:
+        h = seeds(joined, kept, tag)
+        at = np.arange(len(h))
+        if sieve is not None:
+            bitmap, known = sieve
+            at = np.flatnonzero(bitmap[h >> np.uint64(64 - (len(bitmap).bit_length() - 1))])
+            near = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
+            at = at[known[near] == h[at]] if len(known) else at[:0]
+        inside = np.searchsorted(ends, at, "right") == np.searchsorted(ends, at + kept[-1], "right")
+        found.append((at[inside], h[at[inside]]))
+    place = np.concatenate([f[0] for f in found])
+    order = np.argsort(place, kind="stable")
+    place, hashes = place[order], np.concatenate([f[1] for f in found]).view(np.int64)[order]
+    owner = np.searchsorted(ends, place, "right")
+    cuts = (np.flatnonzero((np.diff(owner) != 0) | (np.diff(place) > CONTEXT)) + 1).tolist()
+    for lo, hi in zip([0, *cuts], [*cuts, len(place)]):
+        if hi > lo:
+            d = owner[lo]
+            first = ends[d] - len(each[d])
+            a, b = max(first, place[lo] - CONTEXT), min(ends[d], place[hi - 1] + SPAN + CONTEXT)
+            hits = [{"h": h, "place": p} for h, p in zip(hashes[lo:hi].tolist(), (place[lo:hi] - a).tolist())]
+            yield {"doc_id": keys[d], "offset": int(a - first), "tokens": joined[a:b].view(np.int32), "hits": hits}
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, at_word, overlap_words, same_words``: one row for each document and item that overlap.
 
@@ -132,46 +165,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sent = spark.sparkContext.broadcast(None if known is None else (_bitmap(known), np.sort(known)))
     use = patterns(sorted(lengths))
 
-    def of_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sieve = sent.value
+    def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, count = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
-            each = [words(t) for t in batch["t"]]
-            joined = np.concatenate(each) if each else np.zeros(0, np.uint32)
-            ends = np.cumsum([len(t) for t in each])
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for kept, tag in use:
-                h = seeds(joined, kept, tag)
-                if sieve is None:
-                    at = np.arange(len(h))
-                else:
-                    bits = len(sieve[0]).bit_length() - 1
-                    at = np.flatnonzero(sieve[0][h >> np.uint64(64 - bits)])
-                    near = np.minimum(np.searchsorted(sieve[1], h[at]), len(sieve[1]) - 1)
-                    at = at[sieve[1][near] == h[at]] if len(sieve[1]) else at[:0]
-                inside = np.searchsorted(ends, at, "right") == np.searchsorted(ends, at + kept[-1], "right")
-                found.append((at[inside], h[at[inside]]))
-            place = np.concatenate([f[0] for f in found])
-            hashes = np.concatenate([f[1] for f in found]).view(np.int64)
-            order = np.argsort(place, kind="stable")
-            place, hashes = place[order], hashes[order]
-            owner = np.searchsorted(ends, place, "right")
-            rows = []
-            # hits of a document less than CONTEXT words apart share one region
-            cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(place) > CONTEXT)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(place)]):
-                if hi <= lo:
-                    continue
-                d = owner[lo]
-                first = ends[d] - len(each[d])
-                a = max(first, place[lo] - CONTEXT)
-                b = min(ends[d], place[hi - 1] + SPAN + CONTEXT)
-                rows.append((base + count, batch["k"].iloc[d], a - first, joined[a:b].view(np.int32), [{"h": int(h), "place": int(p - a)} for h, p in zip(hashes[lo:hi], place[lo:hi])]))
-                count += 1
-            yield pd.DataFrame(rows, columns=["region", "doc_id", "offset", "tokens", "hits"])
+            for low in range(0, batch.num_rows, TOGETHER):
+                keys, texts = (c.slice(low, TOGETHER).to_pylist() for c in batch.columns)
+                rows = [{"region": base + count + i, **row} for i, row in enumerate(_regions(keys, texts, use, sent.value))]
+                count += len(rows)
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, REGION)
 
     regions, _ = materialize(
-        docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(of_documents, "region long, doc_id long, offset long, tokens array<int>, hits array<struct<h:long,place:int>>"),
+        docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(of_documents, "region long, doc_id long, offset long, tokens array<int>, hits array<struct<h:long,place:int>>"),
         "regions",
     )
     hits = regions.select("region", F.explode("hits").alias("s")).select("region", "s.h", F.col("s.place").alias("there"))
