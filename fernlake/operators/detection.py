@@ -1,22 +1,26 @@
 """Sliding windows, scoring, suppression and negative crops.
 
-Boxes of an image are folded inside one array, in generated code: an image's boxes are what a
-detector returned for it, some tens or hundreds. Sequence matters inside an image only, so
-images are the unit of distribution.
+Suppression goes through an image's boxes in score order, so images are the unit of
+distribution. The boxes of most are folded inside one array; those of an image with more than
+``FOLD_BOXES`` are never gathered but streamed in order from a sorted partition, and
+what is held of them are the boxes that were kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlake.functions.boxes import iou_sql, max_iou_sql
 
 #: Highest score first; of equal ones the lower index.
 BY_SCORE = "(l, r) -> case when l.s > r.s then -1 when l.s < r.s then 1 else l.i - r.i end"
+#: Boxes of an image up to which they are folded in an array.
+FOLD_BOXES = 2000
 #: Sides of negative crops.
 NEGATIVE_SIZES = (64, 128, 256)
 
@@ -30,10 +34,66 @@ def boxes_of_image(predictions: DataFrame) -> DataFrame:
     return rows.groupBy("image_id").agg(F.collect_list("p").alias("p")).select("image_id", F.expr(f"array_sort(p, {BY_SCORE})").alias("preds"))
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """Rows with ``_n``, the number of their image's rows; what groups by image next needs no further exchange."""
+    return rows.withColumn("_n", F.count("*").over(Window.partitionBy("image_id")))
+
+
+def ious(box: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """``iou_sql`` of one box with each of ``boxes (n, 4)``."""
+    wide = np.maximum(0.0, np.minimum(box[2], boxes[:, 2]) - np.maximum(box[0], boxes[:, 0]))
+    high = np.maximum(0.0, np.minimum(box[3], boxes[:, 3]) - np.maximum(box[1], boxes[:, 1]))
+    areas = np.maximum(0.0, boxes[:, 2] - boxes[:, 0]) * np.maximum(0.0, boxes[:, 3] - boxes[:, 1])
+    union = max(0.0, box[2] - box[0]) * max(0.0, box[3] - box[1]) + areas - wide * high
+    return np.where(union <= 0, 0.0, wide * high / np.where(union <= 0, 1.0, union))
+
+
+class Grown:
+    """Boxes in an array that doubles as it fills."""
+
+    def __init__(self):
+        self.n, self.held = 0, np.empty((64, 4))
+
+    def add(self, box) -> None:
+        if self.n == len(self.held):
+            self.held = np.concatenate([self.held, np.empty_like(self.held)])
+        self.held[self.n] = box
+        self.n += 1
+
+    @property
+    def boxes(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+KEPT = "image_id string, pred_idx int, x1 double, y1 double, x2 double, y2 double, score double"
+
+
+def _suppress_stream(iou_threshold: float):
+    """Rows come sorted by image, then score and index."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, Grown()
+        for batch in batches:
+            wanted = np.zeros(len(batch), bool)
+            for i, (image, box) in enumerate(zip(batch["image_id"], batch[["x1", "y1", "x2", "y2"]].to_numpy(float))):
+                if image != now:
+                    now, kept = image, Grown()
+                if not (ious(box, kept.boxes) > iou_threshold).any():
+                    kept.add(box)
+                    wanted[i] = True
+            yield batch[wanted]
+
+    return run
+
+
 def suppress(predictions: DataFrame, iou_threshold: float = 0.3) -> DataFrame:
     """The predictions that greedy suppression keeps: none overlaps a better kept one by more than the threshold."""
+    rows = counted(predictions.filter("image_id is not null and score is not null").select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in KEPT.split(", ")]))
     fold = f"aggregate(preds, filter(preds, z -> false), (kept, p) -> if(exists(kept, k -> {iou_sql('k', 'p')} > {float(iou_threshold)}D), kept, concat(kept, array(p))))"
-    return boxes_of_image(predictions).select("image_id", F.explode(F.expr(fold)).alias("p")).select("image_id", F.col("p.i").alias("pred_idx"), "p.x1", "p.y1", "p.x2", "p.y2", F.col("p.s").alias("score"))
+    few = boxes_of_image(rows.filter(F.col("_n") <= FOLD_BOXES)).select("image_id", F.explode(F.expr(fold)).alias("p"))
+    small = few.select("image_id", F.col("p.i").alias("pred_idx"), "p.x1", "p.y1", "p.x2", "p.y2", F.col("p.s").alias("score"))
+    many = rows.filter(F.col("_n") > FOLD_BOXES).drop("_n").sortWithinPartitions("image_id", F.desc("score"), "pred_idx")
+    return small.union(many.mapInPandas(_suppress_stream(iou_threshold), KEPT))
 
 
 def window_grid(images: DataFrame, sizes: list[int], overlap: float) -> DataFrame:

@@ -1,52 +1,91 @@
 """Matching predictions to true boxes, and what follows from it.
 
 Matching is greedy in score order and touches one image only, so it is a fold over an image's
-predictions. Average precision needs one order over all images: running counts and suffix
+predictions (or a stream of them, if they are many). Average precision needs one order over all images: running counts and suffix
 maxima over range partitions, with carries from a table of one row a partition.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlake.functions.boxes import iou_sql
-from fernlake.operators.detection import boxes_of_image
+from fernlake.operators.detection import BY_SCORE, FOLD_BOXES, Grown, counted, ious
 from fernlake.operators.ranking import PART, ordered_parts
 
-EMPTY_TRUTHS = "cast(array() as array<struct<g:int,x1:double,y1:double,x2:double,y2:double>>)"
-EMPTY_PREDS = "cast(array() as array<struct<s:double,i:int,x1:double,y1:double,x2:double,y2:double>>)"
+ROWS = "image_id string, pred_idx int, score double, gt_idx int"
+
+
+def _match_stream(iou_threshold: float):
+    """Rows come sorted by image, true boxes (``kind`` 0) before predictions, these by score and index."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, truths, names, free = None, Grown(), [], None
+        for batch in batches:
+            out = []
+            for kind, image, index, score, *box in batch[["kind", "image_id", "idx", "score", "x1", "y1", "x2", "y2"]].itertuples(index=False):
+                if image != now:
+                    now, truths, names, free = image, Grown(), [], None
+                if kind == 0:
+                    truths.add(box)
+                    names.append(index)
+                    continue
+                free = np.ones(truths.n, bool) if free is None else free
+                over = np.where(free, ious(np.array(box), truths.boxes), -1.0)
+                at = int(over.argmax()) if truths.n else -1
+                hit = at >= 0 and over[at] >= iou_threshold
+                if hit:
+                    free[at] = False
+                out.append((image, index, score, names[at] if hit else None))
+            made = pd.DataFrame(out, columns=["image_id", "pred_idx", "score", "gt_idx"])
+            yield made.astype({"gt_idx": "Int32"})
+
+    return run
 
 
 def matched(predictions: DataFrame, truths: DataFrame, iou_threshold: float = 0.5) -> DataFrame:
-    """``image_id, n_truths, hits``: for each image with either, its predictions in score order as ``s, i, gt_idx``.
+    """``image_id, pred_idx, score, gt_idx`` of every prediction.
 
-    A prediction takes the unmatched true box of its image with the largest IoU (of equal ones the
-    lowest index) and is a hit if that reaches the threshold; ``gt_idx`` is null otherwise. The threshold is
-    positive: at zero a prediction that overlaps nothing would count as a hit.
+    In score order a prediction takes the unmatched true box of its image with the largest IoU (of equal ones
+    the lowest index) and is a hit if that reaches the threshold; ``gt_idx`` is null otherwise. The threshold is
+    positive: at zero a prediction that overlaps nothing would count as a hit. Images with more than
+    ``FOLD_BOXES`` boxes of both kinds are streamed; of them only the true boxes are held.
     """
     if iou_threshold <= 0:
         raise ValueError("the IoU threshold is positive")
-    own = truths.filter("image_id is not null").groupBy("image_id").agg(F.collect_list(F.struct(F.col("gt_idx").cast("int").alias("g"), "x1", "y1", "x2", "y2")).alias("truths"))
-    both = boxes_of_image(predictions).join(own, "image_id", "full").select("image_id", F.expr(f"coalesce(preds, {EMPTY_PREDS})").alias("preds"), F.expr(f"coalesce(truths, {EMPTY_TRUTHS})").alias("truths"))
+    corners = ["x1", "y1", "x2", "y2"]
+    asked = predictions.filter("image_id is not null and score is not null").select(F.lit(1).alias("kind"), F.col("image_id").cast("string"), F.col("pred_idx").cast("int").alias("idx"), F.col("score").cast("double"), *corners)
+    given = truths.filter("image_id is not null").select(F.lit(0).alias("kind"), F.col("image_id").cast("string"), F.col("gt_idx").cast("int").alias("idx"), F.lit(None).cast("double").alias("score"), *corners)
+    both = counted(asked.union(given))
+
+    few = both.filter(F.col("_n") <= FOLD_BOXES).groupBy("image_id").agg(
+        F.collect_list(F.when(F.col("kind") == 1, F.struct(F.col("score").alias("s"), F.col("idx").alias("i"), *corners))).alias("p"),
+        F.collect_list(F.when(F.col("kind") == 0, F.struct(F.col("idx").alias("g"), *corners))).alias("truths"),
+    )
+    folded = few.select("image_id", "truths", F.expr(f"array_sort(p, {BY_SCORE})").alias("preds"))
     best = f"array_max(transform(filter(truths, t -> not array_contains(acc.used, t.g)), t -> named_struct('v', {iou_sql('p', 't')}, 'n', -t.g)))"
     hit = f"b.v >= {float(iou_threshold)}D"
     step = f"""transform(array({best}), b -> named_struct(
         'used', if(coalesce({hit}, false), concat(acc.used, array(-b.n)), acc.used),
         'out', concat(acc.out, array(named_struct('s', p.s, 'i', p.i, 'gt_idx', if(coalesce({hit}, false), -b.n, cast(null as int)))))))[0]"""
     start = "named_struct('used', cast(array() as array<int>), 'out', cast(array() as array<struct<s:double,i:int,gt_idx:int>>))"
-    return both.select("image_id", F.size("truths").alias("n_truths"), F.expr(f"aggregate(preds, {start}, (acc, p) -> {step}, acc -> acc.out)").alias("hits"))
-
+    small = folded.select("image_id", F.explode(F.expr(f"aggregate(preds, {start}, (acc, p) -> {step}, acc -> acc.out)")).alias("h")).select("image_id", F.col("h.i").alias("pred_idx"), F.col("h.s").alias("score"), "h.gt_idx")
 
-def match_rows(found: DataFrame) -> DataFrame:
-    """``image_id, pred_idx, score, gt_idx, tp`` of every prediction."""
-    return found.select("image_id", F.explode("hits").alias("h")).select("image_id", F.col("h.i").alias("pred_idx"), F.col("h.s").alias("score"), "h.gt_idx", F.col("h.gt_idx").isNotNull().alias("tp"))
+    many = both.filter(F.col("_n") > FOLD_BOXES).drop("_n").sortWithinPartitions("image_id", "kind", F.desc("score"), "idx")
+    return small.union(many.mapInPandas(_match_stream(iou_threshold), ROWS))
 
 
-def image_counts(found: DataFrame) -> DataFrame:
-    """``image_id, tp, fp, fn`` of each image."""
-    tp = F.expr("size(filter(hits, h -> h.gt_idx is not null))")
-    return found.select("image_id", tp.alias("tp"), (F.size("hits") - tp).alias("fp"), (F.col("n_truths") - tp).alias("fn"))
+def image_counts(rows: DataFrame, truths: DataFrame) -> DataFrame:
+    """``image_id, tp, fp, fn`` of each image that has predictions (matched ``rows``) or true boxes."""
+    got = rows.groupBy("image_id").agg(F.count("gt_idx").alias("tp"), F.count("*").alias("n"))
+    have = truths.filter("image_id is not null").groupBy(F.col("image_id").cast("string").alias("image_id")).agg(F.count("*").alias("g"))
+    tp, n, g = (F.coalesce(c, F.lit(0)) for c in ("tp", "n", "g"))
+    return got.join(have, "image_id", "full").select("image_id", tp.alias("tp"), (n - tp).alias("fp"), (g - tp).alias("fn"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -70,12 +109,12 @@ def mean_iou(predictions: DataFrame, truths: DataFrame) -> DataFrame:
 
 
 def average_precision(rows: DataFrame, n_truths: int) -> DataFrame:
-    """One row ``average_precision`` from ``match_rows``: each hit's gain in recall times the best precision from there on.
+    """One row ``average_precision`` from matched rows: each hit's gain in recall times the best precision from there on.
 
     Order is by score, then image, then prediction. 0 without true boxes or predictions.
     """
     order = [F.desc("score"), F.col("image_id"), F.col("pred_idx")]
-    cut = ordered_parts(rows.select("score", "image_id", "pred_idx", F.col("tp").cast("int").alias("tp")), order)
+    cut = ordered_parts(rows.select("score", "image_id", "pred_idx", F.col("gt_idx").isNotNull().cast("int").alias("tp")), order)
     by_part = Window.orderBy(PART)
     carry = cut.groupBy(PART).agg(F.count("*").alias("n"), F.sum("tp").alias("k"))
     before = by_part.rowsBetween(Window.unboundedPreceding, -1)
@@ -103,12 +142,12 @@ def evaluate(images: DataFrame, predictions: DataFrame, truths: DataFrame, iou_t
     raw, own = predictions.join(wanted, "image_id", "left_semi"), truths.join(wanted, "image_id", "left_semi")
     kept = suppress(raw, nms_threshold) if nms_threshold is not None else raw
     found = matched(kept, own, iou_threshold)
-    counts = precision_recall_f1(image_counts(found))
+    counts = precision_recall_f1(image_counts(found, own))
     n_truths = own.count()
     n_images = F.lit(float(max(1, wanted.count())))
     sizes = raw.agg((F.count("*") / n_images).alias("avg_boxes_before_nms")).crossJoin(kept.agg((F.count("*") / n_images).alias("avg_boxes_after_nms")))
     # every operand is one row
-    return counts.crossJoin(mean_iou(kept, own)).crossJoin(average_precision(match_rows(found), n_truths)).crossJoin(sizes).withColumn("images", n_images.cast("long"))
+    return counts.crossJoin(mean_iou(kept, own)).crossJoin(average_precision(found, n_truths)).crossJoin(sizes).withColumn("images", n_images.cast("long"))
 
 
 def crop_quality(scored: DataFrame) -> DataFrame:

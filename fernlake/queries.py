@@ -187,17 +187,18 @@ def nms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.match_rows(metrics.matched(fx.predictions(spark, d), fx.truths(spark, d), MATCH_IOU)).select("image_id", "pred_idx", "gt_idx")
+    return metrics.matched(fx.predictions(spark, d), fx.truths(spark, d), MATCH_IOU).select("image_id", "pred_idx", "gt_idx")
 
 
 def prf(spark: SparkSession, d: str) -> DataFrame:
-    counts = metrics.precision_recall_f1(metrics.image_counts(metrics.matched(fx.predictions(spark, d), fx.truths(spark, d), MATCH_IOU)))
+    truths = fx.truths(spark, d)
+    counts = metrics.precision_recall_f1(metrics.image_counts(metrics.matched(fx.predictions(spark, d), truths, MATCH_IOU), truths))
     return _rounded(counts, "precision", "recall", "f1")
 
 
 def average_precision(spark: SparkSession, d: str) -> DataFrame:
     truths = fx.truths(spark, d)
-    rows = metrics.match_rows(metrics.matched(fx.predictions(spark, d), truths, MATCH_IOU))
+    rows = metrics.matched(fx.predictions(spark, d), truths, MATCH_IOU)
     return _rounded(metrics.average_precision(rows, truths.count()), "average_precision")
 
 

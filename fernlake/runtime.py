@@ -8,6 +8,7 @@ lost executor costs only the tasks that were running on it.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -15,6 +16,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers of this machine find the package wherever the driver was started.
+
+    Clusters get it by ``--py-files``; there the path does no harm.
+    """
+    environment = spark.sparkContext.environment
+    given = environment.get("PYTHONPATH", "")
+    if ROOT not in given.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, given]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; one of our own only where none is configured (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -50,4 +65,5 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

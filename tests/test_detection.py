@@ -34,18 +34,20 @@ def by_image(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_folds_equal_the_loops(spark, seed):
+@pytest.mark.parametrize("seed,fold_boxes", [(1, 2000), (2, 2000), (1, 4), (2, 0)])
+def test_folds_and_streams_equal_the_loops(spark, monkeypatch, seed, fold_boxes):
+    for module in (detection, metrics):
+        monkeypatch.setattr(module, "FOLD_BOXES", fold_boxes)
     preds, truths = made(seed)
     pf, gf = spark.createDataFrame(preds, P), spark.createDataFrame(truths, G)
     pi, gi = by_image(preds), by_image(truths)
     kept = {(r["image_id"], r["pred_idx"]) for r in detection.suppress(pf, 0.3).collect()}
     assert kept == {(i, k) for i, rows in pi.items() for k in loops.suppress([r[2:6] for r in rows], [r[6] for r in rows], 0.3)}
     found = metrics.matched(pf, gf, 0.5)
-    got = {(r["image_id"], r["pred_idx"]): r["gt_idx"] for r in metrics.match_rows(found).collect()}
+    got = {(r["image_id"], r["pred_idx"]): r["gt_idx"] for r in found.collect()}
     want = {(i, k): g for i, rows in pi.items() for k, g in loops.match([r[2:6] for r in rows], [r[6] for r in rows], [t[2:] for t in gi.get(i, [])], 0.5).items()}
     assert got == want
-    ap = metrics.average_precision(metrics.match_rows(found), len(truths)).first()[0]
+    ap = metrics.average_precision(found, len(truths)).first()[0]
     rows = [(r[6], r[0], r[1], want[r[0], r[1]] is not None) for r in preds]
     assert ap == pytest.approx(loops.average_precision(rows, len(truths)))
     mean = metrics.mean_iou(pf, gf).first()[0]
