@@ -31,7 +31,7 @@ K, EVERY = 20, 20
 SAMPLE = 4096
 #: Threshold on the cosine above which products count, as a share; it sets eta.
 THRESHOLD = 0.2
-BLOCK, RERANK, WAVE, QUERY_PART, SUB = 4096, 128, 8192, 256, 2
+BLOCK, RERANK, WAVE, QUERY_PART, SUB = 4096, 256, 8192, 256, 2
 
 
 def eta_of(dim: int, threshold: float = THRESHOLD) -> float:

@@ -26,7 +26,7 @@ from fernlake.llm.chunks import Chunked, gather, slices
 from fernlake.llm.memory import Memory
 
 #: Prefixes and pairs of tokens a worker remembers; beyond them the memory starts anew.
-TABLE_PREFIXES, CACHE_PAIRS = 300_000, 300_000
+TABLE_PREFIXES, CACHE_PAIRS = 200_000, 200_000
 #: Rows of ids that leave in one Arrow batch.
 OUT_ROWS = 1000
 
@@ -50,7 +50,7 @@ class PrefixBPE:
         self._pairs: dict[int, bool] = {}
         #: Prefix of a piece -> its last token.
         self.table: dict[bytes, int] = {}
-        self._pieces, self._chunks = Memory(120_000), Memory(200_000)
+        self._pieces, self._chunks = Memory(80_000), Memory(120_000)
 
     def _merged(self, piece: bytes) -> list[bytes]:
         """Merging by rank from single bytes; used on pairs of tokens only."""
@@ -211,6 +211,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                     held = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(ids), pa.int32()))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(ids)), held], ["doc_id", "ids"])
                     low, ids = i, []
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, ids array<int>")
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 
 #: Texts that are cut together: enough for chunks to repeat, few enough for a worker's memory.
-TOGETHER = 3000
+TOGETHER = 2000
 
 
 def slices(texts: pa.Array, rows: int = TOGETHER) -> Iterator[pa.Array]:

@@ -74,12 +74,12 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id"
     return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
-def variants(fp: Column, tag: int = 0) -> list[Column]:
-    """One key for each bit: its place, and the other bits of its half, in one long; ``tag`` keeps fingerprints apart."""
+def variants(fp: Column) -> list[Column]:
+    """One key for each bit: its place, and the other bits of its half, in one long."""
     keys = []
     for bit in range(64):
         mask = 0xFFFFFFFF & ~(1 << bit % 32)
-        keys.append(F.shiftrightunsigned(fp, 32 * (bit // 32)).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(tag << 40 | bit << 32)))
+        keys.append(F.shiftrightunsigned(fp, 32 * (bit // 32)).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(bit << 32)))
     return keys
 
 
@@ -132,10 +132,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, id
 #: Five-word shingle sets at least this similar are near-duplicates; fingerprints are made of pairs of words.
 SIMILARITY, SET_WORDS, FINGERPRINT_WORDS = 0.8, 5, 2
 #: Independent fingerprints of a text. More find more of the pairs that are barely similar.
-FINGERPRINTS = 3
+FINGERPRINTS = 4
 #: Share of differing bits above which a candidate cannot be similar enough (at 0.8 an expected tenth differs).
 MOST_DIFFERING = 0.25
-MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+MIXERS = (0x9E3779B97F4A7C15, 0xA0761D6478BD642F, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
 def set_signature(text: str | None) -> tuple[int, list[int]]:
@@ -175,22 +175,32 @@ def set_signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """``u, v`` (``sig``, u > v) that share a one-wildcard variant of half a fingerprint and whose fingerprints are near.
+    """``u, v`` (``sig``, u > v): some half of a fingerprint differs by at most one bit, and all fingerprints are near.
 
-    Of a variant that more than ``PAIR_ROWS`` share, each is compared with the smallest and the largest only.
+    Variants are made of distinct halves, so a variant has two at most, which differ in its wildcard. Texts that
+    share a half are paired up, beyond ``PAIR_ROWS`` with the smallest and the largest of them only; so are the texts
+    of two halves that share a variant. Nothing grows with the square of a group.
     """
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [f"fp{i}" for i in range(FINGERPRINTS)]
-    own = classes.select("sig", *names).repartition(tasks, "sig")
-    every = F.array(*[key for i, n in enumerate(names) for key in variants(F.col(n), i)])
-    keyed = own.select(F.explode(every).alias("key"), "sig")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("sig").alias("low"), F.max("sig").alias("high")).filter("n > 1")
-    twos = shared.filter("n = 2").select(F.col("high").alias("u"), F.col("low").alias("v"))
-    more, _ = materialize(keyed.join(shared.filter("n > 2"), "key"), "variants")
-    bucket = more.filter(F.col("n") <= PAIR_ROWS).groupBy("key").agg(F.collect_list("sig").alias("all"))
+    parts = [F.shiftrightunsigned(F.col(n), 32 * side).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit((2 * i + side) << 32)) for i, n in enumerate(names) for side in (0, 1)]
+    halves = classes.select("sig", F.explode(F.array(*parts)).alias("half"))
+    held, _ = materialize(halves.groupBy("half").agg(F.count("*").alias("n"), F.min("sig").alias("low"), F.max("sig").alias("high")), "halves")
+
+    twos = held.filter("n = 2").select(F.col("high").alias("u"), F.col("low").alias("v"))
+    more = halves.join(held.filter("n > 2"), "half")
+    bucket = more.filter(F.col("n") <= PAIR_ROWS).groupBy("half").agg(F.collect_list("sig").alias("all"))
     paired = bucket.select("all", F.explode("all").alias("u")).select("u", F.explode(F.expr("filter(all, y -> y < u)")).alias("v"))
-    starred = more.filter(F.col("n") > PAIR_ROWS).select(F.col("sig").alias("x"), F.explode(F.array("low", "high")).alias("y")).filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-    pairs = twos.union(paired).union(starred).distinct()
+    starred = more.filter(F.col("n") > PAIR_ROWS).select(F.col("sig").alias("x"), F.explode(F.array("low", "high")).alias("y"))
+
+    wild = [F.col("half").bitwiseAND(F.lit(~(1 << bit))).bitwiseOR(F.lit(bit << 40)) for bit in range(32)]
+    keyed = held.select("half").repartition(tasks, "half").select(F.explode(F.array(*wild)).alias("key"), "half")
+    near = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("half").alias("a"), F.max("half").alias("b")).filter("n = 2").select("a", "b")
+    ends = [held.select(F.col("half").alias(h), F.array_distinct(F.array("low", "high")).alias(f"{h}_ends")) for h in "ab"]
+    across = near.join(ends[0], "a").join(ends[1], "b").select(F.explode("a_ends").alias("x"), "b_ends").select("x", F.explode("b_ends").alias("y"))
+
+    loose = starred.union(across).filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+    pairs = twos.union(paired).union(loose).distinct()
     sides = [classes.select(F.col("sig").alias(s), *[F.col(n).alias(f"{s}_{n}") for n in names]) for s in "uv"]
     apart = " + ".join(f"bit_count(u_{n} ^ v_{n})" for n in names)
     return pairs.join(sides[0], "u").join(sides[1], "v").filter(F.expr(apart) <= int(64 * FINGERPRINTS * MOST_DIFFERING)).select("u", "v")
