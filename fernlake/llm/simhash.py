@@ -129,117 +129,175 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, id
 
 # near-duplicates by the similarity of their shingle sets
 
-#: Five-word shingle sets at least this similar are near-duplicates; fingerprints are made of pairs of words.
-SIMILARITY, SET_WORDS, FINGERPRINT_WORDS = 0.8, 5, 2
-#: Independent fingerprints of a text. More find more of the pairs that are barely similar.
-FINGERPRINTS = 4
-#: Share of differing bits above which a candidate cannot be similar enough (at 0.8 an expected tenth differs).
-MOST_DIFFERING = 0.25
-MIXERS = (0x9E3779B97F4A7C15, 0xA0761D6478BD642F, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: Five-word shingle sets at least this similar are near-duplicates.
+SIMILARITY, SET_WORDS = 0.8, 5
+#: Texts whose shingles are counted to tell common shingles, and the most that are told. They set an order only: links do not depend on them.
+SAMPLE, COMMON = 10_000, 500_000
+#: 64-bit words of a set's parity bitmap.
+PARITY = 8
+#: Rows of a bucket that one task compares with the others.
+BLOCK = 1024
 
 
-def set_signature(text: str | None) -> tuple[int, list[int]]:
-    """A hash of all words, which texts that are alike share, and fingerprints of the distinct word pairs."""
-    import xxhash
+def shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes(text, SET_WORDS))
 
-    words = words_of(text or "")
-    digest = xxhash.xxh64_intdigest
-    pairs = np.fromiter({digest(s, SEED) for s in shingles(words, FINGERPRINT_WORDS)}, np.uint64)
-    made = []
-    for mixer in MIXERS[:FINGERPRINTS]:
-        h = pairs * np.uint64(mixer)
-        made.append(fingerprint((h ^ (h >> np.uint64(32))) * np.uint64(MIXERS[-1])))
-    return digest(b" ".join(words), SEED), made
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    edge = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(arrays).view(np.int64), pa.int64()))
 
-def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(shingle_hashes(text, SET_WORDS))
 
+def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about ``SAMPLE`` different texts hold, sorted, and in how many."""
+    rows = docs.count()
+    texts = docs.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    if rows > SAMPLE:
+        texts = texts.filter(F.pmod("h", F.lit(1 << 20)) < int(SAMPLE / rows * (1 << 20)) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(0), 500):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t) for t in part.to_pylist()]).view(np.int64))], ["token"])
 
-def _signed(values) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+    counted = texts.dropDuplicates(["h"]).select("t").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    got = counted.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    token = got.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(token)
+    return token[order], got.column("n").to_numpy()[order]
 
 
-def set_signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, sig, fp0, fp1, ...`` of every whole text."""
-    names = [f"fp{i}" for i in range(FINGERPRINTS)]
+def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a set's shingles, rarest first: sets that are similar enough share one of them."""
+    known, times = common
+    seen = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        seen = np.where(known[at] == hashes, times[at], 0)
+    ordered = hashes[np.lexsort((hashes, seen))]
+    return ordered[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bit b is 1 if an odd number of hashes fall on b: bitmaps differ in no more bits than sets in shingles."""
+    odd = np.bincount((hashes & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+BITS = [f"b{i}" for i in range(PARITY)]
+
+
+def set_signatures(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text_hash, sig, size, prefix, b0, b1, ...`` of every whole text; ``sig`` is a hash of all words, which texts that are alike share."""
+    import xxhash
+
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [set_signature(t) for texts in slices(batch.column(1), 500) for t in texts.to_pylist()]
-            columns = [_signed([g[0] for g in got]), *(_signed([g[1][i] for g in got]) for i in range(FINGERPRINTS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "sig", *names])
+            low = 0
+            for part in slices(batch.column(2), 500):
+                texts = part.to_pylist()
+                sigs = np.array([xxhash.xxh64_intdigest(b" ".join(words_of(t or "")), SEED) for t in texts], np.uint64)
+                sets = [shingle_set(t) for t in texts]
+                bits = np.array([parity(s) for s in sets])
+                columns = [batch.column(c).slice(low, len(texts)) for c in (0, 1)]
+                columns += [pa.array(sigs.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s, similarity, sent.value) for s in sets])]
+                columns += [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(PARITY)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "sig", "size", "prefix", *BITS])
+                low += len(texts)
 
-    schema = ", ".join(["doc_id long", "sig long", *(f"{n} long" for n in names)])
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    schema = ", ".join(["doc_id long, text_hash long, sig long, size int, prefix array<long>", *(f"{b} long" for b in BITS)])
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """``u, v`` (``sig``, u > v): some half of a fingerprint differs by at most one bit, and all fingerprints are near.
+def _possible(similarity: float, x: str, y: str) -> Column:
+    """Whether sets whose first common shingle stands at these places can be similar enough."""
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col(f"{x}.size") + F.col(f"{y}.size")) - 1e-9)
+    return F.least(F.col(f"{x}.size") - F.col(f"{x}.place"), F.col(f"{y}.size") - F.col(f"{y}.place")) >= need
 
-    Variants are made of distinct halves, so a variant has two at most, which differ in its wildcard. Texts that
-    share a half are paired up, beyond ``PAIR_ROWS`` with the smallest and the largest of them only; so are the texts
-    of two halves that share a variant. Nothing grows with the square of a group.
-    """
-    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = [f"fp{i}" for i in range(FINGERPRINTS)]
-    parts = [F.shiftrightunsigned(F.col(n), 32 * side).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit((2 * i + side) << 32)) for i, n in enumerate(names) for side in (0, 1)]
-    halves = classes.select("sig", F.explode(F.array(*parts)).alias("half"))
-    held, _ = materialize(halves.groupBy("half").agg(F.count("*").alias("n"), F.min("sig").alias("low"), F.max("sig").alias("high")), "halves")
-
-    twos = held.filter("n = 2").select(F.col("high").alias("u"), F.col("low").alias("v"))
-    more = halves.join(held.filter("n > 2"), "half")
-    bucket = more.filter(F.col("n") <= PAIR_ROWS).groupBy("half").agg(F.collect_list("sig").alias("all"))
-    paired = bucket.select("all", F.explode("all").alias("u")).select("u", F.explode(F.expr("filter(all, y -> y < u)")).alias("v"))
-    starred = more.filter(F.col("n") > PAIR_ROWS).select(F.col("sig").alias("x"), F.explode(F.array("low", "high")).alias("y"))
-
-    wild = [F.col("half").bitwiseAND(F.lit(~(1 << bit))).bitwiseOR(F.lit(bit << 40)) for bit in range(32)]
-    keyed = held.select("half").repartition(tasks, "half").select(F.explode(F.array(*wild)).alias("key"), "half")
-    near = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("half").alias("a"), F.max("half").alias("b")).filter("n = 2").select("a", "b")
-    ends = [held.select(F.col("half").alias(h), F.array_distinct(F.array("low", "high")).alias(f"{h}_ends")) for h in "ab"]
-    across = near.join(ends[0], "a").join(ends[1], "b").select(F.explode("a_ends").alias("x"), "b_ends").select("x", F.explode("b_ends").alias("y"))
-
-    loose = starred.union(across).filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-    pairs = twos.union(paired).union(loose).distinct()
-    sides = [classes.select(F.col("sig").alias(s), *[F.col(n).alias(f"{s}_{n}") for n in names]) for s in "uv"]
-    apart = " + ".join(f"bit_count(u_{n} ^ v_{n})" for n in names)
-    return pairs.join(sides[0], "u").join(sides[1], "v").filter(F.expr(apart) <= int(64 * FINGERPRINTS * MOST_DIFFERING)).select("u", "v")
 
+def _near(similarity: float, x: str, y: str) -> Column:
+    """Whether parity bitmaps differ in no more bits than similar sets can in shingles."""
+    apart = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITS), F.lit(0))
+    return apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{x}.size") + F.col(f"{y}.size")) + 1e-9
 
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id`` (smallest doc_id reachable) over links between texts whose five-word shingle sets are similar.
 
-    Texts that differ in white space and A-Z case only are alike, null and empty ones too. Candidates come
-    from fingerprints, so a pair may be missed, the rarer the more similar it is; every link is
-    verified. Null ids take part but never name a component unless all its ids are null; repeated rows stay.
-    """
-    made, _ = materialize(set_signatures(docs, id_col, text_col), "signatures")
-    classes, _ = materialize(made.groupBy("sig").agg(F.min("doc_id").alias("first"), *[F.first(f"fp{i}").alias(f"fp{i}") for i in range(FINGERPRINTS)]), "classes")
-    pairs, _ = materialize(candidate_pairs(classes), "candidates")
+def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Those of ``pairs`` (``u, v`` of ``sig``) whose shingle sets are similar."""
     # the texts of the candidates, one of each class, as sets
     asked = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
-    wanted, _ = materialize(classes.join(asked, "sig").select("sig", F.col("first").alias("k")).filter("k is not null"), "wanted")
+    wanted, _ = materialize(classes.join(asked, "sig").select("sig", F.col("first.doc_id").alias("wk"), F.col("first.text_hash").alias("h")), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low = 0
             for texts in slices(batch.column(1), 500):
-                sets = [shingle_set(t).view(np.int64) for t in texts.to_pylist()]
-                edge = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                held = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(sets), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(sets)), held], ["sig", "shingles"])
+                sets = [shingle_set(t) for t in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(sets)), _lists(sets)], ["sig", "shingles"])
                 low += len(sets)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).join(wanted, "k").select("sig", "t")
+    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).join(wanted, "h").filter(F.col("k").eqNullSafe(F.col("wk"))).select("sig", "t")
     sets, _ = materialize(texts.mapInArrow(run, "sig long, shingles array<long>").dropDuplicates(["sig"]), "sets")
     sides = [sets.select(F.col("sig").alias(s), F.col("shingles").alias(f"{s}_set")) for s in "uv"]
     both = F.size(F.array_intersect("u_set", "v_set"))
-    alike = both >= F.lit(similarity) * (F.size("u_set") + F.size("v_set") - both)
-    links = pairs.join(sides[0], "u").join(sides[1], "v").filter(alike).select("u", "v")
+    alike = both >= F.lit(similarity) * (F.size("u_set") + F.size("v_set") - both) - 1e-9
+    return materialize(pairs.join(sides[0], "u").join(sides[1], "v").filter(alike).select("u", "v"), "links")[0]
+
+
+def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text_hash, root, component_id`` of every row: texts have one root if links connect them.
+
+    Sets of n shingles in one order, the same for all, that are similar enough share one of their first
+    n - ceil(similarity * n) + 1; rare shingles come first, so few texts share them. All texts that share
+    such a shingle are candidates, in two steps. First each is compared with one of its bucket, that whose
+    shingles most others share. Then all pairs that these links have not connected are compared. What rules
+    out a pair before its sets are read (sizes, places, parity bitmaps) is a bound, never an estimate.
+    """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made, _ = materialize(set_signatures(docs, similarity, id_col, text_col), "signatures")
+    named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    classes, _ = materialize(made.groupBy("sig").agg(F.min(named).alias("first"), *[F.first(c).alias(c) for c in ("size", "prefix", *BITS)]), "classes")
+    bits = classes.select("sig", "size", *BITS)
+
+    keyed = classes.select("sig", "size", F.posexplode("prefix").alias("place", "token")).repartition(tasks, "token")
+    shared = keyed.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    kept, _ = materialize(keyed.join(shared, "token"), "buckets")
+
+    weight = kept.groupBy("sig").agg((F.sum("n") / F.max("size")).alias("weight"))
+    heads = kept.join(weight, "sig").groupBy("token").agg(F.max(F.struct("weight", "sig", "size", "place")).alias("top")).select("token", "top.sig", "top.size", "top.place")
+    starred = kept.alias("x").join(heads.alias("y"), "token").filter(F.col("x.sig") != F.col("y.sig")).filter(_possible(similarity, "x", "y"))
+    stars = starred.select(F.greatest("x.sig", "y.sig").alias("u"), F.least("x.sig", "y.sig").alias("v")).distinct()
+    near = stars.join(bits.alias("x"), F.col("u") == F.col("x.sig")).join(bits.alias("y"), F.col("v") == F.col("y.sig")).filter(_near(similarity, "x", "y"))
+    first = similar_pairs(docs, classes, materialize(near.select("u", "v"), "stars")[0], similarity, id_col, text_col)
+
+    parts = connected_components(first).select(F.col("node").alias("sig"), "component")
+    rooted, _ = materialize(kept.select("token", "sig", "place").join(parts, "sig", "left").select("token", "sig", "place", F.coalesce("component", "sig").alias("root")), "rooted")
+    roots = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
+    split = roots.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n")).filter("roots > 1")
+    split = split.select("token", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("blocks"))
+    mixed, _ = materialize(rooted.join(split, "token").join(bits, "sig"), "mixed")
+    some = mixed.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+    all_ = mixed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.sig") > F.col("y.sig"))
+    across = some.alias("x").join(all_.alias("y"), ["token", "block"]).filter((F.col("x.root") != F.col("y.root")) & once & _possible(similarity, "x", "y") & _near(similarity, "x", "y"))
+    rest, _ = materialize(across.select(F.greatest("x.sig", "y.sig").alias("u"), F.least("x.sig", "y.sig").alias("v")).distinct(), "across")
+    links = first.union(similar_pairs(docs, classes, rest, similarity, id_col, text_col)) if rest.take(1) else first
+
     parts = connected_components(links).select(F.col("node").alias("sig"), "component")
-    linked, _ = materialize(classes.join(parts, "sig", "left").select("sig", "first", F.coalesce("component", "sig").alias("root")), "roots")
-    named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("sig", "component_id")
-    return made.join(named, "sig").select("doc_id", "component_id")
+    linked, _ = materialize(classes.join(parts, "sig", "left").select("sig", F.col("first.doc_id").alias("first"), F.coalesce("component", "sig").alias("root")), "roots")
+    least = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("sig", "root", "component_id")
+    return made.select("doc_id", "text_hash", "sig").join(least, "sig").select("doc_id", "text_hash", "root", "component_id")
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` (smallest doc_id reachable) over links between texts whose five-word shingle sets are similar.
+
+    Texts that differ in white space and A-Z case only are alike, null and empty ones too. Every pair that
+    is similar is linked, whatever the size of its group. Null ids take part but never name a component
+    unless all its ids are null; repeated rows stay.
+    """
+    return similar_rows(docs, similarity, id_col, text_col).select("doc_id", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
