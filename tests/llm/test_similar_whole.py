@@ -37,3 +37,17 @@ def test_a_large_group_hangs_together_through_its_original(spark):
     texts = {i: copy_of(rng, base, 0.8, 0.84) for i in range(250)} | {1000: " ".join(base)}
     assert all(alike(texts[0], texts[i]) < 0.8 for i in range(1, 50))
     assert set(grouped(spark, texts).values()) == {0}
+
+
+def test_small_groups_equal_an_exhaustive_comparison(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 1, raising=False)
+    rng = random.Random(12)
+    texts = {}
+    for _ in range(30):
+        base = words(rng, rng.randint(60, 250))
+        texts |= {len(texts): " ".join(base)}
+        chain = base
+        for _ in range(rng.randint(3, 8)):
+            chain = copy_of(rng, chain, 0.78, 0.86).split()
+            texts |= {len(texts): " ".join(chain)}
+    assert grouped(spark, texts) == similar_groups(texts)
