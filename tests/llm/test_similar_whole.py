@@ -51,3 +51,15 @@ def test_small_groups_equal_an_exhaustive_comparison(spark, monkeypatch):
             chain = copy_of(rng, chain, 0.78, 0.86).split()
             texts |= {len(texts): " ".join(chain)}
     assert grouped(spark, texts) == similar_groups(texts)
+
+
+def test_isolated_pairs_just_over_the_threshold_are_found(spark):
+    rng = random.Random(13)
+    texts = {}
+    for i in range(150):
+        base = words(rng, rng.choice([20, 60, 200, 400]))
+        low = 0.8 if i % 3 else 0.7
+        texts |= {2 * i: " ".join(base), 2 * i + 1: copy_of(rng, base, low, low + 0.1 if len(base) == 20 else low + 0.05)}
+    want = similar_groups(texts)
+    assert len(set(want.values())) == 200
+    assert grouped(spark, texts) == want
