@@ -3,7 +3,8 @@
 Three patterns give the base spans. A fourth kind, ``guess``, reads the value that follows a
 credential word and asks how many guesses it would take: the cheapest way to cut the value
 into common words, dates, repeats, sequences, keyboard walks and brute-force stretches, found
-by dynamic programming over its prefixes. A value that costs at least ``MIN_COST`` decimal
+by dynamic programming over its prefixes. A value ends at its closing quote, or where white space
+or a separator with the next key begins. A value that costs at least ``MIN_COST`` decimal
 orders of magnitude is taken for a secret; ``changeme123`` or ``xxxxxxxx`` is not.
 
 Texts are scanned as UTF-8 bytes; spans count code points, ends exclusive.
@@ -40,7 +41,11 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(rb"[0-9a-f]{16,}")
 # Words that name a credential.
 CONTEXT_WORDS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "private_key", "client_secret", "credential", "credentials", "passwort", "contraseña", "auth")
-CONTEXT = re.compile(rb"(?:" + b"|".join(_any_case(w).encode() if w.isascii() else re.escape(w.encode()) for w in sorted(CONTEXT_WORDS, key=len, reverse=True)) + rb")[\"']?\s{0,3}(?::|=>|=|\bis\b)\s{0,3}[\"'`]?([!-~]{" + str(VALUE_LEAST).encode() + rb",})")
+CONTEXT = re.compile(rb"(?:" + b"|".join(_any_case(w).encode() if w.isascii() else re.escape(w.encode()) for w in sorted(CONTEXT_WORDS, key=len, reverse=True)) + rb")[\"']?\s{0,3}(?::|=>|=|\bis\b)\s{0,3}([\"'`]?)(?=[!-~])")
+RUN = re.compile(rb"[!-~]*")
+# A quote closes a value if no more of it can follow: before the end, a separator or a bracket.
+CLOSES = {q: re.compile(rb"(?<!\\)" + q + rb"(?=$|[,;:&|)\]}>\s])") for q in (b'"', b"'", b"`")}
+NEXT_KEY = re.compile(rb"[&,;|?][\"'`]?[A-Za-z_][\w.-]{0,63}[\"'`]?(?:=>|[:=])")
 # Common words of passwords and placeholders, commonest first.
 COMMON_WORDS = """password admin welcome login letmein monkey dragon master shadow sunshine princess football baseball
 superman batman trustno hello freedom whatever secret summer winter spring autumn qazwsx iloveyou starwars flower
@@ -116,22 +121,63 @@ def is_costly(value: str) -> bool:
     return any(guess_cost(value[i : i + STRETCH]) >= MIN_COST for i in range(0, max(1, len(value) - STRETCH // 2), STRETCH // 2))
 
 
+def _next(pattern: re.Pattern, data: bytes, at: int, end: int, seen: dict) -> int:
+    """Where ``pattern`` next begins, or ``end``; what was found for an earlier place is kept in ``seen``."""
+    low, last, found = seen.get(pattern, (0, -1, -1))
+    if last != end or not low <= at <= found:
+        m = pattern.search(data, at, end)
+        found = m.start() if m else end
+        seen[pattern] = (at, end, found)
+    return found
+
+
 def find(data: bytes) -> list[tuple[int, int, int]]:
-    """``(start, kind's place in KINDS, end)`` in bytes, in order; no guess overlaps a base span."""
+    """``(start, kind's place in KINDS, end)`` in bytes, in order; guesses may overlap base spans but none lies inside them.
+
+    Separators may be part of a value: one that is not costly up to them is weighed as a whole if no base span touches it.
+    """
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(data) if m.end(1) - m.start(1) >= ASSIGN_LEAST]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(data)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(data)]
     base.sort()
-    more = []
-    for m in CONTEXT.finditer(data):
-        a, b = m.span(1)
-        value = m[1].rstrip(b"\"'`,;.)]}>").decode("ascii")
-        b = a + len(value)
-        if len(value) >= VALUE_LEAST and not any(s < b and a < e for s, _, e in base) and is_costly(value):
+
+    def trimmed(low: int, high: int) -> int:
+        return low + len(data[low:high].rstrip(b"\"'`,;.)]}>"))
+
+    def costly(low: int, high: int) -> bool:
+        return high - low >= VALUE_LEAST and not _inside(low, high, base) and is_costly(data[low:high].decode("ascii"))
+
+    more, at, end, cheap, seen = [], 0, 0, -1, {}
+    while m := CONTEXT.search(data, at):
+        a = m.end()
+        if a >= end:
+            end = RUN.match(data, a).end()
+        closing = _next(CLOSES[m[1]], data, a, end, seen) if m[1] else end
+        b = closing if closing < end else trimmed(a, _next(NEXT_KEY, data, a, end, seen))
+        whole = trimmed(a, end) if closing == end and cheap != end else b
+        at = a  # a short value may itself be a key
+        if costly(a, b):
             more.append((a, 3, b))
+            at = b
+        elif whole > b and not any(s < whole and a < e for s, _, e in base):
+            if costly(a, whole):
+                more.append((a, 3, whole))
+                at = whole
+            else:
+                cheap = end
+        elif b - a >= VALUE_LEAST:
+            at = b
     return sorted(base + more)
 
 
+def _inside(a: int, b: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether base spans, which are in order, cover all from a to b."""
+    for s, _, e in base:
+        if s <= a < e:
+            a = e
+    return a >= b
+
+
 def code_points(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     if not spans or data.isascii():
         return spans
