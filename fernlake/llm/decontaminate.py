@@ -28,6 +28,8 @@ from fernlake.runtime import materialize
 
 #: Kept (1) and ignored (0) words. Of any mask of weight five one place matches unless a kept word differs.
 MASKS = ("111011", "110111", "1101101", "10111001", "11111")
+#: Items of 10 and 11 words need one more for two substitutions (words 3 and 5, 4 and 5 or 4 and 6, from 0).
+BRIEF_MASK, BRIEF_WORDS = "11000111", range(8, 12)
 SIMILARITY, LEAST_WORDS = 0.8, 13
 #: Items of fewer words than the longest mask are matched verbatim, those of fewer than this never.
 SHORT_LEAST = 5
@@ -64,16 +66,17 @@ def kept_of(mask: str) -> tuple[int, ...]:
     return tuple(i for i, c in enumerate(mask) if c == "1")
 
 
-def patterns(short_lengths: list[int]) -> list[tuple[tuple[int, ...], int]]:
+def patterns(short_lengths: list[int], brief: bool = False) -> list[tuple[tuple[int, ...], int]]:
     """Masks with their tags, then one of all ones for each length of a short item."""
-    return [(kept_of(m), t) for t, m in enumerate(MASKS)] + [(tuple(range(n)), 100 + n) for n in short_lengths]
+    masks = [*MASKS, BRIEF_MASK] if brief else MASKS
+    return [(kept_of(m), t) for t, m in enumerate(masks)] + [(tuple(range(n)), 100 + n) for n in short_lengths]
 
 
 def item_seeds(tokens: np.ndarray) -> list[tuple[int, int]]:
     """``(hash, place)`` of an item: under every mask, or verbatim if it is short."""
     if len(tokens) < SHORT_LEAST:
         return []
-    use = patterns([]) if len(tokens) >= SPAN else patterns([len(tokens)])[len(MASKS) :]
+    use = patterns([], len(tokens) in BRIEF_WORDS) if len(tokens) >= SPAN else patterns([len(tokens)])[len(MASKS) :]
     return [(int(h), at) for kept, tag in use for at, h in enumerate(seeds(tokens, kept, tag).view(np.int64))]
 
 
@@ -159,11 +162,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         "items",
     )
     sown = items.select("row", F.explode("seeds").alias("s")).select("row", "s.h", "s.place")
-    lengths = [r[0] for r in items.select(F.size("item").alias("n")).filter((F.col("n") >= SHORT_LEAST) & (F.col("n") < SPAN)).distinct().collect()]
+    lengths = [r[0] for r in items.select(F.size("item").alias("n")).filter((F.col("n") >= SHORT_LEAST) & (F.col("n") < BRIEF_WORDS.stop)).distinct().collect()]
     n_seeds = sown.count()
     known = np.array([r[0] for r in sown.select("h").distinct().collect()], np.int64).view(np.uint64) if n_seeds <= BITMAP_SEEDS else None
     sent = spark.sparkContext.broadcast(None if known is None else (_bitmap(known), np.sort(known)))
-    use = patterns(sorted(lengths))
+    use = patterns(sorted(n for n in lengths if n < SPAN), any(n in BRIEF_WORDS for n in lengths))
 
     def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, count = TaskContext.get().partitionId() << 33, 0

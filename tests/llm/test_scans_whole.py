@@ -22,3 +22,12 @@ from fernlake.llm import decontaminate, secret_scan
 )
 def test_values_beside_base_spans_are_redacted(text, want):
     assert secret_scan.redact(text) == want
+
+
+@pytest.mark.parametrize("size", range(8, 14))
+def test_every_substitution_of_a_brief_item_is_seen(size):
+    item = decontaminate.words(" ".join(f"w{i}" for i in range(size)))
+    known = {h for h, _ in decontaminate.item_seeds(item)}
+    for changed in combinations(range(size), size - -(-size * 4 // 5)):
+        text = " ".join("other" if i in changed else f"w{i}" for i in range(size))
+        assert known & {h for h, _ in decontaminate.item_seeds(decontaminate.words(text))}, changed
