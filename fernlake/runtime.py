@@ -8,6 +8,7 @@ lost executor costs only the tasks that were running on it.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -31,20 +32,36 @@ def on_workers(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is configured (tests)."""
+    """The cluster's shared folder; one of our own only where all tasks run on this machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = own.get() if own.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="fernlake-")
         atexit.register(shutil.rmtree, where.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+#: Names this process's tables; what is left of them goes when it ends.
+RUN = uuid.uuid4().hex
+_roots: set[str] = set()
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/fernlake/{label}-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/fernlake/{RUN}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_leave, spark, root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def _leave(spark: SparkSession, root: str) -> None:
+    with contextlib.suppress(Exception):  # the driver's JVM may be gone before
+        drop_path(spark, root)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -64,6 +81,24 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Tables that only live while a larger one is made from them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        made, path = materialize(df, label)
+        self.paths.append(path)
+        return made
+
+    def drop(self) -> None:
+        """Delete them all; what was made from them must be written by now."""
+        for path in self.paths:
+            drop_path(self.spark, path)
+        self.paths.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
