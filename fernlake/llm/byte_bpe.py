@@ -5,7 +5,11 @@ merge-by-rank encoder leaves last. Token ``t`` ending at byte ``j`` is that toke
 may follow the last token of the prefix before it, that is, if merging the two tokens' bytes
 from scratch gives back the two. So the table from prefixes to last tokens is filled left to
 right, appending extends it without changing earlier entries, and an edit re-encodes only from
-the edit on.
+the edit to where the table runs on as before.
+
+Pieces of up to ``SHARED`` bytes share one table of a bounded size, keyed by their prefixes. A longer piece
+has a table of its own, an array with one token a byte, so memory is linear in its length; the tokens that
+end at a byte come from an automaton over the vocabulary.
 """
 
 from __future__ import annotations
@@ -13,8 +17,9 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,6 +34,8 @@ from fernlake.llm.memory import Memory
 REMEMBER = 120_000
 #: Rows of ids that leave in one Arrow batch.
 OUT_ROWS = 1000
+#: Bytes up to which a piece's prefixes are entered in the shared table, and characters up to which pieces and chunks are remembered.
+SHARED = 64
 
 
 def _numbers(decimal: str) -> np.ndarray:
@@ -48,12 +55,23 @@ class PrefixBPE:
         self.length = {rank: len(token) for token, rank in ranks.items()}
         self._decimal = {rank: str(rank) for rank in ranks.values()}
         self._pairs: dict[int, bool] = {}
-        #: Prefix of a piece -> its last token.
+        #: Prefix of a short piece -> its last token.
         self.table: dict[bytes, int] = {}
-        self._pieces, self._chunks = Memory(remember * 2 // 3), Memory(remember)
-        #: Most prefixes and pairs of tokens; beyond them a memory starts anew.
+        self._pieces, self._chunks = Memory(remember * 2 // 3, SHARED), Memory(remember, SHARED)
+        #: Most prefixes (of ``SHARED`` bytes at most) and pairs of tokens; beyond them a memory starts anew.
         self.most = remember * 5 // 3
 
+    @cached_property
+    def automaton(self):
+        """Finds the tokens that end at each byte; made when a long piece first needs it."""
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            made.add_word(token.decode("latin-1"), (rank, len(token)))
+        made.make_automaton()
+        return made
+
     def _merged(self, piece: bytes) -> list[bytes]:
         """Merging by rank from single bytes; used on pairs of tokens only."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -118,6 +136,8 @@ class PrefixBPE:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
+        if len(data) > SHARED:
+            return Prefixes(self, data).tokens()
         if len(self.table) > self.most:
             self.table.clear()
         self.extend(data)
@@ -186,6 +206,67 @@ class PrefixBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+class Prefixes:
+    """One piece and the last token of each of its prefixes, an array as long as the piece."""
+
+    def __init__(self, bpe: PrefixBPE, data: bytes = b""):
+        self.bpe, self.data, self.last = bpe, bytearray(), array("i")
+        self.append(data)
+
+    def _extend(self, before: array | None = None, shift: int = 0) -> None:
+        """Fill the table up to the end of the data.
+
+        ``before`` is an earlier table whose entry ``j - shift`` told of the same bytes from here on: once as
+        many entries as the longest token has bytes are the same again, so is all that follows.
+        """
+        bpe, last, follows = self.bpe, self.last, self.bpe.follows
+        pairs = bpe._pairs
+        low, alike = max(0, len(last) - bpe.longest), 0
+        for at, (token, length) in bpe.automaton.iter(self.data[low:].decode("latin-1")):
+            end, start = low + at, low + at + 1 - length
+            if end != len(last):
+                if end > len(last):
+                    break
+                continue
+            if start:
+                left = last[start - 1]
+                fits = pairs.get(left << 32 | token)
+                if not (follows(left, token) if fits is None else fits):
+                    continue
+            last.append(token)
+            if before is not None:
+                alike = alike + 1 if before[end - shift] == token else 0
+                if alike == bpe.longest:
+                    last.extend(before[end + 1 - shift :])
+                    break
+        if len(last) < len(self.data):
+            raise ValueError("the ranks lack a single byte")
+
+    def append(self, more: bytes) -> None:
+        self.data += more
+        self._extend()
+
+    def replace(self, at: int, removed: int, added: bytes) -> None:
+        """Put ``added`` in the place of ``removed`` bytes from ``at`` on."""
+        if not 0 <= at <= at + removed <= len(self.data):
+            raise IndexError("the edit lies outside the piece")
+        before, shift = self.last, len(added) - removed
+        self.last, self.data[at : at + removed] = before[:at], added
+        if added:
+            whole, self.data = self.data, self.data[: at + len(added)]
+            self._extend()
+            self.data = whole
+        self._extend(before, shift)
+
+    def tokens(self) -> list[int]:
+        out, end, length = [], len(self.data), self.bpe.length
+        while end:
+            out.append(self.last[end - 1])
+            end -= length[out[-1]]
+        out.reverse()
+        return out
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}

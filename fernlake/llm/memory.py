@@ -4,13 +4,18 @@ from __future__ import annotations
 
 
 class Memory(dict):
-    """Keeps the first ``most`` entries, which frequent keys are among; starts anew once many times as many were refused."""
+    """Keeps the first ``most`` entries, which frequent keys are among; starts anew once many times as many were refused.
 
-    def __init__(self, most: int):
+    Keys longer than ``longest`` are never kept, so the memory is bounded in bytes too.
+    """
+
+    def __init__(self, most: int, longest: int):
         super().__init__()
-        self.most, self.refused = most, 0
+        self.most, self.longest, self.refused = most, longest, 0
 
     def keep(self, key, value):
+        if len(key) > self.longest:
+            return value
         if len(self) < self.most:
             self[key] = value
         else:

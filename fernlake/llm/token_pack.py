@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ MAGIC, HEAD = b"FTP1", struct.Struct("<4sIQQ")
 BLOCK_TOKENS = 1 << 18
 #: Distinct chunks a worker remembers.
 CACHE_CHUNKS = 500_000
+#: Characters up to which a chunk is remembered.
+LONGEST_CHUNK = 64
 #: Chunks that go to the library in one call.
 LEARN_TOGETHER = 4096
 
@@ -120,20 +123,24 @@ class ChunkEncoder:
     """Columns of texts to ids by the tokenizers library, asked only for what it has not been asked yet.
 
     Distinct chunks of a batch that are not remembered go to the library many at once, as one text: a
-    chunk's first token is the next one that begins with a space. Strings of special tokens are
-    ordinary text.
+    chunk's first token is the next one that begins with a space.
+
+    Strings of special tokens inside a text are ordinary text, as the description of the vocabulary files
+    (their README) sets the library up: data must not be able to forge control tokens. With ``special_text``
+    false they become their special ids, as the library does without that switch.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_text: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_text
+        self.control = [] if special_text else [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         self.spaced[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
-        self.known, self.known_first = Memory(CACHE_CHUNKS), Memory(CACHE_CHUNKS // 10)
+        self.known, self.known_first = Memory(CACHE_CHUNKS, LONGEST_CHUNK), Memory(CACHE_CHUNKS // 10, LONGEST_CHUNK)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -165,16 +172,19 @@ class ChunkEncoder:
     def column(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Each text's ids in turn; null is empty."""
         for part in slices(texts):
-            cut = Chunked(part)
+            controlled = np.zeros(len(part), bool)  # texts with control strings go to the library whole
+            for token in self.control:
+                controlled |= pc.fill_null(pc.match_substring(part, token), False).to_numpy(zero_copy_only=False)
+            cut = Chunked(pc.if_else(pa.array(controlled), "", part) if controlled.any() else part)
             found = self._spaced_chunks(cut.spaced, cut.used) + self._first_chunks(cut.first)
             pool, length = np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
-            for i, (ids, apart) in enumerate(zip(gather(cut, pool, length), cut.apart)):
-                yield np.frombuffer(self.whole(cut.whole(i)), np.uint32) if apart else ids
+            for i, (ids, apart) in enumerate(zip(gather(cut, pool, length), cut.apart | controlled)):
+                yield np.frombuffer(self.whole(part[i].as_py()), np.uint32) if apart else ids
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
-    made = ChunkEncoder(path)
+def encoder(path: str, special_text: bool = True) -> ChunkEncoder:
+    made = ChunkEncoder(path, special_text)
     gc.freeze()  # the large memory holds no cycles: spare the collector walking it
     return made
 
@@ -183,19 +193,20 @@ FILE_SCHEMA = "shard int, block int, first_token long, n_docs int, n_tokens long
 FILE_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_token", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, vocab_size: int, end_id: int, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+def write_tokens(docs: DataFrame, tokenizer_path: str, vocab_size: int, end_id: int, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text", special_text: bool = True) -> tuple[DataFrame, str]:
     """Encode whole texts and write them as packed blocks in ascending id order.
 
     Null texts count as empty; ``end_id`` follows every document. Null ids come first, rows
-    that share an id stand together by text. Other columns are ignored. An empty table gives
-    an empty file set. Returns the committed file set read back, and its path.
+    that share an id stand together by a hash of their text, then in the order given; they are
+    split over tasks like any others, however many share one. Other columns are ignored. An empty
+    table gives an empty file set. Returns the committed file set read back, and its path.
 
     One range shuffle moves the texts (not the longer ids); a task keeps at most one block.
     """
     width = width_of(vocab_size)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path).column, np.array([end_id], np.uint32)
+        encode, end = encoder(tokenizer_path, special_text).column, np.array([end_id], np.uint32)
         at, block, first = TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
         held: list[np.ndarray] = []
@@ -220,9 +231,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, vocab_size: int, end_id:
         if ids:
             yield row()
 
-    own = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    ranged = own.repartitionByRange(partitions, "k") if partitions else own.repartitionByRange("k")
-    return materialize(ranged.sortWithinPartitions("k", "t").mapInArrow(shard, FILE_SCHEMA), "tokens")
+    own = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("at"))
+    order = ["k", "h", "at"]
+    ranged = own.repartitionByRange(partitions, *order) if partitions else own.repartitionByRange(*order)
+    return materialize(ranged.sortWithinPartitions(*order).select("k", "t").mapInArrow(shard, FILE_SCHEMA), "tokens")
 
 
 def read_tokens(files: DataFrame, of_block: Callable[[np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
