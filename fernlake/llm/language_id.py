@@ -8,7 +8,7 @@ batch advance together, so the work is a few array operations for each of ``WIND
 Gates, with ``x`` the byte's learned row and ``h`` the state: ``z, r = sigmoid(x + h U)``,
 ``n = tanh(x + r (h U))``, ``h' = n + z (h - n)``. Training is backpropagation through time in
 numpy with Adam, on at most ``PER_LANGUAGE`` documents of each language (those with the
-smallest hash of their id) and ``EXCERPT`` characters of each, from a hashed place on.
+smallest hash of their id) and at most ``WINDOWS`` windows of each, spread evenly over its whole text.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HIDDEN, WINDOW = 8, 64
-#: Training documents of each language and characters of each.
-PER_LANGUAGE, EXCERPT = 300, 512
+#: Training documents of each language, and windows of each; texts of up to 32 KB are learnt from whole.
+PER_LANGUAGE, WINDOWS = 300, 512
 STEPS, BATCH, RATE, SEED = 220, 192, 0.02, 0
 #: Windows that advance together when scoring.
 TOGETHER = 2048
@@ -107,12 +107,24 @@ def windows_of(data: bytes, size: int = WINDOW) -> np.ndarray:
     return out.reshape(n, size)
 
 
-def train(texts: list[tuple[str, int]], n_labels: int, steps: int = STEPS, batch: int = BATCH, seed: int = SEED) -> dict[str, np.ndarray]:
+def spread_windows(data: bytes, most: int = WINDOWS) -> np.ndarray:
+    """All windows of a text, or ``most`` of them at even distances, its last one included."""
+    cut = windows_of(data)
+    return cut if len(cut) <= most else cut[np.linspace(0, len(cut) - 1, most).round().astype(int)]
+
+
+def train(texts: list[tuple[str, int]], n_labels: int, **options) -> dict[str, np.ndarray]:
+    """A network from labelled texts, whole."""
+    return train_windows([(spread_windows(t.encode("utf-8", "surrogatepass")), y) for t, y in texts], n_labels, **options)
+
+
+def train_windows(cut: list[tuple[np.ndarray, int]], n_labels: int, steps: int = STEPS, batch: int = BATCH, seed: int = SEED) -> dict[str, np.ndarray]:
+    """A network from ``(windows, label)`` of each document; every label has an equal share of each step."""
     net, rng = initial(n_labels, seed=seed), np.random.default_rng(seed)
-    cut = [(w, y) for t, y in texts for w in windows_of(t.encode("utf-8", "surrogatepass"))]
+    cut = [(w, y) for w, y in cut if len(w)]
     if not cut or n_labels < 2:
         return net
-    codes, labels = np.stack([w for w, _ in cut]), np.array([y for _, y in cut])
+    codes, labels = np.concatenate([w for w, _ in cut]), np.repeat([y for _, y in cut], [len(w) for w, _ in cut])
     by = [np.flatnonzero(labels == y) for y in range(n_labels)]
     by = [b for b in by if len(b)]
     m = {k: np.zeros_like(v) for k, v in net.items()}
@@ -195,22 +207,29 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> tuple[list[str], dict[str, np.ndarray]]:
     """Labels and network, learnt from rows with id, text and label that are not held out.
 
-    Which rows those are is settled from ids and labels alone; only their excerpts reach the driver.
+    Which rows those are is settled from ids and labels alone; only windows of their texts reach the driver.
     """
     own = docs.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).alias("y"), F.col(text_col).alias("t"))
     known = own.filter("k is not null and y is not null").filter(~held_out(F.col("k")))
-    # a language's share of hashes that holds twice the rows wanted, so that the window sees no more than those of any language
+    # a language's share of hashes that holds twice the rows wanted: one row a language, broadcast, so that
+    # rows are dropped where they are read and only a few hundred of each language are exchanged and ranked
     place = F.pmod(F.xxhash64("k"), F.lit(1 << 32))
-    share = known.groupBy("y").agg(F.count("*").alias("n")).select("y", (F.lit(2.0 * PER_LANGUAGE * (1 << 32)) / F.col("n")).alias("below"))
-    drawn = known.select("k", "y").join(share, "y").filter(place < F.col("below"))
+    counted = known.groupBy("y").agg(F.count("*").alias("n"))
+    share = counted.select("y", (F.lit(2.0 * PER_LANGUAGE * (1 << 32)) / F.col("n")).alias("below"))
+    drawn = known.select("k", "y").join(F.broadcast(share), "y").filter(place < F.col("below"))
     first = Window.partitionBy("y").orderBy(place, "k")
     chosen = drawn.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= PER_LANGUAGE).select("k", "y").distinct()
-    start = F.pmod(F.xxhash64("k"), F.greatest(F.length("t") - EXCERPT, F.lit(1))).cast("int") + 1
-    taken = known.filter("t is not null").join(F.broadcast(chosen), ["k", "y"]).select("k", "y", F.substring("t", start, F.lit(EXCERPT)).alias("t"))
-    rows = taken.groupBy("k", "y").agg(F.min("t").alias("t")).collect()
+    taken = known.filter("t is not null").join(F.broadcast(chosen), ["k", "y"]).select("k", "y", "t")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [spread_windows(t.encode("utf-8", "surrogatepass") if LETTER.search(t) else b"").tobytes() for t in batch["t"]]
+            yield pd.DataFrame({"k": batch["k"], "y": batch["y"], "w": made})
+
+    rows = taken.mapInPandas(cut, "k long, y string, w binary").groupBy("k", "y").agg(F.min("w").alias("w")).collect()
     rows.sort(key=lambda r: (r["y"], r["k"]))
     labels = sorted({r["y"] for r in rows})
-    return labels, train([(r["t"], labels.index(r["y"])) for r in rows if LETTER.search(r["t"])], len(labels))
+    return labels, train_windows([(np.frombuffer(r["w"], np.int16).reshape(-1, WINDOW), labels.index(r["y"])) for r in rows], len(labels))
 
 
 def apply(docs: DataFrame, labels: list[str], net: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
