@@ -9,7 +9,8 @@ agree. A document is contaminated by an item if that stretch has ``LEAST_WORDS``
 
 Before the join documents drop the hashes that no benchmark item has. The bitmap for that
 has a fixed size; where the benchmark has more seeds than ``BITMAP_SEEDS``, all hashes go to the
-join instead. What is joined carries a document's words only around its hits.
+join instead. What is verified carries a document's words only under the item, so a passage that
+a document repeats many times costs as many rows of its own length.
 """
 
 from __future__ import annotations
@@ -143,12 +144,10 @@ def _regions(keys: list, texts: list[str | None], use: list, sieve: tuple[np.nda
             yield {"doc_id": keys[d], "offset": int(a - first), "tokens": joined[a:b].view(np.int32), "hits": hits}
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``doc_id, item_id, at_word, overlap_words, same_words``: one row for each document and item that overlap.
+def alignments(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``doc_id, item_id, offset, tokens, item, shift``: each place of an item that a seed says, with the words under it.
 
-    Null texts count as empty and have no overlap, nor have items of fewer than ``SHORT_LEAST``
-    words. Rows that share a doc_id or item_id count as one (the longest overlap is told); a null id
-    is an id like others. Clean documents have no row. Other columns are ignored.
+    ``tokens`` begin at word ``offset`` of the document; word i of the item lies at ``shift + i`` of them.
     """
     spark = docs.sparkSession
 
@@ -184,7 +183,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     hits = regions.select("region", F.explode("hits").alias("s")).select("region", "s.h", F.col("s.place").alias("there"))
     aligned = hits.join(sown, "h").select("region", "row", (F.col("there") - F.col("place")).alias("shift")).distinct()
-    asked = aligned.join(regions.select("region", "doc_id", "offset", "tokens"), "region").join(items.select("row", "item_id", "item"), "row")
+    # of a region each alignment takes the words that lie under its item, no more, so rows add up to the overlaps themselves
+    start = F.greatest("shift", F.lit(0))
+    placed = aligned.join(items.select("row", F.size("item").alias("n")), "row").join(regions.select("region", "doc_id", "offset", "tokens"), "region")
+    under = placed.select("row", "doc_id", (F.col("offset") + start).alias("offset"), (F.col("shift") - start).alias("shift"), F.slice("tokens", start + 1, F.col("shift") + F.col("n") - start).alias("tokens"))
+    return under.join(items.select("row", "item_id", "item"), "row").select("doc_id", "item_id", "offset", "tokens", "item", "shift")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``doc_id, item_id, at_word, overlap_words, same_words``: one row for each document and item that overlap.
+
+    Null texts count as empty and have no overlap, nor have items of fewer than ``SHORT_LEAST``
+    words. Rows that share a doc_id or item_id count as one (the longest overlap is told); a null id
+    is an id like others. Clean documents have no row. Other columns are ignored.
+    """
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -196,7 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             need = np.minimum(LEAST_WORDS, batch["item"].map(len).to_numpy())
             yield frame[frame["overlap_words"].to_numpy() >= need]
 
-    checked = asked.select("doc_id", "item_id", "offset", "tokens", "item", "shift").mapInPandas(check, "doc_id long, item_id long, at_word long, overlap_words long, same_words long")
+    checked = alignments(docs, benchmark, id_col, text_col, item_col, item_text_col).mapInPandas(check, "doc_id long, item_id long, at_word long, overlap_words long, same_words long")
     best = F.max(F.struct("overlap_words", "same_words", (-F.col("at_word")).alias("back"))).alias("b")
     return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.back")).alias("at_word"), "b.overlap_words", "b.same_words")
 
