@@ -6,11 +6,18 @@ residual and ``u`` the vector's direction: error along the vector, which moves l
 products, costs ``eta`` times as much as error across it. Assignment is coordinate descent over
 subspaces, codewords solve one linear system.
 
-The index is a table of blocks of four-bit codes with their vectors, written to the shared folder.
-Every block is scanned for every query: a query's products with all codewords form tables, two
-subspaces to a byte, and a code's score is the sum of 32 / 2 lookups. The best ``RERANK`` of a
-block are scored exactly in double precision. Queries go out in waves of at most
-``WAVE`` vectors, so what is broadcast has a fixed bound and the index is never shuffled.
+Vectors are dealt to cells, the regions of k-means centres, about one for each ``BLOCK`` vectors. A query looks
+into the cells with the largest products of query and centre; how many it takes is measured, on the
+sample that centres are fitted on: as many as bring ``TARGET`` of the sample's nearest. On vectors in clusters
+that is a few; on vectors without any structure most cells hold some of the nearest, and no coarse
+index can leave them out.
+
+The index is a table of blocks of four-bit codes with their vectors, sorted by cell, written to the shared
+folder. A block is scanned for the queries that look into its cell: a query's products with all codewords
+form tables, two subspaces to a byte, and a code's score is the sum of 32 / 2 lookups. The best ``RERANK`` of a
+block are scored exactly in double precision. Queries go out in waves of at most ``WAVE`` vectors; a wave
+is ranked and written before the next, so the driver and the broadcasts never hold more than one,
+and the index is never shuffled again.
 
 Equal vectors are indexed once with their ``k + 1`` smallest ids, all that a result can name.
 """
@@ -24,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fernlake.runtime import materialize
+from fernlake.runtime import drop_path, materialize, new_path
 
 K, EVERY = 20, 20
 #: Vectors that codewords are fitted on (those with the smallest hash of their id).
@@ -32,6 +39,8 @@ SAMPLE = 4096
 #: Threshold on the cosine above which products count, as a share; it sets eta.
 THRESHOLD = 0.2
 BLOCK, RERANK, WAVE, QUERY_PART, SUB = 4096, 256, 8192, 256, 2
+#: Most cells (a centre needs some of the sample), and the share of the sample's nearest that the cells looked into must bring.
+CELLS, TARGET = SAMPLE // 32, 0.99
 
 
 def eta_of(dim: int, threshold: float = THRESHOLD) -> float:
@@ -108,23 +117,68 @@ def tables_of(queries: np.ndarray, books: np.ndarray) -> np.ndarray:
     return (one[:, ::2, None, :] + one[:, 1::2, :, None]).reshape(len(q), -1, 256)
 
 
+def fit_cells(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
+    """Centres ``(cells, d)`` of the rows of ``x`` by k-means."""
+    centres = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        own = cell_of(x, centres)
+        for c in np.unique(own):
+            centres[c] = x[own == c].mean(0)
+    return centres
+
+
+def cell_of(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (x @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
+
+
+def cells_asked(q: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """``(queries, cells)``, true for the ``probes`` cells with the largest products."""
+    asked = np.zeros((len(q), len(centres)), bool)
+    np.put_along_axis(asked, np.argsort(-(q @ centres.T), 1, kind="stable")[:, :probes], True, 1)
+    return asked
+
+
+def probes_for(x: np.ndarray, centres: np.ndarray, k: int, target: float = TARGET) -> int:
+    """Fewest cells for each query that bring ``target`` of the nearest among the rows of ``x``."""
+    if len(centres) < 2 or len(x) <= k + 1:
+        return len(centres)
+    q, own = x[:512], cell_of(x, centres)
+    products = q @ x.T
+    products[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    near = own[np.argpartition(-products, k - 1, 1)[:, :k]]
+    place = np.argsort(np.argsort(-(q @ centres.T), 1, kind="stable"), 1)
+    found = np.take_along_axis(place, near, 1)
+    return next(p for p in range(1, len(centres) + 1) if (found < p).mean() >= target)
+
+
 def usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def build_index(rows: DataFrame, dim: int, k: int) -> tuple[DataFrame, np.ndarray]:
-    """Blocks ``ids, codes, vectors`` of all distinct vectors, and the codewords."""
+def build_index(rows: DataFrame, dim: int, k: int) -> tuple[DataFrame, str, tuple[np.ndarray, np.ndarray, int]]:
+    """Blocks ``cell, n, ids, codes, vectors`` of all distinct vectors, their path, and codewords, centres and cells to look into."""
     spark = rows.sparkSession
     order = Window.partitionBy("v").orderBy("id")
     classes = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
-    books = fit_books(np.array([r[0] for r in sample], np.float64)) if sample else np.zeros((1, 16, SUB))
-    sent = spark.sparkContext.broadcast(books)
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
+    sample = np.array([r[0] for r in drawn], np.float64)
+    if len(sample):
+        books, centres = fit_books(sample), fit_cells(sample, min(CELLS, max(1, rows.count() // BLOCK)))
+    else:
+        books, centres = np.zeros((1, 16, SUB)), np.zeros((1, dim))
+    model = books, centres, probes_for(sample, centres, k) if len(sample) else 1
+    sent = spark.sparkContext.broadcast(model[:2])
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cell = cell_of(np.array(batch["v"].to_list(), np.float64).reshape(len(batch), -1), sent.value[1]) if len(batch) else np.zeros(0, int)
+            yield batch.assign(cell=cell.astype(np.int32))[["cell", "ids", "v"]]
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: list = []
         held: list = []
+        at = -1
 
         def row() -> pd.DataFrame:
             x = np.array(held, np.float64)
@@ -132,41 +186,53 @@ def build_index(rows: DataFrame, dim: int, k: int) -> tuple[DataFrame, np.ndarra
             named = np.full((len(ids), width), np.iinfo(np.int64).min, np.int64)
             for i, own in enumerate(ids):
                 named[i, : len(own)] = own
-            codes = pack4(assign(padded(x), sent.value, eta_of(padded(x).shape[1])))
-            return pd.DataFrame({"n": [len(ids)], "ids": [named.tobytes()], "codes": [codes.tobytes()], "vectors": [x.tobytes()]})
+            codes = pack4(assign(padded(x), sent.value[0], eta_of(padded(x).shape[1])))
+            return pd.DataFrame({"cell": [at], "n": [len(ids)], "ids": [named.tobytes()], "codes": [codes.tobytes()], "vectors": [x.tobytes()]})
 
         for batch in batches:
-            for own, v in zip(batch["ids"], batch["v"]):
-                ids.append(own)
-                held.append(v)
-                if len(ids) == BLOCK:
+            for cell, own, v in zip(batch["cell"], batch["ids"], batch["v"]):
+                if held and (cell != at or len(held) == BLOCK):
                     yield row()
                     ids, held = [], []
-        if ids:
+                at = cell
+                ids.append(own)
+                held.append(v)
+        if held:
             yield row()
 
-    index, _ = materialize(classes.mapInPandas(blocks, "n int, ids binary, codes binary, vectors binary"), "index")
-    return index, books
+    # ranges of (cell, hash) split a cell that many vectors fall in
+    placed = classes.select("ids", "v").mapInPandas(dealt, "cell int, ids array<long>, v array<double>").withColumn("h", F.xxhash64("v"))
+    ranged = placed.repartitionByRange("cell", "h").sortWithinPartitions("cell", "h").select("cell", "ids", "v")
+    index, path = materialize(ranged.mapInPandas(blocks, "cell int, n int, ids binary, codes binary, vectors binary"), "index")
+    return index, path, model
 
 
-def search_index(index: DataFrame, books: np.ndarray, queries: DataFrame, dim: int, k: int) -> DataFrame:
-    """``query_id, vec_id, score``: each task's best for each query, equal vectors' ids spelled out."""
+def search_index(index: DataFrame, model: tuple[np.ndarray, np.ndarray, int], queries: DataFrame, dim: int, k: int) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the best of all blocks for each query, wave by wave."""
     spark = index.sparkSession
-    queries, _ = materialize(queries, "queries")
-    total = queries.count()
-    waves = max(1, -(-total // (WAVE * 3 // 4)))
-    out = None
+    books, centres, probes = model
+    waves = max(1, -(-queries.count() // (WAVE * 3 // 4)))
+    path = new_path(spark, "queries")
+    queries.withColumn("wave", F.pmod(F.xxhash64("id"), F.lit(waves)).cast("int")).repartition("wave").write.partitionBy("wave").parquet(path)
+    asked = spark.read.schema("id long, v array<double>, wave int").parquet(path)
+    best, out = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"), None
     for wave in range(waves):
-        own = queries.filter(F.pmod(F.xxhash64("id"), F.lit(waves)) == wave).collect()
-        sent = spark.sparkContext.broadcast((np.array([r["id"] for r in own], np.int64), np.array([r["v"] for r in own], np.float64).reshape(len(own), dim), books))
-        got = index.mapInPandas(_scanner(sent, k), "query_id long, vec_id long, score double")
-        out = got if out is None else out.union(got)
+        own = asked.filter(F.col("wave") == wave).collect()
+        q = np.array([r["v"] for r in own], np.float64).reshape(len(own), dim)
+        sent = spark.sparkContext.broadcast((np.array([r["id"] for r in own], np.int64), q, cells_asked(q, centres, probes), books))
+        # an id with several vectors is as near as the nearest of them
+        got = index.mapInPandas(_scanner(sent, k), "query_id long, vec_id long, score double").filter("vec_id <> query_id").repartition("query_id")
+        ranked = got.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        found, _ = materialize(ranked.select("query_id", "rank", "vec_id", "score"), "nearest")
+        sent.destroy()
+        out = found if out is None else out.union(found)
+    drop_path(spark, path)
     return out
 
 
 def _scanner(sent, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, q, books = sent.value
+        names, q, asked, books = sent.value
         if not len(names):
             return
         score = np.full((len(q), k + 1), -np.inf)  # the task's best so far
@@ -175,13 +241,14 @@ def _scanner(sent, k: int):
         kept: list[np.ndarray] = []
         at = 0
         for batch in batches:
-            for n, ids, codes, vectors in zip(batch["n"], batch["ids"], batch["codes"], batch["vectors"]):
+            for cell, n, ids, codes, vectors in zip(batch["cell"], batch["n"], batch["ids"], batch["codes"], batch["vectors"]):
                 ids = np.frombuffer(ids, np.int64).reshape(n, -1)
                 packed = np.frombuffer(codes, np.uint8).reshape(n, -1)
                 x = np.frombuffer(vectors, np.float64).reshape(n, -1)
                 kept.append(ids)
-                for a in range(0, len(q), QUERY_PART):
-                    part = slice(a, a + QUERY_PART)
+                looking = np.flatnonzero(asked[:, cell])
+                for a in range(0, len(looking), QUERY_PART):
+                    part = looking[a : a + QUERY_PART]
                     rough = scan(packed, tables_of(q[part], books))
                     near = np.argpartition(-rough, RERANK - 1, axis=1)[:, :RERANK] if n > RERANK else np.broadcast_to(np.arange(n), rough.shape)
                     exact = (x[near] * q[part][:, None]).sum(-1)
@@ -210,16 +277,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
 
     Rows take no part whose id is null or whose vector is null, zero, holds null or non-finite
     components, or has not the commonest length (of equally common ones the longest). A repeated row counts once, and no
-    row of the query's own id is its answer. Ties go to the smaller id. Empty tables give no rows.
+    row of the query's own id is its answer. An id with several vectors is named once, as near as the nearest of them
+    to any of the query's. Ties go to the smaller id. Empty tables give no rows.
     """
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("asks")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     lengths = clean.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     dim = lengths["d"] if lengths else 0
     rows = clean.filter(F.size("v") == dim)
-    index, books = build_index(rows.select("id", "v").distinct(), dim, k)
-    found = search_index(index, books, rows.filter("asks").select("id", "v").distinct(), dim, k)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.filter("vec_id <> query_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    index, path, model = build_index(rows.select("id", "v").distinct(), dim, k)
+    found = search_index(index, model, rows.filter("asks").select("id", "v").distinct(), dim, k)
+    drop_path(vectors.sparkSession, path)
+    return found
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
