@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fernlake.llm.chunks import slices
 from fernlake.operators.components import connected_components
-from fernlake.runtime import materialize
+from fernlake.runtime import Scratch, materialize
 
 #: Only A-Z are lower-cased; words end at the six ASCII white-space bytes.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -83,7 +83,7 @@ def variants(fp: Column) -> list[Column]:
     return keys
 
 
-def close_pairs(distinct_fp: DataFrame, radius: int = 2, fp: str = "fp") -> DataFrame:
+def close_pairs(distinct_fp: DataFrame, radius: int = 2, fp: str = "fp", scratch: Scratch | None = None) -> DataFrame:
     """Links ``(u, v)``, u > v, whose components are those of all pairs within ``radius`` (0 to 2) bits."""
     if not 0 <= radius <= 2:
         raise ValueError("radius is 0, 1 or 2: beyond that a full bucket has no exact way out")
@@ -92,7 +92,7 @@ def close_pairs(distinct_fp: DataFrame, radius: int = 2, fp: str = "fp") -> Data
     own = distinct_fp.select(F.col(fp).alias("fp")).repartition(tasks, "fp")
     keyed = own.select(F.explode(F.array(*variants(F.col("fp")))).alias("key"), "fp")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    kept, _ = materialize(keyed.join(shared, "key"), "variants")
+    kept = (scratch or Scratch(distinct_fp.sparkSession)).keep(keyed.join(shared, "key"), "variants")
 
     near = f"bit_count(x ^ y) <= {radius}"
     bucket = kept.filter(F.col("n") <= PAIR_ROWS).groupBy("key").agg(F.collect_list("fp").alias("all"))
@@ -118,10 +118,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, id
     Null and empty texts have fingerprint zero and link like any other. Null ids take part but
     never name a component unless all its ids are null. Repeated rows stay; other columns are ignored.
     """
+    scratch = Scratch(docs.sparkSession)
     made, _ = materialize(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
-    reps, _ = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    parts = connected_components(close_pairs(reps, radius))
+    reps = scratch.keep(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    parts = connected_components(close_pairs(reps, radius, scratch=scratch))
     linked, _ = materialize(reps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "roots")
+    scratch.drop()
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.join(lowest, "root").select("fp", "component_id")
     return made.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -223,11 +225,11 @@ def _near(similarity: float, x: str, y: str) -> Column:
     return apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{x}.size") + F.col(f"{y}.size")) + 1e-9
 
 
-def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """Those of ``pairs`` (``u, v`` of ``sig``) whose shingle sets are similar."""
     # the texts of the candidates, one of each class, as sets
     asked = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
-    wanted, _ = materialize(classes.join(asked, "sig").select("sig", F.col("first.doc_id").alias("wk"), F.col("first.text_hash").alias("h")), "wanted")
+    wanted = scratch.keep(classes.join(asked, "sig").select("sig", F.col("first.doc_id").alias("wk"), F.col("first.text_hash").alias("h")), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,11 +240,11 @@ def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similar
                 low += len(sets)
 
     texts = docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).join(wanted, "h").filter(F.col("k").eqNullSafe(F.col("wk"))).select("sig", "t")
-    sets, _ = materialize(texts.mapInArrow(run, "sig long, shingles array<long>").dropDuplicates(["sig"]), "sets")
+    sets = scratch.keep(texts.mapInArrow(run, "sig long, shingles array<long>").dropDuplicates(["sig"]), "sets")
     sides = [sets.select(F.col("sig").alias(s), F.col("shingles").alias(f"{s}_set")) for s in "uv"]
     both = F.size(F.array_intersect("u_set", "v_set"))
     alike = both >= F.lit(similarity) * (F.size("u_set") + F.size("v_set") - both) - 1e-9
-    return materialize(pairs.join(sides[0], "u").join(sides[1], "v").filter(alike).select("u", "v"), "links")[0]
+    return scratch.keep(pairs.join(sides[0], "u").join(sides[1], "v").filter(alike).select("u", "v"), "links")
 
 
 def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,38 +256,39 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     shingles most others share. Then all pairs that these links have not connected are compared. What rules
     out a pair before its sets are read (sizes, places, parity bitmaps) is a bound, never an estimate.
     """
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks, scratch = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), Scratch(docs.sparkSession)
     made, _ = materialize(set_signatures(docs, similarity, id_col, text_col), "signatures")
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    classes, _ = materialize(made.groupBy("sig").agg(F.min(named).alias("first"), *[F.first(c).alias(c) for c in ("size", "prefix", *BITS)]), "classes")
+    classes = scratch.keep(made.groupBy("sig").agg(F.min(named).alias("first"), *[F.first(c).alias(c) for c in ("size", "prefix", *BITS)]), "classes")
     bits = classes.select("sig", "size", *BITS)
 
     keyed = classes.select("sig", "size", F.posexplode("prefix").alias("place", "token")).repartition(tasks, "token")
     shared = keyed.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    kept, _ = materialize(keyed.join(shared, "token"), "buckets")
+    kept = scratch.keep(keyed.join(shared, "token"), "buckets")
 
     weight = kept.groupBy("sig").agg((F.sum("n") / F.max("size")).alias("weight"))
     heads = kept.join(weight, "sig").groupBy("token").agg(F.max(F.struct("weight", "sig", "size", "place")).alias("top")).select("token", "top.sig", "top.size", "top.place")
     starred = kept.alias("x").join(heads.alias("y"), "token").filter(F.col("x.sig") != F.col("y.sig")).filter(_possible(similarity, "x", "y"))
     stars = starred.select(F.greatest("x.sig", "y.sig").alias("u"), F.least("x.sig", "y.sig").alias("v")).distinct()
     near = stars.join(bits.alias("x"), F.col("u") == F.col("x.sig")).join(bits.alias("y"), F.col("v") == F.col("y.sig")).filter(_near(similarity, "x", "y"))
-    first = similar_pairs(docs, classes, materialize(near.select("u", "v"), "stars")[0], similarity, id_col, text_col)
+    first = similar_pairs(docs, classes, scratch.keep(near.select("u", "v"), "stars"), similarity, id_col, text_col, scratch)
 
     parts = connected_components(first).select(F.col("node").alias("sig"), "component")
-    rooted, _ = materialize(kept.select("token", "sig", "place").join(parts, "sig", "left").select("token", "sig", "place", F.coalesce("component", "sig").alias("root")), "rooted")
+    rooted = scratch.keep(kept.select("token", "sig", "place").join(parts, "sig", "left").select("token", "sig", "place", F.coalesce("component", "sig").alias("root")), "rooted")
     roots = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
     split = roots.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n")).filter("roots > 1")
     split = split.select("token", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("blocks"))
-    mixed, _ = materialize(rooted.join(split, "token").join(bits, "sig"), "mixed")
+    mixed = scratch.keep(rooted.join(split, "token").join(bits, "sig"), "mixed")
     some = mixed.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
     all_ = mixed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.sig") > F.col("y.sig"))
     across = some.alias("x").join(all_.alias("y"), ["token", "block"]).filter((F.col("x.root") != F.col("y.root")) & once & _possible(similarity, "x", "y") & _near(similarity, "x", "y"))
-    rest, _ = materialize(across.select(F.greatest("x.sig", "y.sig").alias("u"), F.least("x.sig", "y.sig").alias("v")).distinct(), "across")
-    links = first.union(similar_pairs(docs, classes, rest, similarity, id_col, text_col)) if rest.take(1) else first
+    rest = scratch.keep(across.select(F.greatest("x.sig", "y.sig").alias("u"), F.least("x.sig", "y.sig").alias("v")).distinct(), "across")
+    links = first.union(similar_pairs(docs, classes, rest, similarity, id_col, text_col, scratch)) if rest.take(1) else first
 
     parts = connected_components(links).select(F.col("node").alias("sig"), "component")
     linked, _ = materialize(classes.join(parts, "sig", "left").select("sig", F.col("first.doc_id").alias("first"), F.coalesce("component", "sig").alias("root")), "roots")
+    scratch.drop()
     least = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("sig", "root", "component_id")
     return made.select("doc_id", "text_hash", "sig").join(least, "sig").select("doc_id", "text_hash", "root", "component_id")
 
