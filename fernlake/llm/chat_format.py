@@ -85,7 +85,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fernlake.runtime import table
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)], "conv_id long, turn long, role string, text string")
+    said_by = F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role")
+    probe = spark.range(1).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), said_by).select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.lit(PROBE_TEXT).alias("text"))
     back = parse(render(fold(as_events(rows.union(probe)))))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

@@ -99,7 +99,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT, id
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fernlake.runtime import table
 
-    return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+    fixed = F.array(*(F.struct(F.lit(host).alias("host"), F.lit(path).alias("path"), F.lit(verdict).alias("verdict")) for host, path, verdict in RULES))
+    return judge(table(spark, sf_dir, "pages"), spark.range(1).select(F.inline(fixed)))
 
 
 def _fits(host: str, path: str) -> str:
