@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernlake.llm.chunks import slices
+from fernlake.llm.sieve import maybe_among
 from fernlake.operators.components import connected_components
 from fernlake.runtime import Scratch, materialize
 
@@ -239,8 +240,10 @@ def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similar
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(sets)), _lists(sets)], ["sig", "shingles"])
                 low += len(sets)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).join(wanted, "h").filter(F.col("k").eqNullSafe(F.col("wk"))).select("sig", "t")
-    sets = scratch.keep(texts.mapInArrow(run, "sig long, shingles array<long>").dropDuplicates(["sig"]), "sets")
+    # other texts stay where they are; a class's first text has one hash, so dropping repeats needs no other exchange than the join
+    named = docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).filter(maybe_among(wanted.select("h"))(F.col("h")))
+    texts = named.join(wanted, "h").filter(F.col("k").eqNullSafe(F.col("wk"))).dropDuplicates(["h", "sig"]).select("sig", "t")
+    sets = scratch.keep(texts.mapInArrow(run, "sig long, shingles array<long>"), "sets")
     sides = [sets.select(F.col("sig").alias(s), F.col("shingles").alias(f"{s}_set")) for s in "uv"]
     both = F.size(F.array_intersect("u_set", "v_set"))
     alike = both >= F.lit(similarity) * (F.size("u_set") + F.size("v_set") - both) - 1e-9

@@ -124,3 +124,15 @@ def test_similar_documents_of_nothing_and_ties(spark):
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.similar_documents(df).collect()), key=repr)
     assert got == [(1, 1), (3, 3), (3, 3), (None, 3)]
     assert simhash.similar_documents(df.limit(0)).count() == 0
+
+
+def test_sieve_lets_all_that_are_there_through(spark):
+    from fernlake.llm.sieve import maybe_among
+
+    there = [0, -1, 1, 63, 64, 2**63 - 1, -(2**63), 12345678901234, -7]
+    hashes = spark.createDataFrame([(h,) for h in there] + [(None,)], "h long")
+    asked = spark.createDataFrame([(h,) for h in there + list(range(1000, 1400))] + [(None,)], "x long")
+    for bits, most in ((1 << 20, 3), (64, 400)):
+        got = {r["x"] for r in asked.filter(maybe_among(hashes, bits)(F.col("x"))).collect()}
+        assert set(there) <= got and None not in got and len(got) <= len(there) + most
+    assert asked.filter(maybe_among(hashes.limit(0), 1 << 10)(F.col("x"))).count() == 0
