@@ -58,8 +58,8 @@ def production_score(results: DataFrame) -> DataFrame:
     pct = F.col("pct_in_multi_image_groups")
     broken = F.array(
         F.when(F.col("largest_group_size") > LARGEST_CLUSTER, F.format_string("largest_group_size=%d > %d", "largest_group_size", F.lit(LARGEST_CLUSTER))),
-        F.when(pct < PCT_RANGE[0], F.concat(F.lit("pct_multi below "), F.lit(str(PCT_RANGE[0])))),
-        F.when(pct > PCT_RANGE[1], F.concat(F.lit("pct_multi above "), F.lit(str(PCT_RANGE[1])))),
+        F.when(pct < PCT_RANGE[0], F.format_string("pct_multi=%.1f < %.1f", pct, F.lit(PCT_RANGE[0]))),
+        F.when(pct > PCT_RANGE[1], F.format_string("pct_multi=%.1f > %.1f", pct, F.lit(PCT_RANGE[1]))),
         F.when(F.col("num_multi_image_groups") < 1, F.lit("no multi-image groups")),
     )
     judged = results.withColumn("violations", F.array_compact(broken)).withColumn("passes_production_criteria", F.size("violations") == 0)

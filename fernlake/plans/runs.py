@@ -29,6 +29,8 @@ def encode_images(spark: SparkSession, data_dir: str, out: str, crop: artifacts.
     if kept is not None and missing.isEmpty():
         return kept.join(there, "file_name", "left_semi")
     pixels = coco.read_pixels(spark, data_dir)
+    if kept is not None:  # no picture is hashed again; the filter cannot pass the hashing itself
+        pixels = pixels.join(missing.select(F.col("file_name").alias("_name")), basename(F.col("image.origin")) == F.col("_name"), "left_semi")
     made = hash_images(pixels, crop.top_frac, crop.bottom_frac, crop.left_frac, crop.right_frac).join(missing, "file_name", "left_semi").dropDuplicates(["file_name"])
     fresh = f"{path}-next"
     (made if kept is None else kept.unionByName(made)).write.mode("overwrite").parquet(fresh)
