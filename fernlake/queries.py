@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernlake import fixtures as fx
 from fernlake.functions.boxes import crop_box, normalized
+from fernlake.functions.names import basename, stem
 from fernlake.operators import detection, groups, metrics, pairs, sampling, splits, tuning
-from fernlake.sources import coco
+from fernlake.runtime import new_path
+from fernlake.sources import artifacts, coco, export
 
 BITS = 16
 MATCH_IOU, NMS_IOU = 0.5, 0.3
@@ -178,8 +183,12 @@ def capped_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.build_groups(fx.encodings(spark, d, BITS), 2, 10, BITS)
 
 
+GRID_COLUMNS = ["threshold", "cap", "num_groups", "largest_group_size", "num_multi_image_groups", "pct_in_multi_image_groups", "passes_production_criteria", "violations", "production_score"]
+
+
 def production_grid(spark: SparkSession, d: str) -> DataFrame:
-    return tuning.production_score(tuning.sweep(fx.encodings(spark, d, BITS), [1, 2], [10, 50], BITS)).withColumn("violations", F.array_join("violations", "; "))
+    scored = tuning.production_score(tuning.sweep(fx.encodings(spark, d, BITS), [1, 2], [10, 50], BITS))
+    return _rounded(scored.withColumn("violations", F.array_join("violations", "; ")).select(*GRID_COLUMNS), "pct_in_multi_image_groups", "production_score")
 
 
 def nms(spark: SparkSession, d: str) -> DataFrame:
@@ -211,13 +220,182 @@ def negative_windows(spark: SparkSession, d: str) -> DataFrame:
     return detection.training_crops(fx.images(spark, d), fx.truths(spark, d)).filter("label = 0")
 
 
+def training_crops(spark: SparkSession, d: str) -> DataFrame:
+    """How many crops of each label an image gives, and the sum of their corners."""
+    made = detection.training_crops(fx.images(spark, d), fx.truths(spark, d))
+    return made.groupBy("image_id", "label").agg(F.count("*").alias("crops"), F.sum(F.expr("x1 + y1 + x2 + y2")).alias("corners"))
+
+
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest of all files but those whose number ends in seven."""
+    return fx.groups(spark, d).filter(~F.col("file_name").endswith("7.jpg"))
+
+
+def fill_singletons(spark: SparkSession, d: str) -> DataFrame:
+    return groups.fill_singletons(_numbered(spark, d), fx.images(spark, d))
+
+
+def group_members(spark: SparkSession, d: str) -> DataFrame:
+    return groups.members(fx.groups(spark, d)).select("group_id", F.array_join("files", ",").alias("files"))
+
+
+def files_by_split(spark: SparkSession, d: str) -> DataFrame:
+    return splits.files_by_split(splits.split_groups(fx.groups(spark, d)))
+
+
+def naive_leakage_examples(spark: SparkSession, d: str) -> DataFrame:
+    return splits.naive_leakage_examples(fx.groups(spark, d)).select("group_id", F.array_join("splits", ",").alias("splits"))
+
+
+def samples_for_split(spark: SparkSession, d: str) -> DataFrame:
+    return splits.samples_for_split(fx.images(spark, d), splits.split_groups(fx.groups(spark, d)), "val").select("image_id", "file_name")
+
+
+def split_filter(spark: SparkSession, d: str) -> DataFrame:
+    _, boxes = splits.coco_for_split(fx.images(spark, d), fx.annotations(spark, d), splits.split_groups(fx.groups(spark, d)), "test")
+    return boxes.select("image_id", "gt_idx", "category_id")
+
+
+def file_stems(spark: SparkSession, d: str) -> DataFrame:
+    shown = fx.images(spark, d).select("image_id", F.concat(F.lit("/data/a.b/"), F.replace("file_name", F.lit("_"), F.lit(".")), F.when(F.col("width") > 640, F.lit("/")).otherwise("")).alias("path"))
+    return shown.select("image_id", basename(F.col("path")).alias("name"), stem(F.col("path")).alias("stem"))
+
+
+def yolo_label_files(spark: SparkSession, d: str) -> DataFrame:
+    return export.label_texts(export.label_rows(fx.images(spark, d), fx.annotations(spark, d)))
+
+
+def _categories(spark: SparkSession) -> DataFrame:
+    return fx.categories(spark).withColumnRenamed("id", "category_id")
+
+
+def label_classes(spark: SparkSession, d: str) -> DataFrame:
+    rows = export.label_rows(fx.images(spark, d), fx.annotations(spark, d), _categories(spark).filter("category_id <> 30"))
+    return rows.select("image_id", F.expr("inline(labels)")).select("image_id", F.col("i").alias("gt_idx"), "label")
+
+
+def crop_quality(spark: SparkSession, d: str) -> DataFrame:
+    scored = fx.predictions(spark, d).selectExpr("pmod(pred_idx, 2) as label", "(score * 1000 - 500) / 125 as logit")
+    return _rounded(metrics.crop_quality(scored), "accuracy", "loss")
+
+
+def _linear(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.assign(logit=((batch["x1"] * 7 + batch["y1"] * 13 + batch["size"]) % 17 - 8).astype(float))
+
+
+def window_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Windows that a linear scorer rates above the threshold."""
+    found = detection.detect_windows(detection.window_grid(fx.images(spark, d), WINDOW_SIZES, WINDOW_OVERLAP), _linear)
+    return _rounded(found.select("image_id", "pred_idx", "x1", "y1", "x2", "y2", "score"), "score")
+
+
+def compare_crops(spark: SparkSession, d: str) -> DataFrame:
+    """The better of hashes as they are and hashes without their two lowest bits."""
+    hashed = fx.encodings(spark, d, BITS)
+    best = tuning.compare_crops(hashed, hashed.withColumn("hash", F.expr("hash & ~3L")), THRESHOLDS, bits=BITS)
+    return _rounded(best.select("variant", "threshold", "largest_group_size", "pct_in_multi_image_groups"), "pct_in_multi_image_groups")
+
+
+# what is written and read again
+
+
+def coco_document(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of the document that is found first of two in a data folder."""
+    folder = new_path(spark, "coco")
+    boxes = fx.annotations(spark, d).select("image_id", F.col("gt_idx").alias("ann_idx"), F.array("x", "y", "w", "h").alias("bbox"), "category_id")
+    export.write_coco_document(fx.images(spark, d), boxes, _categories(spark), f"{folder}/{coco.ANNOTATION_FILES[0]}")
+    export.write_coco_document(fx.images(spark, d).limit(0), boxes.limit(0), _categories(spark), f"{folder}/{coco.ANNOTATION_FILES[1]}")
+    _, found, _ = coco.read_coco_dir(spark, folder)
+    return found.select("image_id", "ann_idx", *[F.element_at("bbox", i + 1).alias(c) for i, c in enumerate("xywh")], "category_id")
+
+
+def coco_sample_order(spark: SparkSession, d: str) -> DataFrame:
+    """Images of the document that the sample order finds first, and the names of its categories."""
+    folder = new_path(spark, "coco")
+    none = fx.annotations(spark, d).select("image_id", F.array("x", "y", "w", "h").alias("bbox"), "category_id").limit(0)
+    export.write_coco_document(fx.images(spark, d), none, _categories(spark), f"{folder}/{coco.SAMPLE_ORDER[0]}")
+    export.write_coco_document(fx.images(spark, d).limit(0), none, _categories(spark).limit(0), f"{folder}/{coco.SAMPLE_ORDER[2]}")
+    found, _, named = coco.read_coco_dir(spark, folder, coco.SAMPLE_ORDER)
+    return found.select("image_id", "file_name", "width", "height").join(F.broadcast(named.agg(F.count("*").alias("categories"))))
+
+
+def coco_split_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes by split, read from the document of each."""
+    boxes = fx.annotations(spark, d).select("image_id", F.col("gt_idx").alias("ann_idx"), F.array("x", "y", "w", "h").alias("bbox"), "category_id")
+    paths = export.write_coco_split_documents(fx.images(spark, d), boxes, _categories(spark), splits.split_groups(fx.groups(spark, d)), new_path(spark, "coco"))
+    found = [coco.read_coco(spark, path)[1].select(F.lit(split).alias("split"), "image_id", "ann_idx", "category_id") for split, path in paths.items()]
+    return found[0].union(found[1]).union(found[2])
+
+
+def group_manifest_file(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{new_path(spark, 'manifest')}/{artifacts.FILES['group_manifest']}"
+    artifacts.save_manifest(fx.groups(spark, d), path, "groups")
+    return artifacts.load_groups(spark, path)
+
+
+def split_manifest_file(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{new_path(spark, 'manifest')}/{artifacts.FILES['split_manifest']}"
+    artifacts.save_manifest(splits.split_groups(fx.groups(spark, d)), path, "splits", metadata={"seed": 42})
+    return artifacts.load_splits(spark, path)
+
+
+def encodings_file(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{new_path(spark, 'encodings')}/{artifacts.FILES['phash_encodings']}"
+    artifacts.save_manifest(fx.encodings(spark, d).select("file_name", F.lower(F.lpad(F.hex("hash"), 16, "0")).alias("hash_hex")), path, "encodings")
+    return artifacts.load_encodings(spark, path)
+
+
+def pairs_file(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{new_path(spark, 'pairs')}/{artifacts.FILES['duplicate_pairs']}"
+    artifacts.save_pairs(pairs.similar_pairs(fx.encodings(spark, d, BITS), 2, BITS), path)
+    return artifacts.load_pairs(spark, path)
+
+
+def hash_config_file(spark: SparkSession, d: str) -> DataFrame:
+    """A configuration's crop, read back from its file, and what the file holds."""
+    path = f"{new_path(spark, 'config')}/{artifacts.FILES['hash_config']}"
+    artifacts.HashCrop(0.1, 0.2, 0.05, 0.0).save(spark, path)
+    crop, raw = artifacts.HashCrop.load(spark, path), artifacts.load_json(spark, path)
+    return spark.range(1).select(*[F.lit(getattr(crop, f)).alias(f) for f in ("top_frac", "bottom_frac", "left_frac", "right_frac")], F.lit(raw["hash_backend"]).alias("hash_backend"), F.lit(raw["pipeline_version"]).alias("pipeline_version"), F.lit("created_at" in raw).alias("stamped"))
+
+
+def pipeline_config_file(spark: SparkSession, d: str) -> DataFrame:
+    """A configuration after two updates, and the artifacts that are found beside it."""
+    folder = new_path(spark, "config")
+    path = f"{folder}/{artifacts.FILES['pipeline_config']}"
+    first = artifacts.save_pipeline_config(spark, path, {"seed": 1, "cap": 50})
+    artifacts.save_pipeline_config(spark, path, {"seed": 2})
+    kept = artifacts.load_json(spark, path)
+    there = ",".join(sorted(artifacts.artifact_map(spark, folder)))
+    return spark.range(1).select(F.lit(kept["seed"]).alias("seed"), F.lit(kept["cap"]).alias("cap"), F.lit(kept["created_at"] == first["created_at"]).alias("first_stamp_kept"), F.lit(kept["updated_at"] >= first["updated_at"]).alias("last_stamp_moved"), F.lit(there).alias("artifacts"))
+
+
+def evaluation_file(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{new_path(spark, 'evaluation')}/evaluation.json"
+    artifacts.save_evaluation(prf(spark, d), path)
+    return spark.read.schema("evaluated_at string, tp long, fp long, fn long, precision double, recall double, f1 double").json(path, multiLine=True).select("tp", "fp", "fn", "precision", "recall", "f1", F.col("evaluated_at").isNotNull().alias("stamped"))
+
+
+def metric_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of two runs, appended and read again."""
+    path = new_path(spark, "metrics")
+    summary = group_summary(spark, d).first().asDict()
+    artifacts.append_metrics(spark, path, "a", {"num_groups": summary["num_groups"], "note": "first", "passed": True})
+    artifacts.append_metrics(spark, path, "b", {"largest": summary["largest_group_size"]})
+    return spark.read.parquet(path).select("run_id", "key", "value_double", "value_string")
+
+
 QUERIES = {f.__name__: f for f in (
     iou_pairs, max_iou_per_pred, mean_iou, yolo_norm_boxes, crop_boxes, window_grid, samples_left_join, available_images_semi,
     orphan_annotations_anti, coco_filter, multi_class_map, hamming_pairs, hamming_pairs_64, components_uncapped, group_manifest,
     group_summary, group_size_distribution, top_groups, group_split, random_split, class_distribution, per_split, split_statistics,
     leaking_groups, naive_leakage_trials, downsample_train, coverage_check, sample_k, sample_per_split, threshold_sweep,
     production_score, recommend_threshold, recommend_production, capped_groups, production_grid, nms, greedy_match, prf,
-    average_precision, evaluate_summary, negative_windows,
+    average_precision, evaluate_summary, negative_windows, training_crops, fill_singletons, group_members, files_by_split,
+    naive_leakage_examples, samples_for_split, split_filter, file_stems, yolo_label_files, label_classes, crop_quality, window_scores,
+    compare_crops, coco_document, coco_sample_order, coco_split_documents, group_manifest_file, split_manifest_file, encodings_file,
+    pairs_file, hash_config_file, pipeline_config_file, evaluation_file, metric_rows,
 )}
 
 
@@ -300,7 +478,8 @@ cc as (select file_name as n, file_name as m from encodings union select cc.n, b
 rooted as (select n as file_name, min(m) as root from cc group by n)"""
 
 
-_SWEEP = f"""{fx.sql_encodings(BITS)}, {_PAIRS}, ts as (select unnest({THRESHOLDS}) as t),
+def _sweep(encodings: str) -> str:
+    return f"""{encodings}, {_PAIRS}, ts as (select unnest({THRESHOLDS}) as t),
 linked as (select t, left_name as n, right_name as m from pairs, ts where distance <= t union all select t, right_name, left_name from pairs, ts where distance <= t),
 cc as (select t, file_name as n, file_name as m from encodings, ts union select cc.t, cc.n, b.m from cc join linked b on b.t = cc.t and b.n = cc.m),
 rooted as (select t, n, min(m) as root from cc group by t, n),
@@ -321,6 +500,59 @@ scored as (
          - abs(pct_in_multi_image_groups - 30) + num_multi_image_groups * 0.1::double as production_score
   from judged)"""
 
+
+_SWEEP = _sweep(fx.sql_encodings(BITS))
+_BEST = "select threshold, largest_group_size, pct_in_multi_image_groups, passes_cluster_size_check from sweep order by passes_cluster_size_check desc, abs(threshold - 10), pct_in_multi_image_groups desc, largest_group_size limit 1"
+# merging in order: labels of all files in a list, one pair a step; a merge beyond the cap is passed over
+_LABELS = f"""{fx.sql_encodings(BITS)}, {_PAIRS},
+ids as (select file_name, row_number() over (order by file_name) as i from encodings),
+op as (select row_number() over (order by distance, left_name, right_name) as k, distance, a.i as a, b.i as b from pairs join ids a on a.file_name = left_name join ids b on b.file_name = right_name where distance <= 2)"""
+
+
+def _capped(settings: str) -> str:
+    return f"""{_LABELS}, settings as ({settings}),
+st as (
+  select threshold, cap, 0::bigint as k, (select list(i order by i) from ids) as l from settings
+  union all
+  select st.threshold, st.cap, st.k + 1,
+         case when l[op.a] <> l[op.b] and len(list_filter(l, lambda x: x = l[op.a] or x = l[op.b])) <= st.cap
+              then list_transform(l, lambda x: case when x = l[op.b] then l[op.a] else x end) else l end
+  from st join op on op.k = st.k + 1 and op.distance <= st.threshold),
+ended as (select threshold, cap, arg_max(l, k) as l from st group by all),
+labelled as (select threshold, cap, file_name, l[i] as label from ended, ids),
+rooted as (select *, min(file_name) over (partition by threshold, cap, label) as root from labelled)"""
+
+
+_GRID = f"""{_capped("select t::int as threshold, c::int as cap from (select unnest([1, 2]) as t) a, (select unnest([10, 50]) as c) b")},
+sizes as (select threshold, cap, root, count(*) as size from rooted group by all),
+grid as (
+  select threshold, cap, count(*) as num_groups, max(size) as largest_group_size, count(*) filter (size > 1) as num_multi_image_groups,
+         100.0::double * sum(case when size > 1 then size else 0 end) / sum(size) as pct, count(*) filter (size > 20) as over_20, count(*) filter (size > 50) as over_50
+  from sizes group by all),
+judged as (
+  select *, concat_ws('; ', case when largest_group_size > 50 then printf('largest_group_size=%d > 50', largest_group_size) end, case when pct < 10 then printf('pct_multi=%.1f < 10.0', pct) end,
+                      case when pct > 50 then printf('pct_multi=%.1f > 50.0', pct) end, case when num_multi_image_groups < 1 then 'no multi-image groups' end) as violations from grid)"""
+_CROPS = f"""{fx.SQL_TRUTHS}, {fx.SQL_IMAGES},
+owned as (select image_id, any_value(width) as width, any_value(height) as height, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) as g from truths join images using (image_id) group by image_id),
+slots as (select *, unnest(range(0, 3 * len(g))) as slot from owned)"""
+
+
+def _tries(name: str, source: str, low: int, high: int) -> str:
+    """The first of some tries of each slot that fits."""
+    digits = lambda n: f"('0x' || substr(h, {1 + 7 * n}, 7))::bigint"
+    return f"""{name}_h as (select *, md5('42:' || image_id || ':' || slot || ':' || t) as h from (select *, unnest(range({low}, {high + 1})) as t from {source})),
+{name}_s as (select *, [64, 128, 256][{digits(0)} % 3 + 1]::bigint as side from {name}_h),
+{name}_c as (select *, ({digits(1)} % greatest(1, width - side))::double as x1, ({digits(2)} % greatest(1, height - side))::double as y1 from {name}_s where side < width and side < height),
+{name}_b as (select *, x1 + side as x2, y1 + side as y2 from {name}_c),
+{name} as (
+  select image_id, slot, arg_min({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}, t) as c from {name}_b n
+  where not exists (select 1 from (select unnest(n.g) as e) b where {_iou("b.e.", "n.")} >= 0.2::double) group by all)"""
+
+
+_NEGATIVE = f"""{_CROPS}, {_tries("early", "slots", 1, 6)}, unfilled as (select * from slots anti join early using (image_id, slot)), {_tries("late", "unfilled", 7, 100)},
+negative as (select image_id, 0 as label, c.x1 as x1, c.y1 as y1, c.x2 as x2, c.y2 as y2 from (select * from early union all select * from late))"""
+_LINE = "gt_idx, printf('0 %.6f %.6f %.6f %.6f', cx, cy, nw, nh) as line"
+
 _EVAL = f"with recursive {_BOXES}, {fx.SQL_IMAGES}, {_KEPT}, kept_rows as (select image_id, e.i as pred_idx, e.s as score, e.x1 as x1, e.y1 as y1, e.x2 as x2, e.y2 as y2 from kept), {_matched('kept_rows')}, {_COUNTS}, {_AP}"
 
 
@@ -384,4 +616,44 @@ ORACLES = {
     "prf": f"with recursive {_BOXES}, {_matched('predictions')}, {_COUNTS} select tp, fp, fn, {_r('precision')}, {_r('recall')}, {_r('f1', _F1)} from rated",
     "average_precision": f"with recursive {_BOXES}, {_matched('predictions')}, {_AP} select {_r('average_precision')} from ap",
     "evaluate_summary": f"{_EVAL} select tp, fp, fn, {_r('precision')}, {_r('recall')}, {_r('f1', _F1)}, {_r('mean_iou', _mean_iou('kept_rows'))}, (select {_r('average_precision')} from ap) as average_precision, round((select count(*) from predictions) / (select count(*) from images)::double, {DIGITS}) as avg_boxes_before_nms, round((select count(*) from kept_rows) / (select count(*) from images)::double, {DIGITS}) as avg_boxes_after_nms, (select count(*) from images) as images from rated",
+    "capped_groups": f"with recursive {_capped('select 2 as threshold, 10 as cap')} select file_name, root from rooted",
+    "production_grid": f"with recursive {_GRID} select threshold, cap, num_groups, largest_group_size, num_multi_image_groups, {_r('pct_in_multi_image_groups', 'pct')}, violations = '' as passes_production_criteria, violations, "
+    + _r("production_score", "(case when violations = '' then 0 else -1000 end)::double - largest_group_size * 10 - over_20 * 50 - over_50 * 500 - abs(pct - 30) + num_multi_image_groups * 0.1::double")
+    + " from judged",
+    "negative_windows": f"with {_NEGATIVE} select * from negative",
+    "training_crops": f"with {_NEGATIVE} select image_id, label, count(*) as crops, sum(x1 + y1 + x2 + y2) as corners from (select image_id, 1 as label, x1, y1, x2, y2 from truths union all select * from negative) group by image_id, label",
+    "fill_singletons": f"""with {fx.SQL_GROUPS}, given as (select * from groups where not ends_with(file_name, '7.jpg')), largest as (select max(regexp_extract(group_id, '([0-9]+)$', 1)::bigint) as n from given)
+        select * from given union all select file_name, printf('group_%06d', (select n from largest) + row_number() over (order by file_name)) from groups where ends_with(file_name, '7.jpg')""",
+    "group_members": f"with {fx.SQL_GROUPS} select group_id, string_agg(file_name, ',' order by file_name) as files from groups group by group_id",
+    "files_by_split": f"with {fx.SQL_GROUPS}, {_GROUPED} select split, row_number() over (partition by split order by file_name) as position, file_name from splits",
+    "naive_leakage_examples": f"with {fx.SQL_GROUPS}, {_RANDOM} select group_id, string_agg(distinct split, ',' order by split) as splits from splits join groups using (file_name) group by group_id having count(distinct split) > 1 order by group_id limit 5",
+    "samples_for_split": f"with {fx.SQL_GROUPS}, {_GROUPED}, {fx.SQL_IMAGES} select image_id, file_name from images join splits using (file_name) where split = 'val'",
+    "split_filter": f"with {fx.SQL_GROUPS}, {_GROUPED}, {fx.SQL_IMAGES}, {fx.SQL_ANNOTATIONS} select image_id, gt_idx, category_id from annotations join images using (image_id) join splits using (file_name) where split = 'test'",
+    "file_stems": f"with {fx.SQL_IMAGES} select image_id, 'img.' || image_id || '.jpg' as name, 'img.' || image_id as stem from images",
+    "yolo_label_files": f"""with {fx.SQL_ANNOTATIONS}, {fx.SQL_IMAGES},
+        boxes as (select image_id, gt_idx, {_UNIT.format('(x + w / 2) / width')} as cx, {_UNIT.format('(y + h / 2) / height')} as cy, {_UNIT.format('w / width')} as nw, {_UNIT.format('h / height')} as nh from annotations join images using (image_id)),
+        texts as (select image_id, string_agg(line || chr(10), '' order by gt_idx) as text from (select image_id, {_LINE} from boxes) group by image_id)
+        select image_id, file_name, coalesce(text, '') as text from images left join texts using (image_id)""",
+    "label_classes": f"with {fx.SQL_ANNOTATIONS} select image_id, gt_idx, category_id::int as label from annotations",
+    "crop_quality": f"with {fx.SQL_ANNOTATIONS}, {fx.SQL_PREDICTIONS}, scored as (select pred_idx % 2 as label, (score * 1000 - 500) / 125 as logit from predictions) select count(*) as crops, {_r('accuracy', 'avg(((logit >= 0)::int = label)::int)')}, {_r('loss', 'avg(greatest(logit, 0) - logit * label + ln(1 + exp(-abs(logit))))')} from scored",
+    "window_scores": f"""with {fx.SQL_IMAGES}, windows as ({_WINDOWS}), scored as (select *, 1 / (1 + exp(-((x1 * 7 + y1 * 13 + size) % 17 - 8)::double)) as score from windows),
+        found as (select *, (row_number() over (partition by image_id order by size, x1, y1) - 1)::int as pred_idx from scored where score >= 0.7)
+        select image_id, pred_idx, x1::double as x1, y1::double as y1, x2::double as x2, y2::double as y2, {_r('score')} from found""",
+    "compare_crops": f"""select variant, threshold, largest_group_size, {_r('pct_in_multi_image_groups')} from (
+        select 'with_crop' as variant, * from (with recursive {_SWEEP} {_BEST}) union all
+        select 'no_crop', * from (with recursive {_sweep(fx.sql_encodings(BITS).replace('encodings as', 'whole as', 1) + ', encodings as (select file_name, (hash >> 2) << 2 as hash from whole)')} {_BEST}))
+        order by passes_cluster_size_check desc, largest_group_size, pct_in_multi_image_groups desc, variant desc limit 1""",
+    "coco_document": f"with {fx.SQL_ANNOTATIONS} select image_id, gt_idx as ann_idx, x, y, w, h, category_id from annotations",
+    "coco_sample_order": f"with {fx.SQL_IMAGES} select *, 22::bigint as categories from images",
+    "coco_split_documents": f"with {fx.SQL_GROUPS}, {_GROUPED}, {fx.SQL_IMAGES}, {fx.SQL_ANNOTATIONS} select split, image_id, gt_idx as ann_idx, category_id from annotations join images using (image_id) join splits using (file_name)",
+    "group_manifest_file": f"with {fx.SQL_GROUPS} select * from groups",
+    "split_manifest_file": f"with {fx.SQL_GROUPS}, {_GROUPED} select * from splits",
+    "encodings_file": f"with {fx.sql_encodings(64)} select file_name, lpad(lower(printf('%x', hash::uhugeint)), 16, '0') as hash_hex from encodings",
+    "pairs_file": f"with {fx.sql_encodings(BITS)}, {_PAIRS} select left_name as file_a, right_name as file_b from pairs where distance <= 2",
+    "hash_config_file": "select 0.1::double as top_frac, 0.2::double as bottom_frac, 0.05::double as left_frac, 0.0::double as right_frac, 'phash' as hash_backend, '1.0.0' as pipeline_version, true as stamped",
+    "pipeline_config_file": "select 2 as seed, 50 as cap, true as first_stamp_kept, true as last_stamp_moved, 'pipeline_config' as artifacts",
+    "evaluation_file": f"with recursive {_BOXES}, {_matched('predictions')}, {_COUNTS} select tp, fp, fn, {_r('precision')}, {_r('recall')}, {_r('f1', _F1)}, true as stamped from rated",
+    "metric_rows": f"""with {fx.SQL_GROUPS}, {_SUMMARY} select 'a' as run_id, 'num_groups' as key, num_groups::double as value_double, num_groups::varchar as value_string from summary
+        union all select 'a', 'note', null, 'first' union all select 'a', 'passed', 1.0::double, 'True'
+        union all select 'b', 'largest', largest_group_size::double, largest_group_size::varchar from summary""",
 }

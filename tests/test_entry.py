@@ -41,8 +41,3 @@ def test_query_equals_its_sql(spark, data, duck, name):
     columns = [c[0] for c in got.description]
     assert sorted(found.columns) == sorted(columns)
     assert rows_of(found.columns, found.collect()) == rows_of(columns, got.fetchall())
-
-
-@pytest.mark.parametrize("name", ["capped_groups", "production_grid", "negative_windows"])
-def test_queries_without_sql_run(spark, data, name):
-    assert entry.queries()[name](spark, data).count() > 0
