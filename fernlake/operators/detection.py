@@ -126,10 +126,18 @@ def detect_windows(windows: DataFrame, logits: Callable[[Iterator[pd.DataFrame]]
 
 def max_iou_with(boxes: DataFrame, truths: DataFrame) -> DataFrame:
     """``boxes`` with ``max_iou``: the largest IoU with a true box of the image, 0 without any."""
-    own = truths.groupBy("image_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_truths"))
-    held = boxes.join(own, "image_id", "left").withColumn("_box", F.struct("x1", "y1", "x2", "y2"))
+    corners = ["x1", "y1", "x2", "y2"]
+    held = truths.filter("image_id is not null").select("image_id", F.struct(*corners).alias("_t"))
+    sizes = held.groupBy("image_id").agg(F.count("*").alias("_n"))
+    sized = boxes.withColumn("_box", F.struct(*corners)).join(sizes, "image_id", "left")
+    few = held.join(sizes.filter(F.col("_n") <= FOLD_BOXES), "image_id").groupBy("image_id").agg(F.collect_list("_t").alias("_truths"))
     empty = "cast(array() as array<struct<x1:double,y1:double,x2:double,y2:double>>)"
-    return held.withColumn("max_iou", F.expr(max_iou_sql("_box", f"coalesce(_truths, {empty})"))).drop("_truths", "_box")
+    small = sized.filter(F.coalesce("_n", F.lit(0)) <= FOLD_BOXES).join(few, "image_id", "left").withColumn("max_iou", F.expr(max_iou_sql("_box", f"coalesce(_truths, {empty})")))
+    # the boxes of an image with many are never gathered: pairs stream through a join and a maximum
+    large = sized.filter(F.col("_n") > FOLD_BOXES).withColumn("_row", F.monotonically_increasing_id())
+    best = large.select("image_id", "_row", "_box").join(held, "image_id").groupBy("_row").agg(F.max(F.expr(iou_sql("_box", "_t"))).alias("max_iou"))
+    columns = [*boxes.columns, "max_iou"]
+    return small.select(*columns).union(large.join(best, "_row").select(*columns))
 
 
 def iou_pairs(predictions: DataFrame, truths: DataFrame) -> DataFrame:
@@ -149,15 +157,16 @@ def training_crops(images: DataFrame, truths: DataFrame, seed: int = 42, per_tru
     owned = truths.groupBy("image_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("g"))
     slots = images.select("image_id", "width", "height").join(owned, "image_id").select("*", F.expr(f"explode(sequence(0, {per_truth} * size(g) - 1))").alias("slot"))
 
-    def drawn(t: str, salt: int, below: str) -> str:
-        return f"pmod(xxhash64({seed}, image_id, slot, {t}, {salt}), {below})"
-
-    side = f"element_at(array({', '.join(map(str, NEGATIVE_SIZES))}), cast({drawn('t', 0, str(len(NEGATIVE_SIZES)))} as int) + 1)"
-    x, y = (f"cast({drawn('c.t', salt, f'greatest(1, {extent} - c.side)')} as double)" for salt, extent in ((1, "width"), (2, "height")))
+    # three numbers of 28 bits from the digits of one hash, as any engine can make them
+    digits = f"md5(concat_ws(':', {seed}, image_id, slot, t))"
+    drawn = lambda n, below: f"cast(conv(substr(c.h, {1 + 7 * n}, 7), 16, 10) as bigint) % {below}"
+    side = f"element_at(array({', '.join(map(str, NEGATIVE_SIZES))}), cast({drawn(0, len(NEGATIVE_SIZES))} as int) + 1)"
+    x, y = (f"cast({drawn(n, f'greatest(1, {extent} - c.side)')} as double)" for n, extent in ((1, "width"), (2, "height")))
 
     def first_of(low: int, high: int) -> str:
         """The first of some tries that fits, or null."""
-        sized = f"filter(transform(sequence({low}, {high}), t -> named_struct('t', t, 'side', {side})), c -> c.side < width and c.side < height)"
+        hashed = f"transform(sequence({low}, {high}), t -> named_struct('h', {digits}))"
+        sized = f"filter(transform({hashed}, c -> named_struct('h', c.h, 'side', {side})), c -> c.side < width and c.side < height)"
         placed = f"transform({sized}, c -> named_struct('x1', {x}, 'y1', {y}, 'side', c.side))"
         boxed = f"transform({placed}, c -> named_struct('x1', c.x1, 'y1', c.y1, 'x2', c.x1 + c.side, 'y2', c.y1 + c.side))"
         return f"get(filter({boxed}, c -> not exists(g, b -> {iou_sql('c', 'b')} >= {float(max_iou)}D)), 0)"

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlake.functions.boxes import iou_sql
-from fernlake.operators.detection import BY_SCORE, FOLD_BOXES, Grown, counted, ious
+from fernlake.operators.detection import BY_SCORE, FOLD_BOXES, Grown, counted, ious, max_iou_with
 from fernlake.operators.ranking import PART, ordered_parts
+from fernlake.runtime import drop_path, materialize
 
 ROWS = "image_id string, pred_idx int, score double, gt_idx int"
 
@@ -102,10 +103,7 @@ def precision_recall_f1(counts: DataFrame) -> DataFrame:
 
 def mean_iou(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     """One row ``mean_iou``: the mean over true boxes of their best IoU with any prediction (0 without one)."""
-    p = predictions.filter("image_id is not null").groupBy("image_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("preds"))
-    held = truths.withColumn("g", F.struct("x1", "y1", "x2", "y2")).join(p, "image_id", "left")
-    best = F.expr(f"coalesce(array_max(transform(preds, p -> {iou_sql('p', 'g')})), 0D)")
-    return held.agg(F.coalesce(F.avg(best), F.lit(0.0)).alias("mean_iou"))
+    return max_iou_with(truths.select("image_id", "x1", "y1", "x2", "y2"), predictions).agg(F.coalesce(F.avg("max_iou"), F.lit(0.0)).alias("mean_iou"))
 
 
 def average_precision(rows: DataFrame, n_truths: int) -> DataFrame:
@@ -114,7 +112,10 @@ def average_precision(rows: DataFrame, n_truths: int) -> DataFrame:
     Order is by score, then image, then prediction. 0 without true boxes or predictions.
     """
     order = [F.desc("score"), F.col("image_id"), F.col("pred_idx")]
-    cut = ordered_parts(rows.select("score", "image_id", "pred_idx", F.col("gt_idx").isNotNull().cast("int").alias("tp")), order)
+    # a range exchange reads its rows twice, for the bounds and to send them: they are written once before
+    own, path = materialize(rows.select("score", "image_id", "pred_idx", F.col("gt_idx").isNotNull().cast("int").alias("tp")), "matched")
+    cut = ordered_parts(own, order)
+    drop_path(rows.sparkSession, path)
     by_part = Window.orderBy(PART)
     carry = cut.groupBy(PART).agg(F.count("*").alias("n"), F.sum("tp").alias("k"))
     before = by_part.rowsBetween(Window.unboundedPreceding, -1)
@@ -140,14 +141,13 @@ def evaluate(images: DataFrame, predictions: DataFrame, truths: DataFrame, iou_t
 
     wanted = images.select("image_id").distinct()
     raw, own = predictions.join(wanted, "image_id", "left_semi"), truths.join(wanted, "image_id", "left_semi")
-    kept = suppress(raw, nms_threshold) if nms_threshold is not None else raw
-    found = matched(kept, own, iou_threshold)
-    counts = precision_recall_f1(image_counts(found, own))
-    n_truths = own.count()
-    n_images = F.lit(float(max(1, wanted.count())))
-    sizes = raw.agg((F.count("*") / n_images).alias("avg_boxes_before_nms")).crossJoin(kept.agg((F.count("*") / n_images).alias("avg_boxes_after_nms")))
+    kept = materialize(suppress(raw, nms_threshold), "kept")[0] if nms_threshold is not None else raw
+    found, _ = materialize(matched(kept, own, iou_threshold), "found")
+    n_images, n_truths, n_raw = (df.count() for df in (wanted, own, raw))
+    per_image = lambda n: (F.lit(float(n)) / max(1, n_images))
+    sizes = {"avg_boxes_before_nms": per_image(n_raw), "avg_boxes_after_nms": per_image(kept.count()), "images": F.lit(max(1, n_images)).cast("long")}
     # every operand is one row
-    return counts.crossJoin(mean_iou(kept, own)).crossJoin(average_precision(found, n_truths)).crossJoin(sizes).withColumn("images", n_images.cast("long"))
+    return precision_recall_f1(image_counts(found, own)).crossJoin(mean_iou(kept, own)).crossJoin(average_precision(found, n_truths)).withColumns(sizes)
 
 
 def crop_quality(scored: DataFrame) -> DataFrame:

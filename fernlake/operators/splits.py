@@ -136,7 +136,7 @@ def class_distribution(images: DataFrame, annotations: DataFrame, splits: DataFr
 def per_split(images: DataFrame, annotations: DataFrame, splits: DataFrame, manifest: DataFrame) -> DataFrame:
     """``split, images, annotations, groups`` for all three splits, zero where one is empty."""
     spark = splits.sparkSession
-    names = spark.createDataFrame([(s,) for s in SPLITS], "split string")
+    names = spark.range(1).select(F.explode(F.array(*map(F.lit, SPLITS))).alias("split"))
     counted = splits.join(manifest, "file_name").groupBy("split").agg(F.count("*").alias("images"), F.count_distinct("group_id").alias("groups"))
     boxes = class_distribution(images, annotations, splits).groupBy("split").agg(F.sum("annotations").alias("annotations"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -154,11 +154,27 @@ def split_statistics(images: DataFrame, annotations: DataFrame, splits: DataFram
 def naive_leakage(manifest: DataFrame, train: float = 0.6, val: float = 0.2, seed: int = 42, trials: int = 1) -> DataFrame:
     """``trial, leaking_groups, leaking_pct``: groups that a split of single images would tear apart, for each seed from ``seed`` on."""
     spark = manifest.sparkSession
+    torn, groups = _torn_groups(manifest, train, val, seed, trials)
+    seeds = spark.range(seed, seed + trials).withColumnRenamed("id", "trial")
+    counted = torn.groupBy("trial").agg(F.count("*").alias("k"))
+    return F.broadcast(seeds).join(counted, "trial", "left").select("trial", F.coalesce("k", F.lit(0)).cast("long").alias("leaking_groups"), (F.lit(100.0) * F.coalesce("k", F.lit(0)) / max(1, groups)).alias("leaking_pct"))
+
+
+def naive_leakage_examples(manifest: DataFrame, train: float = 0.6, val: float = 0.2, seed: int = 42, examples: int = 5) -> DataFrame:
+    """``group_id, splits`` of the first few groups, by id, that a split of single images would tear apart."""
+    return _torn_groups(manifest, train, val, seed, 1)[0].orderBy("group_id").limit(examples).select("group_id", "splits")
+
+
+def files_by_split(splits: DataFrame) -> DataFrame:
+    """``split, position, file_name``: each split's files in order of their names, as rows."""
+    return rank_within(splits.select("split", "file_name").distinct(), "split", [F.col("file_name")], "position").select("split", "position", "file_name")
+
+
+def _torn_groups(manifest: DataFrame, train: float, val: float, seed: int, trials: int) -> tuple[DataFrame, int]:
+    """``trial, group_id, splits`` of groups in several splits, and the number of all groups."""
     files = manifest.select("file_name", "group_id").distinct()
     n, groups = files.agg(F.count("*"), F.count_distinct("group_id")).first()
-    seeds = spark.range(seed, seed + trials).withColumnRenamed("id", "trial")
     spread = files.withColumn("trial", F.explode(F.sequence(F.lit(seed), F.lit(seed + trials - 1)))).withColumn("trial", F.col("trial").cast("long"))
     ranked = rank_within(spread, "trial", [seeded_order(F.col("trial"), F.col("file_name")), F.col("file_name")])
-    torn = ranked.select("trial", "group_id", _named("rank", int(train * n), int(val * n)).alias("split")).groupBy("trial", "group_id").agg(F.count_distinct("split").alias("k")).filter("k > 1")
-    counted = torn.groupBy("trial").agg(F.count("*").alias("k"))
-    return F.broadcast(seeds).join(counted, "trial", "left").select("trial", F.coalesce("k", F.lit(0)).cast("long").alias("leaking_groups"), (F.lit(100.0) * F.coalesce("k", F.lit(0)) / max(1, groups)).alias("leaking_pct"))
+    placed = ranked.select("trial", "group_id", _named("rank", int(train * n), int(val * n)).alias("split"))
+    return placed.groupBy("trial", "group_id").agg(F.sort_array(F.collect_set("split")).alias("splits")).filter(F.size("splits") > 1), groups
