@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import shutil
 import tempfile
@@ -93,10 +94,16 @@ class Scratch:
         return made
 
     def drop(self) -> None:
-        """Delete them all; what was made from them must be written by now."""
+        """Delete them all; what was made from them must be written by now.
+
+        Executors keep the shuffle files of finished plans until the driver's collector has found the plans
+        unused, which on a quiet driver may be long after; it is asked to look now.
+        """
         for path in self.paths:
             drop_path(self.spark, path)
         self.paths.clear()
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
