@@ -170,15 +170,15 @@ def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
     return token[order], got.column("n").to_numpy()[order]
 
 
-def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first of a set's shingles, rarest first: sets that are similar enough share one of them."""
+def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, float]:
+    """The first of a set's shingles, rarest first: sets that are similar enough share one of them. Also how common its shingles are on average."""
     known, times = common
     seen = np.zeros(len(hashes), np.int64)
     if len(known):
         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
         seen = np.where(known[at] == hashes, times[at], 0)
     ordered = hashes[np.lexsort((hashes, seen))]
-    return ordered[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
+    return ordered[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1], float(seen.mean()) if len(seen) else 0.0
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
@@ -191,7 +191,7 @@ BITS = [f"b{i}" for i in range(PARITY)]
 
 
 def set_signatures(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, text_hash, sig, size, prefix, b0, b1, ...`` of every whole text; ``sig`` is a hash of all words, which texts that are alike share."""
+    """``doc_id, text_hash, sig, size, weight, prefix, b0, b1, ...`` of every whole text; ``sig`` is a hash of all words, which texts that are alike share."""
     import xxhash
 
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))
@@ -205,12 +205,13 @@ def set_signatures(docs: DataFrame, similarity: float, id_col: str, text_col: st
                 sets = [shingle_set(t) for t in texts]
                 bits = np.array([parity(s) for s in sets])
                 columns = [batch.column(c).slice(low, len(texts)) for c in (0, 1)]
-                columns += [pa.array(sigs.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s, similarity, sent.value) for s in sets])]
+                firsts = [prefix(s, similarity, sent.value) for s in sets]
+                columns += [pa.array(sigs.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([w for _, w in firsts], pa.float32()), _lists([f for f, _ in firsts])]
                 columns += [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(PARITY)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "sig", "size", "prefix", *BITS])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "sig", "size", "weight", "prefix", *BITS])
                 low += len(texts)
 
-    schema = ", ".join(["doc_id long, text_hash long, sig long, size int, prefix array<long>", *(f"{b} long" for b in BITS)])
+    schema = ", ".join(["doc_id long, text_hash long, sig long, size int, weight float, prefix array<long>", *(f"{b} long" for b in BITS)])
     return docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
@@ -227,10 +228,11 @@ def _near(similarity: float, x: str, y: str) -> Column:
 
 
 def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """Those of ``pairs`` (``u, v`` of ``sig``) whose shingle sets are similar."""
+    """Those of ``pairs`` (``u, v`` of ``sig``) whose shingle sets are similar, kept in ``scratch``."""
+    own = Scratch(docs.sparkSession)
     # the texts of the candidates, one of each class, as sets
     asked = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
-    wanted = scratch.keep(classes.join(asked, "sig").select("sig", F.col("first.doc_id").alias("wk"), F.col("first.text_hash").alias("h")), "wanted")
+    wanted = own.keep(classes.join(asked, "sig").select("sig", F.col("first.doc_id").alias("wk"), F.col("first.text_hash").alias("h")), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,11 +245,13 @@ def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similar
     # other texts stay where they are; a class's first text has one hash, so dropping repeats needs no other exchange than the join
     named = docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).filter(maybe_among(wanted.select("h"))(F.col("h")))
     texts = named.join(wanted, "h").filter(F.col("k").eqNullSafe(F.col("wk"))).dropDuplicates(["h", "sig"]).select("sig", "t")
-    sets = scratch.keep(texts.mapInArrow(run, "sig long, shingles array<long>"), "sets")
+    sets = own.keep(texts.mapInArrow(run, "sig long, shingles array<long>"), "sets")
     sides = [sets.select(F.col("sig").alias(s), F.col("shingles").alias(f"{s}_set")) for s in "uv"]
     both = F.size(F.array_intersect("u_set", "v_set"))
     alike = both >= F.lit(similarity) * (F.size("u_set") + F.size("v_set") - both) - 1e-9
-    return scratch.keep(pairs.join(sides[0], "u").join(sides[1], "v").filter(alike).select("u", "v"), "links")
+    links = scratch.keep(pairs.join(sides[0], "u").join(sides[1], "v").filter(alike).select("u", "v"), "links")
+    own.drop()
+    return links
 
 
 def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,21 +260,20 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     Sets of n shingles in one order, the same for all, that are similar enough share one of their first
     n - ceil(similarity * n) + 1; rare shingles come first, so few texts share them. All texts that share
     such a shingle are candidates, in two steps. First each is compared with one of its bucket, that whose
-    shingles most others share. Then all pairs that these links have not connected are compared. What rules
+    shingles are commonest, as the head of a group of copies has them. Then all pairs that these links have not connected are compared. What rules
     out a pair before its sets are read (sizes, places, parity bitmaps) is a bound, never an estimate.
     """
-    tasks, scratch = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), Scratch(docs.sparkSession)
+    tasks, scratch, buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     made, _ = materialize(set_signatures(docs, similarity, id_col, text_col), "signatures")
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    classes = scratch.keep(made.groupBy("sig").agg(F.min(named).alias("first"), *[F.first(c).alias(c) for c in ("size", "prefix", *BITS)]), "classes")
+    classes = scratch.keep(made.groupBy("sig").agg(F.min(named).alias("first"), *[F.first(c).alias(c) for c in ("size", "weight", "prefix", *BITS)]), "classes")
     bits = classes.select("sig", "size", *BITS)
 
-    keyed = classes.select("sig", "size", F.posexplode("prefix").alias("place", "token")).repartition(tasks, "token")
+    keyed = classes.select("sig", "size", "weight", F.posexplode("prefix").alias("place", "token")).repartition(tasks, "token")
     shared = keyed.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    kept = scratch.keep(keyed.join(shared, "token"), "buckets")
+    kept = buckets.keep(keyed.join(shared, "token"), "buckets")
 
-    weight = kept.groupBy("sig").agg((F.sum("n") / F.max("size")).alias("weight"))
-    heads = kept.join(weight, "sig").groupBy("token").agg(F.max(F.struct("weight", "sig", "size", "place")).alias("top")).select("token", "top.sig", "top.size", "top.place")
+    heads = kept.groupBy("token").agg(F.max(F.struct("weight", "sig", "size", "place")).alias("top")).select("token", "top.sig", "top.size", "top.place")
     starred = kept.alias("x").join(heads.alias("y"), "token").filter(F.col("x.sig") != F.col("y.sig")).filter(_possible(similarity, "x", "y"))
     stars = starred.select(F.greatest("x.sig", "y.sig").alias("u"), F.least("x.sig", "y.sig").alias("v")).distinct()
     near = stars.join(bits.alias("x"), F.col("u") == F.col("x.sig")).join(bits.alias("y"), F.col("v") == F.col("y.sig")).filter(_near(similarity, "x", "y"))
@@ -281,6 +284,8 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     roots = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
     split = roots.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n")).filter("roots > 1")
     split = split.select("token", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("blocks"))
+    del near, stars, starred, heads, shared, keyed
+    buckets.drop()
     mixed = scratch.keep(rooted.join(split, "token").join(bits, "sig"), "mixed")
     some = mixed.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
     all_ = mixed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
