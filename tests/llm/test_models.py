@@ -165,3 +165,65 @@ def test_search_with_copies_and_bad_vectors(spark):
     assert ann_search.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = ann_search.nearest(df.filter("vec_id in (0, 61)"), F.col("vec_id") % 20 == 0).collect()
     assert [(r["query_id"], r["vec_id"]) for r in few] == [(0, 61)]
+
+
+def test_ftrl_equals_the_textbook_update():
+    rng = np.random.default_rng(4)
+    rows = [(np.unique(rng.integers(0, 40, 6)).astype(np.uint32), int(rng.integers(2))) for _ in range(120)]
+    alpha, beta, l1, l2, bias = 0.3, 1.0, 0.4, 1.0, 64
+    learner = toxicity.FTRL(6, alpha, beta, l1, l2)
+    z, n = dict.fromkeys(range(65), 0.0), dict.fromkeys(range(65), 0.0)
+
+    def weight(i):
+        pull = 0.0 if i == bias else l1
+        if abs(z[i]) <= pull:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * pull) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for at, label in rows:
+        own = [*at.tolist(), bias]
+        w = {i: weight(i) for i in own}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - label
+        for i in own:
+            sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+        learner.learn(at, label)
+    assert learner.model()[0] == pytest.approx([weight(i) for i in range(64)], abs=1e-6)
+    assert learner.model()[1] == pytest.approx(weight(bias))
+
+
+def test_windows_are_spread_over_whole_texts():
+    data = bytes(range(256)) * 400
+    cut = language_id.spread_windows(data, 50)
+    assert len(cut) == 50 and (cut[0] == np.arange(64)).all() and (cut[-1] == language_id.windows_of(data)[-1]).all()
+    assert len(language_id.spread_windows(b"", 50)) == 0 and len(language_id.spread_windows(b"ab", 50)) == 1
+
+
+def test_clustered_vectors_need_few_cells(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 16)) * 4
+    x = centres[rng.integers(8, size=4000)] + rng.normal(size=(4000, 16)) * 0.3
+    found = ann_search.fit_cells(x, 16)
+    assert ann_search.probes_for(x, found, 20) <= 6
+    assert ann_search.probes_for(rng.normal(size=(3000, 16)), ann_search.fit_cells(x, 16), 20) <= 16
+    asked = ann_search.cells_asked(x[:5], found, 3)
+    assert (asked.sum(1) == 3).all() and asked[np.arange(5), (x[:5] @ found.T).argmax(1)].all()
+
+
+def test_an_id_with_two_vectors_is_named_once(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [0.0, 3.0]), (2, [1.0, 1.0])]
+    got = ann_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 5).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 3.0), (2, 1.0)]
+
+
+def test_many_cells_and_waves_keep_recall(spark, monkeypatch):
+    monkeypatch.setattr(ann_search, "BLOCK", 100)
+    monkeypatch.setattr(ann_search, "WAVE", 20)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(1500)]
+    got = {}
+    for r in ann_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute([(i, np.array(v)) for i, v in rows], lambda i: i % 20 == 0, 10)
+    assert np.mean([len(got[q] & {i for i, _ in v}) / 10 for q, v in want.items()]) >= 0.9
