@@ -269,12 +269,12 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     classes = scratch.keep(made.groupBy("sig").agg(F.min(named).alias("first"), *[F.first(c).alias(c) for c in ("size", "weight", "prefix", *BITS)]), "classes")
     bits = classes.select("sig", "size", *BITS)
 
+    # the aggregate reads all columns, so that it and the join with its result share one exchange
     keyed = classes.select("sig", "size", "weight", F.posexplode("prefix").alias("place", "token")).repartition(tasks, "token")
-    shared = keyed.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    kept = buckets.keep(keyed.join(shared, "token"), "buckets")
+    heads = keyed.groupBy("token").agg(F.max(F.struct("weight", "sig", "size", "place")).alias("top"), F.count("*").alias("n")).filter("n > 1")
+    kept = buckets.keep(keyed.join(heads.select("token", "top"), "token").select("token", "sig", "size", "weight", "place", "top"), "buckets")
 
-    heads = kept.groupBy("token").agg(F.max(F.struct("weight", "sig", "size", "place")).alias("top")).select("token", "top.sig", "top.size", "top.place")
-    starred = kept.alias("x").join(heads.alias("y"), "token").filter(F.col("x.sig") != F.col("y.sig")).filter(_possible(similarity, "x", "y"))
+    starred = kept.select(F.struct("sig", "size", "place").alias("x"), F.col("top").alias("y")).filter("x.sig <> y.sig").filter(_possible(similarity, "x", "y"))
     stars = starred.select(F.greatest("x.sig", "y.sig").alias("u"), F.least("x.sig", "y.sig").alias("v")).distinct()
     near = stars.join(bits.alias("x"), F.col("u") == F.col("x.sig")).join(bits.alias("y"), F.col("v") == F.col("y.sig")).filter(_near(similarity, "x", "y"))
     first = similar_pairs(docs, classes, scratch.keep(near.select("u", "v"), "stars"), similarity, id_col, text_col, scratch)
@@ -284,7 +284,7 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     roots = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
     split = roots.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n")).filter("roots > 1")
     split = split.select("token", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("blocks"))
-    del near, stars, starred, heads, shared, keyed
+    del near, stars, starred, heads, keyed
     buckets.drop()
     mixed = scratch.keep(rooted.join(split, "token").join(bits, "sig"), "mixed")
     some = mixed.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
