@@ -181,17 +181,23 @@ def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.n
     return ordered[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1], float(seen.mean()) if len(seen) else 0.0
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """Bit b is 1 if an odd number of hashes fall on b: bitmaps differ in no more bits than sets in shingles."""
-    odd = np.bincount((hashes & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+def parity(hashes: np.ndarray, words: int = PARITY) -> np.ndarray:
+    """Bit b is 1 if an odd number of hashes fall on b: bitmaps differ in no more bits than sets in shingles. ``words`` is a power of two."""
+    odd = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
+def wide_parity(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap of two to four bits a shingle where ``PARITY`` words are fewer; else none."""
+    bits = 1 << max(2 * len(hashes) - 1, 1).bit_length()
+    return parity(hashes, bits // 64) if bits > 64 * PARITY else np.empty(0, np.int64)
+
+
 BITS = [f"b{i}" for i in range(PARITY)]
 
 
 def set_signatures(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, text_hash, sig, size, weight, prefix, b0, b1, ...`` of every whole text; ``sig`` is a hash of all words, which texts that are alike share."""
+    """``doc_id, text_hash, sig, size, weight, prefix, wide, b0, b1, ...`` of every whole text; ``sig`` is a hash of all words, which texts that are alike share."""
     import xxhash
 
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))
@@ -206,12 +212,12 @@ def set_signatures(docs: DataFrame, similarity: float, id_col: str, text_col: st
                 bits = np.array([parity(s) for s in sets])
                 columns = [batch.column(c).slice(low, len(texts)) for c in (0, 1)]
                 firsts = [prefix(s, similarity, sent.value) for s in sets]
-                columns += [pa.array(sigs.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([w for _, w in firsts], pa.float32()), _lists([f for f, _ in firsts])]
+                columns += [pa.array(sigs.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([w for _, w in firsts], pa.float32()), _lists([f for f, _ in firsts]), _lists([wide_parity(s) for s in sets])]
                 columns += [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(PARITY)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "sig", "size", "weight", "prefix", *BITS])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "sig", "size", "weight", "prefix", "wide", *BITS])
                 low += len(texts)
 
-    schema = ", ".join(["doc_id long, text_hash long, sig long, size int, weight float, prefix array<long>", *(f"{b} long" for b in BITS)])
+    schema = ", ".join(["doc_id long, text_hash long, sig long, size int, weight float, prefix array<long>, wide array<long>", *(f"{b} long" for b in BITS)])
     return docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
@@ -227,6 +233,20 @@ def _near(similarity: float, x: str, y: str) -> Column:
     return apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{x}.size") + F.col(f"{y}.size")) + 1e-9
 
 
+def _near_wide(similarity: float, x: str, y: str) -> Column:
+    """The same by wide bitmaps, the wider one folded to the other's width; true where a side has none or is over twice as wide."""
+
+    def folded(wide: Column, other: Column) -> Column:
+        half = F.size(other)
+        over = F.zip_with(F.slice(wide, 1, half), F.slice(wide, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(wide) == 2 * half, over).otherwise(wide)
+
+    a, b = F.col(f"{x}.wide"), F.col(f"{y}.wide")
+    told = (F.least(F.size(a), F.size(b)) > 0) & (F.greatest(F.size(a), F.size(b)) <= 2 * F.least(F.size(a), F.size(b)))
+    apart = F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, m: n + m)
+    return F.when(told, apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{x}.size") + F.col(f"{y}.size")) + 1e-9).otherwise(F.lit(True))
+
+
 def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """Those of ``pairs`` (``u, v`` of ``sig``) whose shingle sets are similar, kept in ``scratch``."""
     own = Scratch(docs.sparkSession)
@@ -266,8 +286,13 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     tasks, scratch, buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     made, _ = materialize(set_signatures(docs, similarity, id_col, text_col), "signatures")
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    classes = scratch.keep(made.groupBy("sig").agg(F.min(named).alias("first"), *[F.first(c).alias(c) for c in ("size", "weight", "prefix", *BITS)]), "classes")
+    classes = scratch.keep(made.groupBy("sig").agg(F.min(named).alias("first"), *[F.first(c).alias(c) for c in ("size", "weight", "prefix", "wide", *BITS)]), "classes")
     bits = classes.select("sig", "size", *BITS)
+    maps = classes.select("sig", "size", "wide", *BITS)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(maps.alias("x"), F.col("u") == F.col("x.sig")).join(maps.alias("y"), F.col("v") == F.col("y.sig"))
+        return both.filter(_near(similarity, "x", "y") & _near_wide(similarity, "x", "y")).select("u", "v")
 
     # the aggregate reads all columns, so that it and the join with its result share one exchange
     keyed = classes.select("sig", "size", "weight", F.posexplode("prefix").alias("place", "token")).repartition(tasks, "token")
@@ -276,22 +301,21 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
 
     starred = kept.select(F.struct("sig", "size", "place").alias("x"), F.col("top").alias("y")).filter("x.sig <> y.sig").filter(_possible(similarity, "x", "y"))
     stars = starred.select(F.greatest("x.sig", "y.sig").alias("u"), F.least("x.sig", "y.sig").alias("v")).distinct()
-    near = stars.join(bits.alias("x"), F.col("u") == F.col("x.sig")).join(bits.alias("y"), F.col("v") == F.col("y.sig")).filter(_near(similarity, "x", "y"))
-    first = similar_pairs(docs, classes, scratch.keep(near.select("u", "v"), "stars"), similarity, id_col, text_col, scratch)
+    first = similar_pairs(docs, classes, scratch.keep(near(stars), "stars"), similarity, id_col, text_col, scratch)
 
     parts = connected_components(first).select(F.col("node").alias("sig"), "component")
     rooted = scratch.keep(kept.select("token", "sig", "place").join(parts, "sig", "left").select("token", "sig", "place", F.coalesce("component", "sig").alias("root")), "rooted")
     roots = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
     split = roots.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n")).filter("roots > 1")
     split = split.select("token", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("blocks"))
-    del near, stars, starred, heads, keyed
+    del stars, starred, heads, keyed
     buckets.drop()
     mixed = scratch.keep(rooted.join(split, "token").join(bits, "sig"), "mixed")
     some = mixed.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
     all_ = mixed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.sig") > F.col("y.sig"))
     across = some.alias("x").join(all_.alias("y"), ["token", "block"]).filter((F.col("x.root") != F.col("y.root")) & once & _possible(similarity, "x", "y") & _near(similarity, "x", "y"))
-    rest = scratch.keep(across.select(F.greatest("x.sig", "y.sig").alias("u"), F.least("x.sig", "y.sig").alias("v")).distinct(), "across")
+    rest = scratch.keep(near(across.select(F.greatest("x.sig", "y.sig").alias("u"), F.least("x.sig", "y.sig").alias("v")).distinct()), "across")
     links = first.union(similar_pairs(docs, classes, rest, similarity, id_col, text_col, scratch)) if rest.take(1) else first
 
     parts = connected_components(links).select(F.col("node").alias("sig"), "component")

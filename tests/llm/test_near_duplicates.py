@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -136,3 +137,23 @@ def test_sieve_lets_all_that_are_there_through(spark):
         got = {r["x"] for r in asked.filter(maybe_among(hashes, bits)(F.col("x"))).collect()}
         assert set(there) <= got and None not in got and len(got) <= len(there) + most
     assert asked.filter(maybe_among(hashes.limit(0), 1 << 10)(F.col("x"))).count() == 0
+
+
+def test_wide_bitmaps_rule_out_no_similar_sets(spark):
+    rng = np.random.default_rng(11)
+    rows, told = [], []
+    for size in (100, 257, 300, 511, 513, 1000, 1025, 5000):
+        for share in (0.0, 0.3, 0.7, 0.8, 0.9, 1.0):
+            for grown in (0, 0.2):
+                x = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+                y = np.concatenate([x[: int(share * size)], rng.integers(0, 1 << 63, int((1 - share + grown) * size), dtype=np.uint64)])
+                both = len(np.intersect1d(x, y))
+                told.append(both >= 0.8 * (len(x) + len(y) - both) - 1e-9)
+                rows.append((len(told) - 1, (len(x), simhash.wide_parity(x).tolist()), (len(y), simhash.wide_parity(y).tolist())))
+    made = spark.createDataFrame(rows, "i int, x struct<size int, wide array<long>>, y struct<size int, wide array<long>>")
+    kept = {r.i for r in made.filter(simhash._near_wide(0.8, "x", "y")).select("i").collect()}
+    swapped = {r.i for r in made.filter(simhash._near_wide(0.8, "y", "x")).select("i").collect()}
+    alike = {i for i, same in enumerate(told) if same}
+    assert kept == swapped and alike <= kept
+    # small sets have no wide bitmap and pass; larger ones without a common shingle do not
+    assert 0 in kept and not any(i in kept for i in range(12, len(told)) if i % 12 < 2)
