@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernlake.llm.chunks import slices
@@ -140,6 +140,8 @@ SAMPLE, COMMON = 10_000, 500_000
 PARITY = 8
 #: Rows of a bucket that one task compares with the others.
 BLOCK = 1024
+#: Shared shingles before its own that a text's row in a bucket carries.
+RECENT = 4
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -247,6 +249,11 @@ def _near_wide(similarity: float, x: str, y: str) -> Column:
     return F.when(told, apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{x}.size") + F.col(f"{y}.size")) + 1e-9).otherwise(F.lit(True))
 
 
+def _met(x: str, y: str) -> Column:
+    """Whether one of the shingles that two rows carry is the same: the two texts then have met in its bucket."""
+    return F.coalesce(F.arrays_overlap(f"{x}.recent", f"{y}.recent"), F.lit(False))
+
+
 def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """Those of ``pairs`` (``u, v`` of ``sig``) whose shingle sets are similar, kept in ``scratch``."""
     own = Scratch(docs.sparkSession)
@@ -280,7 +287,9 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     Sets of n shingles in one order, the same for all, that are similar enough share one of their first
     n - ceil(similarity * n) + 1; rare shingles come first, so few texts share them. All texts that share
     such a shingle are candidates, in two steps. First each is compared with one of its bucket, that whose
-    shingles are commonest, as the head of a group of copies has them. Then all pairs that these links have not connected are compared. What rules
+    shingles are commonest, as the head of a group of copies has them. Then all pairs that these links have not connected are compared;
+    two that share many such shingles come up in few of their buckets, always in that of the first, where
+    what their places allow is most. What rules
     out a pair before its sets are read (sizes, places, parity bitmaps) is a bound, never an estimate.
     """
     tasks, scratch, buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), Scratch(docs.sparkSession), Scratch(docs.sparkSession)
@@ -310,11 +319,14 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     split = split.select("token", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("blocks"))
     del stars, starred, heads, keyed
     buckets.drop()
-    mixed = scratch.keep(rooted.join(split, "token").join(bits, "sig"), "mixed")
+    # texts of different roots meet in the buckets of all shingles they share; a text's order is that of all
+    before = Window.partitionBy("sig").orderBy("place")
+    recent = F.array(*[F.lag("token", i).over(before) for i in range(1, RECENT + 1)]).alias("recent")
+    mixed = scratch.keep(rooted.join(split, "token").join(bits, "sig").select("*", recent), "mixed")
     some = mixed.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
     all_ = mixed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.sig") > F.col("y.sig"))
-    across = some.alias("x").join(all_.alias("y"), ["token", "block"]).filter((F.col("x.root") != F.col("y.root")) & once & _possible(similarity, "x", "y") & _near(similarity, "x", "y"))
+    across = some.alias("x").join(all_.alias("y"), ["token", "block"]).filter((F.col("x.root") != F.col("y.root")) & once & ~_met("x", "y") & _possible(similarity, "x", "y") & _near(similarity, "x", "y"))
     rest = scratch.keep(near(across.select(F.greatest("x.sig", "y.sig").alias("u"), F.least("x.sig", "y.sig").alias("v")).distinct()), "across")
     links = first.union(similar_pairs(docs, classes, rest, similarity, id_col, text_col, scratch)) if rest.take(1) else first
 

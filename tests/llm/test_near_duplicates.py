@@ -97,9 +97,10 @@ def similar_groups(texts, similarity=0.8):
     return group
 
 
-@pytest.mark.parametrize("block", [2, 1024])
-def test_similar_documents(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, recent", [(2, 4), (1024, 1)])
+def test_similar_documents(spark, monkeypatch, block, recent):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "RECENT", recent)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     texts, at = {}, 0

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from fernlake.llm import simhash
 from tests.llm.test_near_duplicates import similar_groups, word_set
 
@@ -63,3 +65,18 @@ def test_isolated_pairs_just_over_the_threshold_are_found(spark):
     want = similar_groups(texts)
     assert len(set(want.values())) == 200
     assert grouped(spark, texts) == want
+
+
+@pytest.mark.parametrize("block, recent", [(1, 1), (1024, 3)])
+def test_texts_that_share_most_shingles_without_being_alike(spark, monkeypatch, block, recent):
+    """Parts in common, in several mixtures: most pairs have many common shingles, some of them enough."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "RECENT", recent)
+    rng = random.Random(14)
+    parts, texts = [words(rng, 30) for _ in range(12)], {}
+    for i in range(120):
+        chosen = rng.sample(parts, rng.randint(8, 11)) if i % 3 else [p for p in parts if rng.random() < 0.9]
+        texts[i] = " ".join(sum(chosen, []) + words(rng, rng.randint(0, 40)))
+    want = similar_groups(texts)
+    assert 5 < len(set(want.values())) < 115
+    assert grouped(spark, texts) == want
