@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernlake.llm import ann_search, byte_bpe, chat_format, decontaminate, language_id, secret_scan, simhash, token_pack, toxicity, url_rules
+from fernlake.llm import alignment, ann_search, byte_bpe, chat_format, decontaminate, language_id, secret_scan, simhash, token_pack, toxicity, url_rules
 
 QUERIES = {
     "op1_token_pack": token_pack.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secret_scan.query,
     "op9_chat_format": chat_format.query,
     "op10_ann_search": ann_search.query,
+    "op11_token_alignment": alignment.query,
 }
 
 ORACLES = {"op5_url_rules": url_rules.SQL, "op9_chat_format": chat_format.SQL}
