@@ -30,16 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlake.llm.chunks import Chunked, gather, slices
-from fernlake.llm.memory import Memory
+from fernlake.llm.chunks import Chunked, slices
 from fernlake.runtime import materialize
 
 #: Pairs that are broadcast with their counts, at most.
 HOT = 1 << 20
 #: Parts that the first of the two shuffles splits a pair into.
 SALTS = 16
-#: Distinct chunks a worker remembers, and the characters up to which one is.
-CACHE_CHUNKS, LONGEST_CHUNK = 200_000, 48
+#: Distinct chunks a worker remembers, and eight times as many links.
+CACHE_CHUNKS = 300_000
 #: Chunks that are encoded and aligned in one go, and links a task adds up in one go.
 TOGETHER, LINKS = 4096, 1 << 21
 
@@ -74,13 +73,38 @@ def level_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Aligned:
-    """What texts or chunks come to: counts, links as codes ``a * pieces + b``, groups as text; ``fits`` is false where the bytes differ."""
+class Store:
+    """What chunks come to, in arrays: ``tell`` (fits, tokens of A, of B, groups), codes of their links end to end, groups as text.
 
-    __slots__ = ("fits", "n_a", "n_b", "groups", "codes", "text")
+    Row 0 is nothing. It is bounded: a batch that finds it full starts it anew.
+    """
+
+    def __init__(self, code: str):
+        self.code = code
+        self.forget()
+
+    def forget(self) -> None:
+        self.row_of: dict[str, int] = {}
+        self.tell, self.start, self.length = np.zeros((1024, 4), np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.pool, self.rows, self.links, self.texts = np.zeros(4096, self.code), 0, 0, []
+        self.add(np.array([[1, 0, 0, 0]]), np.zeros(1, np.int64), np.zeros(0, self.code), [b""])
+
+    def add(self, tell: np.ndarray, length: np.ndarray, codes: np.ndarray, texts: list[bytes]) -> int:
+        """The first of the new rows."""
+        first, upto, links = self.rows, self.rows + len(tell), self.links + len(codes)
+        while upto > len(self.tell):
+            self.tell, self.start, self.length = np.concatenate([self.tell] * 2), np.concatenate([self.start] * 2), np.concatenate([self.length] * 2)
+        while links > len(self.pool):
+            self.pool = np.concatenate([self.pool] * 2)
+        self.tell[first:upto], self.length[first:upto], self.start[first:upto] = tell, length, self.links + np.cumsum(length) - length
+        self.pool[self.links : links] = codes
+        self.texts += texts
+        self.rows, self.links = upto, links
+        return first
 
-    def __init__(self, fits: bool, n_a: int = 0, n_b: int = 0, groups: int = 0, codes: bytes = b"", text: bytes = b""):
-        self.fits, self.n_a, self.n_b, self.groups, self.codes, self.text = fits, n_a, n_b, groups, codes, text
+    @property
+    def full(self) -> bool:
+        return self.rows > CACHE_CHUNKS or self.links > 8 * CACHE_CHUNKS
 
 
 class Aligner:
@@ -101,89 +125,103 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_length, self.b_length = byte_lengths(self.a_bytes), byte_lengths(self.b_bytes)
-        self.a_name, self.b_name = ([str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
-        self.spaced = np.array([x[:1] == b" " for x in self.a_bytes])
-        self.known = Memory(CACHE_CHUNKS, LONGEST_CHUNK)
-
-    def encode(self, texts: list[str]) -> tuple[list, list]:
-        """Ids of each text with a space before it, by A and by B."""
-        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
-
-    def encode_chunks(self, chunks: list[str]) -> tuple[list, list]:
-        """The same of chunks without white space at their ends, A's as one text."""
-        ids = np.array(self.a.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids)
-        at = np.flatnonzero(self.spaced[ids])
-        if len(at) != len(chunks):
-            return self.encode(chunks)
-        return [x.tolist() for x in np.split(ids, at[1:])], self.b.encode(chunks, num_threads=1)
-
-    def align(self, texts: list[str], chunks: bool = False) -> list[Aligned]:
-        """Each text by itself; all are laid end to end, each end being a cut of both sides."""
-        own_a, own_b = (self.encode_chunks if chunks else self.encode)(texts)
-        fits = [b"".join(map(self.a_bytes.__getitem__, x)) == (t := b" " + text.encode()) == b"".join(map(self.b_bytes.__getitem__, y)) for text, x, y in zip(texts, own_a, own_b)]
-        kept = [i for i, good in enumerate(fits) if good]
-        out = [Aligned(False)] * len(texts)
-        if not kept:
-            return out
-        count_a, count_b = (np.array([len(own[i]) for i in kept]) for own in (own_a, own_b))
-        a, b = (np.array([x for i in kept for x in own[i]], np.int64) for own in (own_a, own_b))
-        group_a, group_b, first, width = links_of(self.a_length[a], self.b_length[b])
-        at_a, at_b = expand(first, width)
-        codes = (a[at_a] * len(self.b_bytes) + b[at_b]).astype(self.code)
-        end_a = np.cumsum(count_a)
-        last = group_a[end_a - 1]
-        groups = np.diff(last, prepend=-1)
-        links = np.cumsum(width)[end_a - 1].tolist()
-        texts_of = self._groups(a, b, group_a, group_b)
-        low = seen = 0
-        for i, n_a, n_b, n_groups, upto in zip(kept, count_a.tolist(), count_b.tolist(), groups.tolist(), links):
-            out[i] = Aligned(True, n_a, n_b, n_groups, codes[low:upto].tobytes(), b";".join(texts_of[seen : seen + n_groups]))
-            low, seen = upto, seen + n_groups
-        return out
-
-    def _groups(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> list[bytes]:
-        """Each group as ``a1,a2|b1``."""
-        name_a, name_b = (list(map(names.__getitem__, ids.tolist())) for names, ids in ((self.a_name, a), (self.b_name, b)))
-        cut_a, cut_b = ([0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)] for g in (group_a, group_b))
-        return [f"{','.join(name_a[w:x])}|{','.join(name_b[y:z])}".encode() for w, x, y, z in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
+        # a token as text inside its side of a group, and as the last one there
+        names = [[f"{i}{end}".encode() for i in range(len(side))] for side, last in ((self.a_bytes, b"|"), (self.b_bytes, b";")) for end in (",", last.decode())]
+        self.names = [np.array(x, object) for x in names]
+        self.digits = [byte_lengths(x) for x in names]
+        self.a_spaced, self.b_spaced = (np.array([x[:1] == b" " for x in side]) for side in (self.a_bytes, self.b_bytes))
+        self.store = Store(self.code)
 
     @property
     def code(self) -> str:
         """The type of a pair's code."""
         return "<i4" if len(self.a_bytes) * len(self.b_bytes) < 1 << 31 else "<i8"
 
-    def _chunks(self, chunks: list[str], used: np.ndarray) -> list[Aligned]:
-        found = [x or Aligned(False) for x in map(self.known.get, chunks)]
-        new = [i for i in np.flatnonzero(used).tolist() if not found[i].fits]
+    def _groups(self, sides: list[tuple[np.ndarray, np.ndarray]]) -> tuple[bytes, np.ndarray]:
+        """All groups, each as ``a1,a2|b1;``, and the lengths of all groups up to each."""
+        (a, of_a), (b, of_b) = sides
+        held = np.bincount(of_a), np.bincount(of_b)
+        before = np.cumsum(held[1]) - held[1], np.cumsum(held[0])  # tokens of the other side that stand before a group's own
+        out, size = np.empty(len(a) + len(b), object), np.zeros(len(held[0]), np.int64)
+        for side, (ids, of) in enumerate(sides):
+            last = np.append(of[1:] != of[:-1], True)
+            out[np.arange(len(ids)) + before[side][of]] = np.where(last, self.names[2 * side + 1][ids], self.names[2 * side][ids])
+            size += np.bincount(of, self.digits[2 * side][ids]).astype(np.int64)
+        return b"".join(out.tolist()), np.cumsum(size)
+
+    def _align(self, a: np.ndarray, b: np.ndarray, count_a: np.ndarray, count_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Of texts laid end to end, each end being a cut of both sides: counts, links of each, codes of all links, groups of each."""
+        group_a, group_b, first, width = links_of(self.a_length[a], self.b_length[b])
+        at_a, at_b = expand(first, width)
+        end = np.cumsum(count_a) - 1
+        last = group_a[end]
+        text, upto = self._groups([(a, group_a), (b, group_b)])
+        ends = upto[last].tolist()
+        texts = [text[x : y - 1] for x, y in zip([0, *ends], ends)]
+        tell = np.stack([np.ones(len(end), np.int64), count_a, count_b, np.diff(last, prepend=-1)], 1)
+        return tell, np.diff(np.cumsum(width)[end], prepend=0), (a[at_a] * len(self.b_bytes) + b[at_b]).astype(self.code), texts
+
+    def _spelled(self, ids: list[np.ndarray]) -> list[bytes]:
+        return [b"".join(map(side.__getitem__, own.tolist())) for side, own in zip((self.a_bytes, self.b_bytes), ids)]
+
+    def one(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """The same of a text with a space before it; a row of zeros where the bytes of a side are not the text's."""
+        ids = [np.array(x, np.int64) for x in (self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text))]
+        if {b" " + text.encode()} != {*self._spelled(ids)}:
+            return np.zeros((1, 4), np.int64), np.zeros(1, np.int64), np.zeros(0, self.code), [b""]
+        return self._align(*ids, *(np.array([len(x)]) for x in ids))
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Chunks without white space at their ends: as one text of both sides, where a token that begins with a space begins a chunk."""
+        whole = " ".join(chunks)
+        ids = [np.array(x, np.int64) for x in (self.a.encode_batch_fast([" " + whole], add_special_tokens=False)[0].ids, self.b.encode(whole))]
+        starts = [np.flatnonzero(spaced[own]) for spaced, own in zip((self.a_spaced, self.b_spaced), ids)]
+        if {len(chunks)} == {*map(len, starts)} and {b" " + whole.encode()} == {*self._spelled(ids)}:
+            found = [self._align(*ids, *(np.diff(at, append=len(own)) for at, own in zip(starts, ids)))]
+        else:
+            found = map(self.one, chunks)
+        at = 0
+        for got in found:
+            first = self.store.add(*got)
+            self.store.row_of.update(zip(chunks[at : at + len(got[0])], range(first, self.store.rows)))
+            at += len(got[0])
+
+    def _rows_of(self, chunks: list[str], used: np.ndarray) -> np.ndarray:
+        """Rows of the store."""
+        if self.store.full:
+            self.store.forget()
+        row_of = self.store.row_of
+        new = [i for i in np.flatnonzero(used).tolist() if chunks[i] not in row_of]
         for low in range(0, len(new), TOGETHER):
-            own = new[low : low + TOGETHER]
-            for i, got in zip(own, self.align([chunks[i] for i in own], True)):
-                found[i] = self.known.keep(chunks[i], got)
-        return found
+            self._learn([chunks[i] for i in new[low : low + TOGETHER]])
+        return np.fromiter((row_of.get(c, 0) for c in chunks), np.int64, len(chunks))
 
     def column(self, texts: pa.Array) -> Iterator[tuple[int, int, int, np.ndarray, str]]:
         """``n_a, n_b, n_groups, codes of all links, hash of the groups`` of each text."""
-        for part in slices(texts, 1000):
+        none = np.zeros(0, self.code)
+        for part in slices(texts):
             part = pc.fill_null(part, "")
             cut = Chunked(pc.binary_join_element_wise(pa.scalar(" ", part.type), part, pa.scalar("", part.type)))
-            found = [*self._chunks(cut.spaced, cut.used), Aligned(True)]  # the last for what stands before the first space: nothing
+            store, row_of = self.store, np.append(self._rows_of(cut.spaced, cut.used), 0)  # nothing stands before the first space
             cut.codes[cut.edge[:-1]] = len(cut.spaced)
-            tell = np.array([(x.fits, x.n_a, x.n_b, x.groups) for x in found], np.int64)
-            pool, length = np.frombuffer(b"".join(x.codes for x in found), self.code), np.array([len(x.codes) for x in found]) // np.dtype(self.code).itemsize
-            names = [x.text for x in found]
-            length, apart = length.astype(np.int64), cut.apart
             empty = pc.equal(pc.binary_length(part), 0).to_numpy(zero_copy_only=False)
-            for i, (row, codes) in enumerate(zip(cut.rows(), gather(cut, pool, length))):
-                if empty[i]:
-                    yield 0, 0, 0, codes[:0], ""
-                elif apart[i]:
-                    x = self.align([part[i].as_py()])[0]
-                    yield x.n_a, x.n_b, x.groups, np.frombuffer(x.codes, self.code), hashlib.sha256(x.text).hexdigest() if x.fits else ""
-                elif not tell[row, 0].all():
-                    yield 0, 0, 0, codes[:0], ""
-                else:
-                    n_a, n_b, groups = tell[row, 1:].sum(0).tolist()
-                    yield n_a, n_b, groups, codes, hashlib.sha256(b";".join(map(names.__getitem__, row[1:].tolist()))).hexdigest()
+            own = row_of[cut.codes]
+            tell = np.add.reduceat(store.tell[own], cut.edge[:-1], axis=0) if len(part) else np.zeros((0, 4))
+            fits, sizes = tell[:, 0] == np.diff(cut.edge), tell[:, 1:].tolist()
+            for i, (low, high) in enumerate(zip(cut.edge[:-1].tolist(), cut.edge[1:].tolist())):
+                if empty[i] or not (cut.apart[i] or fits[i]):
+                    yield 0, 0, 0, none, ""
+                    continue
+                if cut.apart[i]:
+                    one, _, codes, (text,) = self.one(part[i].as_py())
+                    fit, *size = one[0].tolist()
+                    yield *size, codes, hashlib.sha256(text).hexdigest() if fit else ""
+                    continue
+                rows = own[low + 1 : high]
+                length = store.length[rows]
+                upto = np.cumsum(length)
+                codes = store.pool[np.repeat(store.start[rows] - upto + length, length) + np.arange(upto[-1])]
+                yield *sizes[i], codes, hashlib.sha256(b";".join(map(store.texts.__getitem__, rows.tolist()))).hexdigest()
 
 
 @lru_cache(maxsize=2)
