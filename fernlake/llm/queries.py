@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernlake.llm import alignment, ann_search, byte_bpe, chat_format, decontaminate, language_id, secret_scan, simhash, token_pack, toxicity, url_rules
+from fernlake.llm import alignment, ann_search, byte_bpe, chat_format, decontaminate, hard_negatives, language_id, secret_scan, simhash, token_pack, toxicity, url_rules
 
 QUERIES = {
     "op1_token_pack": token_pack.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat_format": chat_format.query,
     "op10_ann_search": ann_search.query,
     "op11_token_alignment": alignment.query,
+    "op12_hard_negatives": hard_negatives.query,
 }
 
-ORACLES = {"op5_url_rules": url_rules.SQL, "op9_chat_format": chat_format.SQL}
+ORACLES = {"op5_url_rules": url_rules.SQL, "op9_chat_format": chat_format.SQL, "op12_hard_negatives": hard_negatives.SQL}
