@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernlake.llm import alignment, ann_search, byte_bpe, chat_format, decontaminate, hard_negatives, language_id, secret_scan, simhash, token_pack, toxicity, url_rules
+from fernlake.llm import alignment, ann_search, byte_bpe, chat_format, decontaminate, hard_negatives, language_id, ngram_join, secret_scan, simhash, token_pack, toxicity, url_rules
 
 QUERIES = {
     "op1_token_pack": token_pack.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_ann_search": ann_search.query,
     "op11_token_alignment": alignment.query,
     "op12_hard_negatives": hard_negatives.query,
+    "op13_ngram_join": ngram_join.query,
 }
 
 ORACLES = {"op5_url_rules": url_rules.SQL, "op9_chat_format": chat_format.SQL, "op12_hard_negatives": hard_negatives.SQL}

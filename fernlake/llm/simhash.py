@@ -14,7 +14,7 @@ exactly if their balls of radius 1 (65 values) meet, and all that share a value
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernlake.llm.chunks import slices
+from fernlake.llm.shingle_ranks import looked_up, shingle_ranks
 from fernlake.llm.sieve import maybe_among
 from fernlake.operators.components import connected_components
 from fernlake.runtime import Scratch, materialize
@@ -134,18 +135,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, id
 
 #: Five-word shingle sets at least this similar are near-duplicates.
 SIMILARITY, SET_WORDS = 0.8, 5
-#: Texts whose shingles are counted to tell common shingles, and the most that are told. They set an order only: links do not depend on them.
-SAMPLE, COMMON = 10_000, 500_000
 #: 64-bit words of a set's parity bitmap.
 PARITY = 8
 #: Rows of a bucket that one task compares with the others.
 BLOCK = 1024
-#: Shared shingles before its own that a text's row in a bucket carries.
+#: Shared signatures before its own that a text's row in a bucket carries.
 RECENT = 4
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(shingle_hashes(text, SET_WORDS))
+def shingle_set(text: str | None, words: int = SET_WORDS) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -153,34 +152,11 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(arrays).view(np.int64), pa.int64()))
 
 
-def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of about ``SAMPLE`` different texts hold, sorted, and in how many."""
-    rows = docs.count()
-    texts = docs.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
-    if rows > SAMPLE:
-        texts = texts.filter(F.pmod("h", F.lit(1 << 20)) < int(SAMPLE / rows * (1 << 20)) + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch.column(0), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t) for t in part.to_pylist()]).view(np.int64))], ["token"])
-
-    counted = texts.dropDuplicates(["h"]).select("t").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    got = counted.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
-    token = got.column("token").to_numpy().view(np.uint64)
-    order = np.argsort(token)
-    return token[order], got.column("n").to_numpy()[order]
-
-
-def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, float]:
-    """The first of a set's shingles, rarest first: sets that are similar enough share one of them. Also how common its shingles are on average."""
-    known, times = common
-    seen = np.zeros(len(hashes), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        seen = np.where(known[at] == hashes, times[at], 0)
-    ordered = hashes[np.lexsort((hashes, seen))]
-    return ordered[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1], float(seen.mean()) if len(seen) else 0.0
+def prefix(hashes: np.ndarray, ranks: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, int]:
+    """The first of a set's shingles, rarest first: sets that are similar enough share one of them. Also how many these are."""
+    ordered = hashes[np.lexsort((hashes, looked_up(hashes, ranks)))]
+    first = ordered[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
+    return first, len(first)
 
 
 def parity(hashes: np.ndarray, words: int = PARITY) -> np.ndarray:
@@ -198,11 +174,15 @@ def wide_parity(hashes: np.ndarray) -> np.ndarray:
 BITS = [f"b{i}" for i in range(PARITY)]
 
 
-def set_signatures(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, text_hash, sig, size, weight, prefix, wide, b0, b1, ...`` of every whole text; ``sig`` is a hash of all words, which texts that are alike share."""
+def set_signatures(docs: DataFrame, words: int, sign: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, int]], id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text_hash, sig, size, weight, prefix, singles, wide, b0, b1, ...`` of every whole text.
+
+    ``sig`` is a hash of all words, which texts that are alike share; ``prefix`` what ``sign`` makes of the set and
+    of the ranks of all texts' shingles, the first ``singles`` of it shingles; ``weight`` how common its shingles are on average.
+    """
     import xxhash
 
-    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))
+    sent = docs.sparkSession.sparkContext.broadcast(shingle_ranks(docs, lambda text: shingle_set(text, words), text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,16 +190,17 @@ def set_signatures(docs: DataFrame, similarity: float, id_col: str, text_col: st
             for part in slices(batch.column(2), 500):
                 texts = part.to_pylist()
                 sigs = np.array([xxhash.xxh64_intdigest(b" ".join(words_of(t or "")), SEED) for t in texts], np.uint64)
-                sets = [shingle_set(t) for t in texts]
+                sets = [shingle_set(t, words) for t in texts]
                 bits = np.array([parity(s) for s in sets])
                 columns = [batch.column(c).slice(low, len(texts)) for c in (0, 1)]
-                firsts = [prefix(s, similarity, sent.value) for s in sets]
-                columns += [pa.array(sigs.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([w for _, w in firsts], pa.float32()), _lists([f for f, _ in firsts]), _lists([wide_parity(s) for s in sets])]
+                firsts = [sign(s, sent.value) for s in sets]
+                weights = [float(looked_up(s, sent.value).mean()) if len(s) else 0.0 for s in sets]
+                columns += [pa.array(sigs.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array(weights, pa.float32()), _lists([f for f, _ in firsts]), pa.array([n for _, n in firsts], pa.int32()), _lists([wide_parity(s) for s in sets])]
                 columns += [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(PARITY)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "sig", "size", "weight", "prefix", "wide", *BITS])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "sig", "size", "weight", "prefix", "singles", "wide", *BITS])
                 low += len(texts)
 
-    schema = ", ".join(["doc_id long, text_hash long, sig long, size int, weight float, prefix array<long>, wide array<long>", *(f"{b} long" for b in BITS)])
+    schema = ", ".join(["doc_id long, text_hash long, sig long, size int, weight float, prefix array<long>, singles int, wide array<long>", *(f"{b} long" for b in BITS)])
     return docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
@@ -254,7 +235,7 @@ def _met(x: str, y: str) -> Column:
     return F.coalesce(F.arrays_overlap(f"{x}.recent", f"{y}.recent"), F.lit(False))
 
 
-def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, words: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """Those of ``pairs`` (``u, v`` of ``sig``) whose shingle sets are similar, kept in ``scratch``."""
     own = Scratch(docs.sparkSession)
     # the texts of the candidates, one of each class, as sets
@@ -265,7 +246,7 @@ def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similar
         for batch in batches:
             low = 0
             for texts in slices(batch.column(1), 500):
-                sets = [shingle_set(t) for t in texts.to_pylist()]
+                sets = [shingle_set(t, words) for t in texts.to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(sets)), _lists(sets)], ["sig", "shingles"])
                 low += len(sets)
 
@@ -281,21 +262,25 @@ def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similar
     return links
 
 
-def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_hash, root, component_id`` of every row: texts have one root if links connect them.
+def similar_rows(
+    docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", words: int = SET_WORDS, sign: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, int]] | None = None
+) -> DataFrame:
+    """``doc_id, text_hash, size, root, component_id`` of every row: texts have one root if links connect them.
 
     Sets of n shingles in one order, the same for all, that are similar enough share one of their first
-    n - ceil(similarity * n) + 1; rare shingles come first, so few texts share them. All texts that share
-    such a shingle are candidates, in two steps. First each is compared with one of its bucket, that whose
+    n - ceil(similarity * n) + 1; rare shingles (by their counts in all texts) come first, so few texts share them.
+    ``sign`` may name other signatures, of which similar sets share one: first shingles in that order, then any in ascending order. All texts that share
+    a signature are candidates, in two steps. First each is compared with one of its bucket, that whose
     shingles are commonest, as the head of a group of copies has them. Then all pairs that these links have not connected are compared;
     two that share many such shingles come up in few of their buckets, always in that of the first, where
     what their places allow is most. What rules
     out a pair before its sets are read (sizes, places, parity bitmaps) is a bound, never an estimate.
     """
     tasks, scratch, buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), Scratch(docs.sparkSession), Scratch(docs.sparkSession)
-    made, _ = materialize(set_signatures(docs, similarity, id_col, text_col), "signatures")
+    sign = sign or (lambda hashes, ranks: prefix(hashes, ranks, similarity))
+    made, _ = materialize(set_signatures(docs, words, sign, id_col, text_col), "signatures")
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    classes = scratch.keep(made.groupBy("sig").agg(F.min(named).alias("first"), *[F.first(c).alias(c) for c in ("size", "weight", "prefix", "wide", *BITS)]), "classes")
+    classes = scratch.keep(made.groupBy("sig").agg(F.min(named).alias("first"), *[F.first(c).alias(c) for c in ("size", "weight", "prefix", "singles", "wide", *BITS)]), "classes")
     bits = classes.select("sig", "size", *BITS)
     maps = classes.select("sig", "size", "wide", *BITS)
 
@@ -304,23 +289,24 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
         return both.filter(_near(similarity, "x", "y") & _near_wide(similarity, "x", "y")).select("u", "v")
 
     # the aggregate reads all columns, so that it and the join with its result share one exchange
-    keyed = classes.select("sig", "size", "weight", F.posexplode("prefix").alias("place", "token")).repartition(tasks, "token")
+    # a shingle's place bounds what two sets can share; that of other signatures says nothing
+    keyed = classes.select("sig", "size", "weight", "singles", F.posexplode("prefix").alias("turn", "token")).withColumn("place", F.when(F.col("turn") < F.col("singles"), F.col("turn")).otherwise(0)).drop("singles").repartition(tasks, "token")
     heads = keyed.groupBy("token").agg(F.max(F.struct("weight", "sig", "size", "place")).alias("top"), F.count("*").alias("n")).filter("n > 1")
-    kept = buckets.keep(keyed.join(heads.select("token", "top"), "token").select("token", "sig", "size", "weight", "place", "top"), "buckets")
+    kept = buckets.keep(keyed.join(heads.select("token", "top"), "token").select("token", "sig", "size", "weight", "turn", "place", "top"), "buckets")
 
     starred = kept.select(F.struct("sig", "size", "place").alias("x"), F.col("top").alias("y")).filter("x.sig <> y.sig").filter(_possible(similarity, "x", "y"))
     stars = starred.select(F.greatest("x.sig", "y.sig").alias("u"), F.least("x.sig", "y.sig").alias("v")).distinct()
-    first = similar_pairs(docs, classes, scratch.keep(near(stars), "stars"), similarity, id_col, text_col, scratch)
+    first = similar_pairs(docs, classes, scratch.keep(near(stars), "stars"), similarity, words, id_col, text_col, scratch)
 
     parts = connected_components(first).select(F.col("node").alias("sig"), "component")
-    rooted = scratch.keep(kept.select("token", "sig", "place").join(parts, "sig", "left").select("token", "sig", "place", F.coalesce("component", "sig").alias("root")), "rooted")
+    rooted = scratch.keep(kept.select("token", "sig", "turn", "place").join(parts, "sig", "left").select("token", "sig", "turn", "place", F.coalesce("component", "sig").alias("root")), "rooted")
     roots = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
     split = roots.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n")).filter("roots > 1")
     split = split.select("token", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("blocks"))
     del stars, starred, heads, keyed
     buckets.drop()
     # texts of different roots meet in the buckets of all shingles they share; a text's order is that of all
-    before = Window.partitionBy("sig").orderBy("place")
+    before = Window.partitionBy("sig").orderBy("turn")
     recent = F.array(*[F.lag("token", i).over(before) for i in range(1, RECENT + 1)]).alias("recent")
     mixed = scratch.keep(rooted.join(split, "token").join(bits, "sig").select("*", recent), "mixed")
     some = mixed.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
@@ -328,13 +314,13 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.sig") > F.col("y.sig"))
     across = some.alias("x").join(all_.alias("y"), ["token", "block"]).filter((F.col("x.root") != F.col("y.root")) & once & ~_met("x", "y") & _possible(similarity, "x", "y") & _near(similarity, "x", "y"))
     rest = scratch.keep(near(across.select(F.greatest("x.sig", "y.sig").alias("u"), F.least("x.sig", "y.sig").alias("v")).distinct()), "across")
-    links = first.union(similar_pairs(docs, classes, rest, similarity, id_col, text_col, scratch)) if rest.take(1) else first
+    links = first.union(similar_pairs(docs, classes, rest, similarity, words, id_col, text_col, scratch)) if rest.take(1) else first
 
     parts = connected_components(links).select(F.col("node").alias("sig"), "component")
     linked, _ = materialize(classes.join(parts, "sig", "left").select("sig", F.col("first.doc_id").alias("first"), F.coalesce("component", "sig").alias("root")), "roots")
     scratch.drop()
     least = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("sig", "root", "component_id")
-    return made.select("doc_id", "text_hash", "sig").join(least, "sig").select("doc_id", "text_hash", "root", "component_id")
+    return made.select("doc_id", "text_hash", "sig", "size").join(least, "sig").select("doc_id", "text_hash", "size", "root", "component_id")
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
