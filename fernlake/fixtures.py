@@ -34,8 +34,8 @@ def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotations(spark, sf_dir).selectExpr("image_id", "gt_idx", "x as x1", "y as y1", "x + w as x2", "y + h as y2", "category_id")
 
 
-def categories(spark: SparkSession) -> DataFrame:
-    return spark.range(22).selectExpr("id", "concat('class_', id) as name")
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr("l_partkey % 22 as id").distinct().selectExpr("id", "concat('class_', id) as name")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,7 @@ SQL_PREDICTIONS = f"""predictions as (
   select cast(l_orderkey as varchar), cast(2 * (rn - 1) + 1 as int), x + 3, y + 3, x + w + 3, y + h + 3, ((l_partkey * 13 + l_suppkey * 7) % 1000) / 1000.0::double
   from lines where l_linenumber % 3 = 0)"""
 SQL_GROUPS = "groups as (select 'img_' || o_orderkey || '.jpg' as file_name, printf('group_%06d', o_custkey) as group_id from orders)"
+SQL_CATEGORIES = "categories as (select distinct l_partkey % 22 as id, 'class_' || l_partkey % 22 as name from lineitem)"
 
 
 def sql_encodings(bits: int) -> str:

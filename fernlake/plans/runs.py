@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -126,19 +125,17 @@ def resolve_splits(spark: SparkSession, data_dir: str, strategy: str = "random",
 
 
 def prepare_training_folder(spark: SparkSession, data_dir: str, folder: str, single_class: bool = True, class_name: str = "object", copy_images: bool = False, **split_options) -> dict:
-    """Labels, images, ``data.yaml`` and a summary in ``folder``, a shared one; labels and images of earlier splits go first."""
+    """Labels, images, ``data.yaml`` and a summary in ``folder``, a shared one; labels and images of earlier splits go."""
     made = resolve_splits(spark, data_dir, **split_options)
     images, annotations, categories = coco.read_coco_dir(spark, data_dir)
-    for kind in ("labels", "images"):
-        shutil.rmtree(f"{folder}/{kind}", ignore_errors=True)
     rows = export.label_rows(images, annotations, None if single_class else categories)
     there = coco.available_images(images, coco.list_files(spark, data_dir), data_dir)
     counts = {}
     for split in splits.SPLITS:
         own = splits.samples_for_split(there.join(made.select(F.col("file_name").alias("_f")), basename(F.col("file_name")) == F.col("_f"), "left_semi"), made, split)
-        export.place_images(own, f"{folder}/images/{split}", copy_images)
+        export.place_images(own, f"{folder}/images/{split}", copy_images, overwrite=True)
         labelled = rows.join(own.select("image_id"), "image_id", "left_semi")
-        export.write_labels(labelled, f"{folder}/labels/{split}")
+        export.write_labels(labelled, f"{folder}/labels/{split}", overwrite=True)
         counts[f"{split}_images"] = labelled.count()
     names = [class_name] if single_class else [r["name"] for r in coco.class_map(categories).orderBy("class_index").collect()]
     summary = {"data_dir": data_dir, "output_dir": folder, "data_yaml": export.write_data_yaml(spark, folder, names), "single_class": single_class, "class_names": names, "copy_images": copy_images, **split_options, **counts}
@@ -153,8 +150,7 @@ def sample_dataset(spark: SparkSession, data_dir: str, folder: str, size: int =
     images, annotations, categories = coco.read_coco_dir(spark, data_dir, coco.SAMPLE_ORDER)
     there = coco.available_images(images, coco.list_files(spark, data_dir), data_dir)
     chosen = there.join(sampling.sample_names(there, size, seed), "file_name", "left_semi")
-    shutil.rmtree(f"{folder}/images", ignore_errors=True)
-    export.place_images(chosen, f"{folder}/images", copy=True)
+    export.place_images(chosen, f"{folder}/images", copy=True, overwrite=True)
     own = chosen.drop("image_path")
     export.write_coco_document(own, splits.filter_by_image_ids(annotations, own), categories, f"{folder}/annotations.json")
     return own.count()

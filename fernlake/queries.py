@@ -79,7 +79,7 @@ def coco_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def multi_class_map(spark: SparkSession, d: str) -> DataFrame:
-    return coco.class_map(fx.categories(spark).withColumnRenamed("id", "category_id"))
+    return coco.class_map(fx.categories(spark, d).withColumnRenamed("id", "category_id"))
 
 
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -261,16 +261,23 @@ def file_stems(spark: SparkSession, d: str) -> DataFrame:
     return shown.select("image_id", basename(F.col("path")).alias("name"), stem(F.col("path")).alias("stem"))
 
 
+def yolo_label_folder(spark: SparkSession, d: str) -> DataFrame:
+    """The label files of all images, written one file a row and read back."""
+    folder = new_path(spark, "labels")
+    export.write_labels(export.label_rows(fx.images(spark, d), fx.annotations(spark, d)), folder)
+    return export.read_labels(spark, folder)
+
+
 def yolo_label_files(spark: SparkSession, d: str) -> DataFrame:
     return export.label_texts(export.label_rows(fx.images(spark, d), fx.annotations(spark, d)))
 
 
-def _categories(spark: SparkSession) -> DataFrame:
-    return fx.categories(spark).withColumnRenamed("id", "category_id")
+def _categories(spark: SparkSession, d: str) -> DataFrame:
+    return fx.categories(spark, d).withColumnRenamed("id", "category_id")
 
 
 def label_classes(spark: SparkSession, d: str) -> DataFrame:
-    rows = export.label_rows(fx.images(spark, d), fx.annotations(spark, d), _categories(spark).filter("category_id <> 30"))
+    rows = export.label_rows(fx.images(spark, d), fx.annotations(spark, d), _categories(spark, d).filter("category_id <> 30"))
     return rows.select("image_id", F.expr("inline(labels)")).select("image_id", F.col("i").alias("gt_idx"), "label")
 
 
@@ -304,8 +311,8 @@ def coco_document(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of the document that is found first of two in a data folder."""
     folder = new_path(spark, "coco")
     boxes = fx.annotations(spark, d).select("image_id", F.col("gt_idx").alias("ann_idx"), F.array("x", "y", "w", "h").alias("bbox"), "category_id")
-    export.write_coco_document(fx.images(spark, d), boxes, _categories(spark), f"{folder}/{coco.ANNOTATION_FILES[0]}")
-    export.write_coco_document(fx.images(spark, d).limit(0), boxes.limit(0), _categories(spark), f"{folder}/{coco.ANNOTATION_FILES[1]}")
+    export.write_coco_document(fx.images(spark, d), boxes, _categories(spark, d), f"{folder}/{coco.ANNOTATION_FILES[0]}")
+    export.write_coco_document(fx.images(spark, d).limit(0), boxes.limit(0), _categories(spark, d), f"{folder}/{coco.ANNOTATION_FILES[1]}")
     _, found, _ = coco.read_coco_dir(spark, folder)
     return found.select("image_id", "ann_idx", *[F.element_at("bbox", i + 1).alias(c) for i, c in enumerate("xywh")], "category_id")
 
@@ -314,8 +321,8 @@ def coco_sample_order(spark: SparkSession, d: str) -> DataFrame:
     """Images of the document that the sample order finds first, and the names of its categories."""
     folder = new_path(spark, "coco")
     none = fx.annotations(spark, d).select("image_id", F.array("x", "y", "w", "h").alias("bbox"), "category_id").limit(0)
-    export.write_coco_document(fx.images(spark, d), none, _categories(spark), f"{folder}/{coco.SAMPLE_ORDER[0]}")
-    export.write_coco_document(fx.images(spark, d).limit(0), none, _categories(spark).limit(0), f"{folder}/{coco.SAMPLE_ORDER[2]}")
+    export.write_coco_document(fx.images(spark, d), none, _categories(spark, d), f"{folder}/{coco.SAMPLE_ORDER[0]}")
+    export.write_coco_document(fx.images(spark, d).limit(0), none, _categories(spark, d).limit(0), f"{folder}/{coco.SAMPLE_ORDER[2]}")
     found, _, named = coco.read_coco_dir(spark, folder, coco.SAMPLE_ORDER)
     return found.select("image_id", "file_name", "width", "height").join(F.broadcast(named.agg(F.count("*").alias("categories"))))
 
@@ -323,7 +330,7 @@ def coco_sample_order(spark: SparkSession, d: str) -> DataFrame:
 def coco_split_documents(spark: SparkSession, d: str) -> DataFrame:
     """Boxes by split, read from the document of each."""
     boxes = fx.annotations(spark, d).select("image_id", F.col("gt_idx").alias("ann_idx"), F.array("x", "y", "w", "h").alias("bbox"), "category_id")
-    paths = export.write_coco_split_documents(fx.images(spark, d), boxes, _categories(spark), splits.split_groups(fx.groups(spark, d)), new_path(spark, "coco"))
+    paths = export.write_coco_split_documents(fx.images(spark, d), boxes, _categories(spark, d), splits.split_groups(fx.groups(spark, d)), new_path(spark, "coco"))
     found = [coco.read_coco(spark, path)[1].select(F.lit(split).alias("split"), "image_id", "ann_idx", "category_id") for split, path in paths.items()]
     return found[0].union(found[1]).union(found[2])
 
@@ -353,22 +360,24 @@ def pairs_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hash_config_file(spark: SparkSession, d: str) -> DataFrame:
-    """A configuration's crop, read back from its file, and what the file holds."""
+    """A crop by the shares of small and large images, read back from its file, and what the file holds."""
     path = f"{new_path(spark, 'config')}/{artifacts.FILES['hash_config']}"
-    artifacts.HashCrop(0.1, 0.2, 0.05, 0.0).save(spark, path)
+    small, large = fx.images(spark, d).agg(*[F.round(F.avg((F.col("width") == w).cast("int")) / 10, DIGITS) for w in (640, 2048)]).first()
+    artifacts.HashCrop(small, large, 0.05, 0.0).save(spark, path)
     crop, raw = artifacts.HashCrop.load(spark, path), artifacts.load_json(spark, path)
     return spark.range(1).select(*[F.lit(getattr(crop, f)).alias(f) for f in ("top_frac", "bottom_frac", "left_frac", "right_frac")], F.lit(raw["hash_backend"]).alias("hash_backend"), F.lit(raw["pipeline_version"]).alias("pipeline_version"), F.lit("created_at" in raw).alias("stamped"))
 
 
 def pipeline_config_file(spark: SparkSession, d: str) -> DataFrame:
-    """A configuration after two updates, and the artifacts that are found beside it."""
+    """A configuration after two updates with what the groups come to, and the artifacts that are found beside it."""
     folder = new_path(spark, "config")
     path = f"{folder}/{artifacts.FILES['pipeline_config']}"
-    first = artifacts.save_pipeline_config(spark, path, {"seed": 1, "cap": 50})
-    artifacts.save_pipeline_config(spark, path, {"seed": 2})
+    summary = group_summary(spark, d).first()
+    first = artifacts.save_pipeline_config(spark, path, {"num_groups": 0, "cap": summary["largest_group_size"]})
+    artifacts.save_pipeline_config(spark, path, {"num_groups": summary["num_groups"]})
     kept = artifacts.load_json(spark, path)
     there = ",".join(sorted(artifacts.artifact_map(spark, folder)))
-    return spark.range(1).select(F.lit(kept["seed"]).alias("seed"), F.lit(kept["cap"]).alias("cap"), F.lit(kept["created_at"] == first["created_at"]).alias("first_stamp_kept"), F.lit(kept["updated_at"] >= first["updated_at"]).alias("last_stamp_moved"), F.lit(there).alias("artifacts"))
+    return spark.range(1).select(F.lit(kept["num_groups"]).cast("long").alias("num_groups"), F.lit(kept["cap"]).cast("long").alias("cap"), F.lit(kept["created_at"] == first["created_at"]).alias("first_stamp_kept"), F.lit(kept["updated_at"] >= first["updated_at"]).alias("last_stamp_moved"), F.lit(there).alias("artifacts"))
 
 
 def evaluation_file(spark: SparkSession, d: str) -> DataFrame:
@@ -393,7 +402,7 @@ QUERIES = {f.__name__: f for f in (
     leaking_groups, naive_leakage_trials, downsample_train, coverage_check, sample_k, sample_per_split, threshold_sweep,
     production_score, recommend_threshold, recommend_production, capped_groups, production_grid, nms, greedy_match, prf,
     average_precision, evaluate_summary, negative_windows, training_crops, fill_singletons, group_members, files_by_split,
-    naive_leakage_examples, samples_for_split, split_filter, file_stems, yolo_label_files, label_classes, crop_quality, window_scores,
+    naive_leakage_examples, samples_for_split, split_filter, file_stems, yolo_label_files, yolo_label_folder, label_classes, crop_quality, window_scores,
     compare_crops, coco_document, coco_sample_order, coco_split_documents, group_manifest_file, split_manifest_file, encodings_file,
     pairs_file, hash_config_file, pipeline_config_file, evaluation_file, metric_rows,
 )}
@@ -571,6 +580,11 @@ _WINDOWS = " union all ".join(
     for s in WINDOW_SIZES
 )
 
+_LABEL_TEXTS = f"""with {fx.SQL_ANNOTATIONS}, {fx.SQL_IMAGES},
+        boxes as (select image_id, gt_idx, {_UNIT.format('(x + w / 2) / width')} as cx, {_UNIT.format('(y + h / 2) / height')} as cy, {_UNIT.format('w / width')} as nw, {_UNIT.format('h / height')} as nh from annotations join images using (image_id)),
+        texts as (select image_id, string_agg(line || chr(10), '' order by gt_idx) as text from (select image_id, {_LINE} from boxes) group by image_id)
+        select {{}}, coalesce(text, '') as text from images left join texts using (image_id)"""
+
 ORACLES = {
     "iou_pairs": f"with {_BOXES} select p.image_id, pred_idx, gt_idx, {_iou('p.', 'g.')} as iou from predictions p join truths g on g.image_id = p.image_id",
     "max_iou_per_pred": f"with {_BOXES} select p.image_id, pred_idx, coalesce(max({_iou('p.', 'g.')}), 0) as max_iou from predictions p left join truths g on g.image_id = p.image_id group by p.image_id, pred_idx",
@@ -582,7 +596,7 @@ ORACLES = {
     "available_images_semi": f"with {fx.SQL_IMAGES} select image_id, file_name, '/data/images/' || file_name as image_path from images where image_id::bigint % 7 <> 0",
     "orphan_annotations_anti": f"with {fx.SQL_ANNOTATIONS}, {fx.SQL_IMAGES} select image_id, gt_idx, category_id from annotations where image_id not in (select image_id from images where image_id::bigint % 11 <> 0)",
     "coco_filter": f"with {fx.SQL_ANNOTATIONS}, {fx.SQL_IMAGES} select image_id, gt_idx, category_id from annotations where image_id in (select image_id from images where image_id::bigint % 3 = 0)",
-    "multi_class_map": "select range as category_id, 'class_' || range as name, range::int as class_index from range(22)",
+    "multi_class_map": f"with {fx.SQL_CATEGORIES} select id as category_id, name, (row_number() over (order by id) - 1)::int as class_index from categories",
     "hamming_pairs": f"with {fx.sql_encodings(BITS)}, {_PAIRS} select * from pairs where distance <= 2",
     "hamming_pairs_64": f"with {fx.sql_encodings(64)}, {_PAIRS} select * from pairs where distance <= 16",
     "components_uncapped": f"with recursive {fx.sql_encodings(BITS)}, {_PAIRS}, {_components(1)} select * from rooted",
@@ -630,10 +644,8 @@ ORACLES = {
     "samples_for_split": f"with {fx.SQL_GROUPS}, {_GROUPED}, {fx.SQL_IMAGES} select image_id, file_name from images join splits using (file_name) where split = 'val'",
     "split_filter": f"with {fx.SQL_GROUPS}, {_GROUPED}, {fx.SQL_IMAGES}, {fx.SQL_ANNOTATIONS} select image_id, gt_idx, category_id from annotations join images using (image_id) join splits using (file_name) where split = 'test'",
     "file_stems": f"with {fx.SQL_IMAGES} select image_id, 'img.' || image_id || '.jpg' as name, 'img.' || image_id as stem from images",
-    "yolo_label_files": f"""with {fx.SQL_ANNOTATIONS}, {fx.SQL_IMAGES},
-        boxes as (select image_id, gt_idx, {_UNIT.format('(x + w / 2) / width')} as cx, {_UNIT.format('(y + h / 2) / height')} as cy, {_UNIT.format('w / width')} as nw, {_UNIT.format('h / height')} as nh from annotations join images using (image_id)),
-        texts as (select image_id, string_agg(line || chr(10), '' order by gt_idx) as text from (select image_id, {_LINE} from boxes) group by image_id)
-        select image_id, file_name, coalesce(text, '') as text from images left join texts using (image_id)""",
+    "yolo_label_folder": _LABEL_TEXTS.format("replace(file_name, '.jpg', '') as stem"),
+    "yolo_label_files": _LABEL_TEXTS.format("image_id, file_name"),
     "label_classes": f"with {fx.SQL_ANNOTATIONS} select image_id, gt_idx, category_id::int as label from annotations",
     "crop_quality": f"with {fx.SQL_ANNOTATIONS}, {fx.SQL_PREDICTIONS}, scored as (select pred_idx % 2 as label, (score * 1000 - 500) / 125 as logit from predictions) select count(*) as crops, {_r('accuracy', 'avg(((logit >= 0)::int = label)::int)')}, {_r('loss', 'avg(greatest(logit, 0) - logit * label + ln(1 + exp(-abs(logit))))')} from scored",
     "window_scores": f"""with {fx.SQL_IMAGES}, windows as ({_WINDOWS}), scored as (select *, 1 / (1 + exp(-((x1 * 7 + y1 * 13 + size) % 17 - 8)::double)) as score from windows),
@@ -644,14 +656,14 @@ ORACLES = {
         select 'no_crop', * from (with recursive {_sweep(fx.sql_encodings(BITS).replace('encodings as', 'whole as', 1) + ', encodings as (select file_name, (hash >> 2) << 2 as hash from whole)')} {_BEST}))
         order by passes_cluster_size_check desc, largest_group_size, pct_in_multi_image_groups desc, variant desc limit 1""",
     "coco_document": f"with {fx.SQL_ANNOTATIONS} select image_id, gt_idx as ann_idx, x, y, w, h, category_id from annotations",
-    "coco_sample_order": f"with {fx.SQL_IMAGES} select *, 22::bigint as categories from images",
+    "coco_sample_order": f"with {fx.SQL_IMAGES}, {fx.SQL_CATEGORIES} select *, (select count(*) from categories) as categories from images",
     "coco_split_documents": f"with {fx.SQL_GROUPS}, {_GROUPED}, {fx.SQL_IMAGES}, {fx.SQL_ANNOTATIONS} select split, image_id, gt_idx as ann_idx, category_id from annotations join images using (image_id) join splits using (file_name)",
     "group_manifest_file": f"with {fx.SQL_GROUPS} select * from groups",
     "split_manifest_file": f"with {fx.SQL_GROUPS}, {_GROUPED} select * from splits",
     "encodings_file": f"with {fx.sql_encodings(64)} select file_name, lpad(lower(printf('%x', hash::uhugeint)), 16, '0') as hash_hex from encodings",
     "pairs_file": f"with {fx.sql_encodings(BITS)}, {_PAIRS} select left_name as file_a, right_name as file_b from pairs where distance <= 2",
-    "hash_config_file": "select 0.1::double as top_frac, 0.2::double as bottom_frac, 0.05::double as left_frac, 0.0::double as right_frac, 'phash' as hash_backend, '1.0.0' as pipeline_version, true as stamped",
-    "pipeline_config_file": "select 2 as seed, 50 as cap, true as first_stamp_kept, true as last_stamp_moved, 'pipeline_config' as artifacts",
+    "hash_config_file": f"with {fx.SQL_IMAGES} select round(avg((width = 640)::int) / 10, 6) as top_frac, round(avg((width = 2048)::int) / 10, 6) as bottom_frac, 0.05::double as left_frac, 0.0::double as right_frac, 'phash' as hash_backend, '1.0.0' as pipeline_version, true as stamped from images",
+    "pipeline_config_file": f"with {fx.SQL_GROUPS}, {_SUMMARY} select num_groups::bigint as num_groups, largest_group_size::bigint as cap, true as first_stamp_kept, true as last_stamp_moved, 'pipeline_config' as artifacts from summary",
     "evaluation_file": f"with recursive {_BOXES}, {_matched('predictions')}, {_COUNTS} select tp, fp, fn, {_r('precision')}, {_r('recall')}, {_r('f1', _F1)}, true as stamped from rated",
     "metric_rows": f"""with {fx.SQL_GROUPS}, {_SUMMARY} select 'a' as run_id, 'num_groups' as key, num_groups::double as value_double, num_groups::varchar as value_string from summary
         union all select 'a', 'note', null, 'first' union all select 'a', 'passed', 1.0::double, 'True'
