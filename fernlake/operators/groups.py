@@ -9,9 +9,12 @@ together they exceed the cap. That order decides the result, yet most of it need
   others are done, and if it would exceed the cap, so would they later.
 * A component of hashes that fits the cap whole is merged without looking at the order.
 
-What is left is a union-find over the hashes of oversized components. It streams each one's pairs in
-order and holds a size for each hash, no pairs; a component is one task's work, as each step depends
-on the last.
+What is left are oversized components. Their pairs are streamed in order through a union-find that holds a size
+for each node, no pairs; one component is one task's work, as each step depends on the last. So that no task gets
+more than it must, components of over ``STREAMED`` pairs go level by level of distance: pairs of the least distance first, on nodes that are
+what merged before. A level's components that fit the cap merge whole, all at once, and only the others are streamed.
+
+Any number of settings (threshold and cap) are grouped in one run: nodes carry the setting's number.
 """
 
 from __future__ import annotations
@@ -19,14 +22,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernlake.functions.names import group_label
 from fernlake.operators.components import connected_components
 from fernlake.operators.pairs import distinct_pairs
 from fernlake.operators.ranking import global_rank, rank_within
-from fernlake.runtime import materialize
+from fernlake.runtime import Scratch, materialize
+
+#: Pairs of a component up to which it is streamed as it is.
+STREAMED = 1_000_000
+#: The cap of settings without one.
+UNCAPPED = 1 << 62
 
 
 class CappedUnion:
@@ -57,24 +65,100 @@ class CappedUnion:
 
 
 def _merge_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs come sorted by component and then by (distance, left, right)."""
+    """Pairs come sorted by setting and component and then by (distance, left, right); ``left_node`` and ``right_node`` are what the names have merged into."""
     union, now = None, None
 
     def done() -> pd.DataFrame:
         names = list(union.parent)
-        return pd.DataFrame({"name": names, "root": [union.root(n) for n in names]})
+        return pd.DataFrame({"seq": now[0], "name": names, "root": [union.root(n) for n in names]})
 
     for batch in batches:
-        for component, cap, left, wl, right, wr in batch[["component", "cap", "left", "wl", "right", "wr"]].itertuples(index=False):
-            if component != now:
+        for seq, component, cap, left, wl, right, wr in batch[["seq", "component", "cap", "left_node", "wl", "right_node", "wr"]].itertuples(index=False):
+            if (seq, component) != now:
                 if union is not None:
                     yield done()
-                union, now = CappedUnion(cap), component
+                union, now = CappedUnion(cap), (seq, component)
             union.merge(left, wl, right, wr)
     if union is not None:
         yield done()
 
 
+def _components(pairs: DataFrame, left: str, right: str, scratch: Scratch) -> DataFrame:
+    """``seq, name, component`` of the nodes of each setting."""
+    parts = connected_components(pairs.select(F.struct("seq", F.col(left).alias("name")).alias("u"), F.struct("seq", F.col(right).alias("name")).alias("v")))
+    return scratch.keep(parts.select("node.seq", "node.name", F.col("component.name").alias("component")), "parts")
+
+
+def _merged(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``seq, name, root`` of runs that ``pairs`` (``seq, distance, cap, na, wa, nb, wb``) merge; runs that stay alone may lack."""
+    parts = _components(pairs, "na", "nb", scratch)
+    nodes = scratch.keep(pairs.select(F.expr("inline(array(struct(seq, cap, na as name, wa as w), struct(seq, cap, nb as name, wb as w)))")).distinct().join(parts, ["seq", "name"]), "nodes")
+    totals = nodes.groupBy("seq", "component", "cap").agg(F.sum("w").alias("total"))
+    small = nodes.join(totals.filter(F.col("total") <= F.col("cap")), ["seq", "component", "cap"]).select("seq", "name", F.col("component").alias("root"))
+    large = scratch.keep(totals.filter(F.col("total") > F.col("cap")).select("seq", "component"), "large")
+    if large.isEmpty():
+        return small
+    left = scratch.keep(pairs.join(nodes.select("seq", F.col("name").alias("na"), "component"), ["seq", "na"]).join(large, ["seq", "component"]), "oversized")
+    far = scratch.keep(left.groupBy("seq", "component").agg(F.count("*").alias("n")).filter(F.col("n") > STREAMED).select("seq", "component"), "far")
+    if far.isEmpty():
+        return small.unionByName(_streamed(left.withColumns({"ra": F.col("na"), "rb": F.col("nb")})))
+    near = _streamed(left.join(far, ["seq", "component"], "left_anti").withColumns({"ra": F.col("na"), "rb": F.col("nb")}))
+    left = left.join(far, ["seq", "component"], "left_semi")
+    # what each run of such a component has merged into, and that node's weight
+    state = scratch.keep(nodes.join(far, ["seq", "component"]).select("seq", "cap", "name", F.col("name").alias("root"), F.col("w").alias("weight")), "state")
+    for distance in sorted(r[0] for r in left.select("distance").distinct().collect()):  # at most as many as a hash has bits
+        state = _level(left.filter(F.col("distance") == distance).drop("component"), state, scratch)
+    return small.unionByName(near).unionByName(state.select("seq", "name", "root"))
+
+
+def _streamed(pairs: DataFrame) -> DataFrame:
+    """``seq, name, root`` of the nodes ``ra, rb`` (of weights ``wa, wb``) that pairs ``na, nb`` of a component merge in order."""
+    swap = F.col("na") > F.col("nb")
+    sides = {"left": F.least("na", "nb"), "right": F.greatest("na", "nb"), "left_node": F.when(swap, F.col("rb")).otherwise(F.col("ra")), "right_node": F.when(swap, F.col("ra")).otherwise(F.col("rb"))}
+    sides |= {"wl": F.when(swap, F.col("wb")).otherwise(F.col("wa")), "wr": F.when(swap, F.col("wa")).otherwise(F.col("wb"))}
+    ordered = pairs.select("seq", "component", "cap", "distance", *[c.alias(n) for n, c in sides.items()]).repartition("seq", "component")
+    return ordered.sortWithinPartitions("seq", "component", "distance", "left", "right").mapInPandas(_merge_in_order, "seq int, name string, root string")
+
+
+def _level(pairs: DataFrame, state: DataFrame, scratch: Scratch) -> DataFrame:
+    """``state`` (``seq, cap, name, root, weight``) after the pairs of one distance."""
+    of = [state.select("seq", F.col("name").alias(n), F.col("root").alias(node), F.col("weight").alias(w)) for n, node, w in (("na", "ra", "wa"), ("nb", "rb", "wb"))]
+    # pairs inside a node, and pairs that exceed the cap already, do nothing and connect nothing
+    met = pairs.drop("wa", "wb").join(of[0], ["seq", "na"]).join(of[1], ["seq", "nb"]).filter("ra <> rb and wa + wb <= cap")
+    met = scratch.keep(met, "met")
+    parts = _components(met, "ra", "rb", scratch)
+    roots = state.select("seq", "cap", "root", "weight").distinct().join(parts.withColumnRenamed("name", "root"), ["seq", "root"])
+    totals = scratch.keep(roots.groupBy("seq", "component", "cap").agg(F.sum("weight").alias("total")), "totals")
+    whole = parts.join(totals.filter(F.col("total") <= F.col("cap")).select("seq", "component"), ["seq", "component"]).select("seq", "name", F.col("component").alias("top"))
+    oversized = met.join(parts.withColumnRenamed("name", "ra"), ["seq", "ra"]).join(totals.filter(F.col("total") > F.col("cap")).select("seq", "component"), ["seq", "component"])
+    merged = whole.unionByName(_streamed(oversized).withColumnRenamed("root", "top"))
+    moved = state.join(merged.withColumnRenamed("name", "root"), ["seq", "root"], "left").withColumn("top", F.coalesce("top", "root"))
+    moved = scratch.keep(moved, "moved")
+    sizes = moved.select("seq", "root", "top", "weight").distinct().groupBy("seq", "top").agg(F.sum("weight").alias("total"))
+    return scratch.keep(moved.join(sizes, ["seq", "top"]).select("seq", "cap", "name", F.col("top").alias("root"), F.col("total").alias("weight")), "state")
+
+
+def grouped_runs(hashed: DataFrame, settings: list[tuple[int, int | None]], close: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files as ``file_name, hash, rank`` (among those of their hash), and ``seq, cap, hash, run, weight, root`` of each setting's runs of equal hashes.
+
+    ``close`` has the pairs ``a, b, distance`` of distinct hashes up to the largest threshold. Settings are few: each is a literal of the plan.
+    """
+    spark, scratch = hashed.sparkSession, Scratch(hashed.sparkSession)
+    ranked, _ = materialize(rank_within(hashed, "hash", [F.col("file_name")]), "ranked")
+    rows = spark.createDataFrame([(i, t, UNCAPPED if c is None else c) for i, (t, c) in enumerate(settings)], "seq int, threshold int, cap long")
+    caps = rows.select("cap").distinct()
+    made = ranked.join(F.broadcast(caps)).groupBy("cap", "hash", F.expr("(rank - 1) div cap").alias("run")).agg(F.min("file_name").alias("name"), F.count("*").alias("weight"))
+    made = scratch.keep(made, "runs")
+    open_runs = made.filter(F.col("weight") < F.col("cap")).select("cap", "hash", "name", "weight")  # a hash's last run, unless full
+    sides = [open_runs.select("cap", F.col("hash").alias(h), F.col("name").alias(n), F.col("weight").alias(w)) for h, n, w in (("a", "na", "wa"), ("b", "nb", "wb"))]
+    pairs = close.join(F.broadcast(rows), F.col("distance") <= F.col("threshold")).join(sides[0], ["cap", "a"]).join(sides[1], ["cap", "b"])
+    merged = _merged(scratch.keep(pairs.select("seq", "distance", "cap", "na", "wa", "nb", "wb"), "merges"), scratch)
+    tops = made.join(F.broadcast(rows), "cap").join(merged, ["seq", "name"], "left").select("seq", "cap", "hash", "run", "weight", F.coalesce("root", "name").alias("root"))
+    tops, _ = materialize(tops, "tops")
+    scratch.drop()
+    return ranked, tops
+
+
 def build_groups(encodings: DataFrame, threshold: int, cap: int | None = None, bits: int = 64, close: DataFrame | None = None) -> DataFrame:
     """``file_name, root`` for every named file; root is its group's smallest name.
 
@@ -95,37 +179,8 @@ def build_groups(encodings: DataFrame, threshold: int, cap: int | None = None, b
         roots = tied.groupBy("component").agg(F.min("first").alias("root"))
         return hashed.join(tied.select("hash", "component"), "hash").join(roots, "component").select("file_name", "root").union(alone)
 
-    ranked = rank_within(hashed, "hash", [F.col("file_name")])
-    runs, _ = materialize(ranked.withColumn("run", F.expr(f"(rank - 1) div {cap}")), "runs")
-    made = runs.groupBy("hash", "run").agg(F.min("file_name").alias("name"), F.count("*").alias("weight"))
-    open_runs = made.filter(F.col("weight") < cap).select("hash", "name", "weight")  # a hash's last run, unless full
-    sides = [open_runs.select(F.col("hash").alias(h), F.col("name").alias(n), F.col("weight").alias(w)) for h, n, w in (("a", "na", "wa"), ("b", "nb", "wb"))]
-    pairs, _ = materialize(close.join(sides[0], "a").join(sides[1], "b"), "merges")
-    parts, _ = materialize(connected_components(pairs.select("na", "nb"), "na", "nb"), "parts")
-    weights = pairs.select(F.expr("inline(array(struct(na as node, wa as w), struct(nb as node, wb as w)))")).distinct()
-    totals = parts.join(weights, "node").groupBy("component").agg(F.sum("w").alias("total"))
-    small = parts.join(totals.filter(F.col("total") <= cap), "component").select(F.col("node").alias("name"), F.col("component").alias("root"))
-    large = totals.filter(F.col("total") > cap).select("component")
-    swap = F.col("na") > F.col("nb")
-    ordered = (
-        pairs.join(parts.withColumnRenamed("node", "na"), "na")
-        .join(large, "component")
-        .select(
-            "component",
-            "distance",
-            F.lit(cap).alias("cap"),
-            F.least("na", "nb").alias("left"),
-            F.when(swap, F.col("wb")).otherwise(F.col("wa")).alias("wl"),
-            F.greatest("na", "nb").alias("right"),
-            F.when(swap, F.col("wa")).otherwise(F.col("wb")).alias("wr"),
-        )
-        .repartition("component")
-        .sortWithinPartitions("component", "distance", "left", "right")
-        .mapInPandas(_merge_in_order, "name string, root string")
-    )
-    merged = small.union(ordered)
-    top = made.join(merged, "name", "left").select("hash", "run", F.coalesce("root", "name").alias("root"))
-    return runs.join(top, ["hash", "run"]).select("file_name", "root").union(alone)
+    ranked, tops = grouped_runs(hashed, [(threshold, cap)], close)
+    return ranked.withColumn("run", F.expr(f"(rank - 1) div {cap}")).join(tops.select("hash", "run", "root"), ["hash", "run"]).select("file_name", "root").union(alone)
 
 
 def group_manifest(rooted: DataFrame) -> DataFrame:
@@ -151,28 +206,38 @@ def group_sizes(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("group_id").agg(F.count("*").alias("size"))
 
 
-def group_summary(manifest: DataFrame) -> DataFrame:
-    """One row: images, groups, singletons, the largest and the share of images in groups of several, in percent."""
+def summary_columns() -> list[Column]:
+    """Images, groups, singletons, the largest and the share of images in groups of several, in percent, of sizes."""
     total = F.coalesce(F.sum("size"), F.lit(0))
-    return group_sizes(manifest).agg(
+    return [
         total.alias("total_images"),
         F.count("*").alias("num_groups"),
         F.count_if(F.col("size") == 1).alias("num_singleton_groups"),
         F.coalesce(F.max("size"), F.lit(0)).alias("largest_group_size"),
         F.coalesce(F.try_divide(F.lit(100.0) * F.sum(F.when(F.col("size") > 1, F.col("size")).otherwise(0)), total), F.lit(0.0)).alias("pct_in_multi_image_groups"),
-    )
+    ]
 
 
-def size_distribution(manifest: DataFrame) -> DataFrame:
-    """One row of counts by size; the last two overlap, as they are meant to."""
+def distribution_columns() -> list[Column]:
+    """Counts by size; the last two overlap, as they are meant to."""
     n = F.col("size")
-    return group_sizes(manifest).agg(
+    return [
         F.count_if(n.between(2, 5)).alias("groups_size_2_5"),
         F.count_if(n.between(6, 10)).alias("groups_size_6_10"),
         F.count_if(n.between(11, 20)).alias("groups_size_11_20"),
         F.count_if(n > 20).alias("groups_size_over_20"),
         F.count_if(n > 50).alias("groups_size_over_50"),
-    )
+    ]
+
+
+def group_summary(manifest: DataFrame) -> DataFrame:
+    """One row of ``summary_columns``."""
+    return group_sizes(manifest).agg(*summary_columns())
+
+
+def size_distribution(manifest: DataFrame) -> DataFrame:
+    """One row of ``distribution_columns``."""
+    return group_sizes(manifest).agg(*distribution_columns())
 
 
 def top_groups(manifest: DataFrame, n: int = 10, max_images: int = 6) -> DataFrame:

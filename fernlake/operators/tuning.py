@@ -1,19 +1,17 @@
 """Choosing the distance threshold, the size cap and the crop for grouping.
 
-A sweep joins hashes once, at its largest threshold, and filters the pairs for each setting.
-Settings are few and each is a small row, so ranking them is a tiny sort.
+A sweep joins hashes once, at its largest threshold, and groups all its settings in one run. Settings are few and
+each is a small row, so ranking them is a tiny sort.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernlake.operators.groups import build_groups, group_summary, size_distribution
+from fernlake.operators.groups import distribution_columns, grouped_runs, summary_columns
 from fernlake.operators.pairs import distinct_pairs
-from fernlake.runtime import materialize
+from fernlake.runtime import Scratch, materialize
 
 # What recommendations are measured against.
 LARGEST_CLUSTER = 50
@@ -22,35 +20,52 @@ PCT_BEST = 30.0
 PREFERRED_THRESHOLD = 10
 
 
-def pair_count(encodings: DataFrame, close: DataFrame) -> DataFrame:
-    """``num_duplicate_pairs`` of files, counted from hashes without spelling the pairs out."""
-    sizes = encodings.filter("file_name is not null and hash is not null").select("file_name", "hash").distinct().groupBy("hash").agg(F.count("*").alias("n"))
-    far = close.join(sizes.select(F.col("hash").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("hash").alias("b"), F.col("n").alias("nb")), "b").select((F.col("na") * F.col("nb")).alias("k"))
-    same = sizes.select(F.expr("n * (n - 1) div 2").alias("k"))
-    return far.union(same).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("num_duplicate_pairs"))
+def pair_counts(hashed: DataFrame, close: DataFrame) -> DataFrame:
+    """``distance, pairs`` of files, counted from hashes without spelling the pairs out."""
+    sizes = hashed.groupBy("hash").agg(F.count("*").alias("n"))
+    far = close.join(sizes.select(F.col("hash").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("hash").alias("b"), F.col("n").alias("nb")), "b").select("distance", (F.col("na") * F.col("nb")).alias("k"))
+    same = sizes.select(F.lit(0).alias("distance"), F.expr("n * (n - 1) div 2").alias("k"))
+    return far.union(same).groupBy("distance").agg(F.sum("k").alias("pairs"))
+
 
+def sweep(encodings: DataFrame, thresholds: list[int], caps: list[int | None] = (None,), bits: int = 64) -> DataFrame:
+    """A row for each threshold and cap: pairs, groups by size and their summary.
 
-def evaluate_setting(encodings: DataFrame, threshold: int, cap: int | None = None, bits: int = 64, close: DataFrame | None = None) -> DataFrame:
-    """One row: pairs, groups by size and the summary of grouping at one threshold and cap."""
-    close = (distinct_pairs(encodings, threshold, bits) if close is None else close).filter(F.col("distance") <= threshold)
-    rooted, _ = materialize(build_groups(encodings, threshold, cap, bits, close).select("file_name", F.col("root").alias("group_id")), "rooted")
-    row = pair_count(encodings, close).crossJoin(group_summary(rooted)).crossJoin(size_distribution(rooted))  # one row each
-    return row.select(
-        F.lit(threshold).alias("threshold"),
-        F.lit(cap).cast("int").alias("cap"),
-        "*",
+    Hashes are joined once, at the largest threshold, and all settings are grouped in one run, on runs of equal hashes
+    rather than files. Names with two hashes go by the smaller; files without a hash are groups of their own.
+    """
+    if not thresholds or not caps:
+        raise ValueError("a sweep needs thresholds and caps")
+    settings = [(t, c) for t in thresholds for c in caps]
+    if any(c is not None and c < 1 for c in caps):
+        raise ValueError("the cap is at least 1")
+    spark, scratch = encodings.sparkSession, Scratch(encodings.sparkSession)
+    files = scratch.keep(encodings.filter("file_name is not null").groupBy("file_name").agg(F.min("hash").alias("hash")), "files")
+    hashed = files.filter("hash is not null")
+    close = scratch.keep(distinct_pairs(hashed, max(thresholds), bits), "close")
+    rows = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(settings)], "seq int, threshold int, cap int")
+    _, tops = grouped_runs(hashed, settings, close)
+    sizes = tops.groupBy("seq", "root").agg(F.sum("weight").alias("size")).select("seq", "size")
+    alone = files.filter("hash is null").join(F.broadcast(rows.select("seq"))).select("seq", F.lit(1).cast("long").alias("size"))
+    told = sizes.unionByName(alone).groupBy("seq").agg(*summary_columns(), *distribution_columns())
+    counted = F.broadcast(rows).join(pair_counts(hashed, close), F.col("distance") <= F.col("threshold")).groupBy("seq").agg(F.sum("pairs").alias("num_duplicate_pairs"))
+    found = rows.join(counted, "seq", "left").join(told, "seq", "left").na.fill(0)
+    out = found.select(
+        "threshold",
+        F.element_at(F.lit([c for _, c in settings]).cast("array<int>"), F.col("seq") + 1).alias("cap"),  # null is no 0
+        *[c for c in found.columns if c not in ("seq", "threshold", "cap")],
         (F.col("num_groups") - F.col("num_singleton_groups")).alias("num_multi_image_groups"),
         (F.col("largest_group_size") <= LARGEST_CLUSTER).alias("passes_cluster_size_check"),
+        "seq",
     )
+    made, _ = materialize(out, "sweep")
+    scratch.drop()
+    return made
 
 
-def sweep(encodings: DataFrame, thresholds: list[int], caps: list[int | None] = (None,), bits: int = 64) -> DataFrame:
-    """A row for each threshold and cap, from one join at the largest threshold."""
-    if not thresholds or not caps:
-        raise ValueError("a sweep needs thresholds and caps")
-    close, _ = materialize(distinct_pairs(encodings, max(thresholds), bits), "close")
-    rows = [evaluate_setting(encodings, t, c, bits, close).withColumn("seq", F.lit(i)) for i, (t, c) in enumerate((t, c) for t in thresholds for c in caps)]
-    return reduce(DataFrame.unionByName, rows)
+def evaluate_setting(encodings: DataFrame, threshold: int, cap: int | None = None, bits: int = 64) -> DataFrame:
+    """The one row of a sweep of one setting."""
+    return sweep(encodings, [threshold], [cap], bits).drop("seq")
 
 
 def production_score(results: DataFrame) -> DataFrame:

@@ -46,6 +46,24 @@ def test_groups_equal_the_loop(spark, seed, threshold, cap):
     assert got == loops.capped_groups(h, threshold, cap)
 
 
+@pytest.mark.parametrize("streamed", [0, 1_000_000])
+def test_all_settings_in_one_run(spark, monkeypatch, streamed):
+    """Chains whose components exceed the caps: streamed as they are, or level by level, contracted and met again."""
+    monkeypatch.setattr(groups, "STREAMED", streamed)
+    rng = random.Random(21)
+    h, at = {}, rng.getrandbits(64)
+    for _ in range(70):
+        for _ in range(rng.randint(0, 3)):
+            at ^= 1 << rng.randrange(64)
+        h[f"f{rng.randrange(10**6):06d}"] = at
+    settings = [(t, c) for t in (2, 4) for c in (2, 5, 13, None)]
+    hashed = frame(spark, h)
+    ranked, tops = groups.grouped_runs(hashed, settings, pairs.distinct_pairs(hashed, 4))
+    rooted = ranked.join(tops, "hash").filter("run = (rank - 1) div cap").select("seq", "file_name", "root").collect()
+    for i, (t, c) in enumerate(settings):
+        assert {r["file_name"]: r["root"] for r in rooted if r["seq"] == i} == loops.capped_groups(h, t, c)
+
+
 def test_groups_edge_cases(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", None), (None, 5), ("c", 1)], "file_name string, hash long")
     got = {r["file_name"]: r["root"] for r in groups.build_groups(df, 2, 5).collect()}
