@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlake.functions.boxes import iou_sql, max_iou_sql
+from fernlake.runtime import materialize
 
 #: Highest score first; of equal ones the lower index.
 BY_SCORE = "(l, r) -> case when l.s > r.s then -1 when l.s < r.s then 1 else l.i - r.i end"
@@ -86,10 +87,15 @@ def _suppress_stream(iou_threshold: float):
     return run
 
 
+def suppress_sql(boxes: str, iou_threshold: float) -> str:
+    """Those of an array of boxes in score order that greedy suppression keeps."""
+    return f"aggregate({boxes}, filter({boxes}, z -> false), (kept, b) -> if(exists(kept, k -> {iou_sql('k', 'b')} > {float(iou_threshold)}D), kept, concat(kept, array(b))))"
+
+
 def suppress(predictions: DataFrame, iou_threshold: float = 0.3) -> DataFrame:
     """The predictions that greedy suppression keeps: none overlaps a better kept one by more than the threshold."""
     rows = counted(predictions.filter("image_id is not null and score is not null").select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in KEPT.split(", ")]))
-    fold = f"aggregate(preds, filter(preds, z -> false), (kept, p) -> if(exists(kept, k -> {iou_sql('k', 'p')} > {float(iou_threshold)}D), kept, concat(kept, array(p))))"
+    fold = suppress_sql("preds", iou_threshold)
     few = boxes_of_image(rows.filter(F.col("_n") <= FOLD_BOXES)).select("image_id", F.explode(F.expr(fold)).alias("p"))
     small = few.select("image_id", F.col("p.i").alias("pred_idx"), "p.x1", "p.y1", "p.x2", "p.y2", F.col("p.s").alias("score"))
     many = rows.filter(F.col("_n") > FOLD_BOXES).drop("_n").sortWithinPartitions("image_id", F.desc("score"), "pred_idx")
@@ -125,19 +131,65 @@ def detect_windows(windows: DataFrame, logits: Callable[[Iterator[pd.DataFrame]]
 
 
 def max_iou_with(boxes: DataFrame, truths: DataFrame) -> DataFrame:
-    """``boxes`` with ``max_iou``: the largest IoU with a true box of the image, 0 without any."""
-    corners = ["x1", "y1", "x2", "y2"]
-    held = truths.filter("image_id is not null").select("image_id", F.struct(*corners).alias("_t"))
-    sizes = held.groupBy("image_id").agg(F.count("*").alias("_n"))
-    sized = boxes.withColumn("_box", F.struct(*corners)).join(sizes, "image_id", "left")
-    few = held.join(sizes.filter(F.col("_n") <= FOLD_BOXES), "image_id").groupBy("image_id").agg(F.collect_list("_t").alias("_truths"))
-    empty = "cast(array() as array<struct<x1:double,y1:double,x2:double,y2:double>>)"
-    small = sized.filter(F.coalesce("_n", F.lit(0)) <= FOLD_BOXES).join(few, "image_id", "left").withColumn("max_iou", F.expr(max_iou_sql("_box", f"coalesce(_truths, {empty})")))
-    # the boxes of an image with many are never gathered: pairs stream through a join and a maximum
-    large = sized.filter(F.col("_n") > FOLD_BOXES).withColumn("_row", F.monotonically_increasing_id())
-    best = large.select("image_id", "_row", "_box").join(held, "image_id").groupBy("_row").agg(F.max(F.expr(iou_sql("_box", "_t"))).alias("max_iou"))
-    columns = [*boxes.columns, "max_iou"]
-    return small.select(*columns).union(large.join(best, "_row").select(*columns))
+    """``boxes`` with ``max_iou``: the largest IoU with a true box of the image, 0 without any.
+
+    One exchange brings both together. The boxes of an image with more than ``FOLD_BOXES`` are never gathered; they meet by tiles.
+    """
+    corners = F.struct(*[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    row = F.struct(*boxes.columns)
+    # boxes of no image have nothing to meet and are no group
+    asked = boxes.select(F.struct("image_id", F.when(F.col("image_id").isNull(), F.xxhash64(row)).alias("none")).alias("_image"), row.alias("_row"), corners.alias("_box"))
+    given = truths.filter("image_id is not null").select(F.struct(F.col("image_id").cast(boxes.schema["image_id"].dataType).alias("image_id"), F.lit(None).cast("long").alias("none")).alias("_image"), F.lit(None).alias("_row"), corners.alias("_box"))
+    own, truth, few = Window.partitionBy("_image"), F.col("_row").isNull(), F.col("_n") <= FOLD_BOXES
+    both = asked.unionByName(given).withColumn("_n", F.count("*").over(own))
+    held = both.groupBy("_image").agg(
+        F.max("_n").alias("_n"),
+        F.collect_list(F.when(few & ~truth, F.struct("_row", "_box"))).alias("_asked"),
+        F.collect_list(F.when(few & truth, F.col("_box"))).alias("_truths"),
+    )
+    images, _ = materialize(held, "best")
+    small = images.select("_truths", F.explode("_asked").alias("_a")).select("_a._row", F.expr(max_iou_sql("_a._box", "_truths")).alias("max_iou"))
+    crowded = images.filter(~few).select("_image")
+    if not crowded.isEmpty():
+        small = small.union(best_by_tiles(asked.join(crowded, "_image"), given.join(crowded, "_image")).select("_row", "max_iou"))
+    return small.select("_row.*", "max_iou")
+
+
+def tiles(boxes: DataFrame, levels: DataFrame) -> DataFrame:
+    """Rows of ``boxes`` (with ``_box`` and ``_level``) with each tile they touch, as ``level, tx, ty``, on their own level and on the image's coarser ones.
+
+    A tile of level n has sides of 2^n. A box is no longer than a tile of its level, so it touches four of a level at most.
+    """
+    on = boxes.join(levels, "_image").withColumn("level", F.explode(F.filter("levels", lambda n: n >= F.col("_level"))))
+    for axis in "xy":
+        first, last = (F.floor(F.col(f"_box.{axis}{end}") / F.pow(F.lit(2.0), F.col("level"))) for end in (1, 2))
+        on = on.withColumn(f"t{axis}", F.explode(F.sequence(first, last)))
+    return on.drop("levels")
+
+
+def tile_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``_image, _l, _r`` of all boxes (``_image, _box`` and others, as structs) of an image that overlap, each pair once.
+
+    Two boxes meet on the level of the larger, in the tile that holds the lower corner of their overlap.
+    """
+    sides = {}
+    for name, frame in (("_l", left), ("_r", right)):
+        side = F.greatest(F.col("_box.x2") - F.col("_box.x1"), F.col("_box.y2") - F.col("_box.y1"))
+        real = frame.filter("_box.x2 > _box.x1 and _box.y2 > _box.y1").withColumn("_level", F.ceil(F.log2(side)).cast("int"))
+        sides[name] = real.select("_image", "_box", "_level", F.struct(*frame.columns).alias(name))
+    levels = sides["_l"].select("_image", "_level").union(sides["_r"].select("_image", "_level")).groupBy("_image").agg(F.collect_set("_level").alias("levels"))
+    on = [tiles(s, levels).withColumnsRenamed({"_box": f"{n}box", "_level": f"{n}level"}) for n, s in sides.items()]
+    met = on[0].join(on[1], ["_image", "level", "tx", "ty"]).filter("level = greatest(_llevel, _rlevel)")
+    corner = [F.floor(F.greatest(F.col(f"_lbox.{axis}1"), F.col(f"_rbox.{axis}1")) / F.pow(F.lit(2.0), F.col("level"))) == F.col(f"t{axis}") for axis in "xy"]
+    apart = "_lbox.x1 >= _rbox.x2 or _rbox.x1 >= _lbox.x2 or _lbox.y1 >= _rbox.y2 or _rbox.y1 >= _lbox.y2"
+    return met.filter(corner[0] & corner[1]).filter(f"not ({apart})").select("_image", "_l", "_r")
+
+
+def best_by_tiles(boxes: DataFrame, truths: DataFrame) -> DataFrame:
+    """``_row, max_iou`` of ``boxes`` (``_image, _row, _box``): boxes of an image that do not overlap never meet."""
+    best = tile_pairs(boxes.select("_image", "_box").distinct(), truths.select("_image", "_box").distinct())
+    best = best.groupBy("_image", F.col("_l._box").alias("_box")).agg(F.max(F.expr(iou_sql("_l._box", "_r._box"))).alias("max_iou"))
+    return boxes.join(best, ["_image", "_box"], "left").select("_row", F.coalesce("max_iou", F.lit(0.0)).alias("max_iou"))
 
 
 def iou_pairs(predictions: DataFrame, truths: DataFrame) -> DataFrame:

@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernlake.functions.boxes import iou_sql
-from fernlake.operators.detection import BY_SCORE, FOLD_BOXES, Grown, counted, ious, max_iou_with
+from fernlake.functions.boxes import iou_sql, max_iou_sql
+from fernlake.operators.detection import BY_SCORE, FOLD_BOXES, Grown, counted, ious, max_iou_with, suppress, suppress_sql
 from fernlake.operators.ranking import PART, ordered_parts
-from fernlake.runtime import drop_path, materialize
+from fernlake.runtime import Scratch, drop_path, materialize
 
 ROWS = "image_id string, pred_idx int, score double, gt_idx int"
 
@@ -49,6 +49,25 @@ def _match_stream(iou_threshold: float):
     return run
 
 
+def _match_sql(iou_threshold: float) -> str:
+    """An array of structs ``s, i, gt_idx`` from ``preds`` in score order and ``truths``."""
+    best = f"array_max(transform(filter(truths, t -> not array_contains(acc.used, t.g)), t -> named_struct('v', {iou_sql('p', 't')}, 'n', -t.g)))"
+    hit = f"b.v >= {float(iou_threshold)}D"
+    step = f"""transform(array({best}), b -> named_struct(
+        'used', if(coalesce({hit}, false), concat(acc.used, array(-b.n)), acc.used),
+        'out', concat(acc.out, array(named_struct('s', p.s, 'i', p.i, 'gt_idx', if(coalesce({hit}, false), -b.n, cast(null as int)))))))[0]"""
+    start = "named_struct('used', cast(array() as array<int>), 'out', cast(array() as array<struct<s:double,i:int,gt_idx:int>>))"
+    return f"aggregate(preds, {start}, (acc, p) -> {step}, acc -> acc.out)"
+
+
+def _both(predictions: DataFrame, truths: DataFrame) -> DataFrame:
+    """Predictions (``kind`` 1) and true boxes (0) of an image as rows of one table."""
+    corners = ["x1", "y1", "x2", "y2"]
+    asked = predictions.filter("image_id is not null and score is not null").select(F.lit(1).alias("kind"), F.col("image_id").cast("string"), F.col("pred_idx").cast("int").alias("idx"), F.col("score").cast("double"), *corners)
+    given = truths.filter("image_id is not null").select(F.lit(0).alias("kind"), F.col("image_id").cast("string"), F.col("gt_idx").cast("int").alias("idx"), F.lit(None).cast("double").alias("score"), *corners)
+    return asked.union(given)
+
+
 def matched(predictions: DataFrame, truths: DataFrame, iou_threshold: float = 0.5) -> DataFrame:
     """``image_id, pred_idx, score, gt_idx`` of every prediction.
 
@@ -60,22 +79,14 @@ def matched(predictions: DataFrame, truths: DataFrame, iou_threshold: float = 0.
     if iou_threshold <= 0:
         raise ValueError("the IoU threshold is positive")
     corners = ["x1", "y1", "x2", "y2"]
-    asked = predictions.filter("image_id is not null and score is not null").select(F.lit(1).alias("kind"), F.col("image_id").cast("string"), F.col("pred_idx").cast("int").alias("idx"), F.col("score").cast("double"), *corners)
-    given = truths.filter("image_id is not null").select(F.lit(0).alias("kind"), F.col("image_id").cast("string"), F.col("gt_idx").cast("int").alias("idx"), F.lit(None).cast("double").alias("score"), *corners)
-    both = counted(asked.union(given))
+    both = counted(_both(predictions, truths))
 
     few = both.filter(F.col("_n") <= FOLD_BOXES).groupBy("image_id").agg(
         F.collect_list(F.when(F.col("kind") == 1, F.struct(F.col("score").alias("s"), F.col("idx").alias("i"), *corners))).alias("p"),
         F.collect_list(F.when(F.col("kind") == 0, F.struct(F.col("idx").alias("g"), *corners))).alias("truths"),
     )
     folded = few.select("image_id", "truths", F.expr(f"array_sort(p, {BY_SCORE})").alias("preds"))
-    best = f"array_max(transform(filter(truths, t -> not array_contains(acc.used, t.g)), t -> named_struct('v', {iou_sql('p', 't')}, 'n', -t.g)))"
-    hit = f"b.v >= {float(iou_threshold)}D"
-    step = f"""transform(array({best}), b -> named_struct(
-        'used', if(coalesce({hit}, false), concat(acc.used, array(-b.n)), acc.used),
-        'out', concat(acc.out, array(named_struct('s', p.s, 'i', p.i, 'gt_idx', if(coalesce({hit}, false), -b.n, cast(null as int)))))))[0]"""
-    start = "named_struct('used', cast(array() as array<int>), 'out', cast(array() as array<struct<s:double,i:int,gt_idx:int>>))"
-    small = folded.select("image_id", F.explode(F.expr(f"aggregate(preds, {start}, (acc, p) -> {step}, acc -> acc.out)")).alias("h")).select("image_id", F.col("h.i").alias("pred_idx"), F.col("h.s").alias("score"), "h.gt_idx")
+    small = folded.select("image_id", F.explode(F.expr(_match_sql(iou_threshold))).alias("h")).select("image_id", F.col("h.i").alias("pred_idx"), F.col("h.s").alias("score"), "h.gt_idx")
 
     many = both.filter(F.col("_n") > FOLD_BOXES).drop("_n").sortWithinPartitions("image_id", "kind", F.desc("score"), "idx")
     return small.union(many.mapInPandas(_match_stream(iou_threshold), ROWS))
@@ -132,22 +143,66 @@ def average_precision(rows: DataFrame, n_truths: int) -> DataFrame:
     return best.agg((F.coalesce(F.sum("best"), F.lit(0.0)) / max(1, n_truths)).alias("average_precision"))
 
 
+def judged_images(images: DataFrame, predictions: DataFrame, truths: DataFrame, iou_threshold: float = 0.5, nms_threshold: float | None = None) -> DataFrame:
+    """``image_id, n, raw, kept, given, best, hits`` of each of ``images``: its boxes of all kinds, predictions before and after
+    suppression, true boxes, their best IoUs added up, and the matched predictions. One exchange serves all of it.
+
+    An image with more than ``FOLD_BOXES`` boxes has its counts ``n, raw, given`` alone.
+    """
+    if iou_threshold <= 0:
+        raise ValueError("the IoU threshold is positive")
+    corners = ["x1", "y1", "x2", "y2"]
+    listed = images.filter("image_id is not null").select(F.lit(2).alias("kind"), F.col("image_id").cast("string"), *[F.lit(None).cast(t).alias(c) for c, t in (("idx", "int"), ("score", "double"), *((c, "double") for c in corners))])
+    all_ = counted(_both(predictions, truths).union(listed))
+    few, kind = F.col("_n") <= FOLD_BOXES, F.col("kind")
+    held = all_.groupBy("image_id").agg(
+        F.max("_n").alias("n"),
+        F.max(kind).alias("last"),
+        F.count_if(kind == 1).alias("raw"),
+        F.count_if(kind == 0).alias("given"),
+        F.collect_list(F.when(few & (kind == 1), F.struct(F.col("score").alias("s"), F.col("idx").alias("i"), *corners))).alias("p"),
+        F.collect_list(F.when(few & (kind == 0), F.struct(F.col("idx").alias("g"), *corners))).alias("truths"),
+    )
+    kept = "p" if nms_threshold is None else suppress_sql("p", nms_threshold)
+    own = held.filter("last = 2").withColumn("p", F.expr(f"array_sort(p, {BY_SCORE})")).withColumn("preds", F.expr(kept))
+    best = f"aggregate(truths, 0D, (sum, t) -> sum + {max_iou_sql('t', 'preds')})"
+    return own.select("image_id", "n", "raw", F.size("preds").cast("long").alias("kept"), "given", F.expr(best).alias("best"), F.expr(_match_sql(iou_threshold)).alias("hits"))
+
+
 def evaluate(images: DataFrame, predictions: DataFrame, truths: DataFrame, iou_threshold: float = 0.5, nms_threshold: float | None = None) -> DataFrame:
     """One row of detection quality over all ``images``, those without boxes included.
 
-    With ``nms_threshold`` predictions are suppressed first. Predictions and true boxes of other images do not count.
+    With ``nms_threshold`` predictions are suppressed first. Predictions and true boxes of other images, and
+    predictions without a score, do not count.
     """
-    from fernlake.operators.detection import suppress
-
-    wanted = images.select("image_id").distinct()
-    raw, own = predictions.join(wanted, "image_id", "left_semi"), truths.join(wanted, "image_id", "left_semi")
-    kept = materialize(suppress(raw, nms_threshold), "kept")[0] if nms_threshold is not None else raw
-    found, _ = materialize(matched(kept, own, iou_threshold), "found")
-    n_images, n_truths, n_raw = (df.count() for df in (wanted, own, raw))
-    per_image = lambda n: (F.lit(float(n)) / max(1, n_images))
-    sizes = {"avg_boxes_before_nms": per_image(n_raw), "avg_boxes_after_nms": per_image(kept.count()), "images": F.lit(max(1, n_images)).cast("long")}
-    # every operand is one row
-    return precision_recall_f1(image_counts(found, own)).crossJoin(mean_iou(kept, own)).crossJoin(average_precision(found, n_truths)).withColumns(sizes)
+    spark, scratch = images.sparkSession, Scratch(images.sparkSession)
+    judged = scratch.keep(judged_images(images, predictions, truths, iou_threshold, nms_threshold), "judged")
+    hits = judged.select("image_id", F.explode("hits").alias("h")).select("image_id", F.col("h.i").alias("pred_idx"), F.col("h.s").alias("score"), "h.gt_idx")
+    sums = ("raw", "kept", "given", "best")
+    told = judged.agg(F.count("*").alias("images"), F.max("n").alias("most"), F.sum(F.expr("size(filter(hits, h -> h.gt_idx is not null))")).alias("tp"), *[F.sum(c).alias(c) for c in sums]).first().asDict()
+    told = {k: v or 0 for k, v in told.items()}
+    if told["most"] > FOLD_BOXES:  # images with more boxes are streamed and tiled by themselves
+        crowded = judged.filter(F.col("n") > FOLD_BOXES).select("image_id")
+        asked, given = (df.withColumn("image_id", F.col("image_id").cast("string")).join(crowded, "image_id") for df in (predictions.filter("score is not null"), truths))
+        kept = scratch.keep(suppress(asked, nms_threshold), "kept") if nms_threshold is not None else asked
+        found = scratch.keep(matched(kept, given, iou_threshold), "found")
+        tp, n = found.agg(F.count("gt_idx"), F.count("*")).first()
+        best = max_iou_with(given.select("image_id", "x1", "y1", "x2", "y2"), kept).agg(F.sum("max_iou")).first()[0] or 0.0
+        told |= {"tp": told["tp"] + tp, "kept": told["kept"] + n, "best": told["best"] + best}
+        hits = hits.union(found.select("image_id", "pred_idx", "score", "gt_idx"))
+    counts = spark.createDataFrame([(told["tp"], told["kept"] - told["tp"], told["given"] - told["tp"])], "tp long, fp long, fn long")
+    precision = average_precision(hits, told["given"]).first()[0]
+    scratch.drop()
+    per_image = lambda n: F.lit(float(n) / max(1, told["images"]))
+    return precision_recall_f1(counts).withColumns(
+        {
+            "mean_iou": F.lit(float(told["best"]) / max(1, told["given"])),
+            "average_precision": F.lit(float(precision)),
+            "avg_boxes_before_nms": per_image(told["raw"]),
+            "avg_boxes_after_nms": per_image(told["kept"]),
+            "images": F.lit(max(1, told["images"])).cast("long"),
+        }
+    )
 
 
 def crop_quality(scored: DataFrame) -> DataFrame:

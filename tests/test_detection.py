@@ -99,3 +99,44 @@ def test_scorer_plug_in(spark):
     images = spark.createDataFrame([("a", 80, 40)], "image_id string, width int, height int")
     found = detection.detect_windows(detection.window_grid(images, [40], 0.5), constant).collect()
     assert [(r["pred_idx"], r["x1"]) for r in found] == [(0, 0.0)]
+
+
+@pytest.mark.parametrize("fold", [0, 12, 2000])
+def test_best_iou_by_tiles_equals_every_comparison(spark, monkeypatch, fold):
+    """Boxes of all sizes, some inverted or empty, at negative places too, in images that are folded or tiled."""
+    monkeypatch.setattr(detection, "FOLD_BOXES", fold)
+    rng = random.Random(5)
+
+    def box():
+        x, y, w, h = rng.uniform(-300, 300), rng.uniform(-300, 300), 2 ** rng.uniform(-3, 9), 2 ** rng.uniform(-3, 9)
+        return rng.choice([(x, y, x + w, y + h)] * 9 + [(x, y, x, y + h), (x + w, y, x, y + h), (0.0, 0.0, 64.0, 64.0)])
+
+    def iou(a, b):
+        inter = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        area = lambda c: max(0, c[2] - c[0]) * max(0, c[3] - c[1])
+        return inter / (area(a) + area(b) - inter) if area(a) + area(b) - inter > 0 else 0.0
+
+    asked = [(rng.choice(["a", "b", "c", None]), i, *box()) for i in range(160)]
+    given = [(rng.choice(["a", "b", "d", None]), *box()) for _ in range(120)]
+    got = detection.max_iou_with(spark.createDataFrame(asked, "image_id string, i int, x1 double, y1 double, x2 double, y2 double"), spark.createDataFrame(given, "image_id string, x1 double, y1 double, x2 double, y2 double"))
+    assert got.columns == ["image_id", "i", "x1", "y1", "x2", "y2", "max_iou"]
+    want = {a[1]: max([iou(a[2:], g[1:]) for g in given if g[0] == a[0] and a[0]], default=0.0) for a in asked}
+    assert {r["i"]: pytest.approx(r["max_iou"], abs=1e-12) for r in got.collect()} == want
+    pairs = detection.tile_pairs(*(spark.createDataFrame([(r[0], r[-4:]) for r in rows if r[0]], "_image string, _box struct<x1:double,y1:double,x2:double,y2:double>") for rows in (asked, given)))
+    overlapping = sum(iou(a[2:], g[1:]) > 0 for a in asked for g in given if a[0] and a[0] == g[0])
+    assert pairs.count() == overlapping  # none that do not overlap, none twice
+
+
+def test_crowded_images_are_evaluated_alike(spark, monkeypatch):
+    rng = random.Random(8)
+    boxes = [(rng.choice("abc"), i, *(x := rng.randrange(60), y := rng.randrange(60), x + 20, y + 20), rng.randrange(10) / 10) for i in range(90)]
+    rows = [(a, i, *map(float, b), s) for a, i, *b, s in boxes]
+    predictions = spark.createDataFrame(rows, "image_id string, pred_idx int, x1 double, y1 double, x2 double, y2 double, score double")
+    truths = predictions.filter("pred_idx % 3 = 0").selectExpr("image_id", "pred_idx as gt_idx", "x1 + 2 as x1", "y1", "x2 + 2 as x2", "y2")
+    images = spark.createDataFrame([("a",), ("b",), ("none",)], "image_id string")
+    rows = []
+    for fold in (2000, 0, 45):
+        for module in (detection, metrics):
+            monkeypatch.setattr(module, "FOLD_BOXES", fold)
+        rows.append([round(float(v), 9) for v in metrics.evaluate(images, predictions, truths, 0.5, 0.4).first()])
+    assert rows[0] == rows[1] == rows[2] and rows[0][0] > 0
