@@ -8,7 +8,8 @@ batch advance together, so the work is a few array operations for each of ``WIND
 Gates, with ``x`` the byte's learned row and ``h`` the state: ``z, r = sigmoid(x + h U)``,
 ``n = tanh(x + r (h U))``, ``h' = n + z (h - n)``. Training is backpropagation through time in
 numpy with Adam, on at most ``PER_LANGUAGE`` documents of each language (those with the
-smallest hash of their id) and at most ``WINDOWS`` windows of each, spread evenly over its whole text.
+smallest hash of their id), of which texts longer than ``ROW_BYTES`` and what would bring a language
+over ``LANGUAGE_BYTES`` are no part. Of the documents it learns from every window takes part in the draw.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HIDDEN, WINDOW = 8, 64
-#: Training documents of each language, and windows of each; texts of up to 32 KB are learnt from whole.
-PER_LANGUAGE, WINDOWS = 300, 512
+#: Training documents of each language, bytes of one of them, and of all of a language.
+PER_LANGUAGE, ROW_BYTES, LANGUAGE_BYTES = 300, 1 << 20, 1 << 23
 STEPS, BATCH, RATE, SEED = 220, 192, 0.02, 0
 #: Windows that advance together when scoring.
 TOGETHER = 2048
@@ -107,15 +108,9 @@ def windows_of(data: bytes, size: int = WINDOW) -> np.ndarray:
     return out.reshape(n, size)
 
 
-def spread_windows(data: bytes, most: int = WINDOWS) -> np.ndarray:
-    """All windows of a text, or ``most`` of them at even distances, its last one included."""
-    cut = windows_of(data)
-    return cut if len(cut) <= most else cut[np.linspace(0, len(cut) - 1, most).round().astype(int)]
-
-
 def train(texts: list[tuple[str, int]], n_labels: int, **options) -> dict[str, np.ndarray]:
     """A network from labelled texts, whole."""
-    return train_windows([(spread_windows(t.encode("utf-8", "surrogatepass")), y) for t, y in texts], n_labels, **options)
+    return train_windows([(windows_of(t.encode("utf-8", "surrogatepass")), y) for t, y in texts], n_labels, **options)
 
 
 def train_windows(cut: list[tuple[np.ndarray, int]], n_labels: int, steps: int = STEPS, batch: int = BATCH, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -207,7 +202,7 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> tuple[list[str], dict[str, np.ndarray]]:
     """Labels and network, learnt from rows with id, text and label that are not held out.
 
-    Which rows those are is settled from ids and labels alone; only windows of their texts reach the driver.
+    Which rows may be among those is settled from ids and labels alone; only their texts, at most ``LANGUAGE_BYTES`` of a language, reach the driver.
     """
     own = docs.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).alias("y"), F.col(text_col).alias("t"))
     known = own.filter("k is not null and y is not null").filter(~held_out(F.col("k")))
@@ -219,14 +214,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     drawn = known.select("k", "y").join(F.broadcast(share), "y").filter(place < F.col("below"))
     first = Window.partitionBy("y").orderBy(place, "k")
     chosen = drawn.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= PER_LANGUAGE).select("k", "y").distinct()
-    taken = known.filter("t is not null").join(F.broadcast(chosen), ["k", "y"]).select("k", "y", "t")
+    taken = known.filter(F.octet_length("t") <= ROW_BYTES).join(F.broadcast(chosen), ["k", "y"]).select("k", "y", "t")
+    sized = taken.groupBy("k", "y").agg(F.min("t").alias("t"))  # an id with several texts is learnt from by one
+    upto = F.sum(F.octet_length("t")).over(first.rowsBetween(Window.unboundedPreceding, 0))
+    taken = sized.withColumn("upto", upto).filter(F.col("upto") <= LANGUAGE_BYTES).select("k", "y", "t")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [spread_windows(t.encode("utf-8", "surrogatepass") if LETTER.search(t) else b"").tobytes() for t in batch["t"]]
+            made = [windows_of(t.encode("utf-8", "surrogatepass") if LETTER.search(t) else b"").tobytes() for t in batch["t"]]
             yield pd.DataFrame({"k": batch["k"], "y": batch["y"], "w": made})
 
-    rows = taken.mapInPandas(cut, "k long, y string, w binary").groupBy("k", "y").agg(F.min("w").alias("w")).collect()
+    rows = taken.mapInPandas(cut, "k long, y string, w binary").collect()
     rows.sort(key=lambda r: (r["y"], r["k"]))
     labels = sorted({r["y"] for r in rows})
     return labels, train_windows([(np.frombuffer(r["w"], np.int16).reshape(-1, WINDOW), labels.index(r["y"])) for r in rows], len(labels))

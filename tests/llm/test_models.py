@@ -193,11 +193,16 @@ def test_ftrl_equals_the_textbook_update():
     assert learner.model()[1] == pytest.approx(weight(bias))
 
 
-def test_windows_are_spread_over_whole_texts():
-    data = bytes(range(256)) * 400
-    cut = language_id.spread_windows(data, 50)
-    assert len(cut) == 50 and (cut[0] == np.arange(64)).all() and (cut[-1] == language_id.windows_of(data)[-1]).all()
-    assert len(language_id.spread_windows(b"", 50)) == 0 and len(language_id.spread_windows(b"ab", 50)) == 1
+def test_a_language_is_learnt_from_whole_texts_within_its_bytes(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "ROW_BYTES", 4000)
+    monkeypatch.setattr(language_id, "LANGUAGE_BYTES", 20_000)
+    learnt = []
+    monkeypatch.setattr(language_id, "train_windows", lambda cut, n: learnt.extend(cut) or language_id.initial(n))
+    rows = [(i, ("ab " if i % 2 else "yz ") * (1000 + i), "x" if i % 2 else "y") for i in range(40)] + [(100, "ab " * 5000, "x"), (101, None, "y")]
+    language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    for label in (0, 1):
+        own = [w for w, y in learnt if y == label]
+        assert 4 <= len(own) <= 6 and all(3000 <= (w < 256).sum() <= 4000 for w in own)  # none is cut, none is over
 
 
 def test_clustered_vectors_need_few_cells(spark):
