@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from dataclasses import asdict
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,9 @@ def parser() -> argparse.ArgumentParser:
     command("group", ("--threshold", int, 10), ("--max-group-size", int, 50), ("--recompute", bool, False), *crop)
     command("split", *split, ("--export-coco", bool, False))
     command("report", ("--random-trials", int, 0), ("--seed", int, 42))
-    command("tune", ("--thresholds", list, [4, 6, 8, 10, 12, 14]), ("--sample", int, 800), *crop)
+    command("tune", ("--thresholds", list, [4, 6, 8, 10, 12, 14]), ("--sample", int, 800), ("--skip-crop-comparison", bool, False), *crop)
     command("sweep", ("--thresholds", list, [3, 4, 5, 6]), ("--caps", list, [40, 50, 60]), *crop)
+    command("preview", ("--output-dir", str, None), ("--samples-per-split", int, 30), ("--seed", int, 42), ("--copy", bool, False), ("--per-group", bool, False), ("--num-groups", int, 10))
     command("prepare", ("--output-dir", str, None), ("--config", str, None), ("--multi-class", bool, False), ("--copy-images", bool, False), ("--size", int, None), *split)
     command("evaluate", ("--predictions", str, None), ("--split", str, "test"), ("--iou", float, 0.5), ("--nms", float, None), ("--output", str, None), *split)
     return top
@@ -50,11 +52,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     def crop() -> artifacts.HashCrop:
         return artifacts.HashCrop(a.top, a.bottom, a.left, a.right)
 
-    def hashed():
-        return runs.encode_images(spark, a.data_dir, meta, crop()).select("file_name", from_hex(F.col("hash_hex")).alias("hash"))
+    def hashed(of: artifacts.HashCrop | None = None):
+        return runs.encode_images(spark, a.data_dir, meta, of or crop()).select("file_name", from_hex(F.col("hash_hex")).alias("hash"))
 
-    def save(swept, best, name: str) -> dict:
-        result = {"results": [r.asDict() for r in swept.toLocalIterator()], "recommended": best.first().asDict()}
+    def listed(swept) -> list[dict]:
+        return [r.asDict() for r in swept.orderBy("seq").collect()]  # a row a setting
+
+    def save(result: dict, name: str) -> dict:
         artifacts.save_json(spark, result, f"{meta}/{artifacts.FILES[name]}")
         return result
 
@@ -68,9 +72,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     elif a.command == "report":
         result = runs.report_split(spark, a.data_dir, spark.read.parquet(f"{meta}/split_manifest"), spark.read.parquet(f"{meta}/group_manifest"), a.random_trials, a.seed)
     elif a.command == "tune":
-        result = save(*runs.tune_threshold(hashed(), a.thresholds, a.sample), "threshold_sweep")
+        if a.skip_crop_comparison:
+            swept, best = runs.tune_threshold(hashed(), a.thresholds, a.sample)
+            result = {"results": listed(swept), "recommended": best.first().asDict()}
+        else:
+            crops = {"with_crop": crop(), "no_crop": artifacts.HashCrop(0.0, 0.0, 0.0, 0.0)}
+            swept, best = runs.tune_crop({name: hashed(of) for name, of in crops.items()}, a.thresholds, a.sample)
+            told, chosen = {name: listed(rows) for name, rows in swept.items()}, best.first().asDict()
+            save({"variants": told, "recommended_variant": chosen["variant"], "hash_config": asdict(crops[chosen["variant"]])}, "crop_comparison")
+            result = {"results": told[chosen["variant"]], "recommended": chosen}
+        save(result, "threshold_sweep")
     elif a.command == "sweep":
-        result = save(*runs.sweep_production(hashed(), a.thresholds, a.caps), "threshold_sweep")
+        swept, best = runs.sweep_production(hashed(), a.thresholds, [c or None for c in a.caps])  # 0: no cap
+        result = save({"results": listed(swept), "recommended": best.first().asDict()}, "threshold_sweep")
+    elif a.command == "preview":
+        made, manifest = (spark.read.parquet(f"{meta}/{name}") for name in ("split_manifest", "group_manifest"))
+        result = runs.preview_splits(spark, a.data_dir, made, a.output_dir or f"{meta}/split_previews", a.samples_per_split, a.seed, a.copy, manifest if a.per_group else None, a.num_groups)
     elif a.command == "prepare":
         options = {"train": a.train, "val": a.val, "seed": a.seed, "size": a.size}
         if a.config:

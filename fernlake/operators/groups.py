@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlake.functions.names import group_label
@@ -246,3 +246,14 @@ def top_groups(manifest: DataFrame, n: int = 10, max_images: int = 6) -> DataFra
     numbered = largest.select("*", F.expr("row_number() over (order by size desc, group_id)").alias("position"))
     first = manifest.join(F.broadcast(numbered), "group_id").withColumn("k", F.expr("row_number() over (partition by group_id order by file_name)")).filter(F.col("k") <= max_images)
     return first.groupBy("position", "group_id", "size").agg(F.sort_array(F.collect_list("file_name")).alias("files"))
+
+
+def top_groups_per_split(manifest: DataFrame, splits: DataFrame, n: int = 10, max_images: int = 6) -> DataFrame:
+    """``split, position, group_id, size, files``: of each split the ``n`` largest groups of several of its images, the first names of each."""
+    own = manifest.join(splits, "file_name").select("split", "group_id", "file_name")
+    sizes = own.groupBy("split", "group_id").agg(F.count("*").alias("size")).filter("size > 1")
+    order = Window.partitionBy("split").orderBy(F.desc("size"), "group_id")
+    largest = sizes.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)  # a few rows a split
+    names = Window.partitionBy("split", "group_id").orderBy("file_name")
+    first = own.join(F.broadcast(largest), ["split", "group_id"]).withColumn("k", F.row_number().over(names)).filter(F.col("k") <= max_images)
+    return first.groupBy("split", "position", "group_id", "size").agg(F.sort_array(F.collect_list("file_name")).alias("files"))

@@ -6,6 +6,8 @@ each is a small row, so ranking them is a tiny sort.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,8 +94,13 @@ def recommend_threshold(results: DataFrame, preferred: int = PREFERRED_THRESHOLD
     return results.orderBy(F.desc("passes_cluster_size_check"), F.abs(F.col("threshold") - preferred), F.desc("pct_in_multi_image_groups"), "largest_group_size", "seq").limit(1)
 
 
+def better_variant(swept: dict[str, DataFrame], preferred: int = PREFERRED_THRESHOLD) -> DataFrame:
+    """The recommended row of the better of several sweeps, with the sweep's name in ``variant``."""
+    rows = [recommend_threshold(rows, preferred).withColumn("variant", F.lit(name)) for name, rows in swept.items()]
+    order = [F.desc("passes_cluster_size_check"), F.col("largest_group_size"), F.desc("pct_in_multi_image_groups"), F.desc("variant")]
+    return reduce(DataFrame.unionByName, rows).orderBy(*order).limit(1)
+
+
 def compare_crops(with_crop: DataFrame, no_crop: DataFrame, thresholds: list[int], preferred: int = PREFERRED_THRESHOLD, bits: int = 64) -> DataFrame:
     """The recommended row of the better variant, named in ``variant``, for encodings hashed with and without a crop."""
-    rows = [recommend_threshold(sweep(e, thresholds, bits=bits), preferred).withColumn("variant", F.lit(v)) for v, e in (("with_crop", with_crop), ("no_crop", no_crop))]
-    order = [F.desc("passes_cluster_size_check"), F.col("largest_group_size"), F.desc("pct_in_multi_image_groups"), F.desc("variant")]
-    return rows[0].unionByName(rows[1]).orderBy(*order).limit(1)
+    return better_variant({v: sweep(e, thresholds, bits=bits) for v, e in (("with_crop", with_crop), ("no_crop", no_crop))}, preferred)

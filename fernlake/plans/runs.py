@@ -79,14 +79,25 @@ def report_split(spark: SparkSession, data_dir: str, made: DataFrame, manifest:
     return report
 
 
+def _sampled(encodings: DataFrame, sample: int | None, seed: int) -> DataFrame:
+    if sample is None:
+        return encodings
+    names = sampling.sample_names(encodings, sample, seed)
+    return encodings.join(F.broadcast(names) if sample <= 100_000 else names, "file_name", "left_semi")
+
+
 def tune_threshold(encodings: DataFrame, thresholds: list[int] = (4, 6, 8, 10, 12, 14), sample: int | None = 800, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """The sweep over a seeded sample of hashes, and its recommended row."""
-    if sample is not None:
-        encodings = encodings.join(F.broadcast(sampling.sample_names(encodings, sample, seed)) if sample <= 100_000 else sampling.sample_names(encodings, sample, seed), "file_name", "left_semi")
-    swept = tuning.sweep(encodings, list(thresholds))
+    swept = tuning.sweep(_sampled(encodings, sample, seed), list(thresholds))
     return swept, tuning.recommend_threshold(swept)
 
 
+def tune_crop(variants: dict[str, DataFrame], thresholds: list[int] = (4, 6, 8, 10, 12, 14), sample: int | None = 800, seed: int = 42) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The sweep of each variant's hashes of the same sampled files, and the recommended row of the better variant."""
+    swept = {name: tuning.sweep(_sampled(encodings, sample, seed), list(thresholds)) for name, encodings in variants.items()}
+    return swept, tuning.better_variant(swept)
+
+
 def sweep_production(encodings: DataFrame, thresholds: list[int] = (3, 4, 5, 6), caps: list[int | None] = (40, 50, 60)) -> tuple[DataFrame, DataFrame]:
     swept = tuning.sweep(encodings, list(thresholds), list(caps))
     return tuning.production_score(swept), tuning.recommend_production(swept)
@@ -143,12 +154,39 @@ def prepare_training_folder(spark: SparkSession, data_dir: str, folder: str, sin
     return summary
 
 
+def preview_splits(spark: SparkSession, data_dir: str, made: DataFrame, folder: str, per_split: int = 30, seed: int = 42, copy: bool = False, manifest: DataFrame | None = None, num_groups: int = 10) -> dict:
+    """Pictures to look at: ``samples/<split>`` with a seeded sample of each split and, where a ``manifest`` is given,
+    ``groups/<split>`` with the first images of its largest groups, named by position and group. What is shown is listed in ``preview_manifest.json``.
+    """
+    images, _, _ = coco.read_coco_dir(spark, data_dir)
+    there = coco.available_images(images, coco.list_files(spark, data_dir), data_dir).select(basename(F.col("file_name")).alias("file_name"), "image_path")
+    chosen = sampling.sample_per_split(made, per_split, seed)
+    shown: dict = {"data_dir": data_dir, "samples_per_split": per_split, "seed": seed, "samples": {}, "counts": {r["split"]: r["count"] for r in made.groupBy("split").count().collect()}}
+    for split in splits.SPLITS:
+        own = chosen.filter(F.col("split") == split)
+        shown["samples"][split] = sorted(r["file_name"] for r in own.collect())  # at most per_split names
+        export.place_images(there.join(own, "file_name"), f"{folder}/samples/{split}", copy, overwrite=True)
+    if manifest is not None:
+        top = groups.top_groups_per_split(manifest, made, num_groups)
+        shown["group_previews"] = {split: [] for split in splits.SPLITS}
+        for r in top.orderBy("split", "position").collect():  # at most num_groups rows a split
+            shown["group_previews"][r["split"]].append({"group_id": r["group_id"], "size": r["size"], "files": r["files"]})
+        named = top.select("split", F.explode("files").alias("file_name"), F.format_string("%03d_%s_", "position", "group_id").alias("before")).join(there, "file_name")
+        for split in splits.SPLITS:
+            own = named.filter(F.col("split") == split).select(F.concat("before", "file_name").alias("file_name"), "image_path")
+            export.place_images(own, f"{folder}/groups/{split}", copy, overwrite=True)
+    artifacts.save_json(spark, shown, f"{folder}/preview_manifest.json")
+    return shown
+
+
 def sample_dataset(spark: SparkSession, data_dir: str, folder: str, size: int = 30, seed: int = 42) -> int:
     """A small data set in ``folder``: that many images with a file, their annotations, their files."""
     if size <= 0:
         raise ValueError("a sample has at least one image")
     images, annotations, categories = coco.read_coco_dir(spark, data_dir, coco.SAMPLE_ORDER)
-    there = coco.available_images(images, coco.list_files(spark, data_dir), data_dir)
+    files = coco.list_files(spark, data_dir)
+    there = coco.available_images(images, files, data_dir, sub_path=True)
+    there = there.unionByName(coco.available_images(images.join(there, "image_id", "left_anti"), files, data_dir))
     chosen = there.join(sampling.sample_names(there, size, seed), "file_name", "left_semi")
     export.place_images(chosen, f"{folder}/images", copy=True, overwrite=True)
     own = chosen.drop("image_path")

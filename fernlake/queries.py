@@ -110,6 +110,11 @@ def top_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.top_groups(fx.groups(spark, d)).select("position", "group_id", "size", F.array_join("files", ",").alias("files"))
 
 
+def top_groups_per_split(spark: SparkSession, d: str) -> DataFrame:
+    found = groups.top_groups_per_split(fx.groups(spark, d), splits.random_split(fx.groups(spark, d).select("file_name")), 5, 4)
+    return found.select("split", "position", "group_id", "size", F.concat_ws(",", "files").alias("files"))
+
+
 def group_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_groups(fx.groups(spark, d))
 
@@ -398,7 +403,7 @@ def metric_rows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     iou_pairs, max_iou_per_pred, mean_iou, yolo_norm_boxes, crop_boxes, window_grid, samples_left_join, available_images_semi,
     orphan_annotations_anti, coco_filter, multi_class_map, hamming_pairs, hamming_pairs_64, components_uncapped, group_manifest,
-    group_summary, group_size_distribution, top_groups, group_split, random_split, class_distribution, per_split, split_statistics,
+    group_summary, group_size_distribution, top_groups, top_groups_per_split, group_split, random_split, class_distribution, per_split, split_statistics,
     leaking_groups, naive_leakage_trials, downsample_train, coverage_check, sample_k, sample_per_split, threshold_sweep,
     production_score, recommend_threshold, recommend_production, capped_groups, production_grid, nms, greedy_match, prf,
     average_precision, evaluate_summary, negative_windows, training_crops, fill_singletons, group_members, files_by_split,
@@ -604,6 +609,10 @@ ORACLES = {
     "group_summary": f"with {fx.SQL_GROUPS}, {_SUMMARY} select * replace ({_r('pct_in_multi_image_groups')}) from summary",
     "group_size_distribution": f"with {fx.SQL_GROUPS}, {_SUMMARY} select count(*) filter (size between 2 and 5) as groups_size_2_5, count(*) filter (size between 6 and 10) as groups_size_6_10, count(*) filter (size between 11 and 20) as groups_size_11_20, count(*) filter (size > 20) as groups_size_over_20, count(*) filter (size > 50) as groups_size_over_50 from sizes",
     "top_groups": f"with {fx.SQL_GROUPS}, {_SUMMARY}, top as (select *, row_number() over (order by size desc, group_id)::int as position from sizes where size > 1 qualify position <= 10), files as (select *, row_number() over (partition by group_id order by file_name) as k from groups join top using (group_id)) select position, group_id, size, string_agg(file_name, ',' order by file_name) as files from files where k <= 6 group by all",
+    "top_groups_per_split": f"""with {fx.SQL_GROUPS}, {_RANDOM}, own as (select split, group_id, file_name from groups join splits using (file_name)),
+        top as (select split, group_id, count(*) as size, row_number() over (partition by split order by count(*) desc, group_id)::int as position from own group by split, group_id having count(*) > 1 qualify position <= 5),
+        files as (select *, row_number() over (partition by split, group_id order by file_name) as k from own join top using (split, group_id))
+        select split, position, group_id, size, string_agg(file_name, ',' order by file_name) as files from files where k <= 4 group by all""",
     "group_split": f"with {fx.SQL_GROUPS}, {_GROUPED} select * from splits",
     "random_split": f"with {fx.SQL_GROUPS}, {_RANDOM} select * from splits",
     "class_distribution": f"with {fx.SQL_GROUPS}, {_GROUPED}, {fx.SQL_ANNOTATIONS}, {fx.SQL_IMAGES}, {_PLACED_BOXES} select split, category_id::varchar as category, count(*) as annotations from boxes group by all",
