@@ -267,7 +267,7 @@ def file_stems(spark: SparkSession, d: str) -> DataFrame:
 
 
 def yolo_label_folder(spark: SparkSession, d: str) -> DataFrame:
-    """The label files of all images, written one file a row and read back."""
+    """The label files of all images, written one file a row, and those with boxes read back."""
     folder = new_path(spark, "labels")
     export.write_labels(export.label_rows(fx.images(spark, d), fx.annotations(spark, d)), folder)
     return export.read_labels(spark, folder)
@@ -653,7 +653,7 @@ ORACLES = {
     "samples_for_split": f"with {fx.SQL_GROUPS}, {_GROUPED}, {fx.SQL_IMAGES} select image_id, file_name from images join splits using (file_name) where split = 'val'",
     "split_filter": f"with {fx.SQL_GROUPS}, {_GROUPED}, {fx.SQL_IMAGES}, {fx.SQL_ANNOTATIONS} select image_id, gt_idx, category_id from annotations join images using (image_id) join splits using (file_name) where split = 'test'",
     "file_stems": f"with {fx.SQL_IMAGES} select image_id, 'img.' || image_id || '.jpg' as name, 'img.' || image_id as stem from images",
-    "yolo_label_folder": _LABEL_TEXTS.format("replace(file_name, '.jpg', '') as stem"),
+    "yolo_label_folder": _LABEL_TEXTS.format("replace(file_name, '.jpg', '') as stem") + " where text <> ''",
     "yolo_label_files": _LABEL_TEXTS.format("image_id, file_name"),
     "label_classes": f"with {fx.SQL_ANNOTATIONS} select image_id, gt_idx, category_id::int as label from annotations",
     "crop_quality": f"with {fx.SQL_ANNOTATIONS}, {fx.SQL_PREDICTIONS}, scored as (select pred_idx % 2 as label, (score * 1000 - 500) / 125 as logit from predictions) select count(*) as crops, {_r('accuracy', 'avg(((logit >= 0)::int = label)::int)')}, {_r('loss', 'avg(greatest(logit, 0) - logit * label + ln(1 + exp(-abs(logit))))')} from scored",
