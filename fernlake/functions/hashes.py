@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernlake.functions.pictures import LANCZOS, gray, resized
+
 
 def from_hex(text: Column) -> Column:
     """Sixteen hex digits as a signed long (base -10 reads them as two's complement)."""
@@ -28,33 +30,17 @@ def _dct_rows(n: int) -> np.ndarray:
     return 2 * np.cos(np.pi * k * (2 * i + 1) / (2 * n))
 
 
-def area_resize(gray: np.ndarray, size: int) -> np.ndarray:
-    """Box average onto ``size`` by ``size`` cells, edges weighted by their share."""
-
-    def along(a: np.ndarray) -> np.ndarray:
-        n = a.shape[0]
-        total = np.concatenate([np.zeros((1, a.shape[1])), np.cumsum(a, 0)])
-        edge = np.linspace(0, n, size + 1)
-        low = np.minimum(edge.astype(int), n - 1)
-        at = total[low] + (edge - low)[:, None] * a[low]
-        return np.diff(at, axis=0) / (n / size)
-
-    return along(along(np.asarray(gray, float)).T).T
-
-
-def phash(gray: np.ndarray, hash_size: int = 8, factor: int = 4) -> int:
-    """Bits, row by row, of the low block of the picture's cosine transform: 1 above its median."""
+def phash(plane: np.ndarray, hash_size: int = 8, factor: int = 4) -> int:
+    """Bits, row by row, of the low block of the cosine transform of an eight-bit picture in small: 1 above its median."""
     rows = _dct_rows(hash_size * factor)
-    low = (rows @ area_resize(gray, hash_size * factor) @ rows.T)[:hash_size, :hash_size]
+    low = (rows @ resized(plane, hash_size * factor, hash_size * factor, LANCZOS).astype(float) @ rows.T)[:hash_size, :hash_size]
     return int("".join("1" if b else "0" for b in (low > np.median(low)).ravel()), 2)
 
 
 def luma(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     """Gray values of decoded pixels in blue-green-red order."""
-    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(float)
-    if channels == 1:
-        return pixels[:, :, 0]
-    return pixels[:, :, 2] * 0.299 + pixels[:, :, 1] * 0.587 + pixels[:, :, 0] * 0.114
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return pixels[:, :, 0] if channels == 1 else gray(pixels[:, :, 2], pixels[:, :, 1], pixels[:, :, 0])
 
 
 def hash_images(images: DataFrame, top: float = 0.06, bottom: float = 0.10, left: float = 0.0, right: float = 0.0) -> DataFrame:
@@ -74,8 +60,8 @@ def hash_images(images: DataFrame, top: float = 0.06, bottom: float = 0.10, left
                 if data is None or h <= 0 or w <= 0:
                     out.append(None)
                     continue
-                gray = luma(data, h, w, c)[round(h * top) : round(h * (1 - bottom)), round(w * left) : round(w * (1 - right))]
-                out.append(f"{phash(gray):016x}" if gray.size else None)
+                shown = luma(data, h, w, c)[round(h * top) : round(h * (1 - bottom)), round(w * left) : round(w * (1 - right))]
+                out.append(f"{phash(shown):016x}" if shown.size else None)
             yield pd.DataFrame({"file_name": batch["file_name"], "hash_hex": out})
 
     own = images.select(basename(F.col("image.origin")).alias("file_name"), F.col("image.data").alias("data"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"))
