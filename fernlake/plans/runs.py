@@ -16,14 +16,14 @@ STRATEGIES = ("random", "manifest", "phash_groups")
 
 
 def encode_images(spark: SparkSession, data_dir: str, out: str, crop: artifacts.HashCrop, recompute: bool = False) -> DataFrame:
-    """``file_name, hash_hex`` of the images that have a file; hashes of this crop are kept and only missing ones made.
+    """``file_name, hash_hex`` of the images that have a file; hashes of this crop are kept and only missing ones made and written.
 
     Kept hashes of files that are gone do not come back.
     """
     images, _, _ = coco.read_coco_dir(spark, data_dir)
     there = coco.available_images(images, coco.list_files(spark, data_dir), data_dir).select(basename(F.col("file_name")).alias("file_name")).distinct()
     path = f"{out}/phash_encodings-{crop.key}"
-    kept = None if recompute else artifacts.load_table(spark, path)
+    kept = None if recompute else artifacts.load_segments(spark, path)
     missing = there if kept is None else there.join(kept, "file_name", "left_anti")
     if kept is not None and missing.isEmpty():
         return kept.join(there, "file_name", "left_semi")
@@ -31,10 +31,8 @@ def encode_images(spark: SparkSession, data_dir: str, out: str, crop: artifacts.
     if kept is not None:  # no picture is hashed again; the filter cannot pass the hashing itself
         pixels = pixels.join(missing.select(F.col("file_name").alias("_name")), basename(F.col("image.origin")) == F.col("_name"), "left_semi")
     made = hash_images(pixels, crop.top_frac, crop.bottom_frac, crop.left_frac, crop.right_frac).join(missing, "file_name", "left_semi").dropDuplicates(["file_name"])
-    fresh = f"{path}-next"
-    (made if kept is None else kept.unionByName(made)).write.mode("overwrite").parquet(fresh)
-    artifacts.save_table(spark.read.parquet(fresh), path, {"hash_config": asdict(crop)})
-    return spark.read.parquet(path).join(there, "file_name", "left_semi")
+    artifacts.add_segment(made, path, {"hash_config": asdict(crop)}, replace=recompute)
+    return artifacts.load_segments(spark, path).join(there, "file_name", "left_semi")
 
 
 def build_duplicate_groups(spark: SparkSession, data_dir: str, out: str | None = None, threshold: int = 10, cap: int | None = 50, crop: artifacts.HashCrop | None = None, recompute: bool = False, encodings: DataFrame | None = None) -> DataFrame:
