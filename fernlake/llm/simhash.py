@@ -25,7 +25,7 @@ from fernlake.llm.chunks import slices
 from fernlake.llm.shingle_ranks import looked_up, shingle_ranks
 from fernlake.llm.sieve import maybe_among
 from fernlake.operators.components import connected_components
-from fernlake.runtime import Scratch, materialize
+from fernlake.runtime import Scratch, exchanged, materialize
 
 #: Only A-Z are lower-cased; words end at the six ASCII white-space bytes.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -94,7 +94,7 @@ def close_pairs(distinct_fp: DataFrame, radius: int = 2, fp: str = "fp", scratch
     own = distinct_fp.select(F.col(fp).alias("fp")).repartition(tasks, "fp")
     keyed = own.select(F.explode(F.array(*variants(F.col("fp")))).alias("key"), "fp")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    kept = (scratch or Scratch(distinct_fp.sparkSession)).keep(keyed.join(shared, "key"), "variants")
+    kept = (scratch or Scratch(distinct_fp.sparkSession)).keep(keyed.join(exchanged(shared), "key"), "variants")
 
     near = f"bit_count(x ^ y) <= {radius}"
     bucket = kept.filter(F.col("n") <= PAIR_ROWS).groupBy("key").agg(F.collect_list("fp").alias("all"))
@@ -108,9 +108,9 @@ def close_pairs(distinct_fp: DataFrame, radius: int = 2, fp: str = "fp", scratch
     flips = [F.col("fp")] + ([F.col("fp").bitwiseXOR(F.lit((1 << b) - (1 << 64 if b == 63 else 0))) for b in range(64)] if radius else [])
     ball = full.select(F.explode(F.array(*flips)).alias("z"), "fp")
     least = ball.groupBy("z").agg(F.min("fp").alias("least"), F.count("*").alias("n")).filter("n > 1").select("z", "least")
-    starred = ball.join(least, "z").filter("fp > least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    starred = ball.join(exchanged(least), "z").filter("fp > least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
     if radius == 1:
-        starred = starred.filter("bit_count(u ^ v) <= 1").union(full.alias("a").select(F.col("fp").alias("u"), F.explode(F.array(*flips[1:])).alias("v")).join(full.select(F.col("fp").alias("v")), "v").filter("u > v").select("u", "v"))
+        starred = starred.filter("bit_count(u ^ v) <= 1").union(full.alias("a").select(F.col("fp").alias("u"), F.explode(F.array(*flips[1:])).alias("v")).join(exchanged(full.select(F.col("fp").alias("v"))), "v").filter("u > v").select("u", "v"))
     return paired.union(starred).distinct()
 
 
@@ -124,11 +124,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, id
     made, _ = materialize(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
     reps = scratch.keep(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     parts = connected_components(close_pairs(reps, radius, scratch=scratch))
-    linked, _ = materialize(reps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "roots")
+    linked, _ = materialize(reps.join(exchanged(parts.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "roots")
     scratch.drop()
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(lowest, "root").select("fp", "component_id")
-    return made.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(exchanged(lowest), "root").select("fp", "component_id")
+    return made.join(exchanged(named), "fp").select("doc_id", "fp", "component_id")
 
 
 # near-duplicates by the similarity of their shingle sets
@@ -240,7 +240,7 @@ def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similar
     own = Scratch(docs.sparkSession)
     # the texts of the candidates, one of each class, as sets
     asked = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
-    wanted = own.keep(classes.join(asked, "sig").select("sig", F.col("first.doc_id").alias("wk"), F.col("first.text_hash").alias("h")), "wanted")
+    wanted = own.keep(classes.join(exchanged(asked), "sig").select("sig", F.col("first.doc_id").alias("wk"), F.col("first.text_hash").alias("h")), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,12 +252,12 @@ def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similar
 
     # other texts stay where they are; a class's first text has one hash, so dropping repeats needs no other exchange than the join
     named = docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).filter(maybe_among(wanted.select("h"))(F.col("h")))
-    texts = named.join(wanted, "h").filter(F.col("k").eqNullSafe(F.col("wk"))).dropDuplicates(["h", "sig"]).select("sig", "t")
+    texts = named.join(exchanged(wanted), "h").filter(F.col("k").eqNullSafe(F.col("wk"))).dropDuplicates(["h", "sig"]).select("sig", "t")
     sets = own.keep(texts.mapInArrow(run, "sig long, shingles array<long>"), "sets")
     sides = [sets.select(F.col("sig").alias(s), F.col("shingles").alias(f"{s}_set")) for s in "uv"]
     both = F.size(F.array_intersect("u_set", "v_set"))
     alike = both >= F.lit(similarity) * (F.size("u_set") + F.size("v_set") - both) - 1e-9
-    links = scratch.keep(pairs.join(sides[0], "u").join(sides[1], "v").filter(alike).select("u", "v"), "links")
+    links = scratch.keep(pairs.join(exchanged(sides[0]), "u").join(exchanged(sides[1]), "v").filter(alike).select("u", "v"), "links")
     own.drop()
     return links
 
@@ -285,21 +285,21 @@ def similar_rows(
     maps = classes.select("sig", "size", "wide", *BITS)
 
     def near(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(maps.alias("x"), F.col("u") == F.col("x.sig")).join(maps.alias("y"), F.col("v") == F.col("y.sig"))
+        both = pairs.join(exchanged(maps).alias("x"), F.col("u") == F.col("x.sig")).join(exchanged(maps).alias("y"), F.col("v") == F.col("y.sig"))
         return both.filter(_near(similarity, "x", "y") & _near_wide(similarity, "x", "y")).select("u", "v")
 
     # the aggregate reads all columns, so that it and the join with its result share one exchange
     # a shingle's place bounds what two sets can share; that of other signatures says nothing
     keyed = classes.select("sig", "size", "weight", "singles", F.posexplode("prefix").alias("turn", "token")).withColumn("place", F.when(F.col("turn") < F.col("singles"), F.col("turn")).otherwise(0)).drop("singles").repartition(tasks, "token")
     heads = keyed.groupBy("token").agg(F.max(F.struct("weight", "sig", "size", "place")).alias("top"), F.count("*").alias("n")).filter("n > 1")
-    kept = buckets.keep(keyed.join(heads.select("token", "top"), "token").select("token", "sig", "size", "weight", "turn", "place", "top"), "buckets")
+    kept = buckets.keep(keyed.join(exchanged(heads.select("token", "top")), "token").select("token", "sig", "size", "weight", "turn", "place", "top"), "buckets")
 
     starred = kept.select(F.struct("sig", "size", "place").alias("x"), F.col("top").alias("y")).filter("x.sig <> y.sig").filter(_possible(similarity, "x", "y"))
     stars = starred.select(F.greatest("x.sig", "y.sig").alias("u"), F.least("x.sig", "y.sig").alias("v")).distinct()
     first = similar_pairs(docs, classes, scratch.keep(near(stars), "stars"), similarity, words, id_col, text_col, scratch)
 
     parts = connected_components(first).select(F.col("node").alias("sig"), "component")
-    rooted = scratch.keep(kept.select("token", "sig", "turn", "place").join(parts, "sig", "left").select("token", "sig", "turn", "place", F.coalesce("component", "sig").alias("root")), "rooted")
+    rooted = scratch.keep(kept.select("token", "sig", "turn", "place").join(exchanged(parts), "sig", "left").select("token", "sig", "turn", "place", F.coalesce("component", "sig").alias("root")), "rooted")
     roots = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
     split = roots.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n")).filter("roots > 1")
     split = split.select("token", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("blocks"))
@@ -308,19 +308,19 @@ def similar_rows(
     # texts of different roots meet in the buckets of all shingles they share; a text's order is that of all
     before = Window.partitionBy("sig").orderBy("turn")
     recent = F.array(*[F.lag("token", i).over(before) for i in range(1, RECENT + 1)]).alias("recent")
-    mixed = scratch.keep(rooted.join(split, "token").join(bits, "sig").select("*", recent), "mixed")
+    mixed = scratch.keep(rooted.join(exchanged(split), "token").join(exchanged(bits), "sig").select("*", recent), "mixed")
     some = mixed.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
     all_ = mixed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.sig") > F.col("y.sig"))
-    across = some.alias("x").join(all_.alias("y"), ["token", "block"]).filter((F.col("x.root") != F.col("y.root")) & once & ~_met("x", "y") & _possible(similarity, "x", "y") & _near(similarity, "x", "y"))
+    across = some.alias("x").join(exchanged(all_).alias("y"), ["token", "block"]).filter((F.col("x.root") != F.col("y.root")) & once & ~_met("x", "y") & _possible(similarity, "x", "y") & _near(similarity, "x", "y"))
     rest = scratch.keep(near(across.select(F.greatest("x.sig", "y.sig").alias("u"), F.least("x.sig", "y.sig").alias("v")).distinct()), "across")
     links = first.union(similar_pairs(docs, classes, rest, similarity, words, id_col, text_col, scratch)) if rest.take(1) else first
 
     parts = connected_components(links).select(F.col("node").alias("sig"), "component")
-    linked, _ = materialize(classes.join(parts, "sig", "left").select("sig", F.col("first.doc_id").alias("first"), F.coalesce("component", "sig").alias("root")), "roots")
+    linked, _ = materialize(classes.join(exchanged(parts), "sig", "left").select("sig", F.col("first.doc_id").alias("first"), F.coalesce("component", "sig").alias("root")), "roots")
     scratch.drop()
-    least = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("sig", "root", "component_id")
-    return made.select("doc_id", "text_hash", "sig", "size").join(least, "sig").select("doc_id", "text_hash", "size", "root", "component_id")
+    least = linked.join(exchanged(linked.groupBy("root").agg(F.min("first").alias("component_id"))), "root").select("sig", "root", "component_id")
+    return made.select("doc_id", "text_hash", "sig", "size").join(exchanged(least), "sig").select("doc_id", "text_hash", "size", "root", "component_id")
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
