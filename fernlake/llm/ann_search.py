@@ -6,16 +6,19 @@ residual and ``u`` the vector's direction: error along the vector, which moves l
 products, costs ``eta`` times as much as error across it. Assignment is coordinate descent over
 subspaces, codewords solve one linear system.
 
-Vectors are dealt to cells, the regions of k-means centres, about one for each ``BLOCK`` vectors. A query looks
+Vectors are dealt to cells, the regions of k-means centres, about one for each ``BLOCK`` vectors. A query first looks
 into the cells with the largest products of query and centre; how many it takes is measured, on the
-sample that centres are fitted on: as many as bring ``TARGET`` of the sample's nearest. On vectors in clusters
-that is a few; on vectors without any structure most cells hold some of the nearest, and no coarse
-index can leave them out.
+sample that centres are fitted on: as many as bring ``TARGET`` of the sample's nearest.
+
+What sample, cells and codes miss on rows they do not fit is found by bounds. A block knows its ball, and a vector
+how far its code is off; by Cauchy-Schwarz no product exceeds that with the ball's middle plus radius, or the code's plus
+what it is off. What stays below the query's ``k`` th best of the sample, or of the task so far, is left out; the rest is
+scored exactly. So nothing is missed on any rows. On vectors in clusters few blocks are read; without any structure most are.
 
 The index is a table of blocks of four-bit codes with their vectors, sorted by cell, written to the shared
 folder. A block is scanned for the queries that look into its cell: a query's products with all codewords
 form tables, two subspaces to a byte, and a code's score is the sum of 32 / 2 lookups. The best ``RERANK`` of a
-block are scored exactly in double precision. Queries go out in waves of at most ``WAVE`` vectors; a wave
+block, and those that bounds do not rule out, are scored exactly in double precision. Queries go out in waves of at most ``WAVE`` vectors; a wave
 is ranked and written before the next, so the driver and the broadcasts never hold more than one,
 and the index is never shuffled again.
 
@@ -41,6 +44,8 @@ THRESHOLD = 0.2
 BLOCK, RERANK, WAVE, QUERY_PART, SUB = 4096, 256, 8192, 256, 2
 #: Most cells (a centre needs some of the sample), and the share of the sample's nearest that the cells looked into must bring.
 CELLS, TARGET = SAMPLE // 32, 0.99
+#: Rounding of a double product, as a share of the vectors' lengths.
+SLACK = 1e-9
 
 
 def eta_of(dim: int, threshold: float = THRESHOLD) -> float:
@@ -156,18 +161,31 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def build_index(rows: DataFrame, dim: int, k: int) -> tuple[DataFrame, str, tuple[np.ndarray, np.ndarray, int]]:
-    """Blocks ``cell, n, ids, codes, vectors`` of all distinct vectors, their path, and codewords, centres and cells to look into."""
+def floors_of(q: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """What the ``k`` nearest of each query reach at least, by ``sample``, vectors of as many ids (the query's own may be one)."""
+    if len(sample) <= k:
+        return np.full(len(q), -np.inf)
+    out = np.empty(len(q))
+    size = np.linalg.norm(sample, axis=1).max()
+    for a in range(0, len(q), 512):
+        part = q[a : a + 512]
+        out[a : a + 512] = np.partition(part @ sample.T, len(sample) - k - 1, 1)[:, len(sample) - k - 1] - SLACK * np.linalg.norm(part, axis=1) * size
+    return np.where(np.isfinite(out), out, -np.inf)
+
+
+def build_index(rows: DataFrame, dim: int, k: int) -> tuple[DataFrame, str, tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+    """Blocks ``cell, n, ids, codes, vectors, off, middle, radius`` of all distinct vectors, their path, and codewords, centres, cells to look into and a sample with one vector an id."""
     spark = rows.sparkSession
     order = Window.partitionBy("v").orderBy("id")
     classes = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v", "id").collect()
     sample = np.array([r[0] for r in drawn], np.float64)
+    named = np.array(list({r[1]: r[0] for r in drawn}.values()), np.float64).reshape(-1, max(1, dim))
     if len(sample):
         books, centres = fit_books(sample), fit_cells(sample, min(CELLS, max(1, rows.count() // BLOCK)))
     else:
         books, centres = np.zeros((1, 16, SUB)), np.zeros((1, dim))
-    model = books, centres, probes_for(sample, centres, k) if len(sample) else 1
+    model = books, centres, probes_for(sample, centres, k) if len(sample) else 1, named
     sent = spark.sparkContext.broadcast(model[:2])
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,8 +204,12 @@ def build_index(rows: DataFrame, dim: int, k: int) -> tuple[DataFrame, str, tupl
             named = np.full((len(ids), width), np.iinfo(np.int64).min, np.int64)
             for i, own in enumerate(ids):
                 named[i, : len(own)] = own
-            codes = pack4(assign(padded(x), sent.value[0], eta_of(padded(x).shape[1])))
-            return pd.DataFrame({"cell": [at], "n": [len(ids)], "ids": [named.tobytes()], "codes": [codes.tobytes()], "vectors": [x.tobytes()]})
+            books = sent.value[0]
+            codes = assign(padded(x), books, eta_of(padded(x).shape[1]))
+            off = np.linalg.norm(padded(x) - books[np.arange(len(books)), codes].reshape(len(x), -1), axis=1)
+            middle = x.mean(0)
+            radius = float(np.linalg.norm(x - middle, axis=1).max())
+            return pd.DataFrame({"cell": [at], "n": [len(ids)], "ids": [named.tobytes()], "codes": [pack4(codes).tobytes()], "vectors": [x.tobytes()], "off": [off.tobytes()], "middle": [middle.tobytes()], "radius": [radius]})
 
         for batch in batches:
             for cell, own, v in zip(batch["cell"], batch["ids"], batch["v"]):
@@ -203,14 +225,14 @@ def build_index(rows: DataFrame, dim: int, k: int) -> tuple[DataFrame, str, tupl
     # ranges of (cell, hash) split a cell that many vectors fall in
     placed = classes.select("ids", "v").mapInPandas(dealt, "cell int, ids array<long>, v array<double>").withColumn("h", F.xxhash64("v"))
     ranged = placed.repartitionByRange("cell", "h").sortWithinPartitions("cell", "h").select("cell", "ids", "v")
-    index, path = materialize(ranged.mapInPandas(blocks, "cell int, n int, ids binary, codes binary, vectors binary"), "index")
+    index, path = materialize(ranged.mapInPandas(blocks, "cell int, n int, ids binary, codes binary, vectors binary, off binary, middle binary, radius double"), "index")
     return index, path, model
 
 
-def search_index(index: DataFrame, model: tuple[np.ndarray, np.ndarray, int], queries: DataFrame, dim: int, k: int) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the best of all blocks for each query, wave by wave."""
+def search_index(index: DataFrame, model: tuple[np.ndarray, np.ndarray, int, np.ndarray], queries: DataFrame, dim: int, k: int, vectors_an_id: int = 1) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the best of all blocks for each query, wave by wave. An id has ``vectors_an_id`` vectors at most."""
     spark = index.sparkSession
-    books, centres, probes = model
+    books, centres, probes, sample = model
     waves = max(1, -(-queries.count() // (WAVE * 3 // 4)))
     path = new_path(spark, "queries")
     queries.withColumn("wave", F.pmod(F.xxhash64("id"), F.lit(waves)).cast("int")).repartition("wave").write.partitionBy("wave").parquet(path)
@@ -219,9 +241,9 @@ def search_index(index: DataFrame, model: tuple[np.ndarray, np.ndarray, int], qu
     for wave in range(waves):
         own = asked.filter(F.col("wave") == wave).collect()
         q = np.array([r["v"] for r in own], np.float64).reshape(len(own), dim)
-        sent = spark.sparkContext.broadcast((np.array([r["id"] for r in own], np.int64), q, cells_asked(q, centres, probes), books))
+        sent = spark.sparkContext.broadcast((np.array([r["id"] for r in own], np.int64), q, cells_asked(q, centres, probes), books, floors_of(q, sample, k)))
         # an id with several vectors is as near as the nearest of them
-        got = index.mapInPandas(_scanner(sent, k), "query_id long, vec_id long, score double").filter("vec_id <> query_id").repartition("query_id")
+        got = index.mapInPandas(_scanner(sent, (k + 1) * vectors_an_id), "query_id long, vec_id long, score double").filter("vec_id <> query_id").repartition("query_id")
         ranked = got.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
         found, _ = materialize(ranked.select("query_id", "rank", "vec_id", "score"), "nearest")
         sent.destroy()
@@ -230,33 +252,65 @@ def search_index(index: DataFrame, model: tuple[np.ndarray, np.ndarray, int], qu
     return out
 
 
-def _scanner(sent, k: int):
+def _scanner(sent, held: int):
+    """The best ``held`` vectors of a task for each query: enough to name ``k`` ids beside the query's own."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, q, asked, books = sent.value
+        names, q, asked, books, floors = sent.value
         if not len(names):
             return
-        score = np.full((len(q), k + 1), -np.inf)  # the task's best so far
-        first = np.full((len(q), k + 1), np.iinfo(np.int64).max)
-        place = np.full((len(q), k + 1), -1)
+        score = np.full((len(q), held), -np.inf)  # the task's best so far
+        first = np.full((len(q), held), np.iinfo(np.int64).max)
+        place = np.full((len(q), held), -1)
+        length = np.linalg.norm(q, axis=1)
         kept: list[np.ndarray] = []
         at = 0
+
+        def take(part: np.ndarray, near: np.ndarray, ok: np.ndarray | None, x: np.ndarray, ids: np.ndarray) -> None:
+            """Scores rows ``near`` of a block (those ``ok``) exactly and keeps the best."""
+            exact = (x[near] * q[part][:, None]).sum(-1)
+            if ok is not None:
+                exact = np.where(ok, exact, -np.inf)
+            s = np.concatenate([score[part], exact], 1)
+            i = np.concatenate([first[part], ids[near, 0]], 1)
+            p = np.concatenate([place[part], np.where(exact > -np.inf, at + near, -1)], 1)
+            best = np.lexsort((i, -s), axis=1)[:, :held]
+            score[part], first[part], place[part] = (np.take_along_axis(z, best, 1) for z in (s, i, p))
+
+        def limits(part: np.ndarray, size: float) -> np.ndarray:
+            """What is below it is none of the nearest, whatever the rounding of a product of vectors of up to ``size``."""
+            return np.maximum(floors[part], score[part, -1]) - SLACK * length[part] * size
+
         for batch in batches:
-            for cell, n, ids, codes, vectors in zip(batch["cell"], batch["n"], batch["ids"], batch["codes"], batch["vectors"]):
+            for cell, n, ids, codes, vectors, off, middle, radius in zip(*(batch[c] for c in ("cell", "n", "ids", "codes", "vectors", "off", "middle", "radius"))):
                 ids = np.frombuffer(ids, np.int64).reshape(n, -1)
                 packed = np.frombuffer(codes, np.uint8).reshape(n, -1)
                 x = np.frombuffer(vectors, np.float64).reshape(n, -1)
+                off, middle = np.frombuffer(off, np.float64), np.frombuffer(middle, np.float64)
                 kept.append(ids)
-                looking = np.flatnonzero(asked[:, cell])
+                size = float(np.linalg.norm(middle)) + radius
+                within = ~(q @ middle + length * radius < limits(np.arange(len(q)), size))
+                looking = np.flatnonzero(asked[:, cell] | within)
                 for a in range(0, len(looking), QUERY_PART):
                     part = looking[a : a + QUERY_PART]
                     rough = scan(packed, tables_of(q[part], books))
                     near = np.argpartition(-rough, RERANK - 1, axis=1)[:, :RERANK] if n > RERANK else np.broadcast_to(np.arange(n), rough.shape)
-                    exact = (x[near] * q[part][:, None]).sum(-1)
-                    s = np.concatenate([score[part], exact], 1)
-                    i = np.concatenate([first[part], ids[near, 0]], 1)
-                    p = np.concatenate([place[part], at + near], 1)
-                    best = np.lexsort((i, -s), axis=1)[:, : k + 1]
-                    score[part], first[part], place[part] = (np.take_along_axis(z, best, 1) for z in (s, i, p))
+                    take(part, near, None, x, ids)
+                    if n <= RERANK:
+                        continue
+                    # the codes are summed in single precision
+                    most = rough + length[part][:, None] * (off + 1e-5 * (size + off))
+                    left = ~(most < limits(part, size)[:, None]) | ~np.isfinite(rough)
+                    np.put_along_axis(left, near, False, 1)
+                    some = np.flatnonzero(left.any(0))
+                    left = left[:, some] & ~(q[part] @ x[some].T < limits(part, size)[:, None])
+                    who = np.flatnonzero(left.any(1))
+                    if len(who):
+                        left = left[who]
+                        rest, ok = np.argsort(~left, 1, kind="stable"), left.sum(1)
+                        for c in range(0, int(ok.max()), RERANK):
+                            cut = some[rest[:, c : c + RERANK]]
+                            take(part[who], cut, np.arange(c, c + cut.shape[1]) < ok[:, None], x, ids)
                 at += n
         if not at:
             return
@@ -285,7 +339,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
     dim = lengths["d"] if lengths else 0
     rows = clean.filter(F.size("v") == dim)
     index, path, model = build_index(rows.select("id", "v").distinct(), dim, k)
-    found = search_index(index, model, rows.filter("asks").select("id", "v").distinct(), dim, k)
+    several = rows.select("id", "v").distinct().groupBy("id").count().agg(F.max("count")).first()[0] or 1
+    found = search_index(index, model, rows.filter("asks").select("id", "v").distinct(), dim, k, several)
     drop_path(vectors.sparkSession, path)
     return found
 
