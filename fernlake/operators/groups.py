@@ -29,7 +29,7 @@ from fernlake.functions.names import group_label
 from fernlake.operators.components import connected_components
 from fernlake.operators.pairs import distinct_pairs
 from fernlake.operators.ranking import global_rank, rank_within
-from fernlake.runtime import Scratch, materialize
+from fernlake.runtime import Scratch, exchanged, materialize
 
 #: Pairs of a component up to which it is streamed as it is.
 STREAMED = 1_000_000
@@ -92,13 +92,13 @@ def _components(pairs: DataFrame, left: str, right: str, scratch: Scratch) -> Da
 def _merged(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """``seq, name, root`` of runs that ``pairs`` (``seq, distance, cap, na, wa, nb, wb``) merge; runs that stay alone may lack."""
     parts = _components(pairs, "na", "nb", scratch)
-    nodes = scratch.keep(pairs.select(F.expr("inline(array(struct(seq, cap, na as name, wa as w), struct(seq, cap, nb as name, wb as w)))")).distinct().join(parts, ["seq", "name"]), "nodes")
+    nodes = scratch.keep(pairs.select(F.expr("inline(array(struct(seq, cap, na as name, wa as w), struct(seq, cap, nb as name, wb as w)))")).distinct().join(exchanged(parts), ["seq", "name"]), "nodes")
     totals = nodes.groupBy("seq", "component", "cap").agg(F.sum("w").alias("total"))
     small = nodes.join(totals.filter(F.col("total") <= F.col("cap")), ["seq", "component", "cap"]).select("seq", "name", F.col("component").alias("root"))
     large = scratch.keep(totals.filter(F.col("total") > F.col("cap")).select("seq", "component"), "large")
     if large.isEmpty():
         return small
-    left = scratch.keep(pairs.join(nodes.select("seq", F.col("name").alias("na"), "component"), ["seq", "na"]).join(large, ["seq", "component"]), "oversized")
+    left = scratch.keep(pairs.join(exchanged(nodes.select("seq", F.col("name").alias("na"), "component")), ["seq", "na"]).join(large, ["seq", "component"]), "oversized")
     far = scratch.keep(left.groupBy("seq", "component").agg(F.count("*").alias("n")).filter(F.col("n") > STREAMED).select("seq", "component"), "far")
     if far.isEmpty():
         return small.unionByName(_streamed(left.withColumns({"ra": F.col("na"), "rb": F.col("nb")})))
@@ -124,7 +124,7 @@ def _level(pairs: DataFrame, state: DataFrame, scratch: Scratch) -> DataFrame:
     """``state`` (``seq, cap, name, root, weight``) after the pairs of one distance."""
     of = [state.select("seq", F.col("name").alias(n), F.col("root").alias(node), F.col("weight").alias(w)) for n, node, w in (("na", "ra", "wa"), ("nb", "rb", "wb"))]
     # pairs inside a node, and pairs that exceed the cap already, do nothing and connect nothing
-    met = pairs.drop("wa", "wb").join(of[0], ["seq", "na"]).join(of[1], ["seq", "nb"]).filter("ra <> rb and wa + wb <= cap")
+    met = pairs.drop("wa", "wb").join(exchanged(of[0]), ["seq", "na"]).join(exchanged(of[1]), ["seq", "nb"]).filter("ra <> rb and wa + wb <= cap")
     met = scratch.keep(met, "met")
     parts = _components(met, "ra", "rb", scratch)
     roots = state.select("seq", "cap", "root", "weight").distinct().join(parts.withColumnRenamed("name", "root"), ["seq", "root"])
@@ -151,9 +151,9 @@ def grouped_runs(hashed: DataFrame, settings: list[tuple[int, int | None]], clos
     made = scratch.keep(made, "runs")
     open_runs = made.filter(F.col("weight") < F.col("cap")).select("cap", "hash", "name", "weight")  # a hash's last run, unless full
     sides = [open_runs.select("cap", F.col("hash").alias(h), F.col("name").alias(n), F.col("weight").alias(w)) for h, n, w in (("a", "na", "wa"), ("b", "nb", "wb"))]
-    pairs = close.join(F.broadcast(rows), F.col("distance") <= F.col("threshold")).join(sides[0], ["cap", "a"]).join(sides[1], ["cap", "b"])
+    pairs = close.join(F.broadcast(rows), F.col("distance") <= F.col("threshold")).join(exchanged(sides[0]), ["cap", "a"]).join(exchanged(sides[1]), ["cap", "b"])
     merged = _merged(scratch.keep(pairs.select("seq", "distance", "cap", "na", "wa", "nb", "wb"), "merges"), scratch)
-    tops = made.join(F.broadcast(rows), "cap").join(merged, ["seq", "name"], "left").select("seq", "cap", "hash", "run", "weight", F.coalesce("root", "name").alias("root"))
+    tops = made.join(F.broadcast(rows), "cap").join(exchanged(merged), ["seq", "name"], "left").select("seq", "cap", "hash", "run", "weight", F.coalesce("root", "name").alias("root"))
     tops, _ = materialize(tops, "tops")
     scratch.drop()
     return ranked, tops
@@ -175,18 +175,18 @@ def build_groups(encodings: DataFrame, threshold: int, cap: int | None = None, b
     if cap is None:
         named = hashed.groupBy("hash").agg(F.min("file_name").alias("first"))
         parts = connected_components(close, "a", "b").select(F.col("node").alias("hash"), "component")
-        tied = named.join(parts, "hash", "left").withColumn("component", F.coalesce("component", "hash"))
+        tied = named.join(exchanged(parts), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
         roots = tied.groupBy("component").agg(F.min("first").alias("root"))
-        return hashed.join(tied.select("hash", "component"), "hash").join(roots, "component").select("file_name", "root").union(alone)
+        return hashed.join(exchanged(tied.select("hash", "component")), "hash").join(exchanged(roots), "component").select("file_name", "root").union(alone)
 
     ranked, tops = grouped_runs(hashed, [(threshold, cap)], close)
-    return ranked.withColumn("run", F.expr(f"(rank - 1) div {cap}")).join(tops.select("hash", "run", "root"), ["hash", "run"]).select("file_name", "root").union(alone)
+    return ranked.withColumn("run", F.expr(f"(rank - 1) div {cap}")).join(exchanged(tops.select("hash", "run", "root")), ["hash", "run"]).select("file_name", "root").union(alone)
 
 
 def group_manifest(rooted: DataFrame) -> DataFrame:
     """``file_name, group_id``: groups numbered from 1 in the order of their roots."""
     numbered = global_rank(rooted.select("root").distinct(), [F.col("root")], "n")
-    return rooted.join(numbered, "root").select("file_name", group_label(F.col("n")).alias("group_id"))
+    return rooted.join(exchanged(numbered), "root").select("file_name", group_label(F.col("n")).alias("group_id"))
 
 
 def fill_singletons(manifest: DataFrame, files: DataFrame) -> DataFrame:

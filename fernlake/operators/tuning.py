@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fernlake.operators.groups import distribution_columns, grouped_runs, summary_columns
 from fernlake.operators.pairs import distinct_pairs
-from fernlake.runtime import Scratch, materialize
+from fernlake.runtime import Scratch, exchanged, materialize
 
 # What recommendations are measured against.
 LARGEST_CLUSTER = 50
@@ -25,7 +25,7 @@ PREFERRED_THRESHOLD = 10
 def pair_counts(hashed: DataFrame, close: DataFrame) -> DataFrame:
     """``distance, pairs`` of files, counted from hashes without spelling the pairs out."""
     sizes = hashed.groupBy("hash").agg(F.count("*").alias("n"))
-    far = close.join(sizes.select(F.col("hash").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("hash").alias("b"), F.col("n").alias("nb")), "b").select("distance", (F.col("na") * F.col("nb")).alias("k"))
+    far = close.join(exchanged(sizes.select(F.col("hash").alias("a"), F.col("n").alias("na"))), "a").join(exchanged(sizes.select(F.col("hash").alias("b"), F.col("n").alias("nb"))), "b").select("distance", (F.col("na") * F.col("nb")).alias("k"))
     same = sizes.select(F.lit(0).alias("distance"), F.expr("n * (n - 1) div 2").alias("k"))
     return far.union(same).groupBy("distance").agg(F.sum("k").alias("pairs"))
 

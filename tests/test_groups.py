@@ -119,3 +119,10 @@ def test_far_hashes_are_compared_by_blocks_and_names_stay_in_bounded_arrays(spar
     assert len(got) == len(want) and {(a, b): d for a, b, d in got} == want
     close = pairs.distinct_pairs(spark.createDataFrame(rows, "file_name string, hash long"), 2, 64)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in close and "MapInArrow" not in close
+
+
+def test_groups_of_many_files_are_joined_by_exchanges(spark):
+    files = spark.createDataFrame([("a", 0), ("b", 1), ("c", 7)], "file_name string, hash long")
+    grouped = groups.build_groups(files, 1, None, 16)
+    for made in (grouped, groups.group_manifest(grouped), groups.build_groups(files, 1, 2, 16)):
+        assert "BroadcastHashJoin [file_name" not in (text := made._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin [hash" not in text and "BroadcastHashJoin [root" not in text
