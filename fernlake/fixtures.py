@@ -18,8 +18,10 @@ _SHIFTED = {"x1": ("x", "l_suppkey % 61 - 30"), "y1": ("y", "l_partkey % 61 - 30
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = table(spark, sf_dir, "lineitem").withColumn("rn", F.expr(f"row_number() over (partition by l_orderkey order by {_LINE_ORDER})"))
-    return numbered.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "rn", *[F.expr(e).alias(c) for c, e in _BOX.items()])
+    # numbered by the image's name, so that what groups by image next finds an image's lines together
+    named = table(spark, sf_dir, "lineitem").withColumn("image_id", F.col("l_orderkey").cast("string")).repartition("image_id")
+    numbered = named.withColumn("rn", F.expr(f"row_number() over (partition by image_id order by {_LINE_ORDER})"))
+    return numbered.select("image_id", "l_partkey", "l_suppkey", "l_linenumber", "rn", *[F.expr(e).alias(c) for c, e in _BOX.items()])
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).selectExpr("cast(l_orderkey as string) as image_id", "cast(rn - 1 as int) as gt_idx", "x", "y", "w", "h", "l_partkey % 22 as category_id")
+    return _lines(spark, sf_dir).selectExpr("image_id", "cast(rn - 1 as int) as gt_idx", "x", "y", "w", "h", "l_partkey % 22 as category_id")
 
 
 def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +41,10 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    near = lines.filter("(l_partkey + l_suppkey) % 10 < 8").selectExpr("cast(l_orderkey as string) as image_id", "cast(2 * (rn - 1) as int) as pred_idx", *[f"{a} + {s} as {c}" for c, (a, s) in _SHIFTED.items()], "((l_partkey * 31 + l_suppkey * 17) % 1000) / 1000D as score")
-    close = lines.filter("l_linenumber % 3 = 0").selectExpr("cast(l_orderkey as string) as image_id", "cast(2 * (rn - 1) + 1 as int) as pred_idx", "x + 3 as x1", "y + 3 as y1", "x + w + 3 as x2", "y + h + 3 as y2", "((l_partkey * 13 + l_suppkey * 7) % 1000) / 1000D as score")
-    return near.union(close)
+    near = {"own": "(l_partkey + l_suppkey) % 10 < 8", "pred_idx": "cast(2 * (rn - 1) as int)", **{c: f"{a} + {s}" for c, (a, s) in _SHIFTED.items()}, "score": "((l_partkey * 31 + l_suppkey * 17) % 1000) / 1000D"}
+    close = {"own": "l_linenumber % 3 = 0", "pred_idx": "cast(2 * (rn - 1) + 1 as int)", "x1": "x + 3", "y1": "y + 3", "x2": "x + w + 3", "y2": "y + h + 3", "score": "((l_partkey * 13 + l_suppkey * 7) % 1000) / 1000D"}
+    both = ", ".join(f"struct({', '.join(f'{e} as {c}' for c, e in one.items())})" for one in (near, close))
+    return _lines(spark, sf_dir).select("image_id", F.expr(f"inline(array({both}))")).filter("own").drop("own")
 
 
 def encodings(spark: SparkSession, sf_dir: str, bits: int = 64) -> DataFrame:

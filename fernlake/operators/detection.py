@@ -8,14 +8,18 @@ what is held of them are the boxes that were kept.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from fernlake.functions.boxes import iou_sql, max_iou_sql
+from fernlake.functions.boxes import iou_sql
+from fernlake.operators import box_arrays
 from fernlake.runtime import materialize
 
 #: Highest score first; of equal ones the lower index.
@@ -130,29 +134,56 @@ def detect_windows(windows: DataFrame, logits: Callable[[Iterator[pd.DataFrame]]
     return scored.select("image_id", number.alias("pred_idx"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], "score")
 
 
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with ``_k``, their number in their image by ``order``, each image's together and in this order (for ``box_arrays.chunks``).
+
+    The window brings an image's rows together, unless they are already, and leaves them sorted.
+    """
+    numbered = rows.withColumn("_k", F.expr(f"row_number() over (partition by image_id order by {', '.join(order)})"))
+    return numbered.sortWithinPartitions("image_id", *[F.expr(o.removesuffix(" desc")).desc() if o.endswith(" desc") else F.col(o) for o in order])
+
+
+def _best(most: int, names: list[str]):
+    """Each box with its best IoU; without one where its image has more than ``most`` boxes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, larger in box_arrays.chunks(batches, most):
+            asked = table.column("_asked").to_numpy()
+            mine = np.flatnonzero(asked)
+            if larger:
+                found = pa.nulls(len(mine), pa.float64())
+            else:
+                image = np.cumsum(table.column("_k").to_numpy() == 1) - 1
+                of = table.select(["_x1", "_y1", "_x2", "_y2"]).rename_columns(["x1", "y1", "x2", "y2"])
+                boxes, truths = (box_arrays.Boxes.of(of, image, rows, int(image[-1]) + 1) for rows in (mine, np.flatnonzero(~asked)))
+                found = pa.array(box_arrays.best(boxes, truths))
+            rows = table.select(names).take(pa.array(mine)).append_column("max_iou", found)
+            yield from rows.to_batches()
+
+    return run
+
+
 def max_iou_with(boxes: DataFrame, truths: DataFrame) -> DataFrame:
     """``boxes`` with ``max_iou``: the largest IoU with a true box of the image, 0 without any.
 
     One exchange brings both together. The boxes of an image with more than ``FOLD_BOXES`` are never gathered; they meet by tiles.
     """
-    corners = F.struct(*[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    row = F.struct(*boxes.columns)
     # boxes of no image have nothing to meet and are no group
-    asked = boxes.select(F.struct("image_id", F.when(F.col("image_id").isNull(), F.xxhash64(row)).alias("none")).alias("_image"), row.alias("_row"), corners.alias("_box"))
-    given = truths.filter("image_id is not null").select(F.struct(F.col("image_id").cast(boxes.schema["image_id"].dataType).alias("image_id"), F.lit(None).cast("long").alias("none")).alias("_image"), F.lit(None).alias("_row"), corners.alias("_box"))
-    own, truth, few = Window.partitionBy("_image"), F.col("_row").isNull(), F.col("_n") <= FOLD_BOXES
-    both = asked.unionByName(given).withColumn("_n", F.count("*").over(own))
-    held = both.groupBy("_image").agg(
-        F.max("_n").alias("_n"),
-        F.collect_list(F.when(few & ~truth, F.struct("_row", "_box"))).alias("_asked"),
-        F.collect_list(F.when(few & truth, F.col("_box"))).alias("_truths"),
-    )
-    images, _ = materialize(held, "best")
-    small = images.select("_truths", F.explode("_asked").alias("_a")).select("_a._row", F.expr(max_iou_sql("_a._box", "_truths")).alias("max_iou"))
-    crowded = images.filter(~few).select("_image")
-    if not crowded.isEmpty():
-        small = small.union(best_by_tiles(asked.join(crowded, "_image"), given.join(crowded, "_image")).select("_row", "max_iou"))
-    return small.select("_row.*", "max_iou")
+    alone = boxes.filter("image_id is null").withColumn("max_iou", F.lit(0.0))
+    named, kind = boxes.filter("image_id is not null"), boxes.schema["image_id"].dataType
+    there = truths.filter("image_id is not null").withColumn("image_id", F.col("image_id").cast(kind))
+    ends = [F.col(c).cast("double").alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")]
+    asked = named.select(F.lit(True).alias("_asked"), *ends, *boxes.columns)
+    given = there.select(F.lit(False).alias("_asked"), *ends, *[F.col("image_id") if f.name == "image_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in boxes.schema.fields])
+    schema = StructType([*[StructField(f.name, f.dataType) for f in boxes.schema.fields], StructField("max_iou", DoubleType())])
+    found, _ = materialize(in_order(asked.union(given), "_asked").mapInArrow(_best(FOLD_BOXES, boxes.columns), schema), "best")
+    crowded = found.filter("max_iou is null").select("image_id").distinct()
+    done = found.filter("max_iou is not null").union(alone)
+    if crowded.isEmpty():
+        return done
+    corners, image = F.struct(*[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]).alias("_box"), F.col("image_id").alias("_image")
+    many = named.join(crowded, "image_id", "left_semi").select(image, F.struct(*boxes.columns).alias("_row"), corners)
+    return done.union(best_by_tiles(many, there.join(crowded, "image_id", "left_semi").select(image, corners)).select("_row.*", "max_iou"))
 
 
 def tiles(boxes: DataFrame, levels: DataFrame) -> DataFrame:
@@ -199,6 +230,68 @@ def iou_pairs(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     return p.join(g, "image_id").select("image_id", "pred_idx", "gt_idx", F.expr(iou_sql("p", "g")).alias("iou"))
 
 
+def drawn(hashes: list[bytes]) -> list[np.ndarray]:
+    """Three numbers of 28 bits from the digits of each hash, as any engine can make them."""
+    words = np.frombuffer(b"".join(hashes), ">u8").astype(np.uint64).reshape(-1, 2).T
+    low = np.uint64((1 << 28) - 1)
+    numbers = words[0] >> np.uint64(36), (words[0] >> np.uint64(8)) & low, ((words[0] & np.uint64(255)) << np.uint64(20)) | (words[1] >> np.uint64(44))
+    return [n.astype(np.int64) for n in numbers]
+
+
+def first_fits(names: list[str], slot: np.ndarray, width: np.ndarray, height: np.ndarray, n: np.ndarray, start: np.ndarray, truths: box_arrays.Boxes, seed: int, tries: int, max_iou: float) -> tuple[np.ndarray, np.ndarray]:
+    """The slots that a try fills, and the boxes they get. Of each slot: its image's name, number and size, and the place of the image's true boxes."""
+    left, at, boxes = np.arange(len(slot)), [], []
+    for t in range(1, tries + 1):
+        hashes = [hashlib.md5(f"{seed}:{names[i]}:{s}:{t}".encode()).digest() for i, s in zip(left.tolist(), slot[left].tolist())]
+        size, x, y = drawn(hashes)
+        side = np.array(NEGATIVE_SIZES)[size % len(NEGATIVE_SIZES)]
+        inside = (side < width[left]) & (side < height[left])
+        x, y = x % np.maximum(1, width[left] - side), y % np.maximum(1, height[left] - side)
+        tried = box_arrays.Boxes([c.astype(float) for c in (x, y, x + side, y + side)], False, left, n[left])
+        mine, b = box_arrays.each(n[left] * inside, start[left])
+        over = ~(box_arrays.iou(tried, mine, truths, b) < max_iou)
+        fits = inside & (np.bincount(mine[over], minlength=len(left)) == 0)
+        at.append(left[fits])
+        boxes.append(np.stack([tried.x1, tried.y1, tried.x2, tried.y2], 1)[fits])
+        left = left[~fits]
+        if not len(left):
+            break
+    return np.concatenate(at), np.concatenate(boxes)
+
+
+def _background(seed: int, per_truth: int, tries: int, max_iou: float, most: int):
+    """Background boxes of images (``kind`` 0, before their true boxes); of a larger image the true boxes are held."""
+
+    def crops(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        kind, image = table.column("kind").to_numpy(), np.cumsum(table.column("_k").to_numpy() == 1) - 1
+        truths = box_arrays.Boxes.of(table, image, np.flatnonzero(kind == 1), int(image[-1]) + 1)
+        listed = np.flatnonzero(kind == 0)
+        n, start = truths.n[image[listed]], truths.start[image[listed]]
+        sizes = [table.column(c).fill_null(0).to_numpy()[listed] for c in ("width", "height")]
+        names = table.column("name").take(pa.array(listed)).to_pylist()
+        ids = table.column("image_id").combine_chunks()
+        of, slot = box_arrays.each(per_truth * n, np.zeros_like(n))
+        for part in box_arrays.parts(n[of]):
+            own = of[part]
+            at, boxes = first_fits([names[i] for i in own.tolist()], slot[part], sizes[0][own], sizes[1][own], n[own], start[own], truths, seed, tries, max_iou)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(listed[own[at]])), *map(pa.array, boxes.T.copy())], ["image_id", "x1", "y1", "x2", "y2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: list[pa.Table] = []
+        for table, larger in box_arrays.chunks(batches, most):
+            if pieces and not (larger and table.column("_k")[0].as_py() > 1):
+                yield from crops(pa.concat_tables(pieces))
+                pieces = []
+            if larger:
+                pieces.append(table)
+            else:
+                yield from crops(table)
+        if pieces:
+            yield from crops(pa.concat_tables(pieces))
+
+    return run
+
+
 def training_crops(images: DataFrame, truths: DataFrame, seed: int = 42, per_truth: int = 3, tries: int = 100, max_iou: float = 0.2) -> DataFrame:
     """``image_id, label, x1, y1, x2, y2``: every true box as 1, and up to three times as many background boxes as 0.
 
@@ -206,25 +299,12 @@ def training_crops(images: DataFrame, truths: DataFrame, seed: int = 42, per_tru
     true box by ``max_iou`` is taken. Candidates come from a hash of seed, image, slot and try, so the
     crops are reproducible in any order of execution. Slots all of whose tries fail give none.
     """
-    owned = truths.groupBy("image_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("g"))
-    slots = images.select("image_id", "width", "height").join(owned, "image_id").select("*", F.expr(f"explode(sequence(0, {per_truth} * size(g) - 1))").alias("slot"))
-
-    # three numbers of 28 bits from the digits of one hash, as any engine can make them
-    digits = f"md5(concat_ws(':', {seed}, image_id, slot, t))"
-    drawn = lambda n, below: f"cast(conv(substr(c.h, {1 + 7 * n}, 7), 16, 10) as bigint) % {below}"
-    side = f"element_at(array({', '.join(map(str, NEGATIVE_SIZES))}), cast({drawn(0, len(NEGATIVE_SIZES))} as int) + 1)"
-    x, y = (f"cast({drawn(n, f'greatest(1, {extent} - c.side)')} as double)" for n, extent in ((1, "width"), (2, "height")))
-
-    def first_of(low: int, high: int) -> str:
-        """The first of some tries that fits, or null."""
-        hashed = f"transform(sequence({low}, {high}), t -> named_struct('h', {digits}))"
-        sized = f"filter(transform({hashed}, c -> named_struct('h', c.h, 'side', {side})), c -> c.side < width and c.side < height)"
-        placed = f"transform({sized}, c -> named_struct('x1', {x}, 'y1', {y}, 'side', c.side))"
-        boxed = f"transform({placed}, c -> named_struct('x1', c.x1, 'y1', c.y1, 'x2', c.x1 + c.side, 'y2', c.y1 + c.side))"
-        return f"get(filter({boxed}, c -> not exists(g, b -> {iou_sql('c', 'b')} >= {float(max_iou)}D)), 0)"
-
-    # most slots are filled by an early try, and coalesce computes later ones only if it was not
-    edges = sorted({e for e in (1, 2, 4, 8, 16, 32, 64) if e <= tries} | {tries + 1})
-    taken = slots.withColumn("box", F.expr(f"coalesce({', '.join(first_of(a, b - 1) for a, b in zip(edges, edges[1:]))})")).filter("box is not null")
+    ends, kind = ("x1", "y1", "x2", "y2"), images.schema["image_id"].dataType
+    # images are the fewer: where true boxes lie by image already, images alone are sent
+    listed = images.select("image_id", F.lit(0).alias("kind"), F.col("width").cast("long"), F.col("height").cast("long"), *[F.lit(None).cast("double").alias(c) for c in ends]).repartition("image_id")
+    given = truths.select(F.col("image_id").cast(kind), F.lit(1).alias("kind"), *[F.lit(None).cast("long").alias(c) for c in ("width", "height")], *[F.col(c).cast("double").alias(c) for c in ends])
+    both = in_order(listed.union(given).filter("image_id is not null"), "kind").withColumn("name", F.col("image_id").cast("string"))
+    schema = StructType([images.schema["image_id"], *[StructField(c, DoubleType()) for c in ends]])
+    taken = both.mapInArrow(_background(seed, per_truth, tries, max_iou, FOLD_BOXES), schema)
     positive = truths.select("image_id", F.lit(1).alias("label"), "x1", "y1", "x2", "y2")
-    return positive.unionByName(taken.select("image_id", F.lit(0).alias("label"), "box.x1", "box.y1", "box.x2", "box.y2"))
+    return positive.unionByName(taken.select("image_id", F.lit(0).alias("label"), *ends))
