@@ -1,7 +1,7 @@
 """Matching predictions to true boxes, and what follows from it.
 
-Matching is greedy in score order and touches one image only, so it is a fold over an image's
-predictions (or a stream of them, if they are many). Average precision needs one order over all images: running counts and suffix
+Matching is greedy in score order and touches one image only: tasks match many images at once, from arrays
+(images of many boxes as a stream). Average precision needs one order over all images: running counts and suffix
 maxima over range partitions, with carries from a table of one row a partition.
 """
 
@@ -10,61 +10,84 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernlake.functions.boxes import iou_sql, max_iou_sql
-from fernlake.operators.detection import BY_SCORE, FOLD_BOXES, Grown, counted, ious, max_iou_with, suppress, suppress_sql
+from fernlake.operators import box_arrays
+from fernlake.operators.detection import FOLD_BOXES, Grown, in_order, ious, max_iou_with, suppress
 from fernlake.operators.ranking import PART, ordered_parts
 from fernlake.runtime import Scratch, drop_path, materialize
 
 ROWS = "image_id string, pred_idx int, score double, gt_idx int"
-
-
-def _match_stream(iou_threshold: float):
-    """Rows come sorted by image, true boxes (``kind`` 0) before predictions, these by score and index."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, truths, names, free = None, Grown(), [], None
-        for batch in batches:
-            out = []
-            for kind, image, index, score, *box in batch[["kind", "image_id", "idx", "score", "x1", "y1", "x2", "y2"]].itertuples(index=False):
-                if image != now:
-                    now, truths, names, free = image, Grown(), [], None
-                if kind == 0:
-                    truths.add(box)
-                    names.append(index)
-                    continue
-                free = np.ones(truths.n, bool) if free is None else free
-                over = np.where(free, ious(np.array(box), truths.boxes), -1.0)
-                at = int(over.argmax()) if truths.n else -1
-                hit = at >= 0 and over[at] >= iou_threshold
-                if hit:
-                    free[at] = False
-                out.append((image, index, score, names[at] if hit else None))
-            made = pd.DataFrame(out, columns=["image_id", "pred_idx", "score", "gt_idx"])
-            yield made.astype({"gt_idx": "Int32"})
+_ROWS = pa.schema([("image_id", pa.string()), ("pred_idx", pa.int32()), ("score", pa.float64()), ("gt_idx", pa.int32())])
+
+
+ORDER = ("kind", "score desc", "idx")
+
+
+class Streamed:
+    """Matching of one image piece by piece, its true boxes (``kind`` 0) first; only they are held."""
+
+    def __init__(self, iou_threshold: float):
+        self.threshold, self.truths, self.names, self.free = iou_threshold, Grown(), [], None
+
+    def piece(self, table: pa.Table) -> list[tuple]:
+        out = []
+        for kind, image, index, score, *box in table.to_pandas()[["kind", "image_id", "idx", "score", "x1", "y1", "x2", "y2"]].itertuples(index=False):
+            if kind == 0:
+                self.truths.add(box)
+                self.names.append(index)
+                continue
+            self.free = np.ones(self.truths.n, bool) if self.free is None else self.free
+            over = np.where(self.free, ious(np.array(box), self.truths.boxes), -1.0)
+            at = int(over.argmax()) if self.truths.n else -1
+            hit = at >= 0 and over[at] >= self.threshold
+            if hit:
+                self.free[at] = False
+            out.append((image, index, score, self.names[at] if hit else None))
+        return out
+
+
+class Images:
+    """A table's whole images, in ``ORDER``: their predictions and true boxes as arrays."""
+
+    def __init__(self, table: pa.Table):
+        self.table, self.kind = table, table.column("kind").to_numpy()
+        self.image = np.cumsum(table.column("_k").to_numpy() == 1) - 1
+        self.n = int(self.image[-1]) + 1 if len(table) else 0
+        self.preds, self.truths = (box_arrays.Boxes.of(table, self.image, np.flatnonzero(self.kind == k), self.n) for k in (1, 0))
+
+    def matched(self, preds: box_arrays.Boxes, iou_threshold: float) -> pa.Table:
+        """``image_id, pred_idx, score, gt_idx`` of ``preds``."""
+        index = self.table.column("idx").combine_chunks()
+        at = box_arrays.matches(preds, self.truths, index.take(pa.array(self.truths.rows)).fill_null(0).to_numpy(), iou_threshold)
+        hit = np.full(len(at), -1)
+        hit[at >= 0] = self.truths.rows[at[at >= 0]]
+        own = self.table.select(["image_id", "idx", "score"]).take(pa.array(preds.rows)).rename_columns(["image_id", "pred_idx", "score"])
+        return own.append_column("gt_idx", index.take(pa.array(hit, mask=hit < 0)))
+
+
+def _match(iou_threshold: float, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = None
+        for table, larger in box_arrays.chunks(batches, most):
+            if larger:
+                stream = Streamed(iou_threshold) if table.column("_k")[0].as_py() == 1 else stream
+                rows = stream.piece(table)
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(_ROWS.types)], schema=_ROWS)
+            else:
+                images = Images(table)
+                yield from images.matched(images.preds, iou_threshold).cast(_ROWS).to_batches()
 
     return run
 
 
-def _match_sql(iou_threshold: float) -> str:
-    """An array of structs ``s, i, gt_idx`` from ``preds`` in score order and ``truths``."""
-    best = f"array_max(transform(filter(truths, t -> not array_contains(acc.used, t.g)), t -> named_struct('v', {iou_sql('p', 't')}, 'n', -t.g)))"
-    hit = f"b.v >= {float(iou_threshold)}D"
-    step = f"""transform(array({best}), b -> named_struct(
-        'used', if(coalesce({hit}, false), concat(acc.used, array(-b.n)), acc.used),
-        'out', concat(acc.out, array(named_struct('s', p.s, 'i', p.i, 'gt_idx', if(coalesce({hit}, false), -b.n, cast(null as int)))))))[0]"""
-    start = "named_struct('used', cast(array() as array<int>), 'out', cast(array() as array<struct<s:double,i:int,gt_idx:int>>))"
-    return f"aggregate(preds, {start}, (acc, p) -> {step}, acc -> acc.out)"
-
-
 def _both(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     """Predictions (``kind`` 1) and true boxes (0) of an image as rows of one table."""
-    corners = ["x1", "y1", "x2", "y2"]
-    asked = predictions.filter("image_id is not null and score is not null").select(F.lit(1).alias("kind"), F.col("image_id").cast("string"), F.col("pred_idx").cast("int").alias("idx"), F.col("score").cast("double"), *corners)
-    given = truths.filter("image_id is not null").select(F.lit(0).alias("kind"), F.col("image_id").cast("string"), F.col("gt_idx").cast("int").alias("idx"), F.lit(None).cast("double").alias("score"), *corners)
+    ends = [F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]
+    asked = predictions.filter("image_id is not null and score is not null").select(F.lit(1).alias("kind"), F.col("image_id").cast("string"), F.col("pred_idx").cast("int").alias("idx"), F.col("score").cast("double"), *ends)
+    given = truths.filter("image_id is not null").select(F.lit(0).alias("kind"), F.col("image_id").cast("string"), F.col("gt_idx").cast("int").alias("idx"), F.lit(None).cast("double").alias("score"), *ends)
     return asked.union(given)
 
 
@@ -78,18 +101,7 @@ def matched(predictions: DataFrame, truths: DataFrame, iou_threshold: float = 0.
     """
     if iou_threshold <= 0:
         raise ValueError("the IoU threshold is positive")
-    corners = ["x1", "y1", "x2", "y2"]
-    both = counted(_both(predictions, truths))
-
-    few = both.filter(F.col("_n") <= FOLD_BOXES).groupBy("image_id").agg(
-        F.collect_list(F.when(F.col("kind") == 1, F.struct(F.col("score").alias("s"), F.col("idx").alias("i"), *corners))).alias("p"),
-        F.collect_list(F.when(F.col("kind") == 0, F.struct(F.col("idx").alias("g"), *corners))).alias("truths"),
-    )
-    folded = few.select("image_id", "truths", F.expr(f"array_sort(p, {BY_SCORE})").alias("preds"))
-    small = folded.select("image_id", F.explode(F.expr(_match_sql(iou_threshold))).alias("h")).select("image_id", F.col("h.i").alias("pred_idx"), F.col("h.s").alias("score"), "h.gt_idx")
-
-    many = both.filter(F.col("_n") > FOLD_BOXES).drop("_n").sortWithinPartitions("image_id", "kind", F.desc("score"), "idx")
-    return small.union(many.mapInPandas(_match_stream(iou_threshold), ROWS))
+    return in_order(_both(predictions, truths), *ORDER).mapInArrow(_match(iou_threshold, FOLD_BOXES), ROWS)
 
 
 def image_counts(rows: DataFrame, truths: DataFrame) -> DataFrame:
@@ -143,6 +155,47 @@ def average_precision(rows: DataFrame, n_truths: int) -> DataFrame:
     return best.agg((F.coalesce(F.sum("best"), F.lit(0.0)) / max(1, n_truths)).alias("average_precision"))
 
 
+JUDGED = "image_id string, n long, raw long, kept long, given long, best double, hits array<struct<s:double,i:int,gt_idx:int>>"
+_HIT = pa.struct([("s", pa.float64()), ("i", pa.int32()), ("gt_idx", pa.int32())])
+_JUDGED = pa.schema([("image_id", pa.string()), ("n", pa.int64()), ("raw", pa.int64()), ("kept", pa.int64()), ("given", pa.int64()), ("best", pa.float64()), ("hits", pa.list_(_HIT))])
+
+
+def _judge(iou_threshold: float, nms_threshold: float | None, most: int):
+    """Images that are listed (``kind`` 2), counted and matched; larger ones counted alone, their pieces carried on."""
+
+    def whole(table: pa.Table) -> pa.RecordBatch:
+        images = Images(table)
+        preds = images.preds if nms_threshold is None else images.preds.where(box_arrays.kept(images.preds, nms_threshold), images.image)
+        found = images.matched(preds, iou_threshold)
+        best = np.bincount(images.image[images.truths.rows], weights=box_arrays.best(images.truths, preds), minlength=images.n)
+        hits = pa.StructArray.from_arrays([found.column(c).combine_chunks().cast(t) for c, t in (("score", pa.float64()), ("pred_idx", pa.int32()), ("gt_idx", pa.int32()))], fields=list(_HIT))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(preds.start, len(preds.rows)), pa.int32()), hits)
+        first = np.flatnonzero(np.diff(images.image, prepend=-1))
+        counts = [np.bincount(images.image, minlength=images.n), images.preds.n, preds.n, images.truths.n]
+        made = pa.RecordBatch.from_arrays([table.column("image_id").combine_chunks().take(pa.array(first)).cast(pa.string()), *map(pa.array, counts), pa.array(best), lists], schema=_JUDGED)
+        return made.filter(pa.array(np.bincount(images.image[images.kind == 2], minlength=images.n) > 0))
+
+    def large(image: str, seen: np.ndarray) -> pa.RecordBatch:
+        row = {"image_id": image, "n": int(seen.sum()), "raw": int(seen[1]), "kept": 0, "given": int(seen[0]), "best": 0.0, "hits": []}
+        return pa.RecordBatch.from_pylist([row] if seen[2] else [], schema=_JUDGED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, np.zeros(3, int)
+        for table, larger in box_arrays.chunks(batches, most):
+            if now is not None and not (larger and table.column("_k")[0].as_py() > 1):
+                yield large(now, seen)
+                now, seen = None, np.zeros(3, int)
+            if larger:
+                now = table.column("image_id")[0].as_py()
+                seen = seen + np.bincount(table.column("kind").to_numpy(), minlength=3)
+            else:
+                yield whole(table)
+        if now is not None:
+            yield large(now, seen)
+
+    return run
+
+
 def judged_images(images: DataFrame, predictions: DataFrame, truths: DataFrame, iou_threshold: float = 0.5, nms_threshold: float | None = None) -> DataFrame:
     """``image_id, n, raw, kept, given, best, hits`` of each of ``images``: its boxes of all kinds, predictions before and after
     suppression, true boxes, their best IoUs added up, and the matched predictions. One exchange serves all of it.
@@ -153,20 +206,8 @@ def judged_images(images: DataFrame, predictions: DataFrame, truths: DataFrame,
         raise ValueError("the IoU threshold is positive")
     corners = ["x1", "y1", "x2", "y2"]
     listed = images.filter("image_id is not null").select(F.lit(2).alias("kind"), F.col("image_id").cast("string"), *[F.lit(None).cast(t).alias(c) for c, t in (("idx", "int"), ("score", "double"), *((c, "double") for c in corners))])
-    all_ = counted(_both(predictions, truths).union(listed))
-    few, kind = F.col("_n") <= FOLD_BOXES, F.col("kind")
-    held = all_.groupBy("image_id").agg(
-        F.max("_n").alias("n"),
-        F.max(kind).alias("last"),
-        F.count_if(kind == 1).alias("raw"),
-        F.count_if(kind == 0).alias("given"),
-        F.collect_list(F.when(few & (kind == 1), F.struct(F.col("score").alias("s"), F.col("idx").alias("i"), *corners))).alias("p"),
-        F.collect_list(F.when(few & (kind == 0), F.struct(F.col("idx").alias("g"), *corners))).alias("truths"),
-    )
-    kept = "p" if nms_threshold is None else suppress_sql("p", nms_threshold)
-    own = held.filter("last = 2").withColumn("p", F.expr(f"array_sort(p, {BY_SCORE})")).withColumn("preds", F.expr(kept))
-    best = f"aggregate(truths, 0D, (sum, t) -> sum + {max_iou_sql('t', 'preds')})"
-    return own.select("image_id", "n", "raw", F.size("preds").cast("long").alias("kept"), "given", F.expr(best).alias("best"), F.expr(_match_sql(iou_threshold)).alias("hits"))
+    rows = in_order(_both(predictions, truths).union(listed), *ORDER)
+    return rows.mapInArrow(_judge(iou_threshold, nms_threshold, FOLD_BOXES), JUDGED)
 
 
 def evaluate(images: DataFrame, predictions: DataFrame, truths: DataFrame, iou_threshold: float = 0.5, nms_threshold: float | None = None) -> DataFrame:
