@@ -1,6 +1,6 @@
 """One JSON document as many rows, and many rows as one JSON document, in parallel both ways.
 
-Reading. Spark's text source cuts a file into splits, here at commas. Whether a split begins inside a string, and how
+Reading. Spark's text source cuts a file into splits, here at commas that end lines, or at all commas. Whether a split begins inside a string, and how
 deep in brackets, follows from all before it, so a first pass brings each split to a summary that can be
 composed: whether it flips being inside a string, and how many brackets it opens, were it to begin outside a string or inside
 one. Composed in order they say how each split begins (one row a split passes the driver), and a second pass
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from fernlake.runtime import drop_path, materialize
 
 #: What stands after each element that is written.
 SEPARATOR = ",\n"
+#: Bytes of a row up to which a document is cut at ``SEPARATOR`` alone.
+LONGEST = 1 << 13
 #: Bytes that are cut at a time.
 TOGETHER = 1 << 22
 WHOLE, BEGINS, GOES_ON = 0, 1, 2
@@ -53,11 +56,11 @@ def marks(text: bytes, inside: bool) -> tuple[np.ndarray, np.ndarray, bool]:
 
 def summary(text: bytes) -> tuple[bool, int, int]:
     """Whether a run of bytes flips being inside a string; brackets it opens, were it to begin outside and inside one."""
-    depth = []
-    for inside in (False, True):
-        _, role, _ = marks(text, inside)
-        depth.append(int(role[role != 2].sum()))
-    return marks(text, False)[2], *depth
+    _, role, flips = marks(text, False)
+    outside = int(role[role != 2].sum())
+    # what stands outside strings were it to begin inside one is what stands inside them otherwise
+    n = [text.count(c) for c in (b"{", b"[", b"}", b"]")]
+    return flips, outside, n[0] + n[1] - n[2] - n[3] - outside
 
 
 class Cutter:
@@ -103,24 +106,49 @@ class Cutter:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_FRAGMENT), _FRAGMENT.types)], schema=_FRAGMENT)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+def _runs(batches: Iterator[pa.RecordBatch], separator: bytes) -> Iterator[tuple[int, bytes]]:
     """Runs of bytes with the place their split has in the file."""
     for batch in batches:
         value, split = batch.column(0), batch.column(1).to_numpy()
         for part in np.split(np.arange(len(split)), np.flatnonzero(np.diff(split)) + 1):
             for low in range(int(part[0]), int(part[-1]) + 1, 1 << 16) if len(part) else ():
-                own = value.slice(low, min(1 << 16, int(part[-1]) + 1 - low)).to_pylist()
-                yield int(split[low]), (",".join(own) + ",").encode()
+                own = value.slice(low, min(1 << 16, int(part[-1]) + 1 - low)).cast(pa.binary())
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), separator)
+                yield int(split[low]), joined[0].as_py() + separator
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, tuple[bool, int, int]] = {}
-    for split, text in _runs(batches):
-        flips, out, inn = held.get(split, (False, 0, 0))
-        own = summary(text)
-        held[split] = (flips ^ own[0], out + own[1 + flips], inn + own[2 - flips])
-    rows = [(s, *x) for s, x in held.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.int64()))], ["split", "flips", "outside", "inside"])
+def _summaries(separator: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[bool, int, int, int]] = {}
+        for split, text in _runs(batches, separator):
+            flips, out, inn, size = held.get(split, (False, 0, 0, 0))
+            own = summary(text)
+            held[split] = (flips ^ own[0], out + own[1 + flips], inn + own[2 - flips], size + len(text))
+        rows = [(s, *x) for s, x in held.items()]
+        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], ["split", "flips", "outside", "inside", "size"])
+
+    return run
+
+
+def _cut_at(spark: SparkSession, path: str) -> tuple[DataFrame, bytes, list]:
+    """A document's text cut into rows, what it is cut at, and the summaries of its splits.
+
+    Rows end at commas that end a line, a row an element in most documents. Hadoop passes over longer rows than ``LONGEST``,
+    so where any byte is missed the document is cut at every comma.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    length = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+    for separator in (SEPARATOR, ","):
+        read = spark.read.option("lineSep", separator)
+        if separator == SEPARATOR:
+            read = read.option("mapreduce.input.linerecordreader.line.maxlength", str(LONGEST))
+        text = read.text(path).select("value", F.col("_metadata.file_block_start").alias("split"))
+        end = separator.encode()
+        found = sorted(text.mapInArrow(_summaries(end), "split long, flips boolean, outside long, inside long, size long").collect())  # one row a split
+        if sum(s["size"] for s in found) in (length, length + len(end)):
+            break
+    return text, end, found
 
 
 def elements(spark: SparkSession, path: str) -> DataFrame:
@@ -130,9 +158,9 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     the row that says what the document is (``{`` or ``[``). ``raw`` is JSON: a value, or ``"key": value`` in objects; an
     empty one says that the field is there. A document that is not whole raises.
     """
-    text = spark.read.option("lineSep", ",").text(path).select("value", F.col("_metadata.file_block_start").alias("split"))
+    text, separator, found = _cut_at(spark, path)
     begins, inside, depth = {}, False, 0
-    for s in sorted(text.mapInArrow(_summaries, "split long, flips boolean, outside long, inside long").collect()):  # one row a split
+    for s in found:
         begins[s["split"]] = (inside, depth)
         inside, depth = inside ^ s["flips"], depth + (s["inside"] if inside else s["outside"])
     if inside or depth:
@@ -140,7 +168,7 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, held = None, []
-        for split, run in _runs(batches):
+        for split, run in _runs(batches, separator):
             if cutter is None or cutter.split != split:
                 if cutter:
                     cutter.feed(b"".join(held))

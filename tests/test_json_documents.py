@@ -115,3 +115,26 @@ def test_a_manifest_of_many_splits(spark, small_splits, tmp_path):
     assert sorted(map(tuple, artifacts.load_groups(spark, f"{tmp_path}/bare.json").collect())) == sorted(map(tuple, names.collect()))
     artifacts.save_manifest(names.limit(0), f"{tmp_path}/empty.json", "groups")
     assert artifacts.load_groups(spark, f"{tmp_path}/empty.json").count() == 0
+
+
+@pytest.mark.parametrize("text, cut", [("short", b",\n"), ("x,y" * 5000, b",")])
+def test_documents_with_lines_are_cut_at_lines_unless_one_is_long(spark, small_splits, tmp_path, text, cut):
+    path = str(tmp_path / "d.json")
+    doc = {"images": [{"id": i, "file_name": text if i == 70 else f"a,\n{i}"} for i in range(100)], "n": [1]}
+    with open(path, "w") as f:
+        f.write("{" + ",\n".join(f"{json.dumps(k)}: [" + ",\n".join(json.dumps(v) for v in own) + "]" for k, own in doc.items()) + "}\n")
+    rows, separator, found = jd._cut_at(spark, path)
+    assert separator == cut and len(found) > 1
+    if cut == b",\n":
+        assert rows.count() < 110  # a row an element, not one a member
+    assert [json.loads(r) for r in _told(spark, path)["images"]] == doc["images"]
+
+
+def test_an_element_is_parsed_once(spark, tmp_path):
+    path = str(tmp_path / "d.json")
+    with open(path, "w") as f:
+        json.dump({"annotations": [{"image_id": 1, "bbox": [1, 2, 3, 4], "category_id": 1}]}, f)
+    _, boxes, _ = coco.read_coco(spark, path)
+    optimized = boxes._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("from_json(") == optimized.count("Generate inline(")
+    assert boxes.count() == 1
