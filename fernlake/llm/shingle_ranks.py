@@ -8,6 +8,7 @@ puts on each tells common shingles; rare ones all have rank zero.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -60,15 +61,26 @@ def shingle_ranks(docs: DataFrame, hashes: Callable[[str | None], np.ndarray], t
     own = docs.select(F.col(text_col).alias("t")).mapInArrow(run, SCHEMA)
     for salt in (F.col("salt"), F.lit(0)):
         own = own.withColumn("salt", salt).repartition("chunk", "salt").sortWithinPartitions("chunk", "salt").mapInArrow(_added, SCHEMA)
-    total = np.zeros(SLOTS, np.uint64)
-    for row in own.toArrow().to_pylist():  # SLOTS counters, however many texts there are
-        total[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = _unpacked(row["width"], row["counts"])
-    return ranks_of(total)
+    # SLOTS counters, however many texts there are; they stay compressed, and the driver unpacks one chunk at a time
+    rows = [(r["chunk"], r["width"], r["counts"]) for r in own.toArrow().to_pylist()]
+    usual, ranks = _median([(width, raw) for _, width, raw in rows]), np.zeros(SLOTS, np.uint8)
+    for chunk, width, raw in rows:
+        ranks[chunk * CHUNK : (chunk + 1) * CHUNK] = ranks_of(_unpacked(width, raw), usual)
+    return ranks
 
 
-def ranks_of(counts: np.ndarray) -> np.ndarray:
+def _median(chunks: list[tuple[int, bytes]]) -> float:
+    """The median of all counters; chunks that are not there hold zeros."""
+    times = Counter({0: SLOTS - CHUNK * len(chunks)})
+    for width, raw in chunks:
+        times.update(dict(zip(*(x.tolist() for x in np.unique(_unpacked(width, raw), return_counts=True)))))
+    values = sorted(v for v in times if times[v])
+    ends = np.cumsum([times[v] for v in values])
+    return sum(values[int(np.searchsorted(ends, at, "right"))] for at in (SLOTS // 2 - 1, SLOTS // 2)) / 2
+
+
+def ranks_of(counts: np.ndarray, usual: float) -> np.ndarray:
     # half of the counters hold no more than the median, which a few very common shingles do not move
-    usual = float(np.median(counts))
     excess = counts - (usual + 4 * np.sqrt(usual) + 1)
     return np.where(excess >= 1, np.minimum(8 * np.log2(np.maximum(excess, 1)) + 1, 255), 0).astype(np.uint8)
 

@@ -68,8 +68,10 @@ class FTRL:
         self.n[at] = n + g * g
 
     def model(self) -> tuple[np.ndarray, float]:
-        w = self.weights(np.arange(self.bias + 1))
-        return w[:-1].astype(np.float32), float(w[-1])
+        w = np.zeros(self.bias, np.float32)
+        for low in range(0, self.bias, 65_536):  # a part at a time: all of it as doubles several times over is much for a driver
+            w[low : low + 65_536] = self.weights(np.arange(low, min(low + 65_536, self.bias)))
+        return w, float(self.weights(np.array([self.bias]))[0])
 
 
 def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, seed: int = 0, **options) -> tuple[np.ndarray, float]:
