@@ -14,7 +14,8 @@ for each node, no pairs; one component is one task's work, as each step depends
 more than it must, components of over ``STREAMED`` pairs go level by level of distance: pairs of the least distance first, on nodes that are
 what merged before. A level's components that fit the cap merge whole, all at once, and only the others are streamed.
 
-Any number of settings (threshold and cap) are grouped in one run: nodes carry the setting's number.
+Any number of settings (threshold and cap) are grouped in one run: nodes carry the setting's number. Names take part as
+their number in name order, so that what is merged, joined and sorted are longs, whatever the names.
 """
 
 from __future__ import annotations
@@ -35,17 +36,19 @@ from fernlake.runtime import Scratch, exchanged, materialize
 STREAMED = 1_000_000
 #: The cap of settings without one.
 UNCAPPED = 1 << 62
+#: Bits of a node's name's number; those above hold the setting's.
+NAME_BITS = 43
 
 
 class CappedUnion:
-    """Union-find over weighted names; the smaller root survives."""
+    """Union-find over weighted names, or their numbers; the smaller root survives."""
 
     def __init__(self, cap: int):
         self.cap = cap
-        self.parent: dict[str, str] = {}
-        self.size: dict[str, int] = {}
+        self.parent: dict[int, int] = {}
+        self.size: dict[int, int] = {}
 
-    def root(self, name: str, weight: int = 1) -> str:
+    def root(self, name: int, weight: int = 1) -> int:
         if name not in self.parent:
             self.parent[name], self.size[name] = name, weight
         top = name
@@ -55,7 +58,7 @@ class CappedUnion:
             self.parent[name], name = top, self.parent[name]
         return top
 
-    def merge(self, a: str, wa: int, b: str, wb: int) -> bool:
+    def merge(self, a: int, wa: int, b: int, wb: int) -> bool:
         ra, rb = sorted((self.root(a, wa), self.root(b, wb)))
         if ra == rb or self.size[ra] + self.size[rb] > self.cap:
             return False
@@ -85,14 +88,16 @@ def _merge_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _components(pairs: DataFrame, left: str, right: str, scratch: Scratch) -> DataFrame:
     """``seq, name, component`` of the nodes of each setting."""
-    parts = connected_components(pairs.select(F.struct("seq", F.col(left).alias("name")).alias("u"), F.struct("seq", F.col(right).alias("name")).alias("v")))
-    return scratch.keep(parts.select("node.seq", "node.name", F.col("component.name").alias("component")), "parts")
+    node = lambda name: F.shiftleft(F.col("seq").cast("long"), NAME_BITS).bitwiseOR(F.col(name))
+    number = lambda node: F.col(node).bitwiseAND(F.lit((1 << NAME_BITS) - 1))
+    parts = connected_components(pairs.select(node(left).alias("u"), node(right).alias("v")))
+    return scratch.keep(parts.select(F.shiftright("node", NAME_BITS).cast("int").alias("seq"), number("node").alias("name"), number("component").alias("component")), "parts")
 
 
-def _merged(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``seq, name, root`` of runs that ``pairs`` (``seq, distance, cap, na, wa, nb, wb``) merge; runs that stay alone may lack."""
+def _merged(pairs: DataFrame, runs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``seq, name, root`` of ``runs`` (``seq, cap, name, w``) that ``pairs`` (``seq, distance, cap, na, wa, nb, wb``) merge; runs that stay alone may lack."""
     parts = _components(pairs, "na", "nb", scratch)
-    nodes = scratch.keep(pairs.select(F.expr("inline(array(struct(seq, cap, na as name, wa as w), struct(seq, cap, nb as name, wb as w)))")).distinct().join(exchanged(parts), ["seq", "name"]), "nodes")
+    nodes = scratch.keep(runs.join(exchanged(parts), ["seq", "name"]), "nodes")
     totals = nodes.groupBy("seq", "component", "cap").agg(F.sum("w").alias("total"))
     small = nodes.join(totals.filter(F.col("total") <= F.col("cap")), ["seq", "component", "cap"]).select("seq", "name", F.col("component").alias("root"))
     large = scratch.keep(totals.filter(F.col("total") > F.col("cap")).select("seq", "component"), "large")
@@ -117,7 +122,7 @@ def _streamed(pairs: DataFrame) -> DataFrame:
     sides = {"left": F.least("na", "nb"), "right": F.greatest("na", "nb"), "left_node": F.when(swap, F.col("rb")).otherwise(F.col("ra")), "right_node": F.when(swap, F.col("ra")).otherwise(F.col("rb"))}
     sides |= {"wl": F.when(swap, F.col("wb")).otherwise(F.col("wa")), "wr": F.when(swap, F.col("wa")).otherwise(F.col("wb"))}
     ordered = pairs.select("seq", "component", "cap", "distance", *[c.alias(n) for n, c in sides.items()]).repartition("seq", "component")
-    return ordered.sortWithinPartitions("seq", "component", "distance", "left", "right").mapInPandas(_merge_in_order, "seq int, name string, root string")
+    return ordered.sortWithinPartitions("seq", "component", "distance", "left", "right").mapInPandas(_merge_in_order, "seq int, name long, root long")
 
 
 def _level(pairs: DataFrame, state: DataFrame, scratch: Scratch) -> DataFrame:
@@ -149,10 +154,16 @@ def grouped_runs(hashed: DataFrame, settings: list[tuple[int, int | None]], clos
     caps = rows.select("cap").distinct()
     made = ranked.join(F.broadcast(caps)).groupBy("cap", "hash", F.expr("(rank - 1) div cap").alias("run")).agg(F.min("file_name").alias("name"), F.count("*").alias("weight"))
     made = scratch.keep(made, "runs")
-    open_runs = made.filter(F.col("weight") < F.col("cap")).select("cap", "hash", "name", "weight")  # a hash's last run, unless full
-    sides = [open_runs.select("cap", F.col("hash").alias(h), F.col("name").alias(n), F.col("weight").alias(w)) for h, n, w in (("a", "na", "wa"), ("b", "nb", "wb"))]
+    open_runs = made.filter(F.col("weight") < F.col("cap"))  # a hash's last run, unless full
+    numbers = scratch.keep(global_rank(open_runs.select("name").distinct(), [F.col("name")], "number"), "numbers")
+    open_runs = scratch.keep(open_runs.join(exchanged(numbers), "name").select("cap", "hash", "number", "weight"), "open")
+    sides = [open_runs.select("cap", F.col("hash").alias(h), F.col("number").alias(n), F.col("weight").alias(w)) for h, n, w in (("a", "na", "wa"), ("b", "nb", "wb"))]
     pairs = close.join(F.broadcast(rows), F.col("distance") <= F.col("threshold")).join(exchanged(sides[0]), ["cap", "a"]).join(exchanged(sides[1]), ["cap", "b"])
-    merged = _merged(scratch.keep(pairs.select("seq", "distance", "cap", "na", "wa", "nb", "wb"), "merges"), scratch)
+    pairs = scratch.keep(pairs.select("seq", "distance", "cap", "na", "wa", "nb", "wb"), "merges")
+    runs = open_runs.join(F.broadcast(rows), "cap").select("seq", "cap", F.col("number").alias("name"), F.col("weight").alias("w"))
+    merged = _merged(pairs, runs, scratch).select("seq", F.col("name").alias("number"), F.col("root").alias("top"))
+    named = [numbers.select(F.col("number").alias(n), F.col("name").alias(c)) for n, c in (("number", "name"), ("top", "root"))]
+    merged = merged.filter("number <> top").join(exchanged(named[0]), "number").join(exchanged(named[1]), "top").select("seq", "name", "root")
     tops = made.join(F.broadcast(rows), "cap").join(exchanged(merged), ["seq", "name"], "left").select("seq", "cap", "hash", "run", "weight", F.coalesce("root", "name").alias("root"))
     tops, _ = materialize(tops, "tops")
     scratch.drop()
