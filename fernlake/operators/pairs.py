@@ -6,6 +6,9 @@ With one band to agree in (``k = 1``) keys are few and short; with more there ar
 more bits each. ``k`` follows the number of distinct hashes so that a key is not shared by
 chance by more than a few of them. Hashes are joined once however many files share them.
 
+Hashes of so few bits that it takes many keys to tell them apart have few others within ``t`` bits: these are
+spelt out and looked up, so the rows of the join are those few for each hash.
+
 A threshold so large that keys have but a few bits lets bands tell next to nothing apart. Then blocks of hashes are
 compared with one another, every two blocks once, as arrays: a comparison costs a few nanoseconds, and a task holds two blocks.
 """
@@ -80,6 +83,17 @@ def compared_blocks(own: DataFrame, n: int, threshold: int) -> DataFrame:
     return met.select("i", "j", "x", "y").mapInArrow(run, "a long, b long, distance int")
 
 
+def looked_up_neighbours(own: DataFrame, threshold: int, bits: int) -> DataFrame:
+    """``a, b, distance`` of the hashes of ``own``, of ``bits`` bits: all numbers within ``threshold`` bits of each, met with the hashes."""
+    masks = [sum(1 << b for b in chosen) for i in range(1, threshold + 1) for chosen in combinations(range(bits), i)]
+    masks = F.lit([m - (1 << 64) if m >> 63 else m for m in masks]).cast("array<long>")
+    # few hashes are a small file and few tasks; their neighbours need more
+    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = own.repartition(tasks, "hash").select(F.col("hash").alias("a"), F.explode(masks).alias("mask"))
+    near = near.select("a", F.col("a").bitwiseXOR(F.col("mask")).alias("b")).filter("a < b")
+    return near.join(exchanged(own.select(F.col("hash").alias("b"))), "b").select("a", "b", F.expr("bit_count(a ^ b)").alias("distance"))
+
+
 def distinct_pairs(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
     """``a, b, distance`` for distinct hashes (column ``hash``) with ``a < b`` and ``0 < distance <= threshold``."""
     if threshold < 0:
@@ -92,6 +106,9 @@ def distinct_pairs(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFra
     bands = min(threshold + agree, bits)
     if comb(bands, min(agree, bands)) * 2.0 ** -(bits // bands * min(agree, bands)) > MOST_MET:
         return compared_blocks(own, n, threshold)
+    # a key of either side costs an exchange and what it meets by chance, a neighbour one lookup, and only larger ones are looked up
+    if sum(comb(bits, i) for i in range(1, threshold + 1)) <= 4 * comb(bands, min(agree, bands)):
+        return looked_up_neighbours(own, threshold, bits)
     keyed = own.select(F.expr(f"inline({keys_sql('hash', threshold, agree, bits)})"), "hash")
     joined = keyed.withColumnRenamed("hash", "a").join(exchanged(keyed.withColumnRenamed("hash", "b")), ["choice", "value"])
     return joined.filter(f"a < b and bit_count(a ^ b) <= {threshold}").select("a", "b").distinct().withColumn("distance", F.expr("bit_count(a ^ b)"))
