@@ -104,11 +104,11 @@ def distinct_pairs(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFra
     n = own.count()
     agree = bands_to_agree(n, threshold, bits)
     bands = min(threshold + agree, bits)
-    if comb(bands, min(agree, bands)) * 2.0 ** -(bits // bands * min(agree, bands)) > MOST_MET:
-        return compared_blocks(own, n, threshold)
-    # a key of either side costs an exchange and what it meets by chance, a neighbour one lookup, and only larger ones are looked up
+    # both sides' keys are exchanged, and what they meet by chance too; of the neighbours one side's half
     if sum(comb(bits, i) for i in range(1, threshold + 1)) <= 4 * comb(bands, min(agree, bands)):
         return looked_up_neighbours(own, threshold, bits)
+    if comb(bands, min(agree, bands)) * 2.0 ** -(bits // bands * min(agree, bands)) > MOST_MET:
+        return compared_blocks(own, n, threshold)
     keyed = own.select(F.expr(f"inline({keys_sql('hash', threshold, agree, bits)})"), "hash")
     joined = keyed.withColumnRenamed("hash", "a").join(exchanged(keyed.withColumnRenamed("hash", "b")), ["choice", "value"])
     return joined.filter(f"a < b and bit_count(a ^ b) <= {threshold}").select("a", "b").distinct().withColumn("distance", F.expr("bit_count(a ^ b)"))
