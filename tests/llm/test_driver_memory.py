@@ -1,10 +1,12 @@
-"""What the driver's Python holds while tables of a fixed size are made."""
+"""What Python holds: in the driver while tables of a fixed size are made, in workers while texts are encoded."""
 
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
-from fernlake.llm import shingle_ranks, toxicity
+import corpus_pipeline
+from fernlake.llm import byte_bpe, shingle_ranks, toxicity
 
 
 def peak_mb(run):
@@ -49,3 +51,41 @@ def test_a_toxicity_model_is_read_out_in_parts():
     assert most < 20
     whole = learner.weights(np.arange(learner.bias + 1))
     assert np.array_equal(weights, whole[:-1].astype(np.float32)) and bias == whole[-1]
+
+
+def test_ids_are_made_of_few_texts_at_once():
+    """The chunks and ids of 2,000 texts at a time, beside what a worker remembers, made the pipeline's executors too large."""
+    rng = np.random.default_rng(8)
+    alphabet = np.array(list("abcdefghijklmnop"))
+    texts = [" ".join("".join(w) for w in alphabet[rng.integers(0, 16, (60, 4))]) for _ in range(2000)]
+    bpe = byte_bpe.PrefixBPE({bytes([i]): i for i in range(256)}, r" ?\S+|\s+", remember=100)
+    total, most = peak_mb(lambda: sum(len(ids) for ids in bpe.column_ids(pa.array(texts))))
+    assert total == sum(map(len, texts))
+    assert most < 8
+
+
+def test_the_pipeline_encodes_batches_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Spark's 10,000 texts in a batch are in an executor's JVM and again in its worker; a session's smaller batches stay."""
+    before = spark.conf.get(corpus_pipeline.BATCH_CONF)
+    docs = spark.range(0, 5000, 1, 1).selectExpr("id as doc_id", "concat('text ', id) as text")
+    seen = tmp_path / "rows"
+
+    def ids(docs, ranks_path, pattern):
+        def run(batches):
+            for batch in batches:
+                with open(seen, "a") as out:
+                    out.write(f"{batch.num_rows}\n")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[1]] * batch.num_rows, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+        return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+
+    monkeypatch.setattr(byte_bpe, "encode_documents", ids)
+    try:
+        for given, most in (("10000", 2000), ("0", 2000), ("700", 700)):
+            spark.conf.set(corpus_pipeline.BATCH_CONF, given)
+            seen.write_text("")
+            corpus_pipeline.encode(spark, docs, "").collect()
+            rows = [int(n) for n in seen.read_text().split()]
+            assert max(rows) == most and sum(rows) == 5000
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_CONF, before)
